@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperslip.llm import bpe, packing
+from paperslip.llm import bpe, chat, packing, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,5 +23,42 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op3_byte_bpe": op3_byte_bpe}
+def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
+    read = chat.read_back(chat.windows(turns))
+    each = read.select(
+        "conv_id",
+        F.struct(
+            "window",
+            F.size("turns").alias("n"),
+            F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "").alias("turns"),
+            F.array_join("targets", "").alias("loss"),
+            "chars",
+        ).alias("w"),
+    )
+    per = each.groupBy("conv_id").agg(F.sum("w.n").alias("n_turns"), F.sum(F.col("w.chars").cast("long")).alias("formatted_chars"), F.array_sort(F.collect_list("w")).alias("ws"))
+    loss = F.array_join(F.transform("ws", lambda w: w["loss"]), "")
+    return per.select("conv_id", "n_turns", F.sha2(F.array_join(F.transform("ws", lambda w: w["turns"]), ""), 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(secrets.labelled_samples(docs))).select("doc_id", "spans")
+
+    def line(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(line(F.filter("spans", lambda s: s["kind"] != "markov")), 256).alias("base_sha256"), line(F.col("spans")).alias("spans")
+    )
+
+
+QUERIES = {
+    "op5_chat_windows": op5_chat_windows,
+    "op9_secret_scan": op9_secret_scan,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_byte_bpe": op3_byte_bpe,
+}
 ORACLE_SQL: dict[str, str] = {}
