@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperslip.llm import bpe, chat, packing, secrets
+from paperslip.llm import bpe, chat, packing, secrets, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +55,18 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(simhash.fingerprints(_table(spark, sf_dir, "documents")))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op8_simhash": op8_simhash,
+    "op10_exact_topk": op10_exact_topk,
     "op5_chat_windows": op5_chat_windows,
     "op9_secret_scan": op9_secret_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
