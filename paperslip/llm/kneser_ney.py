@@ -107,8 +107,10 @@ def _mapped(folder: str, name: str) -> np.ndarray | None:
 def _look_up(folder: str, kind: str, bucket: np.ndarray, keys: np.ndarray, columns: tuple[str, ...]) -> list[np.ndarray]:
     """Values of sorted unique keys in the arrays of their buckets, 0 where a key is not there."""
     out = [np.zeros(len(keys), np.int64) for _ in columns]
+    if not len(keys):
+        return out
     order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
     for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
         here = order[a:b]
         name = f"{kind}-{bucket[here[0]]}"

@@ -18,10 +18,19 @@ _POS_BITS = 24
 _SYMBOL = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+_known: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    p = np.full(n, base, np.uint64)
-    p[:1] = 1
-    return np.cumprod(p, dtype=np.uint64)
+    """1, base, base^2, ...; kept for the next block up to 4 M entries."""
+    p = _known.get(int(base))
+    if p is None or len(p) < n:
+        p = np.full(n, base, np.uint64)
+        p[:1] = 1
+        p = np.cumprod(p, dtype=np.uint64)
+        if n <= 4 << 20:
+            _known[int(base)] = p
+    return p[:n]
 
 
 class Rolling:
@@ -70,12 +79,12 @@ def anchors(data: np.ndarray, ends: np.ndarray, window: int = 100) -> tuple[np.n
         parts.append((low & np.uint64((1 << _POS_BITS) - 1)).astype(np.int64) + at)
     anchor = np.concatenate(parts)
     # windows that cross from one text to the next do not count
-    start = np.arange(len(anchor))
-    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[: len(anchor)]
-    inside = start + window <= ends[row + 1]
-    start, anchor, row = start[inside], anchor[inside], row[inside]
-    if not len(start):
-        return none, none, none, none, np.zeros(0, np.uint64), rolling
-    new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1))))
-    last = np.concatenate((start[new[1:] - 1], start[-1:]))
-    return row[new], anchor[new], start[new], last, hashes[anchor[new]], rolling
+    inside = np.ones(len(anchor), bool)
+    for end in ends[1:-1].tolist():
+        inside[max(0, end - window + 1) : end] = False
+    edge = np.ones(len(anchor) + 1, bool)
+    edge[1:-1] = (anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1])
+    cut = np.flatnonzero(edge)
+    first, last = cut[:-1], cut[1:] - 1
+    first, last = first[inside[first]], last[inside[first]]
+    return np.searchsorted(ends, first, "right") - 1, anchor[first], first, last, hashes[anchor[first]], rolling
