@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperslip.llm import bpe, chat, kneser_ney, packing, quality, run_length_index, secrets, simhash, topk
+from paperslip.llm import bpe, chat, kneser_ney, packing, quality, run_length_index, secrets, simhash, topk, weak_labels
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scorers = {"low_quality": weak_labels.fit(docs), "toxic": weak_labels.fit(docs, weak_labels.TOXIC)}
+    scored = weak_labels.score(docs, scorers)
+    return scored.select("*", ((F.col("low_quality") < 0.5) & (F.col("toxic") < 0.5)).alias("kept"))
+
+
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = run_length_index.repeated_passages(_table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -83,6 +90,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_weak_label_quality": op6_weak_label_quality,
     "op7_repeated_passages": op7_repeated_passages,
     "op1_tokeniser_fertility": op1_tokeniser_fertility,
     "op4_kneser_ney": op4_kneser_ney,
