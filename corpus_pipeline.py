@@ -1,13 +1,70 @@
-"""Cleaning a corpus: quality rules, near-duplicates, repeated passages, secrets, packing."""
+"""Cleaning a corpus, stage by stage: quality rules, near-duplicates, repeated passages, secrets, packing.
+
+Each stage takes the documents that the one before has written and returns documents of the same columns;
+the last returns the packed pieces. Repeated rows, null keys, null and empty texts go through: a text
+without words is rejected by the quality rules. Scratch tables of a stage are dropped when the next one
+begins, as its result has then been written.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperslip.llm import packing, quality, run_length_index, scratch, secrets, simhash
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the fertility bands of their language."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang")
+    judged = quality.judge(quality.measure(rows, key="row"))
+    return judged.where("kept").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by SimHash (five-word shingles, at least 60 of 64 bits equal): the one of the smallest key."""
+    scratch.drop(spark)
+    named = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    prints = simhash.fingerprints(named.select(F.struct("doc_id", "_row").alias("key"), "text"), key="key", shingle=5)
+    stay = simhash.components(prints, key="key", bits=4).where("key = component").select(F.col("key._row").alias("_stay")).distinct()
+    return named.join(stay, F.col("_row") == F.col("_stay")).dropDuplicates(["_row"]).select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 100 bytes or more that an earlier document, or the same one before, holds; what is blank then goes."""
+    scratch.drop(spark)
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    cut = run_length_index.repeated_passages(docs, carry=others, whole_characters=True).withColumn("text", F.col("kept").cast("string"))
+    kept = cut.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with every secret replaced by a mark."""
+    scratch.drop(spark)
+    ratios = secrets.train(secrets.labelled_samples(docs))
+    clean = secrets.redact(secrets.scan(docs, ratios))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens with their sequence and offset."""
+    scratch.drop(spark)
+    return packing.pack(packing.pieces(docs))
+
+
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("secret_scan", secret_scan), ("best_fit_packing", best_fit_packing)]
+
+#: No stage of this pipeline but the base rules can be written in SQL; tests hold it against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, over the whole table documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        path = scratch.kept_path(spark, name)
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

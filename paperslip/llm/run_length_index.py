@@ -201,14 +201,26 @@ def _by_block(blocks: np.ndarray, owner: np.ndarray) -> list[tuple[int, np.ndarr
 # ---- the steps ----------------------------------------------------------------------------------
 
 
-def _blocks(batches):
+def _blocks(carry: list[str]):
+    return lambda batches: _cut_blocks(batches, carry)
+
+
+def _carried(table: pa.Table, names: list[str]) -> bytes:
+    sink = pa.BufferOutputStream()
+    part = table.select(names).combine_chunks()
+    with pa.ipc.new_stream(sink, part.schema) as out:
+        out.write_table(part)
+    return sink.getvalue().to_pybytes()
+
+
+def _cut_blocks(batches, carry: list[str]):
     part, n = TaskContext.get().partitionId(), 0
     for block in gathered(batches, "text", BLOCK):
         data, ends = flat(block["text"])
         k = block["k"].combine_chunks() if isinstance(block["k"], pa.ChunkedArray) else block["k"]
         valid = k.is_valid().to_numpy(zero_copy_only=False)
         keys = np.where(valid, k.fill_null(0).to_numpy(), np.iinfo(np.int64).min)
-        yield pa.RecordBatch.from_arrays([pa.array([part << 32 | n]), pa.array([keys.astype(np.int64).tobytes()]), pa.array([valid.tobytes()]), pa.array([ends.tobytes()]), pa.array([data.tobytes()], pa.binary())], names=["block", "keys", "valid", "ends", "body"])
+        yield pa.RecordBatch.from_arrays([pa.array([part << 32 | n]), pa.array([keys.astype(np.int64).tobytes()]), pa.array([valid.tobytes()]), pa.array([ends.tobytes()]), pa.array([data.tobytes()], pa.binary()), pa.array([_carried(block, carry)], pa.binary())], names=["block", "keys", "valid", "ends", "body", "carried"])
         n += 1
 
 
@@ -381,7 +393,7 @@ def _marked(window: int):
     return run
 
 
-def _cut(key: str, kind: pa.DataType, window: int):
+def _cut(key: str, kind: pa.DataType, window: int, carry: list[str], whole_characters: bool):
     def run(spans: pa.Table, texts: pa.Table) -> pa.Table:
         parts = []
         for row in texts.to_pylist():
@@ -392,6 +404,9 @@ def _cut(key: str, kind: pa.DataType, window: int):
             np.add.at(depth, begin, 1)
             np.add.at(depth, begin + count.astype(np.int64) + window - 1, -1)
             gone = np.cumsum(depth[:-1]) > 0
+            if whole_characters and len(data):
+                lead = np.flatnonzero((data & 0xC0) != 0x80)
+                gone = np.repeat(np.logical_and.reduceat(gone, lead), np.diff(np.append(lead, len(data))))
             edge = np.zeros(len(data) + 1, bool)
             edge[ends] = True
             before = np.append(False, gone[:-1]) & ~edge[:-1]
@@ -401,37 +416,43 @@ def _cut(key: str, kind: pa.DataType, window: int):
             kept_ends = np.concatenate(([0], np.cumsum(~gone)))[ends]
             per = np.searchsorted(owner, np.arange(len(ends)))
             valid = np.frombuffer(row["valid"], bool)
+            carried = pa.ipc.open_stream(row["carried"]).read_all()
             struct = pa.StructArray.from_arrays([pa.array(a - ends[owner]), pa.array(b - ends[owner])], names=["start", "end"])
             kept = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(kept_ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[~gone]))])
-            parts.append(pa.table({key: pa.array(keys, mask=~valid).cast(kind), "n_bytes": pa.array(np.diff(ends)), "spans": pa.ListArray.from_arrays(pa.array(per.astype(np.int32)), struct), "kept": kept}))
+            parts.append(pa.table({key: pa.array(keys, mask=~valid).cast(kind), "n_bytes": pa.array(np.diff(ends)), "spans": pa.ListArray.from_arrays(pa.array(per.astype(np.int32)), struct), "kept": kept, **{c: carried[c] for c in carry}}))
         if parts:
             return pa.concat_tables(parts)
-        return pa.table({key: pa.array([], kind), "n_bytes": pa.array([], pa.int64()), "spans": pa.array([], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept": pa.array([], pa.binary())})
+        raise ValueError("spans without their block of texts")
 
     return run
 
 
-def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 100) -> DataFrame:
-    """(key, n_bytes, spans, kept) of every row: the removed byte ranges (start, end) and the remaining bytes.
+def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 100, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
+    """(key, n_bytes, spans, kept, carried columns) of every row: the removed byte ranges (start, end) and the remaining bytes.
 
     A byte goes if it lies in a `window`-byte string (all of UTF-8 bytes, never across texts) that also
     starts earlier: at a smaller key, or in the same text before; overlapping occurrences count, and all
     is judged on the input. The key is an integer column; null keys come before all others, and rows of
     equal keys are ordered by their place in the input. Null and empty texts have no spans and nothing
-    kept. Other columns are left out. `window` is from 64 to 255 - 31 bytes.
+    kept. Columns named in `carry` are returned as they are, others are left out. With `whole_characters`
+    a character stays unless all of its bytes go, so that `kept` is valid UTF-8. `window` is from 64 to 255 - 31 bytes.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("text"))
-    texts = written_by(rows.mapInArrow(_blocks, "block long, keys binary, valid binary, ends binary, body binary"), "texts", "block")
-    met = texts.mapInArrow(_anchored(window, n), _PARTS).groupBy("bucket").applyInArrow(_met, "block long, asked binary, crowded binary, spans binary")
+    others = [f"c{i}" for i in range(len(carry))]
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(o) for c, o in zip(carry, others, strict=True)))
+    texts = written_by(rows.mapInArrow(_blocks(others), "block long, keys binary, valid binary, ends binary, body binary, carried binary"), "texts", "block")
+    met = texts.drop("carried", "valid").mapInArrow(_anchored(window, n), _PARTS).groupBy("bucket").applyInArrow(_met, "block long, asked binary, crowded binary, spans binary")
     met = written(met, "segments")
     asked = met.where("asked IS NOT NULL OR crowded IS NOT NULL").select("block", "asked", "crowded")
-    fetched = asked.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(_fetched(window, n), "shard int, block long, items binary, body binary, windows binary")
+    fetched = asked.groupBy("block").cogroup(texts.drop("carried", "valid").groupBy("block")).applyInArrow(_fetched(window, n), "shard int, block long, items binary, body binary, windows binary")
     marked = fetched.groupBy("shard").applyInArrow(_marked(window), "block long, spans binary")
     spans = met.where("spans IS NOT NULL").select("block", "spans").unionByName(marked)
     kind = docs.schema[key].dataType
     out = T.StructType([T.StructField(key, kind), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
     from pyspark.sql.pandas.types import to_arrow_type
 
-    return spans.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(_cut(key, to_arrow_type(kind), window), out)
+    for c, o in zip(carry, others, strict=True):
+        out = out.add(o, docs.schema[c].dataType)
+    cut = spans.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(_cut(key, to_arrow_type(kind), window, others, whole_characters), out)
+    return cut.toDF(key, "n_bytes", "spans", "kept", *carry)

@@ -36,6 +36,11 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def kept_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder that `drop` leaves alone."""
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows of df, written to the shared folder and read from there."""
     spark = df.sparkSession
@@ -57,16 +62,10 @@ def written_by(df: DataFrame, tag: str, key: str) -> DataFrame:
     return spark.table(name)
 
 
-def mark() -> int:
-    """How many folders have been made so far, for `drop`."""
-    return len(_made)
-
-
-def drop(spark: SparkSession, until: int | None = None) -> None:
-    """Delete the folders made before `until`; only when no DataFrame that reads them is used any more."""
+def drop(spark: SparkSession) -> None:
+    """Delete the folders made so far; only when no DataFrame that reads them is used any more."""
     jvm = spark.sparkContext._jvm
-    for path in _made[:until]:
-        if path:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    _made[:until] = [""] * len(_made[:until])
+    for path in _made:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _made.clear()
