@@ -2,8 +2,7 @@
 
 Each stage takes the documents that the one before has written and returns documents of the same columns;
 the last returns the packed pieces. Repeated rows, null keys, null and empty texts go through: a text
-without words is rejected by the quality rules. Scratch tables of a stage are dropped when the next one
-begins, as its result has then been written.
+without words is rejected by the quality rules.
 """
 
 from __future__ import annotations
@@ -23,7 +22,6 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by SimHash (five-word shingles, at least 60 of 64 bits equal): the one of the smallest key."""
-    scratch.drop(spark)
     named = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     prints = simhash.fingerprints(named.select(F.struct("doc_id", "_row").alias("key"), "text"), key="key", shingle=5)
     stay = simhash.components(prints, key="key", bits=4).where("key = component").select(F.col("key._row").alias("_stay")).distinct()
@@ -32,7 +30,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 100 bytes or more that an earlier document, or the same one before, holds; what is blank then goes."""
-    scratch.drop(spark)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     cut = run_length_index.repeated_passages(docs, carry=others, whole_characters=True).withColumn("text", F.col("kept").cast("string"))
     kept = cut.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -41,7 +38,6 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every secret replaced by a mark."""
-    scratch.drop(spark)
     ratios = secrets.train(secrets.labelled_samples(docs))
     clean = secrets.redact(secrets.scan(docs, ratios))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
@@ -49,7 +45,6 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens with their sequence and offset."""
-    scratch.drop(spark)
     return packing.pack(packing.pieces(docs))
 
 

@@ -25,6 +25,8 @@ from paperslip.llm.text_arrays import flat, gathered
 
 #: Pieces per rank bucket and length that one sort takes, about.
 PER_BUCKET = 20_000
+#: Times that the repeat counts are fitted, at most.
+REFITS = 8
 
 
 def default_vocabulary() -> str:
@@ -124,17 +126,22 @@ def plan(counts: np.ndarray) -> list[tuple[int, list[int]]]:
     if left[size]:
         groups.append((int(left[size]), [size]))
         left[size] = 0
-    table = patterns(left, size)
-    x = fit(table, left)
-    for i in np.argsort(-x, kind="stable"):
-        lengths = [int(v) for v in table[i] if v]
-        n = int(x[i] + 0.5)
-        for v in set(lengths):
-            n = min(n, int(left[v]) // lengths.count(v))
-        if n > 0:
-            groups.append((n, lengths))
-            for v in lengths:
-                left[v] -= n
+    for _ in range(REFITS):  # what rounding leaves is fitted again, while that places pieces
+        table = patterns(left, size)
+        x = fit(table, left)
+        placed = 0
+        for i in np.argsort(-x, kind="stable"):
+            lengths = [int(v) for v in table[i] if v]
+            n = int(x[i] + 0.5)
+            for v in set(lengths):
+                n = min(n, int(left[v]) // lengths.count(v))
+            if n > 0:
+                groups.append((n, lengths))
+                placed += n
+                for v in lengths:
+                    left[v] -= n
+        if not placed:
+            break
     room: dict[int, list[tuple[int, list[int]]]] = {}
     for v in range(size, 0, -1):
         n = int(left[v])
