@@ -1,0 +1,68 @@
+"""Oracle SQL of the line operators, as common table expressions on top of the receipt lines."""
+
+from __future__ import annotations
+
+from decimal import Decimal
+
+from paperslip.operators.lines import CASCADE, KEYWORDS, NOISE, PATTERNS
+from paperslip.plans.fixtures import LINES_SQL
+
+
+def q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def hits(words, t="t") -> str:
+    return "(" + " + ".join(f"CAST(contains({t}, {q(w)}) AS INT)" for w in words) + ")"
+
+
+def points(*terms) -> str:
+    return "least(" + " + ".join(f"CASE WHEN {when} THEN CAST({p} AS DECIMAL(4,2)) ELSE CAST(0 AS DECIMAL(4,2)) END" for p, when in terms) + ", CAST(1 AS DECIMAL(6,2)))"
+
+
+def each(step, count, most):
+    step, most, out, k = Decimal(step), Decimal(most), [], 1
+    while most > 0:
+        out.append((min(step, most), f"{count} >= {k}"))
+        most -= step
+        k += 1
+    return out
+
+
+_COUNTS = ", ".join([f"{hits(v)} AS n_{k}" for k, v in KEYWORDS.items()] + [f"CAST(len(regexp_extract_all(text, {q(p)})) AS INT) AS n_{k}" for k, p in PATTERNS.items()])
+FEATURES_SQL = f"""
+f0 AS (SELECT doc_id, line_number, text, lower(trim(text)) AS t,
+  CAST(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_number, text) - 1 AS DOUBLE) / greatest(1, count(*) OVER (PARTITION BY doc_id) - 1) AS DECIMAL(12,6)) AS position FROM lines),
+f1 AS (SELECT *, {_COUNTS}, position = 0 AS is_first, position <= 0.25 AS in_header, position >= 0.75 AS in_footer, CAST(length(text) AS INT) AS n_chars,
+  CAST(len(list_filter(regexp_split_to_array(trim(text), ' +'), lambda w: w <> '')) AS INT) AS n_words,
+  {hits(['qty', 'quantity'])} > 0 AND {hits(['description'])} > 0 AS has_qty_description, {hits(['total', 'subtotal', 'balance', 'due'])} > 0 AS has_total_keywords,
+  {hits(['vat', 'tax', '@'])} > 0 AS has_vat_keywords, trim(text) = upper(trim(text)) AND trim(text) <> lower(trim(text)) AND length(trim(text)) > 2 AS all_caps, contains(text, ':') AS has_colon FROM f0),
+features AS (SELECT * EXCLUDE (t), n_price > 0 AND n_number > 0 AS has_price_and_quantity, n_phone > 0 OR n_email > 0 OR n_website > 0 AS has_contact_info, n_words >= 2 AND contains(text, '   ') AS has_alignment FROM f1)"""
+
+_S = {
+    "s_item_header": points(("0.6", "has_qty_description"), ("0.5", "n_itemization >= 3"), ("0.3", "n_itemization = 2"), ("0.1", "n_itemization = 1"), ("0.2", "in_header"), ("0.15", "has_alignment"), ("0.1", "all_caps")),
+    "s_summary": points(("0.5", "has_total_keywords"), *each("0.2", "n_transaction_summary", "0.4"), ("0.3", "n_price > 0"), ("0.1", "NOT in_header"), ("0.1", "has_colon OR has_alignment")),
+    "s_vat_data": points(("0.4", "has_vat_keywords"), *each("0.15", "n_tax_and_fees", "0.3"), ("0.4", "n_percentage > 0"), ("0.2", "n_price > 0")),
+    "s_header_area": points(("0.3", "in_header"), *each("0.2", "n_company_info", "0.4"), ("0.2", "is_first"), ("0.1", "all_caps")),
+    "s_footer_area": points(("0.3", "in_footer"), *each("0.2", "n_miscellaneous", "0.4"), ("0.2", "has_contact_info"), *each("0.1", "n_payment", "0.2")),
+    "s_item_data": points(("0.4", "n_price > 0"), ("0.2", "NOT in_header AND NOT in_footer"), ("0.1", "n_number > 0"), ("0.3", "has_price_and_quantity")),
+    "s_vat_header": points(("0.5", "has_vat_keywords AND n_percentage = 0"), *each("0.2", "n_tax_and_fees", "0.4")),
+}
+
+
+def _case(i: int, cast=lambda x: x) -> str:
+    return "CASE " + " ".join(f"WHEN {r[1]} THEN {cast(r[i])}" for r in CASCADE) + " END"
+
+
+CLASSIFIED_SQL = f"""
+scored AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _S.items())} FROM features),
+classified AS (SELECT doc_id, line_number, text, {_case(2, q)} AS line_type, {_case(3, lambda v: f'CAST({v} AS DECIMAL(6,2))')} AS confidence, {_case(4, q)} AS rule, {_case(0, str)} AS priority,
+  list_filter([{', '.join(f"CASE WHEN {x} THEN '{x}' END" for x in ('has_total_keywords', 'has_vat_keywords', 'has_price_and_quantity', 'has_contact_info', 'all_caps'))}], lambda r: r IS NOT NULL) AS reasons, position FROM scored),
+b0 AS (SELECT *, CAST(CASE WHEN line_type = 'ITEM_DATA' AND lag(line_type) OVER w IN ('ITEM_DATA', 'ITEM_HEADER') THEN 0.05
+    WHEN line_type = 'SUMMARY_KEY_VALUE' AND max(CAST(line_type = 'ITEM_DATA' AS INT)) OVER (PARTITION BY doc_id ORDER BY line_number, text ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) = 1 THEN 0.10 ELSE 0 END AS DECIMAL(4,2)) AS bonus
+  FROM classified WINDOW w AS (PARTITION BY doc_id ORDER BY line_number, text)),
+bonused AS (SELECT * REPLACE (least(confidence + bonus, CAST(1 AS DECIMAL(6,2))) AS confidence) FROM b0)"""
+
+ALL_SQL = f"WITH {LINES_SQL}, {FEATURES_SQL}, {CLASSIFIED_SQL}"
+ON_LINES = f"WITH {LINES_SQL}"
+NOISE_SQL = " AND ".join(f"NOT regexp_matches(text, {q(p)})" for p in NOISE.values())
