@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from paperslip.plans import line_queries
+from paperslip.plans import field_queries, line_queries
 
-_PARTS = [line_queries]
+_PARTS = [line_queries, field_queries]
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
+flagship = field_queries.flagship
