@@ -1,0 +1,123 @@
+"""Knowledge-base operators: loading, search, context, upserts, changes, quotas."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def chunk_documents(docs: DataFrame, size: int = 1000, overlap: int = 40) -> DataFrame:
+    """(doc_id, chunk, text): windows of `size` characters, each `overlap` into the one before; the last may be shorter."""
+    step = size - overlap
+    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - overlap - 1, F.lit(0)), F.lit(step))
+    return docs.where("text IS NOT NULL").select("doc_id", "text", F.posexplode(starts).alias("chunk", "at")).select("doc_id", "chunk", F.substring("text", F.col("at") + 1, F.lit(size)).alias("text"))
+
+
+def kb_id(doc_type: Column, metadata: Column, content: Column) -> Column:
+    """16 hex digits of the digest of type, metadata and the first 100 characters."""
+    return F.substring(F.md5(F.concat_ws("|", doc_type, metadata, F.substring(content, 1, 100))), 1, 16)
+
+
+def upsert_kb(kb: DataFrame, updates: DataFrame) -> DataFrame:
+    """Rows by id: an update replaces what is there; of several rows of one id the highest version stays."""
+    rows = kb.unionByName(updates)
+    w = Window.partitionBy("id").orderBy(F.desc("version"), "content")
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def delete_kb(kb: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows whose id is not among those of `gone`."""
+    return kb.join(gone.select("id").distinct(), "id", "left_anti")
+
+
+def kb_stats(kb: DataFrame, by: str) -> DataFrame:
+    """(doc_type, n): rows by type and in all (null type)."""
+    return kb.rollup(F.col(by).alias("doc_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def detect_changes(now: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """(path, change): added, removed and changed sources by digest."""
+    a, b = now.select("path", F.col("digest").alias("_a")), snapshot.select("path", F.col("digest").alias("_b"))
+    both = a.join(b, "path", "full")
+    return both.select("path", F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").when(F.col("_a") != F.col("_b"), "changed").alias("change")).where("change IS NOT NULL")
+
+
+def _normal(v: str) -> Column:
+    x = F.transform(v, lambda a: a.cast("double"))
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, b: a + b * b))
+    return F.transform(x, lambda a: a / F.greatest(norm, F.lit(1e-12)))
+
+
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, z: s + z)
+
+
+def similar(queries: DataFrame, kb: DataFrame, equal: list[str]) -> DataFrame:
+    """(query_id, vec_id, relevance, equal columns): cosine of all pairs that agree on the filter columns, rounded to 6 digits so that ties are the same everywhere.
+
+    The filter columns are an equi-join; queries are spread over salts so that one filter value is not in one task.
+    """
+    salts = 8
+    q = queries.select("query_id", *equal, _normal("embedding").alias("_q")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    k = kb.select("vec_id", *equal, _normal("embedding").alias("_k")).withColumn("_s", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int"))
+    return q.join(k, [*equal, "_s"]).select("query_id", "vec_id", *equal, F.round(_dot("_q", "_k"), 6).alias("relevance"))
+
+
+def similarity_topk(queries: DataFrame, kb: DataFrame, k: int, equal: list[str]) -> DataFrame:
+    """The k most relevant rows per query among those that agree on the filter columns; ties to the smaller id."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "vec_id")
+    return similar(queries, kb, equal).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "relevance", "rank")
+
+
+def retrieve_context(queries: DataFrame, kb: DataFrame, quotas: dict[int, int], least: float = 0.0) -> DataFrame:
+    """(query_id, doc_type, vec_id, relevance): per query and type at most its quota, of at least `least` relevance."""
+    types = F.explode(F.array(*map(F.lit, quotas))).alias("doc_type")
+    hits = similar(queries.select("query_id", "embedding", types), kb, ["doc_type"]).where(F.col("relevance") >= least)
+    quota = F.lit(0)
+    for t, n in quotas.items():
+        quota = F.when(F.col("doc_type") == t, F.lit(n)).otherwise(quota)
+    w = Window.partitionBy("query_id", "doc_type").orderBy(F.desc("relevance"), "vec_id")
+    return hits.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= quota).select("query_id", "doc_type", "vec_id", "relevance")
+
+
+def build_context(hits: DataFrame, per_hit: int = 150, most: int = 1500) -> DataFrame:
+    """(query_id, context): hit texts by rank with numbers masked, each cut to `per_hit` and all to `most` characters."""
+    clean = F.substring(F.regexp_replace(F.regexp_replace("text", r"\d{2}/\d{2}/\d{4}", "[date]"), r"\d+(?:\.\d+)?", "[n]"), 1, per_hit)
+    rows = hits.select("query_id", F.struct("rank", clean.alias("t")).alias("x")).groupBy("query_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return rows.select("query_id", F.substring(F.array_join(F.transform("xs", lambda x: x["t"]), "\n"), 1, most).alias("context"))
+
+
+def match_vendors(lines: DataFrame, vendors: DataFrame) -> DataFrame:
+    """(doc_id, vendor, confidence): names that stand as whole words in the first lines (+2), anywhere (+1), over 2 patterns + 2; best from 0.4, else a generic type at 0.3.
+
+    Names and lines meet on the name's first two words, so that the dictionary may be of any size.
+    """
+    head = lines.where("line_number <= 5").select("doc_id", "line_number", F.upper("text").alias("t"))
+    words = F.split("t", " ")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 2), " "))
+    keyed = head.withColumn("_k", F.explode(F.array_distinct(pairs)))
+    known = vendors.select(F.col("s_suppkey").cast("long").alias("vendor"), F.upper(F.replace("s_name", F.lit("#"), F.lit(" "))).alias("name")).withColumn("_k", F.substring_index("name", " ", 2))
+    hit = keyed.join(known, "_k").where(F.contains("t", F.col("name")))
+    whole = F.contains(F.concat(F.lit(" "), F.col("t"), F.lit(" ")), F.concat(F.lit(" "), F.col("name"), F.lit(" ")))
+    score = hit.groupBy("doc_id", "vendor").agg((F.max(F.when(whole, 2).otherwise(0)) + 1).alias("score"))
+    scored = score.select("doc_id", "vendor", F.least((F.col("score").cast("decimal(6,2)") / 4).cast("decimal(4,2)"), F.expr("CAST(1 AS DECIMAL(4,2))")).alias("confidence")).where("confidence >= 0.4")
+    w = Window.partitionBy("doc_id").orderBy(F.desc("confidence"), "vendor")
+    best = scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return lines.select("doc_id").distinct().join(best, "doc_id", "left").select("doc_id", "vendor", F.coalesce("confidence", F.expr("CAST(0.3 AS DECIMAL(4,2))")).alias("confidence"))
+
+
+def daily_quota(patterns: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """(id, mode, admitted): a request is admitted while the patterns admitted or not before it that day stay below the limit, so the last one may overshoot.
+
+    Counts run within the hour first and then over the hours of a day, so that no day is in one task.
+    """
+    day, hour = F.to_date("ts"), F.hour("ts")
+    rows = patterns.select("id", "mode", "n", "ts", day.alias("day"), hour.alias("hour"))
+    inner = Window.partitionBy("day", "mode", "hour").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
+    hours = rows.groupBy("day", "mode", "hour").agg(F.sum("n").alias("h"))
+    hours = hours.select("day", "mode", "hour", F.coalesce(F.sum("h").over(Window.partitionBy("day", "mode").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    counted = rows.withColumn("_in", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(hours, ["day", "mode", "hour"])
+    limit = F.lit(0)
+    for m, n in limits.items():
+        limit = F.when(F.col("mode") == m, F.lit(n)).otherwise(limit)
+    return counted.select("id", "mode", ((F.col("_in") + F.col("_before")) < limit).alias("admitted"))
