@@ -4,7 +4,7 @@ Heuristic labellers vote good (1), bad (-1) or nothing (0) on each text. Spark c
 (3 per labeller at most, so a small table whatever the corpus); expectation-maximisation on the counts
 estimates how each labeller votes on good and on bad texts. The posterior of a text's pattern is the soft
 label that a logistic model over hashed words and votes is trained on: on a bounded sample, by several
-tasks whose weights are averaged after each round. All texts are then scored.
+trainers whose weights are averaged after each round. All texts are then scored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from paperslip.llm.text_arrays import LOWER, coded, flat, gathered, mix, pack, s
 from paperslip.llm.winnow import Rolling
 
 BITS = 17
-#: Tasks that train side by side, and rounds after which their weights are averaged.
+#: Trainers that work side by side, and rounds after which their weights are averaged.
 TRAINERS, ROUNDS = 8, 3
 QUALITY = ("signs", "repeats", "capitals", "shouting", "function_words", "variety")
 TOXIC = ("any_insult", "several_insults", "insult_share")
@@ -141,27 +141,32 @@ def _features(block: Block, names: tuple[str, ...]) -> tuple[np.ndarray, np.ndar
     return texts, np.concatenate([own, *(x.astype(np.int64) for x in extra)])
 
 
-def _train(labels: LabelModel, start: np.ndarray, seed_rate: float = 0.2, passes: int = 4):
-    def run(batches):
-        w = start.astype(np.float64).copy()
-        g2 = np.full(len(w), 1e-2)
-        seen = 0
-        rows: list[tuple[np.ndarray, float]] = []
-        for table in gathered(batches, "text"):
-            block = read_block(table["text"])
-            texts, feats = _features(block, labels.names)
-            order = np.argsort(texts, kind="stable")
-            cuts = np.searchsorted(texts[order], np.arange(table.num_rows + 1))
-            y = labels.bad[_pattern(block.votes, labels.names)]
-            rows += [(feats[order[a:b]], float(t)) for a, b, t in zip(cuts[:-1], cuts[1:], y, strict=True)]
-        for _ in range(passes):
-            for f, t in rows:
-                p = 1 / (1 + np.exp(-np.clip(w[f].sum() - 1.0, -30, 30)))
-                g = p - t
-                g2[f] += g * g
-                w[f] -= seed_rate * (g / np.sqrt(g2[f]) + 1e-4 * w[f])
-            seen = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([w.astype(np.float32).tobytes()])], names=["n", "weights"])
+def _train(tasks: dict[str, tuple[LabelModel, np.ndarray]], rate: float = 0.2, passes: int = 4):
+    """One trainer's rows to one row of weights per task, started from the given ones."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = {"task": [], "n": [], "weights": []}
+        read = [read_block(block["text"]) for block in gathered(table.select(["text"]).to_batches(), "text")]
+        for name, (labels, start) in tasks.items():
+            rows: list[tuple[np.ndarray, float]] = []
+            for block in read:
+                n = len(block.first) - 1
+                texts, feats = _features(block, labels.names)
+                order = np.argsort(texts, kind="stable")
+                cuts = np.searchsorted(texts[order], np.arange(n + 1))
+                y = labels.bad[_pattern(block.votes, labels.names)]
+                rows += [(feats[order[a:b]], float(t)) for a, b, t in zip(cuts[:-1], cuts[1:], y, strict=True)]
+            w = start.astype(np.float64)
+            g2 = np.full(len(w), 1e-2)
+            for _ in range(passes):
+                for f, t in rows:
+                    g = 1 / (1 + np.exp(-np.clip(w[f].sum() - 1.0, -30, 30))) - t
+                    g2[f] += g * g
+                    w[f] -= rate * (g / np.sqrt(g2[f]) + 1e-4 * w[f])
+            out["task"].append(name)
+            out["n"].append(len(rows))
+            out["weights"].append(w.astype(np.float32).tobytes())
+        return pa.table(out)
 
     return run
 
@@ -172,34 +177,40 @@ class Scorer:
     weights: np.ndarray
 
 
-def fit(docs: DataFrame, names: tuple[str, ...] = QUALITY, *, key: str = "doc_id", text: str = "text", sample_docs: int = 8000) -> Scorer:
-    """The label model of all texts, and a scorer trained on about `sample_docs` of them, chosen by the hash of their key.
+def fit(docs: DataFrame, tasks: dict[str, tuple[str, ...]], *, key: str = "doc_id", text: str = "text", sample_docs: int = 8000) -> dict[str, Scorer]:
+    """Per task (named labellers): the label model of all texts, and a scorer trained on about `sample_docs` of them, chosen by the hash of their key.
 
-    An empty table gives a scorer that finds every text good.
+    An empty table gives scorers that find every text good.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
 
     def votes(batches):
         for table in gathered(batches, "text"):
-            pattern, count = np.unique(_pattern(read_block(table["text"]).votes, names), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pattern), pa.array(count)], names=["pattern", "n"])
-
-    counted = rows.mapInArrow(votes, "pattern long, n long").groupBy("pattern").agg(F.sum("n")).collect()  # 3 ^ labellers rows at most
-    patterns, counts = np.array([r[0] for r in counted], np.int64), np.array([r[1] for r in counted], np.float64)
-    labels = fit_labels(names, patterns, counts)
-    weights = np.zeros(1 << BITS, np.float32)
-    total = int(counts.sum())
-    if not total:
-        return Scorer(labels, weights)
-    part = min(1.0, sample_docs / total)
-    sample = rows.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(part * (1 << 30)) + 1).repartition(TRAINERS, F.xxhash64("k", "text"))
-    for _ in range(ROUNDS):
-        trained = sample.mapInArrow(_train(labels, weights), "n long, weights binary").where("n > 0").collect()  # TRAINERS rows
-        if not trained:
-            break
-        n = np.array([r[0] for r in trained], np.float64)
-        weights = (np.stack([np.frombuffer(r[1], np.float32) for r in trained]) * (n / n.sum())[:, None]).sum(0).astype(np.float32)
-    return Scorer(labels, weights)
+            block = read_block(table["text"])
+            for name, labellers in tasks.items():
+                pattern, count = np.unique(_pattern(block.votes, labellers), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(pattern)), pa.array(pattern), pa.array(count)], names=["task", "pattern", "n"])
+
+    counted = rows.mapInArrow(votes, "task string, pattern long, n long").groupBy("task", "pattern").agg(F.sum("n")).collect()  # 3 ^ labellers rows a task at most
+    models, total = {}, 0
+    for name, labellers in tasks.items():
+        own = [r for r in counted if r[0] == name]
+        counts = np.array([r[2] for r in own], np.float64)
+        models[name] = fit_labels(labellers, np.array([r[1] for r in own], np.int64), counts)
+        total = int(counts.sum())
+    weights = {name: np.zeros(1 << BITS, np.float32) for name in tasks}
+    part = min(1.0, sample_docs / total) if total else 0
+    sample = rows.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(part * (1 << 30)) + 1)
+    sample = sample.select("text", F.pmod(F.xxhash64("k", "text"), F.lit(TRAINERS)).alias("trainer"))
+    for _ in range(ROUNDS if total else 0):
+        train = _train({name: (models[name], weights[name]) for name in tasks})
+        trained = sample.groupBy("trainer").applyInArrow(train, "task string, n long, weights binary").collect()  # TRAINERS rows a task
+        for name in tasks:
+            own = [r for r in trained if r[0] == name and r[1]]
+            n = np.array([r[1] for r in own], np.float64)
+            if len(own):
+                weights[name] = (np.stack([np.frombuffer(r[2], np.float32) for r in own]) * (n / n.sum())[:, None]).sum(0).astype(np.float32)
+    return {name: Scorer(models[name], weights[name]) for name in tasks}
 
 
 def score(docs: DataFrame, scorers: dict[str, Scorer], *, key: str = "doc_id", text: str = "text") -> DataFrame:

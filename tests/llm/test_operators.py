@@ -250,12 +250,12 @@ def test_chat_reads_back(spark):
 def test_weak_labels_find_labelled_junk(spark, nothing, hard):
     at = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{at}/documents.parquet")
-    scored = weak_labels.score(docs, {"bad": weak_labels.fit(docs)}).join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id").collect()
+    scored = weak_labels.score(docs, weak_labels.fit(docs, {"bad": weak_labels.QUALITY})).join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id").collect()
     right = [(r.bad >= 0.5) == (r.quality == 0) for r in scored]
     assert np.mean(right) > 0.97
-    scorer = weak_labels.fit(nothing)
-    assert all(r.bad < 0.5 for r in weak_labels.score(hard, {"bad": scorer}).collect())
-    assert weak_labels.score(hard, {"bad": weak_labels.fit(hard)}).count() == len(hard_texts())
+    scorers = weak_labels.fit(nothing, {"bad": weak_labels.QUALITY})
+    assert all(r.bad < 0.5 for r in weak_labels.score(hard, scorers).collect())
+    assert weak_labels.score(hard, weak_labels.fit(hard, {"bad": weak_labels.QUALITY})).count() == len(hard_texts())
 
 
 # ---- 7: repeated passages
