@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperslip.llm import bpe, chat, kneser_ney, packing, quality, run_length_index, secrets, simhash, topk, weak_labels
+from paperslip.llm.scratch import small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -69,7 +71,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    scorers = {"low_quality": weak_labels.fit(docs), "toxic": weak_labels.fit(docs, weak_labels.TOXIC)}
+    scorers = weak_labels.fit(docs, {"low_quality": weak_labels.QUALITY, "toxic": weak_labels.TOXIC})
     scored = weak_labels.score(docs, scorers)
     return scored.select("*", ((F.col("low_quality") < 0.5) & (F.col("toxic") < 0.5)).alias("kept"))
 
@@ -101,4 +103,11 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_byte_bpe": op3_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: SQL has no tokenizers, XXH64, models or byte-wise matches; those queries are held against brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op10_exact_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 20""",
+}

@@ -24,6 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts in a few MB each, in the JVM as in the workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def mounted(path: str) -> str | None:
     """The path as every worker can open it, or None if only Spark's readers reach it."""
     parsed = urlparse(path)

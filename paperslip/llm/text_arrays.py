@@ -57,6 +57,7 @@ def gathered(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_
         if held and size + n > limit:
             yield pa.Table.from_batches(held).combine_chunks()
             held, size = [], 0
+            pa.default_memory_pool().release_unused()
         held.append(batch)
         size += n
     if held:
