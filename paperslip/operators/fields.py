@@ -25,6 +25,10 @@ BUSINESS = [(r"\bltd\b|\blimited\b", "0.30"), (r"\bplc\b", "0.30"), (r"\binc\b|\
 CURRENCY = [(1, "UK", "GBP", r"£|GBP", r"\bvat\b"), (2, "US", "USD", r"[$]|USD", r"sales tax"), (3, "EU", "EUR", r"€|EUR", r"\b(?:mwst|tva|iva)\b")]
 
 
+#: (field, rule, pattern, score) of candidates in long form.
+CANDIDATE_RULES = [("total", 1, r"(?i)^total\b.*?(\d+\.\d{2})", "0.90"), ("total", 2, r"(?i)total.*?(\d+\.\d{2})", "0.70"), ("tax", 1, r"(?i)^vat\b.*?(\d+\.\d{2})", "0.85"), ("date", 1, r"(\d{2}/\d{2}/\d{4})", "0.80"), ("number", 1, r"(?i)receipt no[: ]*(\w+)", "0.95"), ("payment", 1, r"(?i)^(cash|visa)", "0.75")]
+
+
 def any_of(patterns: list[str]) -> str:
     return "(?i)" + "|".join(patterns)
 
@@ -144,20 +148,10 @@ def best_candidate(candidates: DataFrame) -> DataFrame:
 def candidates(lines: DataFrame) -> DataFrame:
     """(doc_id, field, value, score, line_number, rule): typed candidates of all fields, in long form."""
     text = F.col("text")
-    rules = [
-        ("total", 1, r"(?i)^total\b.*?(\d+\.\d{2})", "0.90"),
-        ("total", 2, r"(?i)total.*?(\d+\.\d{2})", "0.70"),
-        ("tax", 1, r"(?i)^vat\b.*?(\d+\.\d{2})", "0.85"),
-        ("date", 1, r"(\d{2}/\d{2}/\d{4})", "0.80"),
-        ("number", 1, r"(?i)receipt no[: ]*(\w+)", "0.95"),
-        ("payment", 1, r"(?i)^(cash|visa)", "0.75"),
-    ]
-    made = F.array_compact(F.array(*(F.when(text.rlike(p), F.struct(F.lit(f).alias("field"), F.regexp_extract(text, p, 1).alias("value"), F.lit(s).cast("decimal(3,2)").alias("score"), F.lit(r).alias("rule"))) for f, r, p, s in rules)))
+    made = F.array_compact(F.array(*(F.when(text.rlike(p), F.struct(F.lit(f).alias("field"), F.regexp_extract(text, p, 1).alias("value"), F.lit(s).cast("decimal(3,2)").alias("score"), F.lit(r).alias("rule"))) for f, r, p, s in CANDIDATE_RULES)))
     return lines.select("doc_id", "line_number", F.inline(made))
 
 
-CANDIDATE_RULES = [("total", 1, r"(?i)^total\b.*?(\d+\.\d{2})", "0.90"), ("total", 2, r"(?i)total.*?(\d+\.\d{2})", "0.70"), ("tax", 1, r"(?i)^vat\b.*?(\d+\.\d{2})", "0.85"), ("date", 1, r"(\d{2}/\d{2}/\d{4})", "0.80"), ("number", 1, r"(?i)receipt no[: ]*(\w+)", "0.95"), ("payment", 1, r"(?i)^(cash|visa)", "0.75")]
-
 
 def score_suppliers(lines: DataFrame) -> DataFrame:
     """(doc_id, line_number, text, score) of the first five lines: business patterns, position and word count, x 0.8 + 0.2 x reading confidence (0.8)."""
