@@ -15,6 +15,7 @@ from paperslip.llm import packing, quality, run_length_index, scratch, secrets,
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the fertility bands of their language."""
+    scratch.small_batches(spark)
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang")
     judged = quality.judge(quality.measure(rows, key="row"))
     return judged.where("kept").select("row.*")
@@ -22,6 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by SimHash (five-word shingles, at least 60 of 64 bits equal): the one of the smallest key."""
+    scratch.small_batches(spark)
     named = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     prints = simhash.fingerprints(named.select(F.struct("doc_id", "_row").alias("key"), "text"), key="key", shingle=5)
     stay = simhash.components(prints, key="key", bits=4).where("key = component").select(F.col("key._row").alias("_stay")).distinct()
@@ -30,6 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 100 bytes or more that an earlier document, or the same one before, holds; what is blank then goes."""
+    scratch.small_batches(spark)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     cut = run_length_index.repeated_passages(docs, carry=others, whole_characters=True).withColumn("text", F.col("kept").cast("string"))
     kept = cut.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -38,6 +41,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every secret replaced by a mark."""
+    scratch.small_batches(spark)
     ratios = secrets.train(secrets.labelled_samples(docs))
     clean = secrets.redact(secrets.scan(docs, ratios))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
@@ -45,6 +49,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens with their sequence and offset."""
+    scratch.small_batches(spark)
     return packing.pack(packing.pieces(docs))
 
 

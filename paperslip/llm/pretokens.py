@@ -16,7 +16,7 @@ import pyarrow as pa
 from paperslip.llm.text_arrays import coded, pack
 
 #: A worker remembers the ids of so many short words, about, and then begins anew; this saves time and changes no result.
-MEMO = 200_000
+MEMO = 60_000
 _memo: dict[str, dict[str, list[int]]] = {}
 OTHER, LETTER, DIGIT, SPACE = range(4)
 
@@ -40,9 +40,12 @@ def encoder(path: str):
     """A tokenizer that takes each given string as one pre-token, from a file of base-64 tokens and ranks."""
     import tiktoken
 
+    return tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=ranks(path), special_tokens={})
+
+
+def ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
 def starts(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +97,7 @@ def dictionary(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     return coded(pack(data, at, np.append(at[1:], len(data)) if len(at) else at))
 
 
-def encode_words(words: pa.Array, path: str) -> pa.ListArray:
+def encode_words(words: pa.Array, path: str, remember: bool = True) -> pa.ListArray:
     """The ids of each distinct pre-token."""
     known, encode = _memo.setdefault(path, {}), encoder(path).encode_ordinary
     if len(known) > MEMO:
@@ -104,7 +107,7 @@ def encode_words(words: pa.Array, path: str) -> pa.ListArray:
         x = known.get(w)
         if x is None:
             x = encode(w)
-            if len(w) < 40:
+            if remember and len(w) < 40:
                 known[w] = x
         ids.append(x)
     offsets = np.zeros(len(ids) + 1, np.int32)

@@ -31,6 +31,8 @@ BANDS: dict[str, dict[str, tuple[float, float]]] = {
     "other": {"piece_chars": (0.3, 7.0), "byte_chars": (0.25, 7.5), "fallback": (0.0, 0.75), "entropy": (3.5, 15.0), "signs": (0.0, 0.3)},
 }
 MIN_TOKENS = 100
+#: Text bytes per block.
+BLOCK = 3 << 19
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 MEASURES = ("piece_chars", "byte_chars", "fallback", "entropy", "signs")
@@ -135,7 +137,7 @@ def measure(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: s
     piece_path, byte_path = vocabularies or default_vocabularies()
 
     def run(batches):
-        for block in gathered(batches, "text"):
+        for block in gathered(batches, "text", BLOCK):
             data, ends = flat(block["text"])
             raw = data.tobytes()
             starts, stops, first = split_words(data, ends)

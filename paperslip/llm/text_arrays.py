@@ -116,10 +116,6 @@ def coded(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return d.indices.to_numpy(zero_copy_only=False), d.dictionary
 
 
-def list_of(column: pa.Array) -> list:
-    return column.to_pylist()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the input touches every bit of the result."""
     x = x ^ (x >> np.uint64(31))
