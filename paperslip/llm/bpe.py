@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperslip.llm import pretokens as P
-from paperslip.llm.scratch import written
+from paperslip.llm.scratch import written_by
 from paperslip.llm.text_arrays import flat, gathered
 from paperslip.llm.winnow import Rolling
 
@@ -35,8 +35,21 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def _int32(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(flat(column)[0].tobytes(), np.int32)
+def _packed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32, first all their lowest bytes, then the next ones: the files compress better so."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def _bucketed(n_buckets: int, key: str):
@@ -51,7 +64,11 @@ def _bucketed(n_buckets: int, key: str):
             order = np.argsort(bucket, kind="stable")
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            codes = rank[codes].astype(np.uint16 if len(order) <= 1 << 16 else np.uint32)
+            # positions: the number of a word by frequency, and for each number its place in bucket order
+            by_count = np.argsort(-np.bincount(codes, minlength=len(order)), kind="stable")
+            number = np.empty(len(order), np.int64)
+            number[by_count] = np.arange(len(order))
+            codes, places = number[codes], rank[by_count]
             body, stops = flat(words.take(pa.array(order)))
             lengths = np.diff(stops).astype(np.int32)
             share = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
@@ -64,14 +81,14 @@ def _bucketed(n_buckets: int, key: str):
                 [
                     pa.array(np.full(rows, name)),
                     pa.array(np.append(full, -1).astype(np.int32)),
-                    pa.array([body[stops[share[b]] : stops[share[b + 1]]].tobytes() for b in full] + [None], pa.binary()),
-                    pa.array([lengths[share[b] : share[b + 1]].tobytes() for b in full] + [None], pa.binary()),
+                    pa.array([_packed(body[stops[share[b]] : stops[share[b + 1]]].tobytes()) for b in full] + [None], pa.binary()),
+                    pa.array([_packed(lengths[share[b] : share[b + 1]].tobytes()) for b in full] + [None], pa.binary()),
                     keys,
                     pa.array([None] * len(full) + [np.diff(first).astype(np.int32).tobytes()], pa.binary()),
-                    pa.array([None] * len(full) + [codes.tobytes()], pa.binary()),
-                    pa.array(np.full(rows, len(order))),
+                    pa.array([None] * len(full) + [_planes(codes)], pa.binary()),
+                    pa.array([None] * len(full) + [_planes(places)], pa.binary()),
                 ],
-                names=["block", "bucket", "words", "lengths", "keys", "counts", "codes", "n_words"],
+                names=["block", "bucket", "words", "lengths", "keys", "counts", "codes", "places"],
             )
 
     return run
@@ -79,22 +96,23 @@ def _bucketed(n_buckets: int, key: str):
 
 def _encoded(path: str):
     def run(table: pa.Table) -> pa.Table:
-        body = flat(table["words"])[0]
-        lengths = _int32(table["lengths"])
+        body = np.frombuffer(b"".join(_unpacked(x) for x in table["words"].to_pylist()), np.uint8)
+        sizes = [np.frombuffer(_unpacked(x), np.int32) for x in table["lengths"].to_pylist()]
+        lengths = np.concatenate(sizes)
         stops = np.zeros(len(lengths) + 1, np.int32)
         np.cumsum(lengths, out=stops[1:])
         words = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(stops), pa.py_buffer(np.ascontiguousarray(body))])
         d = words.dictionary_encode()
-        ids = P.encode_words(d.dictionary, path)
-        own = flat(table["lengths"])[1] // 4
+        ids = P.encode_words(d.dictionary, path, remember=False)  # each word comes once
+        own = np.cumsum([0, *map(len, sizes)])
         flat_ids, ends = P.rebuilt(ids, d.indices.to_numpy(), own)
         width = np.diff(ids.offsets.to_numpy())[d.indices.to_numpy()].astype(np.int32)
         return pa.table(
             {
                 "block": table["block"],
                 "bucket": table["bucket"],
-                "ids": pa.array([flat_ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
-                "widths": pa.array([width[a:b].tobytes() for a, b in zip(own[:-1], own[1:], strict=True)], pa.binary()),
+                "ids": pa.array([_packed(_planes(flat_ids[a:b])) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
+                "widths": pa.array([_packed(_planes(width[a:b])) for a, b in zip(own[:-1], own[1:], strict=True)], pa.binary()),
             }
         )
 
@@ -106,14 +124,14 @@ def _joined(key: str):
         kind = left.schema.field("keys").type.value_type
         out = []
         right = right.sort_by("bucket")
-        widths = _int32(right["widths"])
+        joined = lambda name: np.concatenate([_from_planes(_unpacked(x)) for x in right[name].to_pylist()] or [np.zeros(0, np.int64)])
+        widths = joined("widths")
         ends = np.zeros(len(widths) + 1, np.int32)
         np.cumsum(widths, out=ends[1:])
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(flat(right["ids"])[0].tobytes(), np.uint32)))
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(joined("ids").astype(np.uint32)))
         for row in range(left.num_rows):
             counts = np.frombuffer(left["counts"][row].as_py(), np.int32)
-            small = left["n_words"][row].as_py() <= 1 << 16
-            codes = np.frombuffer(left["codes"][row].as_py(), np.uint16 if small else np.uint32).astype(np.int64)
+            codes = _from_planes(left["places"][row].as_py())[_from_planes(left["codes"][row].as_py())]
             first = np.zeros(len(counts) + 1, np.int64)
             np.cumsum(counts, out=first[1:])
             body, stops = P.rebuilt(ids, codes, first)
@@ -134,14 +152,14 @@ def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabula
     """
     spark = docs.sparkSession
     path = vocabulary or default_vocabulary()
-    n_buckets = n_buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[key].dataType
-    schema = T.StructType.fromDDL("block long, bucket int, words binary, lengths binary").add("keys", T.ArrayType(kind)).add("counts", "binary").add("codes", "binary").add("n_words", "long")
+    schema = T.StructType.fromDDL("block long, bucket int, words binary, lengths binary").add("keys", T.ArrayType(kind)).add("counts", "binary").add("codes", "binary").add("places", "binary")
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
-    cut = written(rows.mapInArrow(_bucketed(n_buckets, "k"), schema), "pretokens")
+    cut = written_by(rows.mapInArrow(_bucketed(n_buckets, "k"), schema), "pretokens", "block")
     words = cut.where("bucket >= 0").select("block", "bucket", "words", "lengths")
     ids = words.groupBy("bucket").applyInArrow(_encoded(path), "block long, bucket int, ids binary, widths binary")
-    texts = cut.where("bucket < 0").select("block", "keys", "counts", "codes", "n_words")
+    texts = cut.where("bucket < 0").select("block", "keys", "counts", "codes", "places")
     out = T.StructType().add(key, kind).add("ids", "binary")
     return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_joined(key), out)
 
@@ -149,8 +167,7 @@ def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabula
 @lru_cache(maxsize=4)
 def token_bytes(path: str) -> pa.Array:
     """The token-byte table: entry i holds the bytes of token i (one row per vocabulary entry)."""
-    coder = P.encoder(path)
-    return pa.array([coder.decode_single_token_bytes(i) for i in range(coder.n_vocab)], pa.binary())
+    return pa.array([token for token, _ in sorted(P.ranks(path).items(), key=lambda x: x[1])], pa.binary())
 
 
 def decode(encoded: DataFrame, *, ids: str = "ids", vocabulary: str | None = None, to: str = "decoded") -> DataFrame:

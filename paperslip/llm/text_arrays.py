@@ -49,17 +49,23 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BY
 
 
 def gathered(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
-    """Like `blocks`, but small batches are joined until a block is about full."""
+    """Like `blocks`, but rows of several batches are joined until a block is full."""
     held: list[pa.RecordBatch] = []
     size = 0
-    for batch in blocks(batches, column, limit):
-        n = int(flat(batch.column(batch.schema.get_field_index(column)))[1][-1])
-        if held and size + n > limit:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, size = [], 0
-            pa.default_memory_pool().release_unused()
-        held.append(batch)
-        size += n
+    for batch in batches:
+        ends = flat(batch.column(batch.schema.get_field_index(column)))[1]
+        at = 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(ends, ends[at] + limit - size, "right")) - 1
+            if to <= at and held:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+                pa.default_memory_pool().release_unused()
+                continue
+            to = max(to, at + 1)
+            held.append(batch.slice(at, to - at))
+            size += int(ends[to] - ends[at])
+            at = to
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
