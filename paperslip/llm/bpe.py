@@ -26,7 +26,7 @@ from paperslip.llm.text_arrays import flat, gathered
 from paperslip.llm.winnow import Rolling
 
 #: Text bytes per block.
-BLOCK = 6 << 20
+BLOCK = 5 << 20
 
 
 def default_vocabulary() -> str:
