@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperslip.llm import packing, quality, run_length_index, scratch, secrets, simhash
+from paperslip.llm import overlap, packing, quality, run_length_index, scratch, secrets
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +22,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by SimHash (five-word shingles, at least 60 of 64 bits equal): the one of the smallest key."""
+    """One document of each group linked by a similarity of 0.8 or more of their five-word shingles: the one of the smallest key."""
     scratch.small_batches(spark)
     named = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    prints = simhash.fingerprints(named.select(F.struct("doc_id", "_row").alias("key"), "text"), key="key", shingle=5)
-    stay = simhash.components(prints, key="key", bits=4).where("key = component").select(F.col("key._row").alias("_stay")).distinct()
+    rows = named.select(F.struct("doc_id", "_row").alias("key"), "text")
+    stay = overlap.components(rows, key="key", size=5, least=(4, 5)).where("key = component").select(F.col("key._row").alias("_stay")).distinct()
     return named.join(stay, F.col("_row") == F.col("_stay")).dropDuplicates(["_row"]).select(*docs.columns)
 
 

@@ -67,6 +67,11 @@ def written_by(df: DataFrame, tag: str, key: str) -> DataFrame:
     return spark.table(name)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished queries that nothing refers to any more."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(spark: SparkSession) -> None:
     """Delete the folders made so far; only when no DataFrame that reads them is used any more."""
     jvm = spark.sparkContext._jvm

@@ -40,3 +40,66 @@ def test_no_documents(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
         assert docs.count() == 0
+
+
+def brute_components(rows, least=0.8):
+    """doc_id -> smallest doc_id reached over pairs of a shingle similarity of `least` or more."""
+    sets = {}
+    for key, text in rows:
+        words = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
+        sets[key] = {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
+    keys = sorted(sets)
+    root = {k: k for k in keys}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            same = len(sets[a] & sets[b])
+            if same * 5 >= 4 * (len(sets[a]) + len(sets[b]) - same):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {k: top(k) for k in keys}
+
+
+def edited_rows():
+    """Texts of 60 to 130 words, each with copies of one to three edited words, a crowd of copies of one text, and texts that share a long passage only."""
+    import random
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    texts = []
+    for i in range(60):
+        words = [word() for _ in range(60 + i % 8 * 10)]
+        texts.append(" ".join(words))
+        for edits in (1, 1, 2, 3):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), edits):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    base = [word() for _ in range(100)]
+    for i in range(70):
+        copy = list(base)
+        copy[i] = word()
+        texts.append(" ".join(copy))
+    common = " ".join(word() for _ in range(40))
+    texts += [common + " " + " ".join(word() for _ in range(rng.randrange(2, 60))) for _ in range(80)]
+    return list(enumerate([*texts, "one two", "One  two", "", None, "three words only"]))
+
+
+def test_near_duplicates_against_brute_force(spark, sf):
+    from paperslip.llm import overlap
+
+    rows = edited_rows()
+    want = brute_components(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for common in (100_000, 0):  # the order of shingles decides the cost only
+        got = {r.doc_id: r.component for r in overlap.components(df, common=common).collect()}
+        assert got == want
+    docs = df.selectExpr("doc_id", "text", "'en' AS lang", "'x' AS source", "length(text) AS n_chars")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()} == {k for k, c in want.items() if k == c}
+    real = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    assert {r.doc_id: r.component for r in overlap.components(real).collect()} == brute_components([tuple(r) for r in real.collect()])
