@@ -28,6 +28,8 @@ _KEYS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _SIGN = np.full(256, -1, np.int16)
 _SIGN[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
+#: Signs that join a secret to other text within a run.
+_JOINTS = np.frombuffer(b"/_=-", np.uint8)
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
@@ -78,12 +80,35 @@ def _runs(inside: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray,
     return start[long], stop[long]
 
 
+def _random_parts(total: np.ndarray, joint: np.ndarray, a: int, b: int, least: int, threshold: float) -> list[tuple[int, int]]:
+    """The parts of the run [a, b) that score above `threshold`: the run itself, or else its best parts of `least` signs or more, taken up to the next joining sign."""
+    out, left = [], [(a, b)]
+    while left:
+        a, b = left.pop()
+        if b - a < least:
+            continue
+        if total[b - 1] - total[a] > threshold:
+            out.append((a, b))
+            continue
+        gain = total[a + least - 1 : b] - np.minimum.accumulate(total[a : b - least + 1])
+        j = int(np.argmax(gain))
+        if gain[j] <= threshold:
+            continue
+        start, stop = a + int(np.argmin(total[a : a + j + 1])), a + j + least
+        before, after = np.flatnonzero(joint[a:start]), np.flatnonzero(joint[stop:b])
+        start = a + int(before[-1]) + 1 if len(before) else a
+        stop = stop + int(after[0]) if len(after) else b
+        out.append((start, stop))
+        left += [(a, start), (stop, b)]
+    return sorted(out)
+
+
 def scan(docs: DataFrame, ratios: np.ndarray, *, key: str = "doc_id", text: str = "text", least: int = 20, threshold: float = 12.0) -> DataFrame:
     """Every row of docs with `spans` added: array of (kind, start, end) in code points, end exclusive, by start and kind.
 
-    Base patterns give assign, access and hex spans; a run of at least `least` token signs whose
-    log-likelihood ratio exceeds `threshold` and which overlaps no base span gives a markov span. A null
-    or empty text has no spans. All columns of docs are kept; one named `spans` is replaced.
+    Base patterns give assign, access and hex spans; a run of token signs is cut at those, and what is left of it
+    gives a markov span if the log-likelihood ratio exceeds `threshold` over all of it or over a part, in
+    either case of at least `least` signs. A null or empty text has no spans. All columns of docs are kept; one named `spans` is replaced.
     """
     kept = docs.drop("spans")
     names, at_text = kept.columns, kept.columns.index(text)
@@ -102,8 +127,9 @@ def scan(docs: DataFrame, ratios: np.ndarray, *, key: str = "doc_id", text: str
             if len(data) > 1:
                 pair = (sign[:-1] >= 0) & (sign[1:] >= 0)
                 step[1:-1] = np.where(pair, ratios[np.maximum(sign[:-1], 0), np.maximum(sign[1:], 0)], 0)
-            total = np.cumsum(step)
-            score = total[stop - 1] - total[start] if len(start) else np.zeros(0)
+            total, most = np.cumsum(step), np.cumsum(np.maximum(step, 0))
+            able = most[stop - 1] - most[start] > threshold if len(start) else np.zeros(0, bool)  # no part scores more than this
+            joint = np.isin(data, _JOINTS)
             # what any pattern could match: texts with a key word, an access key, or a long run
             docs_of = np.searchsorted(ends, start, "right") - 1
             hexes = _runs(hexadecimal[data], ends, 24)[0]
@@ -116,7 +142,7 @@ def scan(docs: DataFrame, ratios: np.ndarray, *, key: str = "doc_id", text: str
                     maybe[d] = True
                     i = lower.find(word, int(ends[d + 1]))
             extra: dict[int, list[tuple[int, int]]] = {}
-            for d, a, b in zip(docs_of[score > threshold].tolist(), start[score > threshold].tolist(), stop[score > threshold].tolist(), strict=True):
+            for d, a, b in zip(docs_of[able].tolist(), start[able].tolist(), stop[able].tolist(), strict=True):
                 extra.setdefault(d, []).append((a, b))
             spans: list[list] = [[] for _ in range(block.num_rows)]
             for d in sorted({*np.flatnonzero(maybe).tolist(), *extra}):
@@ -125,9 +151,10 @@ def scan(docs: DataFrame, ratios: np.ndarray, *, key: str = "doc_id", text: str
                 found = base_spans(body, lower[ends[d] : ends[d + 1]])
                 for a, b in extra.get(d, []):
                     s = len(own[: a - ends[d]].decode("utf-8", "replace"))
-                    e = s + b - a
-                    if not any(x[0] < e and s < x[2] for x in found if x[1] < 3):
-                        found.append((s, 3, e))
+                    shift, at = s - a, a
+                    for x in [x for x in found if x[1] < 3 and x[0] < b + shift and x[2] > s] + [(b + shift, 0, b + shift)]:
+                        found += [(p + shift, 3, q + shift) for p, q in _random_parts(total, joint, at, x[0] - shift, least, threshold)]
+                        at = max(at, x[2] - shift)
                 spans[d] = [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(found)]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
             yield from pa.Table.from_arrays([*(block[n] for n in names), pa.array(spans, kind)], names=[*names, "spans"]).to_batches()
