@@ -174,16 +174,25 @@ def contextual_suppliers(lines: DataFrame) -> DataFrame:
     return out.select("doc_id", "line_number", "name", F.when(F.col("_r") <= 10, F.expr("0.9BD")).when(F.col("_r") <= 25, F.expr("0.7BD")).when(F.col("_r") <= 75, F.expr("0.5BD")).otherwise(F.expr("0.8BD")).alias("weight"))
 
 
+def names_in(lines: DataFrame, text: str, known: DataFrame) -> DataFrame:
+    """Lines joined with every row of known whose `name` stands anywhere in `text`, inside words too; blank names never match.
+
+    A line meets names by an equi-join on its substrings of the lengths that names have, so that neither side is broadcast.
+    """
+    named = known.where("trim(name) <> ''")
+    lengths = named.agg(F.collect_set(F.length("name")).alias("_lengths"))  # one row
+    runs = F.flatten(F.transform("_lengths", lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, n))).otherwise(F.array().cast("array<string>"))))
+    cut = lines.where(F.col(text).isNotNull()).crossJoin(F.broadcast(lengths)).withColumn("_run", F.explode(F.array_distinct(runs))).drop("_lengths")
+    return cut.join(named, F.col("_run") == F.col("name")).drop("_run")
+
+
 def match_suppliers(lines: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """(doc_id, suppkey, line_number, score): known names in the first eight lines.
+    """(doc_id, suppkey, line_number, score): known names anywhere in the first eight lines.
 
-    A name meets a line by its first two words, an equi-join, so that neither side is broadcast; containment is checked
-    after. Score: place and kind of match over 1.8; ties to the longer name, then the line.
+    Score: place and kind of match over 1.8; ties to the longer name, then the line.
     """
-    head = lambda t: F.upper(F.substring_index(t, " ", 2))
-    known = suppliers.select(F.col("s_suppkey").cast("long").alias("suppkey"), F.upper(F.replace("s_name", F.lit("#"), F.lit(" "))).alias("name")).withColumn("_k", head(F.col("name")))
-    text = lines.where("line_number <= 8").withColumn("_t", F.upper("text")).withColumn("_k", head(F.col("text")))
-    hit = text.join(known, "_k").where(F.contains("_t", F.col("name")))
+    known = suppliers.select(F.col("s_suppkey").cast("long").alias("suppkey"), F.upper(F.replace("s_name", F.lit("#"), F.lit(" "))).alias("name"))
+    hit = names_in(lines.where("line_number <= 8").withColumn("_t", F.upper("text")), "_t", known)
     kind = F.when(F.col("_t") == F.col("name"), F.expr("0.40BD")).when(F.col("_t").startswith(F.col("name")), F.expr("0.30BD")).when(F.col("_t").endswith(F.col("name")), F.expr("0.25BD")).otherwise(F.expr("0.15BD"))
     scored = hit.select("doc_id", "suppkey", "line_number", F.length("name").alias("n"), ((F.expr("CAST(greatest(0.30BD - 0.05BD * (line_number - 1), 0.10BD) AS DECIMAL(4,2))") + kind) / F.expr("1.8BD")).cast("decimal(5,3)").alias("score"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("n"), "line_number", "suppkey")

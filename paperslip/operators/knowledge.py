@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperslip.operators.fields import names_in
+
 
 def chunk_documents(docs: DataFrame, size: int = 1000, overlap: int = 40) -> DataFrame:
     """(doc_id, chunk, text): windows of `size` characters, each `overlap` into the one before; the last may be shorter."""
@@ -90,14 +92,11 @@ def build_context(hits: DataFrame, per_hit: int = 150, most: int = 1500) -> Data
 def match_vendors(lines: DataFrame, vendors: DataFrame) -> DataFrame:
     """(doc_id, vendor, confidence): names that stand as whole words in the first lines (+2), anywhere (+1), over 2 patterns + 2; best from 0.4, else a generic type at 0.3.
 
-    Names and lines meet on the name's first two words, so that the dictionary may be of any size.
+    Names may stand anywhere in a line; the dictionary may be of any size.
     """
     head = lines.where("line_number <= 5").select("doc_id", "line_number", F.upper("text").alias("t"))
-    words = F.split("t", " ")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 2), " "))
-    keyed = head.withColumn("_k", F.explode(F.array_distinct(pairs)))
-    known = vendors.select(F.col("s_suppkey").cast("long").alias("vendor"), F.upper(F.replace("s_name", F.lit("#"), F.lit(" "))).alias("name")).withColumn("_k", F.substring_index("name", " ", 2))
-    hit = keyed.join(known, "_k").where(F.contains("t", F.col("name")))
+    known = vendors.select(F.col("s_suppkey").cast("long").alias("vendor"), F.upper(F.replace("s_name", F.lit("#"), F.lit(" "))).alias("name"))
+    hit = names_in(head, "t", known)
     whole = F.contains(F.concat(F.lit(" "), F.col("t"), F.lit(" ")), F.concat(F.lit(" "), F.col("name"), F.lit(" ")))
     score = hit.groupBy("doc_id", "vendor").agg((F.max(F.when(whole, 2).otherwise(0)) + 1).alias("score"))
     scored = score.select("doc_id", "vendor", F.least((F.col("score").cast("decimal(6,2)") / 4).cast("decimal(4,2)"), F.expr("CAST(1 AS DECIMAL(4,2))")).alias("confidence")).where("confidence >= 0.4")

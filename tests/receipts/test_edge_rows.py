@@ -113,3 +113,22 @@ def test_empty_tables(edge):
     none = edge.where("false")
     for f in (X.payable_amounts, X.mine_amounts, X.mine_dates, X.receipt_numbers, X.whole_texts, P.tag_payments, P.address_blocks, L.tag_sections, L.line_features):
         assert f(none).count() == 0
+
+
+def test_names_anywhere_in_a_line(spark):
+    suppliers = spark.createDataFrame([(1, "SUPPLIER#000000001"), (2, "TESCO"), (3, "Corner#Shop"), (4, ""), (5, None)], "s_suppkey int, s_name string")
+    rows = [
+        (1, 1, "WELCOME TO SUPPLIER 000000001"),
+        (2, 1, "TESCO EXTRA STORE"),
+        (3, 2, "the corner shop of York"),
+        (4, 1, "WWW.TESCO.COM"),
+        (5, 1, "Tesco"),
+        (6, 1, "nobody"),
+        (7, 1, None),
+    ]
+    lines = spark.createDataFrame(rows, "doc_id int, line_number int, text string")
+    got = {r.doc_id: (r.suppkey, float(r.score)) for r in X.match_suppliers(lines, suppliers).collect()}
+    assert got == {1: (1, 0.306), 2: (2, 0.333), 3: (3, 0.222), 4: (2, 0.25), 5: (2, 0.389)}
+    vendors = {r.doc_id: (r.vendor, float(r.confidence)) for r in K.match_vendors(lines, suppliers).collect()}
+    assert vendors == {1: (1, 0.75), 2: (2, 0.75), 3: (3, 0.75), 4: (None, 0.3), 5: (2, 0.75), 6: (None, 0.3), 7: (None, 0.3)}
+    assert X.match_suppliers(lines, suppliers.where("false")).count() == 0
