@@ -51,10 +51,15 @@ def _changed_items(spark, sf):
 def _leak(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     bench = table(spark, sf, "benchmark")
-    n = 40
-    context = docs.select("doc_id", (F.col("doc_id") % n).alias("item_id")).join(bench, "item_id").select("doc_id", F.col("text").alias("context"))
-    said = docs.select("doc_id", (F.col("doc_id") % (n // 2) * 2).alias("item_id")).join(bench, "item_id").select("doc_id", F.col("text").alias("value"))
-    return R.context_leak(docs, context, said)
+    return R.context_leak(docs, *_met(docs, bench))
+
+
+def _met(docs, bench):
+    """Context and answers: each document meets benchmark passages by its number, modulo the number of passages."""
+    numbered = docs.select("doc_id").crossJoin(F.broadcast(bench.agg(F.greatest(F.count(F.lit(1)), F.lit(2)).alias("n"))))  # one row
+    context = numbered.select("doc_id", F.expr("doc_id % n").alias("item_id")).join(bench, "item_id").select("doc_id", F.col("text").alias("context"))
+    said = numbered.select("doc_id", F.expr("doc_id % (n DIV 2) * 2").alias("item_id")).join(bench, "item_id").select("doc_id", F.col("text").alias("value"))
+    return context, said
 
 
 def _responses(spark, sf):

@@ -132,3 +132,13 @@ def test_names_anywhere_in_a_line(spark):
     vendors = {r.doc_id: (r.vendor, float(r.confidence)) for r in K.match_vendors(lines, suppliers).collect()}
     assert vendors == {1: (1, 0.75), 2: (2, 0.75), 3: (3, 0.75), 4: (None, 0.3), 5: (2, 0.75), 6: (None, 0.3), 7: (None, 0.3)}
     assert X.match_suppliers(lines, suppliers.where("false")).count() == 0
+
+
+def test_every_benchmark_row_is_context(spark):
+    from paperslip.plans.record_queries import _met
+
+    docs = spark.range(130).select(F.col("id").alias("doc_id"))
+    bench = spark.range(60).select(F.col("id").alias("item_id"), F.col("id").cast("string").alias("text"))
+    context, said = _met(docs, bench)
+    assert {r.context for r in context.collect()} == {str(i) for i in range(60)}
+    assert {r.value for r in said.collect()} == {str(i) for i in range(0, 60, 2)}
