@@ -85,12 +85,12 @@ def item_confidence(items: DataFrame) -> DataFrame:
     return items.select("doc_id", mean.alias("m")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), (F.sum("m") / F.count(F.lit(1))).cast("decimal(7,4)").alias("confidence"))
 
 
-def field_confidence(items: DataFrame) -> DataFrame:
-    """(doc_id, field, confidence): the mean over the items' maps, replaced by the document's own value where it has one."""
-    maps = items.select("doc_id", F.explode(F.create_map(F.lit("name"), F.when(F.length("name") >= 3, F.expr("0.95BD")).otherwise(F.expr("0.50BD")), F.lit("price"), (F.expr("0.80BD") + (F.col("qty") % 10) / 100).cast("decimal(3,2)"))).alias("field", "c"))
-    means = maps.groupBy("doc_id", "field").agg((F.sum("c") / F.count("c")).cast("decimal(7,4)").alias("confidence"))
-    own = items.select("doc_id").distinct().where("doc_id % 4 = 0").select("doc_id", F.lit("price").alias("field"), F.expr("CAST(0.99 AS DECIMAL(7,4))").alias("_own"))
-    return means.join(own, ["doc_id", "field"], "left").select("doc_id", "field", F.coalesce("_own", "confidence").alias("confidence"))
+def field_confidence(items: DataFrame, own: DataFrame) -> DataFrame:
+    """(doc_id, field, confidence): the mean over the items' maps (`confidences`), replaced by the document's own value (rows doc_id, field, confidence) where there is one."""
+    maps = items.select("doc_id", F.explode("confidences").alias("field", "c"))
+    means = maps.groupBy("doc_id", "field").agg((F.sum("c") / F.count("c")).cast("decimal(7,4)").alias("_mean"))
+    given = own.where("confidence IS NOT NULL").select("doc_id", "field", F.col("confidence").cast("decimal(7,4)").alias("_own"))
+    return means.join(given, ["doc_id", "field"], "full").select("doc_id", "field", F.coalesce("_own", "_mean").alias("confidence"))
 
 
 def validate_records(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -134,6 +134,13 @@ def test_names_anywhere_in_a_line(spark):
     assert X.match_suppliers(lines, suppliers.where("false")).count() == 0
 
 
+def test_field_confidence_of_given_maps(spark):
+    items = spark.createDataFrame([(4, {"price": Decimal("0.50"), "name": Decimal("0.90")}), (4, {"price": Decimal("0.70")}), (5, None)], "doc_id long, confidences map<string, decimal(3,2)>")
+    own = spark.createDataFrame([(4, "name", Decimal("0.20")), (6, "date", Decimal("0.10"))], "doc_id long, field string, confidence decimal(3,2)")
+    got = {(r.doc_id, r.field): float(r.confidence) for r in R.field_confidence(items, own).collect()}
+    assert got == {(4, "price"): 0.6, (4, "name"): 0.2, (6, "date"): 0.1}
+
+
 def test_every_benchmark_row_is_context(spark):
     from paperslip.plans.record_queries import _met
 
