@@ -11,7 +11,10 @@ is never in one task.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,7 @@ from pyspark.sql import types as T
 
 from paperslip.llm import pretokens as P
 from paperslip.llm.scratch import written
-from paperslip.llm.text_arrays import flat, gathered
+from paperslip.llm.text_arrays import flat, gathered, spread
 
 #: Pieces per rank bucket and length that one sort takes, about.
 PER_BUCKET = 20_000
@@ -29,27 +32,68 @@ PER_BUCKET = 20_000
 REFITS = 8
 
 
-def default_vocabulary() -> str:
+def default_vocabulary() -> tuple[str, str]:
+    """The tokenizer file, which names the added tokens, and the rank file of the same vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def pieces(docs: DataFrame, *, size: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
+@lru_cache(maxsize=4)
+def added_tokens(path: str) -> tuple[re.Pattern | None, dict[bytes, int]]:
+    """(pattern, ids) of the strings that the tokenizer file takes out of a text before anything else, longer ones first."""
+    with open(path, encoding="utf-8") as f:
+        listed = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in listed):
+        raise ValueError("added tokens that look at their surroundings are not handled")
+    ids = {t["content"].encode(): t["id"] for t in listed}
+    return (re.compile(b"|".join(re.escape(t) for t in sorted(ids, key=len, reverse=True))) if ids else None), ids
+
+
+def _ids(data: np.ndarray, ends: np.ndarray, tokenizer: str, ranks: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, stops) of the texts: added tokens as they are, all between them by byte-level BPE."""
+    pattern, known = added_tokens(tokenizer)
+    raw = data.tobytes()
+    found = [(m.start(), m.end(), known[m[0]]) for m in pattern.finditer(raw)] if pattern else []
+    if found:
+        a, b, token = (np.array(x, np.int64) for x in zip(*found, strict=True))
+        own = np.searchsorted(ends, a, "right") == np.searchsorted(ends, b, "left")  # not across two texts
+        a, b, token = a[own], b[own], token[own]
+        edge = np.unique(np.concatenate([ends, a, b]))
+    else:
+        a = token = np.zeros(0, np.int64)
+        edge = np.unique(ends)
+    at, first = P.starts(data, edge)
+    codes, words = P.dictionary(data, at)
+    ids, stops = P.rebuilt(P.encode_words(words, ranks), codes, first)
+    if len(a):
+        marked = np.searchsorted(edge, a)
+        width = np.diff(stops)
+        keep = np.ones(len(ids), bool)
+        keep[spread(stops[marked], width[marked])] = False
+        width[marked] = 0
+        after = np.concatenate(([0], np.cumsum(width)))
+        ids = np.insert(ids[keep], after[marked], token.astype(ids.dtype))
+        width[marked] = 1
+        stops = np.concatenate(([0], np.cumsum(width)))
+    return ids, stops[np.searchsorted(edge, ends)]
+
+
+def pieces(docs: DataFrame, *, size: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """(key, piece, start, length, ids_crc32) of every document: its ids, then `end_id`, cut where longer than `size`.
 
-    The ids are those of the byte-level vocabulary (the .json and the rank file hold the same one). Of a
-    cut document the first piece is the shorter one. A null or empty text is one piece with the end id only.
+    `vocabulary` is a tokenizer file and the rank file of its byte-level vocabulary, which every worker can
+    open; the ids are those that the library gives with its defaults, so an added token's string in a text is
+    that token. Of a cut document the first piece is the shorter one. A null or empty text is one piece
+    with the end id only; repeated rows and null keys give their pieces each, other columns are left out. A text
+    of any length is cut in one task, at about 40 bytes of memory a byte. No rows give no pieces.
     """
-    path = vocabulary or default_vocabulary()
+    tokenizer, ranks = vocabulary or default_vocabulary()
     kind = docs.schema[key].dataType
 
     def run(batches):
         for block in gathered(batches, "text"):
-            data, ends = flat(block["text"])
-            at, first = P.starts(data, ends)
-            codes, words = P.dictionary(data, at)
-            ids, stops = P.rebuilt(P.encode_words(words, path), codes, first)
+            ids, stops = _ids(*flat(block["text"]), tokenizer, ranks)
             n = np.diff(stops) + 1
             parts = -(-n // size)
             head = n - (parts - 1) * size
@@ -165,13 +209,14 @@ def plan(counts: np.ndarray) -> list[tuple[int, list[int]]]:
 
 
 def pack(parts: DataFrame, *, size: int = 1024) -> DataFrame:
-    """Adds sequence_id and offset to rows with a `length` from 1 to `size`.
+    """Adds sequence_id and offset to rows with a `length` from 1 to `size`; columns of these two names are replaced.
 
-    Rows may repeat; each is placed once. The rows are written to the shared folder first, so that the
-    histogram and the ranks are those of the same rows. No rows give no rows.
+    Rows may repeat; each is placed once. Other columns may have any name and any type that can be
+    ordered. The rows are written to the shared folder first, so that the histogram and the ranks are
+    those of the same rows. A length that is null or out of range is an error. No rows give no rows.
     """
     spark = parts.sparkSession
-    parts = written(parts, "pieces")
+    parts = written(parts.drop("sequence_id", "offset"), "pieces")
     names = parts.columns
     hist = parts.groupBy("length").count().collect()  # one row per length, `size` at most
     counts = np.zeros(size + 1, np.int64)
@@ -194,12 +239,12 @@ def pack(parts: DataFrame, *, size: int = 1024) -> DataFrame:
     table = spark.sparkContext.broadcast(np.array(slots, np.int64).reshape(-1, 4))  # a few rows per pattern: no more than lengths and patterns allow
 
     salts = max(16, int(counts.sum()) // PER_BUCKET)
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64(*names), F.lit(salts)))
-    before = (
-        salted.groupBy("length", "_salt").count().withColumn("_before", F.sum("count").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))).select("length", "_salt", F.coalesce("_before", F.lit(0)).alias("_before"))
-    )
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*names)))
-    ranked = ranked.join(before, ["length", "_salt"]).select(*names, (F.col("_before") + F.col("_rank") - 1).alias("_rank"))
+    rows = parts.select("length", F.struct(*names).alias("row"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
+    earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")))
+    ranked = ranked.join(before, ["length", "salt"]).select("row.*", (F.col("before") + F.col("rank") - 1).alias("sequence_id"))
 
     def run(batches):
         for batch in batches:
