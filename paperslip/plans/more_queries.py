@@ -151,7 +151,6 @@ QUERIES = {
     "u5_delete_kb": lambda s, d: K.delete_kb(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), table(s, d, "embeddings").where("label % 2 = 1").select(F.col("vec_id").alias("id"))),
     "u6_detect_changes": _sources,
     "a12_kb_stats": lambda s, d: K.kb_stats(table(s, d, "embeddings"), "label"),
-    "s4_load_kb": lambda s, d: _kb(s, d),
     "j1_similarity_topk": lambda s, d: K.similarity_topk(*_search(s, d), 10, ["label"]),
     "j2_retrieve_context": lambda s, d: K.retrieve_context(_search(s, d)[0], _search(s, d)[1].withColumnRenamed("label", "doc_type"), {0: 5, 1: 3, 2: 3, 3: 2}, 0.05),
     "c16_build_context": _context,
@@ -205,7 +204,6 @@ ORACLE_SQL = {
     "u5_delete_kb": "SELECT vec_id AS id, label FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM embeddings WHERE label % 2 = 1)",
     "u6_detect_changes": "SELECT CAST(doc_id AS VARCHAR) AS path, CASE doc_id % 10 WHEN 0 THEN 'removed' WHEN 1 THEN 'added' ELSE 'changed' END AS change FROM documents WHERE doc_id % 10 IN (0, 1, 2)",
     "a12_kb_stats": "SELECT label AS doc_type, count(*) AS n FROM embeddings GROUP BY ROLLUP (label)",
-    "s4_load_kb": f"WITH {KB_SQL} SELECT id, doc_type, content, version FROM kb",
     "j1_similarity_topk": f"WITH {UNIT_SQL}, p AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS relevance FROM u a JOIN u b ON a.label = b.label WHERE a.vec_id % 20 = 0) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, vec_id) AS rank FROM p QUALIFY rank <= 10",
     "j2_retrieve_context": f"""WITH {UNIT_SQL}, p AS (SELECT a.vec_id AS query_id, b.label AS doc_type, b.vec_id, {_COS} AS relevance FROM u a JOIN u b ON b.label IN (0, 1, 2, 3) WHERE a.vec_id % 20 = 0)
         SELECT * FROM p WHERE relevance >= 0.05 QUALIFY row_number() OVER (PARTITION BY query_id, doc_type ORDER BY relevance DESC, vec_id) <= CASE doc_type WHEN 0 THEN 5 WHEN 3 THEN 2 ELSE 3 END""",

@@ -141,12 +141,13 @@ ORACLE_SQL = {
     "j5_ground_fields": f"{FIELDS_SQL}{_TEXTS} {_GROUNDED}",
     "j6_ground_items": f"""{ON_LINES}{_TEXTS}{_CHANGED}, g AS (SELECT ci.doc_id, item_no, len(list_filter(string_split(lower(name), ' '), lambda w: length(w) > 3)) > 0 AND NOT list_bool_or(list_transform(list_filter(string_split(lower(name), ' '), lambda w: length(w) > 3), lambda w: contains(lower(text), w))) AS name_missing, NOT contains(text, CAST(price AS VARCHAR)) AS price_missing FROM ci JOIN texts t ON t.doc_id = ci.doc_id)
         SELECT * FROM g WHERE name_missing OR price_missing""",
-    "j7_context_leak": """WITH w AS (SELECT d.doc_id, unnest(regexp_extract_all(lower(b.text), '([a-z]{6,})', 1)) AS token FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
-        v AS (SELECT d.doc_id, unnest(regexp_extract_all(lower(b.text), '([a-z]{6,})', 1)) AS token FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 20 * 2),
+    "j7_context_leak": """WITH n AS (SELECT greatest(count(*), 2) AS n FROM benchmark), d AS (SELECT doc_id, doc_id % n AS a, doc_id % (n // 2) * 2 AS b FROM documents, n),
+        w AS (SELECT d.doc_id, unnest(regexp_extract_all(lower(b.text), '([a-z]{6,})', 1)) AS token FROM d JOIN benchmark b ON b.item_id = d.a),
+        v AS (SELECT d.doc_id, unnest(regexp_extract_all(lower(b.text), '([a-z]{6,})', 1)) AS token FROM d JOIN benchmark b ON b.item_id = d.b),
         o AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z]{6,})', 1)) AS token FROM documents)
         SELECT doc_id, min(token) AS token FROM (SELECT * FROM v INTERSECT SELECT * FROM w EXCEPT SELECT * FROM o) GROUP BY doc_id""",
     "j8_placeholder_hits": f"{FIELDS_SQL}{_TEXTS} {_PLACE}",
-    "j9_diff_corrections": f"""{FIELDS_SQL}, k AS (SELECT * FROM fields WHERE NOT (field = 'tax' AND doc_id % 5 = 0)) SELECT coalesce(b.doc_id, k.doc_id) AS doc_id, coalesce(b.field, k.field) AS field, b.value AS before, k.value AS after
+    "j9_diff_corrections": f"""{FIELDS_SQL.replace(" best AS (", " best AS MATERIALIZED (").replace(" fields AS (", " fields AS MATERIALIZED (")}, k AS MATERIALIZED (SELECT * FROM fields WHERE NOT (field = 'tax' AND doc_id % 5 = 0)) SELECT coalesce(b.doc_id, k.doc_id) AS doc_id, coalesce(b.field, k.field) AS field, b.value AS before, k.value AS after
         FROM best b FULL JOIN k ON k.doc_id = b.doc_id AND k.field = b.field WHERE b.value IS DISTINCT FROM k.value""",
     "a19_score_findings": f"""{FIELDS_SQL}{_TEXTS}, g AS ({_GROUNDED}), p AS ({_PLACE}), n AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM g UNION ALL SELECT doc_id FROM p) GROUP BY doc_id)
         SELECT t.doc_id, coalesce(n, 0) AS n_findings, CAST(greatest((0.6 + 0.3 * CAST((t.doc_id % 10) / 10.0 AS DECIMAL(3,2))) * (1 - 0.2 * coalesce(n, 0)), 0) AS DECIMAL(8,4)) AS confidence FROM texts t LEFT JOIN n ON n.doc_id = t.doc_id""",
