@@ -1,15 +1,15 @@
 """Repeated passages by a run-length compressed index: bytes covered by a long string that also starts earlier.
 
-1. Content-defined anchors (winnow.py) split all 100-byte windows into groups: equal windows have the same
-   anchor. A segment is the text under the consecutive windows of one anchor occurrence.
-2. Segments meet by anchor hash, equal ones of a block collapsed before. Of equal segments all but the
-   first are marked whole. Groups with several different segments go on.
-3. There, segments are ranked by place. The segments of one rank, of many groups together, become an index:
-   a run-compressed Burrows-Wheeler transform with the suffix positions at both ends of each run sampled.
-   All later-ranked segments are streamed through it from right to left; their matching statistics say
-   which windows occur in an earlier segment. Windows of other groups cannot match, as their anchors differ.
-4. A group of more than RANKS different segments (a phrase in many contexts) is dealt out again by the
-   hashes of its whole windows, where the first of equal windows stays: exact, and no group is in one task.
+1. Content-defined anchors (winnow.py) route: equal windows have the same anchor, so that windows with
+   different anchors need not meet. A segment is the text under the consecutive windows of one anchor
+   occurrence. Of segments of equal bytes in a block all but the first are marked at once.
+2. Blocks send the names of their anchors only. The text of a segment is sent on where its anchor occurs again.
+3. There, segments of equal bytes are one. All different segments of an anchor become part of an index: a
+   run-compressed Burrows-Wheeler transform with sampled text places at the ends of its runs, and with the
+   earliest place of each window. The same segments are streamed through it from right to
+   left; where the matching statistics reach a window's length, the window occurs in the index, and it is
+   marked if that is at an earlier place than its own. No byte goes on the word of a hash.
+4. An anchor of more than CROWD segments is dealt out by its single windows instead, in two levels.
 """
 
 from __future__ import annotations
@@ -21,23 +21,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperslip.llm import routing as R
 from paperslip.llm.scratch import written, written_by
 from paperslip.llm.text_arrays import flat, gathered, mix, spread
 from paperslip.llm.winnow import Rolling, anchors
 
 BLOCK = 2 << 20
-#: Different segments of one anchor that are compared by index; groups of more are compared window by window.
-RANKS = 8
-#: Bytes of segments that one index round takes.
+#: Segments of one anchor from which on its windows are dealt out one by one.
+CROWD = 20_000
+#: Bytes of different segments that one index takes (a single anchor's stay together).
 INDEX_BYTES = 2 << 20
+#: Bytes of text per bucket, about.
+BUCKET_BYTES = 32 << 20
 _GAP = 0xFF  # no byte of UTF-8
+_LOW48 = np.uint64((1 << 48) - 1)
 
 
 # ---- the index ----------------------------------------------------------------------------------
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first `depth` bytes at least (a power of two from 8 on), by prefix doubling."""
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): suffixes sorted by their first `depth` bytes (8 at least), by prefix doubling, and where those differ from the suffix before."""
     n = len(text)
     padded = np.zeros(n + 8, np.uint64)
     padded[:n] = text
@@ -48,25 +52,47 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     size = 8
     while True:
         ordered = key[order]
+        new = np.append(True, ordered[1:] != ordered[:-1])
+        if size >= depth or n == 0 or new.all():
+            return order, new[:n]
         rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.append(False, ordered[1:] != ordered[:-1])).astype(np.uint64)
-        if size >= depth or n == 0 or int(rank[order[-1]]) == n - 1:
-            return order
-        after = np.zeros(n, np.uint64)
-        after[: max(0, n - size)] = rank[size:] + np.uint64(1)
-        key = rank << np.uint64(32) | after
+        rank[order] = np.cumsum(new).astype(np.uint64)
+        by = min(size, depth - size)  # the two parts may overlap
+        key = rank << np.uint64(32)
+        key[: max(0, n - by)] |= rank[by:]
         order = np.argsort(key)
-        size *= 2
+        size += by
+
+
+class Marks:
+    """Marked rows, a bit each, counted in words of 64."""
+
+    def __init__(self, marked: np.ndarray) -> None:
+        self.bits = np.packbits(np.append(marked, np.zeros(-len(marked) % 64, bool)), bitorder="little").view(np.uint64)
+        ones = np.bitwise_count(self.bits).astype(np.int64)
+        self.before = np.cumsum(ones) - ones
+
+    def last(self, row: np.ndarray) -> np.ndarray:
+        """Which mark is the last one up to each row, from 0."""
+        word = row >> 6
+        below = ~np.uint64(0) >> (np.uint64(63) - (row & 63).astype(np.uint64))
+        return self.before[word] + np.bitwise_count(self.bits[word] & below).astype(np.int64) - 1
 
 
 class RunLengthIndex:
-    """A run-length Burrows-Wheeler transform of `text`, with suffix positions at both ends of each run."""
+    """A run-length Burrows-Wheeler transform of `text` with the text places of both ends of each run.
 
-    def __init__(self, text: np.ndarray, depth: int = 128) -> None:
-        order = suffix_order(text, depth)
+    Suffixes are sorted by `depth` bytes, and matches are followed up to that length. `owner` gives a
+    number for each byte of the text; of the places that share `depth` bytes the smallest one is kept.
+    """
+
+    def __init__(self, text: np.ndarray, depth: int, owner: np.ndarray | None = None) -> None:
+        order, new = suffix_order(text, depth)
         last = text[order - 1]  # of the first suffix: the text's last byte
+        self.depth = depth
         self.text = np.append(text, np.zeros(depth + 8, np.uint8))
-        self.starts = np.flatnonzero(np.append(True, last[1:] != last[:-1]))
+        edge = np.append(True, last[1:] != last[:-1])
+        self.starts = np.flatnonzero(edge)
         stops = np.append(self.starts[1:], len(text))
         self.heads = last[self.starts].astype(np.int64)
         self.first, self.final = order[self.starts], order[stops - 1]
@@ -77,18 +103,22 @@ class RunLengthIndex:
         self.moved[by_sign] = np.cumsum(sizes) - sizes
         self.stops = stops
         self.listed = self.heads[by_sign] * len(self.heads) + by_sign
+        self.runs = Marks(edge)
+        self.owner = owner
+        if owner is not None:
+            self.strings = Marks(new)
+            self.earliest = np.minimum.reduceat(owner[order], np.flatnonzero(new)) if len(order) else owner[:0]
 
-    def step(self, row: np.ndarray, run: np.ndarray) -> np.ndarray:
-        return self.moved[run] + row - self.starts[run]
-
-    def matching_statistics(self, texts: np.ndarray, ends: np.ndarray, cap: int) -> np.ndarray:
-        """Per place of the texts, how long the longest match with the index is from there on, `cap` at most.
+    def matching_statistics(self, texts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(size, owner): per place of the texts, the length of its longest match in the index, `depth` at most, and for those of full length the smallest owner of an occurrence.
 
         Texts are read from their ends, all of them side by side. A text that continues its match follows
         its row; at a mismatch the nearest runs of the wanted byte above and below are tried, and the
-        sampled position that agrees longer with the text goes on.
+        sampled place that agrees longer with the text goes on.
         """
+        cap = self.depth
         out = np.zeros(len(texts), np.int64)
+        whose = np.full(len(texts), np.iinfo(np.int64).max)
         n_runs = len(self.heads)
         padded = np.append(texts, np.full(cap + 8, _GAP - 1, np.uint8))
         lengths = np.diff(ends)
@@ -100,10 +130,9 @@ class RunLengthIndex:
             n = int(np.searchsorted(-sorted_lengths, -back, "right"))
             at = ends[1:][live[:n]] - back
             sign = texts[at].astype(np.int64)
-            run = np.searchsorted(self.starts, row[:n], "right") - 1
-            follows = self.heads[run] == sign
-            new_row, new_size = self.step(row[:n], run), size[:n] + 1
-            miss = np.flatnonzero(~follows)
+            run = self.runs.last(row[:n])
+            new_row, new_size = self.moved[run] + row[:n] - self.starts[run], size[:n] + 1
+            miss = np.flatnonzero(self.heads[run] != sign)
             if len(miss):
                 want = sign[miss]
                 below = np.searchsorted(self.listed, want * n_runs + run[miss])
@@ -119,11 +148,14 @@ class RunLengthIndex:
                 chosen = np.where(use_up, up, down)
                 place = np.where(use_up, self.stops[up] - 1, self.starts[down])
                 best = np.maximum(agree_up, agree_down)
-                new_row[miss] = np.where(best >= 0, self.step(place, chosen), 0)
+                new_row[miss] = np.where(best >= 0, self.moved[chosen] + place - self.starts[chosen], 0)
                 new_size[miss] = best + 1
             row[:n], size[:n] = new_row, np.minimum(new_size, cap)
             out[at] = size[:n]
-        return out
+            if self.owner is not None:
+                full = np.flatnonzero(size[:n] == cap)
+                whose[at[full]] = self.earliest[self.strings.last(row[full])]
+        return out, whose
 
     def _agree(self, texts: np.ndarray, at: np.ndarray, place: np.ndarray, far: np.ndarray) -> np.ndarray:
         """How many bytes of texts from `at` equal the index text from `place`, `far` at most."""
@@ -141,70 +173,60 @@ class RunLengthIndex:
         return np.minimum(size, far)
 
 
-# ---- packed columns -----------------------------------------------------------------------------
-
+def repeated_windows(body: np.ndarray, ends: np.ndarray, place: np.ndarray, window: int) -> np.ndarray:
+    """Per byte of different segments, whether the window from there on also occurs in a segment of a smaller place."""
+    n = len(ends) - 1
+    text = np.full(len(body) + n, _GAP, np.uint8)
+    at = np.arange(len(body)) + np.repeat(np.arange(n), np.diff(ends))
+    text[at] = body
+    owner = np.repeat(place, np.diff(ends) + 1)
+    size, earliest = RunLengthIndex(text, window, owner).matching_statistics(body, ends)
+    return (size >= window) & (earliest < np.repeat(place, np.diff(ends)))
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Arrays of one length, byte planes apart, compressed."""
-    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns]
-    raw = b"".join(planes)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
+# ---- the steps ----------------------------------------------------------------------------------
 
-def _unpack(raw: bytes, *kinds: str) -> list[np.ndarray]:
-    body = np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True), np.uint8)
-    widths = [np.dtype(k).itemsize for k in kinds]
-    n = len(body) // sum(widths)
-    out, at = [], 0
-    for kind, width in zip(kinds, widths, strict=True):
-        out.append(np.ascontiguousarray(body[at : at + n * width].reshape(width, n).T).view(kind).reshape(n))
-        at += n * width
-    return out
+_SEGMENT = ("V6", "i4", "u1")  # name of the anchor, first window's place in the block, windows
+_SPAN = ("i4", "u1")  # first window's place in the block, windows
+_NAME = ("V6", "i8", "i4")  # name, block, segments in it
+_ASKED = ("V6", "i4")  # name, levels to deal a crowd out by (0: none)
+_TEXT = ("V6", "i8", "i8", "i4", "u1", "u1")  # name, block, key, first window's place, windows, whether it is dealt out again
 
 
-def _short(x: np.ndarray, width: int) -> np.ndarray:
-    """The low bytes of 64-bit numbers."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width]).view(f"V{width}").ravel()
+def _window_names(data: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
+    """Names of single windows, made of their bytes alone."""
+    return Rolling(data).ranges(first, first + window) & _LOW48
 
 
-def _long(x: np.ndarray, width: int) -> np.ndarray:
-    out = np.zeros((len(x), 8), np.uint8)
-    out[:, :width] = x.view(np.uint8).reshape(-1, width)
-    return out.view(np.uint64).ravel()
+def _segments(data: np.ndarray, first: np.ndarray, length: np.ndarray) -> pa.Array:
+    """The segments' bytes as an Arrow array, with 64-bit offsets."""
+    body = data[spread(first, length)]
+    ends = np.zeros(len(first) + 1, np.int64)
+    np.cumsum(length, out=ends[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(body))])
 
 
-_ANCHOR = ("V5", "V6", "i8", "i4", "i4", "u1", "u1")  # hash, content, key, row, first window, windows, anchor's place
-_SPAN = ("i4", "i4", "u1")  # row, first window, windows
-_ASK = ("u8", "i8", "i4", "i4", "u1", "u1")  # group, key, row, first window, windows, rank
-_WINDOW = ("u8", "i8", "i4", "i4")  # hash, key, row, window
-_PARTS = "bucket int, block long, items binary, spans binary"
+def _classes(segments: pa.Array) -> np.ndarray:
+    """A number for each segment; equal numbers are equal bytes."""
+    return segments.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _lists(table: pa.Table, name: str, kinds: tuple[str, ...]) -> tuple[list[np.ndarray], np.ndarray]:
-    """All columns of the packed rows, and the number of the row that each entry is from."""
-    found = [(i, _unpack(x, *kinds)) for i, x in enumerate(table[name].to_pylist()) if x is not None]
-    if not found:
-        return [np.zeros(0, k) for k in kinds], np.zeros(0, np.int64)
-    return [np.concatenate([c[k] for _, c in found]) for k in range(len(kinds))], np.concatenate([np.full(len(c[0]), i) for i, c in found])
+def _first_of(classes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Which segments are the first of their class in the given order."""
+    out = np.zeros(len(classes), bool)
+    out[order[np.unique(classes[order], return_index=True)[1]]] = True
+    return out
 
 
-def _by_block(blocks: np.ndarray, owner: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(block, entries) of entries given by the row that they are from."""
-    if not len(owner):
+def _by_block(block: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(block, entries) of entries given by their block."""
+    if not len(block):
         return []
-    block = blocks[owner]
     order = np.argsort(block, kind="stable")
     cuts = np.flatnonzero(np.append(True, np.diff(block[order]) != 0))
     return [(int(block[order[a]]), order[a:b]) for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True)]
 
 
-# ---- the steps ----------------------------------------------------------------------------------
-
-
-def _blocks(carry: list[str]):
-    return lambda batches: _cut_blocks(batches, carry)
-
-
 def _carried(table: pa.Table, names: list[str]) -> bytes:
     sink = pa.BufferOutputStream()
     part = table.select(names).combine_chunks()
@@ -213,196 +235,163 @@ def _carried(table: pa.Table, names: list[str]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _cut_blocks(batches, carry: list[str]):
-    part, n = TaskContext.get().partitionId(), 0
-    for block in gathered(batches, "text", BLOCK):
-        data, ends = flat(block["text"])
-        k = block["k"].combine_chunks() if isinstance(block["k"], pa.ChunkedArray) else block["k"]
-        valid = k.is_valid().to_numpy(zero_copy_only=False)
-        keys = np.where(valid, k.fill_null(0).to_numpy(), np.iinfo(np.int64).min)
-        yield pa.RecordBatch.from_arrays([pa.array([part << 32 | n]), pa.array([keys.astype(np.int64).tobytes()]), pa.array([valid.tobytes()]), pa.array([ends.tobytes()]), pa.array([data.tobytes()], pa.binary()), pa.array([_carried(block, carry)], pa.binary())], names=["block", "keys", "valid", "ends", "body", "carried"])
-        n += 1
+_BLOCKS = "block long, n_bytes long, keys binary, valid binary, ends binary, body binary, segments binary, spans binary, carried binary"
 
 
-def _text(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row["body"], np.uint8), np.frombuffer(row["ends"], np.int64), np.frombuffer(row["keys"], np.int64)
+def _blocks(window: int, carry: list[str]):
+    """Blocks of texts with their segments; of equal segments only the first, the others as spans."""
+
+    def run(batches):
+        part, n = TaskContext.get().partitionId(), 0
+        for block in gathered(batches, "text", BLOCK):
+            data, ends = flat(block["text"])
+            k = block["k"].combine_chunks() if isinstance(block["k"], pa.ChunkedArray) else block["k"]
+            valid = k.is_valid().to_numpy(zero_copy_only=False)
+            keys = np.where(valid, k.fill_null(0).to_numpy(), np.iinfo(np.int64).min).astype(np.int64)
+            text, _, first, last, hashes, _ = anchors(data, ends, window)
+            name, count = hashes & _LOW48, last - first + 1
+            _, inverse, often = np.unique(name, return_inverse=True, return_counts=True)
+            lead = np.ones(len(name), bool)
+            some = np.flatnonzero(often[inverse] > 1)
+            if len(some):
+                order = np.lexsort((first[some], keys[text[some]]))  # a block's rows are in order
+                lead[some] = _first_of(_classes(_segments(data, first[some], count[some] + window - 1)), order)
+            at = np.flatnonzero(lead)
+            at = at[np.argsort(name[at], kind="stable")]
+            rest = np.flatnonzero(~lead)
+            segments = R.packed(R.short(name[at]), first[at].astype(np.int32), count[at].astype(np.uint8))
+            spans = R.packed(first[rest].astype(np.int32), count[rest].astype(np.uint8))
+            row = {"block": part << 32 | n, "n_bytes": len(data), "keys": keys.tobytes(), "valid": valid.tobytes(), "ends": ends.tobytes(), "body": data.tobytes(), "segments": segments, "spans": spans, "carried": _carried(block, carry)}
+            yield pa.RecordBatch.from_arrays([pa.array([v]) if c in ("block", "n_bytes") else pa.array([v], pa.binary()) for c, v in row.items()], names=list(row))
+            n += 1
+
+    return run
 
 
-def _anchored(window: int, n: int):
-    """Anchors by bucket of their hash; of equal segments of a block only the first, the others as spans."""
+def _names(n: int):
+    """The names that a block has, once each, to their buckets."""
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                data, ends, keys = _text(row)
-                text, anchor, first, last, hashes, rolling = anchors(data, ends, window)
-                if not len(text):
-                    continue
-                place = (anchor - first).astype(np.uint8)
-                content = mix(rolling.ranges(first, last + window) ^ place.astype(np.uint64))
-                count = (last - first + 1).astype(np.uint8)
-                start = (first - ends[text]).astype(np.int32)
-                key = keys[text]
-                order = np.lexsort((start, text, key, content, hashes))
-                again = np.append(False, (hashes[order][1:] == hashes[order][:-1]) & (content[order][1:] == content[order][:-1]))
-                bucket = (hashes % np.uint64(n)).astype(np.int64)
-                new = np.zeros(len(order), bool)
-                new[order] = ~again
-                name = hashes // np.uint64(n)
-                by = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[by], np.arange(n + 1))
-                rows = []
-                for b in np.flatnonzero(np.diff(cuts)).tolist():
-                    own = by[cuts[b] : cuts[b + 1]]
-                    one, rest = own[new[own]], own[~new[own]]
-                    items = _pack(_short(name[one], 5), _short(content[one], 6), key[one], text[one].astype(np.int32), start[one], count[one], place[one]) if len(one) else None
-                    spans = _pack(text[rest].astype(np.int32), start[rest], count[rest]) if len(rest) else None
-                    rows.append({"bucket": b, "block": row["block"], "items": items, "spans": spans})
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("items", pa.binary()), ("spans", pa.binary())]))
+            for block, segments in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                name, count = np.unique(R.long(R.unpacked(segments, _SEGMENT)[0]), return_counts=True)
+                if len(name):
+                    yield R.dealt(R.bucket_of(name, n), [R.short(name), np.full(len(name), block), count.astype(np.int32)])
 
     return run
 
 
-_STEP = pa.schema([("block", pa.int64()), ("asked", pa.binary()), ("crowded", pa.binary()), ("spans", pa.binary())])
-
-
-def _met(table: pa.Table) -> pa.Table:
-    """All but the first of equal segments are spans; the first of each goes on where a group has several."""
-    blocks = table["block"].to_numpy()
-    (name, content, key, text, start, count, _), owner = _lists(table, "items", _ANCHOR)
-    (s_text, s_start, s_count), s_owner = _lists(table, "spans", _SPAN)
-    bucket = np.uint64(table["bucket"][0].as_py())
-    name, content = _long(name, 5), _long(content, 6)
-    _, group, size = np.unique(name, return_inverse=True, return_counts=True)
-    at = np.flatnonzero(size[group] > 1)
-    at = at[np.lexsort((start[at], text[at], blocks[owner[at]], key[at], content[at], name[at]))]
-    new = np.append(True, (name[at][1:] != name[at][:-1]) | (content[at][1:] != content[at][:-1])) if len(at) else np.zeros(0, bool)
-    done, lead = at[~new], at[new]
-    lead = lead[np.lexsort((start[lead], text[lead], blocks[owner[lead]], key[lead], name[lead]))]
-    head = np.append(True, name[lead][1:] != name[lead][:-1]) if len(lead) else np.zeros(0, bool)
-    which = np.cumsum(head) - 1
-    rank = np.arange(len(lead)) - np.flatnonzero(head)[which] if len(lead) else np.zeros(0, np.int64)
-    width = np.bincount(which, minlength=1)[which] if len(lead) else np.zeros(0, np.int64)
-    spans_text, spans_start, spans_count = (np.concatenate([a, b[done]]) for a, b in ((s_text, text), (s_start, start), (s_count, count)))
-    out: dict[int, dict] = {}
-    for block, e in _by_block(blocks, np.concatenate([s_owner, owner[done]])):
-        out.setdefault(block, {})["spans"] = _pack(spans_text[e], spans_start[e], spans_count[e])
-    for kind, chosen in (("asked", (width > 1) & (width <= RANKS)), ("crowded", width > RANKS)):
-        some = lead[chosen]
-        group_name = mix(name[some] * np.uint64(0x9E3779B97F4A7C15) + bucket)
-        ranks = np.minimum(rank[chosen], 255).astype(np.uint8)
-        for block, e in _by_block(blocks, owner[some]):
-            x = some[e]
-            out.setdefault(block, {})[kind] = _pack(group_name[e], key[x], text[x], start[x], count[x], ranks[e])
-    return pa.Table.from_pylist([{"block": b, **x} for b, x in out.items()], _STEP)
+def _met(crowd: int):
+    """The names of a bucket that have several segments, by block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        (name, block, count), _ = R.read(table, _NAME)
+        _, inverse = np.unique(R.long(name), return_inverse=True)
+        total = np.bincount(inverse, count)[inverse]
+        levels = np.where(total > crowd, np.ceil(np.sqrt(total)), 0).astype(np.int32)
+        some = np.flatnonzero(total > 1)
+        out = [{"block": b, "asked": R.packed(name[some[e]], levels[some[e]])} for b, e in _by_block(block[some])]
+        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("asked", pa.binary())]))
+
+    return run
 
 
 def _fetched(window: int, n: int):
-    """The text of the segments that were asked for, by group; windows of crowded groups by their hashes."""
+    """The text of the segments that were asked for, by name; of crowds, each window by its own name."""
 
     def run(asked: pa.Table, texts: pa.Table) -> pa.Table:
-        rows = []
-        for row in texts.to_pylist():
-            data, ends, _ = _text(row)
-            (group, key, text, start, count, rank), _ = _lists(asked, "asked", _ASK)
-            shard = (group % np.uint64(n)).astype(np.int64)
-            first = ends[text] + start
-            for b, e in _by_block(np.arange(n), shard):
-                body = data[spread(first[e], count[e].astype(np.int64) + window - 1)].tobytes()
-                rows.append({"shard": b, "block": row["block"], "items": _pack(group[e], key[e], text[e], start[e], count[e], rank[e]), "body": len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)})
-            (_, key, text, start, count, _), _ = _lists(asked, "crowded", _ASK)
-            if len(text):
-                widths = count.astype(np.int64)
-                place = spread(start.astype(np.int64), widths)
-                text, key = np.repeat(text, widths), np.repeat(key, widths)
-                begin = ends[text] + place
-                name = Rolling(data).ranges(begin, begin + window)
-                for b, e in _by_block(np.arange(n), (name % np.uint64(n)).astype(np.int64)):
-                    rows.append({"shard": b, "block": row["block"], "windows": _pack(name[e], key[e], text[e], place[e].astype(np.int32))})
-        return pa.Table.from_pylist(rows, pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("items", pa.binary()), ("body", pa.binary()), ("windows", pa.binary())]))
+        out = []
+        parts = [R.unpacked(x, _ASKED) for x in asked["asked"].to_pylist()]
+        if parts:
+            wanted, levels = R.long(np.concatenate([p[0] for p in parts])), np.concatenate([p[1] for p in parts])
+            order = np.argsort(wanted)
+            wanted, levels = wanted[order], levels[order]
+        for row in texts.to_pylist() if parts else []:
+            data, ends, keys = (np.frombuffer(row[c], k) for c, k in (("body", np.uint8), ("ends", np.int64), ("keys", np.int64)))
+            name, first, count = R.unpacked(row["segments"], _SEGMENT)
+            name = R.long(name)
+            i = np.minimum(np.searchsorted(wanted, name), len(wanted) - 1)
+            hit = wanted[i] == name
+            level, name, first, count = levels[i[hit]], name[hit], first[hit].astype(np.int64), count[hit].astype(np.int64)
+            crowd = np.flatnonzero(level > 0)
+            again = np.zeros(len(name), np.uint8)
+            if len(crowd):  # first among some of the blocks, then among those that were first there
+                own = spread(first[crowd], count[crowd])
+                salt = mix(np.array([row["block"]], np.uint64)) % np.repeat(level[crowd], count[crowd]).astype(np.uint64)
+                salted = mix(_window_names(data, own, window) * np.uint64(0x9E3779B97F4A7C15) + salt) & _LOW48
+                rest = np.flatnonzero(level == 0)
+                name, first, count = np.append(name[rest], salted), np.append(first[rest], own), np.append(count[rest], np.ones(len(own), np.int64))
+                again = np.append(again[rest], np.ones(len(own), np.uint8))
+            key = keys[np.searchsorted(ends, first, "right") - 1]
+            columns = [R.short(name), np.full(len(name), row["block"]), key, first.astype(np.int32), count.astype(np.uint8), again]
+            if len(name):
+                out.append(R.dealt(R.bucket_of(name, n), columns, data, first, count + window - 1))
+        return pa.Table.from_batches(out, R.ARROW)
 
     return run
 
 
-def _rounds(bodies: np.ndarray, ends: np.ndarray, group: np.ndarray, rank: np.ndarray, window: int) -> np.ndarray:
-    """Per byte of the segments, whether its window occurs in a lower-ranked segment of its group."""
-    marked = np.zeros(len(bodies), bool)
-    lengths = np.diff(ends)
-    for r in range(int(rank.max(initial=0))):
-        base, later = np.flatnonzero(rank == r), np.flatnonzero(rank > r)
-        base = base[np.isin(group[base], group[later])]
-        if not len(base):
-            continue
-        body = bodies[spread(ends[base], lengths[base])]
-        text = np.full(len(body) + len(base), _GAP, np.uint8)
-        text[np.arange(len(body)) + np.repeat(np.arange(len(base)), lengths[base])] = body
-        index = RunLengthIndex(text)
-        place = spread(ends[later], lengths[later])
-        stream_ends = np.concatenate(([0], np.cumsum(lengths[later])))
-        marked[place] |= index.matching_statistics(bodies[place], stream_ends, window) >= window
-    return marked
-
-
-def _marked(window: int):
+_MARKED = pa.schema([("block", pa.int64()), ("spans", pa.binary()), *R.ARROW])
+
+
+def _marked(window: int, n: int):
+    """Spans of one bucket, by block: windows that also occur at an earlier place. First segments that meet others in a second level go on, by name."""
+
     def run(table: pa.Table) -> pa.Table:
-        blocks = table["block"].to_numpy()
-        found: list[tuple[np.ndarray, ...]] = []
-        (group, key, text, start, count, rank), owner = _lists(table, "items", _ASK)
-        if len(group):
-            raw = b"".join(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True) for x in table["body"].to_pylist() if x is not None)
-            body = np.frombuffer(raw, np.uint8)
-            lengths = count.astype(np.int64) + window - 1
-            ends = np.concatenate(([0], np.cumsum(lengths)))
-            order = np.argsort(group, kind="stable")
-            total = np.cumsum(lengths[order])
-            head = np.flatnonzero(np.append(True, np.diff(group[order].view(np.int64)) != 0))
-            at = 0
-            while at < len(order):  # whole groups, about INDEX_BYTES at a time
-                limit = (total[at - 1] if at else 0) + INDEX_BYTES
-                to = head[head > at]
-                to = to[total[to - 1] <= limit][-1:] if len(to) else to
-                nxt = int(to[0]) if len(to) else int(next(iter(head[head > at]), len(order)))
-                if total[-1] <= limit:
-                    nxt = len(order)
-                own = order[at:nxt]
-                part_ends = np.concatenate(([0], np.cumsum(lengths[own])))
-                hit = _rounds(body[spread(ends[own], lengths[own])], part_ends, group[own], rank[own], window)
-                byte = np.flatnonzero(hit)
-                seg = np.searchsorted(part_ends, byte, "right") - 1
-                found.append((owner[own[seg]], text[own[seg]], (start[own[seg]] + byte - part_ends[seg]).astype(np.int32)))
-                at = nxt
-        (name, key, text, place), owner = _lists(table, "windows", _WINDOW)
-        if len(name):
-            order = np.lexsort((place, text, blocks[owner], key, name))
-            again = order[np.append(False, name[order][1:] == name[order][:-1])]
-            found.append((owner[again], text[again], place[again]))
-        out = []
-        if found:
-            owner, text, place = (np.concatenate([f[i] for f in found]) for i in range(3))
-            for block, e in _by_block(blocks, owner):
-                e = e[np.lexsort((place[e], text[e]))]
-                # consecutive windows are one span of up to 255
-                step = np.append(True, (text[e][1:] != text[e][:-1]) | (place[e][1:] != place[e][:-1] + 1))
-                since = np.arange(len(e)) - np.flatnonzero(step)[np.cumsum(step) - 1]
-                cut = np.flatnonzero(since % 255 == 0)
-                count = np.diff(np.append(cut, len(e))).astype(np.uint8)
-                out.append({"block": block, "spans": _pack(text[e[cut]], place[e[cut]], count)})
-        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("spans", pa.binary())]))
+        (name, block, key, first, count, again), body = R.read(table, _TEXT)
+        name = R.long(name)
+        length = count.astype(np.int64) + window - 1
+        starts = np.cumsum(length) - length
+        order = np.lexsort((first, block, key))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        classes = _classes(_segments(body, starts, length))
+        lead = _first_of(classes, order)
+        copies = np.flatnonzero(~lead)  # equal, byte for byte, to a segment before
+        found = [(block[copies], first[copies], count[copies])]
+        # different segments of one name, about INDEX_BYTES at a time
+        one = np.flatnonzero(lead)
+        one = one[np.argsort(name[one], kind="stable")]
+        head = np.flatnonzero(np.append(True, name[one][1:] != name[one][:-1])) if len(one) else np.zeros(0, np.int64)
+        several = np.repeat(np.diff(np.append(head, len(one))) > 1, np.diff(np.append(head, len(one))))
+        one = one[several]
+        head = np.flatnonzero(np.append(True, name[one][1:] != name[one][:-1])) if len(one) else np.zeros(0, np.int64)
+        total = np.append(0, np.cumsum(length[one]))
+        at = 0
+        while at < len(one):
+            stops = np.append(head[head > at], len(one))
+            fit = stops[total[stops] - total[at] <= INDEX_BYTES]
+            to = int(fit[-1]) if len(fit) else int(stops[0])
+            own = one[at:to]
+            ends = np.append(0, np.cumsum(length[own]))
+            byte = np.flatnonzero(repeated_windows(body[spread(starts[own], length[own])], ends, place[own], window))
+            seg = np.searchsorted(ends, byte, "right") - 1
+            new = np.append(True, (seg[1:] != seg[:-1]) | (byte[1:] != byte[:-1] + 1)) if len(byte) else np.zeros(0, bool)
+            cut = np.flatnonzero(new)  # consecutive windows of a segment are one span
+            found.append((block[own[seg[cut]]], (first[own[seg[cut]]] + byte[cut] - ends[seg[cut]]).astype(np.int32), np.diff(np.append(cut, len(byte))).astype(np.uint8)))
+            at = to
+        blocks, firsts, counts = (np.concatenate([f[i] for f in found]) for i in range(3))
+        rows = [{"block": b, "spans": R.packed(firsts[e], counts[e])} for b, e in _by_block(blocks)]
+        on = np.flatnonzero(lead & (again > 0))
+        if len(on):
+            whole = _window_names(body, starts[on], window)
+            columns = [R.short(whole), block[on], key[on], first[on], count[on], np.zeros(len(on), np.uint8)]
+            rows += R.dealt(R.bucket_of(whole, n), columns, body, starts[on], length[on]).to_pylist()
+        return pa.Table.from_pylist(rows, _MARKED)
 
     return run
 
 
 def _cut(key: str, kind: pa.DataType, window: int, carry: list[str], whole_characters: bool):
-    def run(spans: pa.Table, texts: pa.Table) -> pa.Table:
+    def run(marked: pa.Table, texts: pa.Table) -> pa.Table:
         parts = []
         for row in texts.to_pylist():
-            data, ends, keys = _text(row)
-            (text, start, count), _ = _lists(spans, "spans", _SPAN)
+            data, ends, keys = (np.frombuffer(row[c], k) for c, k in (("body", np.uint8), ("ends", np.int64), ("keys", np.int64)))
             depth = np.zeros(len(data) + 1, np.int32)
-            begin = ends[text] + start
-            np.add.at(depth, begin, 1)
-            np.add.at(depth, begin + count.astype(np.int64) + window - 1, -1)
+            for spans in [row["spans"], *marked["spans"].to_pylist()]:
+                first, count = R.unpacked(spans, _SPAN)
+                np.add.at(depth, first, 1)
+                np.add.at(depth, first + count.astype(np.int64) + window - 1, -1)
             gone = np.cumsum(depth[:-1]) > 0
             if whole_characters and len(data):
                 lead = np.flatnonzero((data & 0xC0) != 0x80)
@@ -427,32 +416,42 @@ def _cut(key: str, kind: pa.DataType, window: int, carry: list[str], whole_chara
     return run
 
 
-def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 100, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
+def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 100, carry: tuple[str, ...] = (), whole_characters: bool = False, crowd: int = CROWD) -> DataFrame:
     """(key, n_bytes, spans, kept, carried columns) of every row: the removed byte ranges (start, end) and the remaining bytes.
 
     A byte goes if it lies in a `window`-byte string (all of UTF-8 bytes, never across texts) that also
     starts earlier: at a smaller key, or in the same text before; overlapping occurrences count, and all
     is judged on the input. The key is an integer column; null keys come before all others, and rows of
     equal keys are ordered by their place in the input. Null and empty texts have no spans and nothing
-    kept. Columns named in `carry` are returned as they are, others are left out. With `whole_characters`
-    a character stays unless all of its bytes go, so that `kept` is valid UTF-8. `window` is from 64 to 255 - 31 bytes.
+    kept. Columns named in `carry`, of any name, are returned as they are, others are left out. With
+    `whole_characters` a character stays unless all of its bytes go, so that `kept` is valid UTF-8.
+    `window` is from 64 to 224 bytes. A text of any length is one block in one task, at about 100 bytes of
+    memory a byte. `crowd` changes how anchors are dealt out, not the result. No rows give no rows.
     """
+    if not 64 <= window <= 224:
+        raise ValueError("windows are from 64 to 224 bytes")
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     others = [f"c{i}" for i in range(len(carry))]
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(o) for c, o in zip(carry, others, strict=True)))
-    texts = written_by(rows.mapInArrow(_blocks(others), "block long, keys binary, valid binary, ends binary, body binary, carried binary"), "texts", "block")
-    met = texts.drop("carried", "valid").mapInArrow(_anchored(window, n), _PARTS).groupBy("bucket").applyInArrow(_met, "block long, asked binary, crowded binary, spans binary")
-    met = written(met, "segments")
-    asked = met.where("asked IS NOT NULL OR crowded IS NOT NULL").select("block", "asked", "crowded")
-    fetched = asked.groupBy("block").cogroup(texts.drop("carried", "valid").groupBy("block")).applyInArrow(_fetched(window, n), "shard int, block long, items binary, body binary, windows binary")
-    marked = fetched.groupBy("shard").applyInArrow(_marked(window), "block long, spans binary")
-    spans = met.where("spans IS NOT NULL").select("block", "spans").unionByName(marked)
+    texts = written_by(rows.mapInArrow(_blocks(window, others), _BLOCKS), "texts", "block")
+    n_bytes = texts.agg(F.sum("n_bytes")).first()[0] or 0
+    n = R.whole(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // BUCKET_BYTES))
+    level = R.first_level(n)
+    names = R.routed(texts.select("block", "segments").mapInArrow(_names(level), R.SCHEMA), n, _NAME)
+    asked = names.groupBy("bucket").applyInArrow(_met(crowd), "block long, asked binary")
+    source = texts.select("block", "keys", "ends", "body", "segments")
+    fetched = asked.groupBy("block").cogroup(source.groupBy("block")).applyInArrow(_fetched(window, level), R.SCHEMA)
+    width = lambda columns: columns[4].astype(np.int64) + window - 1
+    schema = f"block long, spans binary, {R.SCHEMA}"
+    once = written(R.routed(fetched, n, _TEXT, width).groupBy("bucket").applyInArrow(_marked(window, n), schema), "marked")
+    twice = once.where("bucket IS NOT NULL").select("bucket", "items", "body").groupBy("bucket").applyInArrow(_marked(window, n), schema)
+    spans = once.where("spans IS NOT NULL").select("block", "spans").unionByName(twice.select("block", "spans"))
     kind = docs.schema[key].dataType
     out = T.StructType([T.StructField(key, kind), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
     from pyspark.sql.pandas.types import to_arrow_type
 
     for c, o in zip(carry, others, strict=True):
         out = out.add(o, docs.schema[c].dataType)
-    cut = spans.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(_cut(key, to_arrow_type(kind), window, others, whole_characters), out)
+    kept = texts.select("block", "keys", "valid", "ends", "body", "spans", "carried")
+    cut = spans.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(_cut(key, to_arrow_type(kind), window, others, whole_characters), out)
     return cut.toDF(key, "n_bytes", "spans", "kept", *carry)

@@ -55,16 +55,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def written_by(df: DataFrame, tag: str, key: str) -> DataFrame:
-    """Like `written`, as a table bucketed by `key`: joins and groups on the key read it without a shuffle.
+    """Like `written`, bucketed by `key`: joins and groups on the key read it without a shuffle.
 
-    The files are in the shared folder; the catalog has a name for them.
+    The catalog names the files only until they are read here.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
     name = "scratch_" + path.rsplit("-", 1)[1]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # an external table: the files stay
+    return out
 
 
 def release(spark: SparkSession) -> None:

@@ -285,32 +285,76 @@ def brute_passages(rows, window=100):
     return out
 
 
+def passages(df, **options):
+    got = run_length_index.repeated_passages(df, **options).collect()
+    return [(r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in got]
+
+
 def test_passages_equal_brute_force(spark, sf, docs, hard, nothing):
     for rows, df in ((docs, spark.read.parquet(f"{sf}/documents.parquet")), (hard_texts(), hard)):
-        got = run_length_index.repeated_passages(df, carry=("lang",)).collect()
-        assert all(r.lang for r in got)
-        same([(r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in got], brute_passages(rows))
+        assert all(r.lang for r in run_length_index.repeated_passages(df, carry=("lang",)).collect())
+        same(passages(df), brute_passages(rows))
     assert run_length_index.repeated_passages(nothing).count() == 0
 
 
-def test_crowded_phrases_are_exact(spark):
-    """One phrase of 120 bytes in more contexts than are compared by index."""
-    rnd = random.Random(5)
-    phrase = "".join(rnd.choice("abcdefgh ") for _ in range(120))
-    rows = [(i, "".join(rnd.choice("ijklm ") for _ in range(60)) + phrase[rnd.randint(0, 15) :] + "".join(rnd.choice("ijklm ") for _ in range(60))) for i in range(80)]
-    got = run_length_index.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
-    same([(r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in got], brute_passages(rows))
+@pytest.mark.parametrize("window", [64, 65, 100, 128, 129, 200, 224])
+def test_every_window(spark, window):
+    """Texts of few letters that share passages of lengths around the window's, and copies with one change."""
+    rnd = random.Random(window)
+    base = "".join(rnd.choice(["ab", "ba", "aab", "é", "b"]) for _ in range(1500))
+    rows = [(i, base[(at := rnd.randint(0, 1200)) :][: rnd.choice([window - 1, window, window + 1, 2 * window])] + rnd.choice(["", "x", "ab"]) + base[at : at + rnd.randint(0, 300)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same(passages(df, window=window), brute_passages(rows, window))
+    with pytest.raises(ValueError):
+        run_length_index.repeated_passages(df, window=225)
 
 
-def test_matching_statistics():
+@pytest.mark.parametrize("crowd", [20_000, 8])
+def test_crowded_phrases_are_exact(spark, crowd, monkeypatch):
+    """One phrase of 120 bytes in many contexts, one of 60 bytes in many more, dealt out by anchor or by window, in one level of buckets or two."""
+    if crowd == 8:
+        monkeypatch.setattr(run_length_index.R, "FAN_OUT", 2)
+        monkeypatch.setattr(run_length_index, "BLOCK", 4000)
+    rnd = random.Random(5)
+    letters = lambda n: "".join(rnd.choice("ijklm ") for _ in range(n))
+    phrase, short = ("".join(rnd.choice("abcdefgh ") for _ in range(n)) for n in (120, 60))
+    rows = [(i, letters(60) + phrase[rnd.randint(0, 15) :] + letters(60) + short + letters(50)) for i in range(80)]
+    rows += [(80 + i, rows[3 * i][1]) for i in range(20)]
+    same(passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), crowd=crowd), brute_passages(rows))
+
+
+def test_the_index_decides_between_different_segments(spark, monkeypatch):
+    """Without the index no window of a segment that differs from those before is marked."""
+    rnd = random.Random(6)
+    rows = [(i, "".join(rnd.choice("abcdefgh ") for _ in range(150))) for i in range(20)]
+    rows += [(20 + i, "x" + rows[i][1][:130] + "y") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    table = df.selectExpr("doc_id AS k", "text").toArrow()
+    data, ends = (np.frombuffer("".join(t for _, t in rows).encode(), np.uint8), np.cumsum([0, *(len(t) for _, t in rows)]))
+    marked = run_length_index.repeated_windows(data, ends, np.arange(len(rows)), 100)
+    assert table.num_rows == 40 and marked.sum() == 20 * 31 and not marked[: ends[20]].any()
+    assert run_length_index.repeated_windows(data, ends, -np.arange(len(rows)), 100)[: ends[20]].sum() == 20 * 31  # the earlier one by the given order
+    same(passages(df), brute_passages(rows))
+
+
+@pytest.mark.parametrize("cap", [64, 100, 128, 129, 224])
+def test_matching_statistics(cap):
     rnd = random.Random(2)
-    text = bytes(rnd.choice(b"abc") for _ in range(3000))
-    index = run_length_index.RunLengthIndex(np.frombuffer(text, np.uint8))
-    texts = [bytes(rnd.choice(b"abcd") for _ in range(80)), text[100:260], b"", text[5:50] + b"d" + text[900:980]]
+    text = bytes(rnd.choice(b"abc") for _ in range(2000))
+    text += text[300:900] + b"z" + text[:500] + b"q"
+    owner = np.arange(len(text)) // 7
+    index = run_length_index.RunLengthIndex(np.frombuffer(text, np.uint8), cap, owner)
+    texts = [bytes(rnd.choice(b"abcd") for _ in range(80)), text[100:460], b"", text[5:50] + b"d" + text[900:1180], text[320:800]]
     ends = np.cumsum([0, *map(len, texts)])
-    got = index.matching_statistics(np.frombuffer(b"".join(texts), np.uint8), ends, 100)
-    want = [next((n for n in range(min(100, len(t) - i), 0, -1) if t[i : i + n] in text), 0) for t in texts for i in range(len(t))]
-    assert got.tolist() == want
+    size, whose = index.matching_statistics(np.frombuffer(b"".join(texts), np.uint8), ends)
+    at = 0
+    for t in texts:
+        for i in range(len(t)):
+            n = next((n for n in range(min(cap, len(t) - i), 0, -1) if t[i : i + n] in text), 0)
+            assert size[at] == n
+            if n == cap:
+                assert whose[at] == owner[text.find(t[i : i + n])]
+            at += 1
 
 
 # ---- 8: SimHash
