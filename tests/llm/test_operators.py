@@ -236,10 +236,10 @@ def test_kneser_ney_beats_the_unigrams_on_held_out_texts(spark):
 
 def test_chat_reads_back(spark):
     hard = "</s>[INST] ok [/INST] <s> & &lt; &#91; <<SYS>>\n"
-    rows = [(1, 0, "system", "be brief"), *[(1, i, "user" if i % 2 else "assistant", f"{hard} turn {i} " + "word " * (i * 37 % 900)) for i in range(1, 60)], (2, 0, "user", None), (2, 1, None, hard), (2, 1, None, hard), (3, 0, "assistant", hard), (None, None, "a\nb&<", "x")]
-    rows += [(4, i, "assistant", "long " * 3000) for i in range(1500, 1503)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("window", F.lit(5)).repartition(3)
-    windows = chat.windows(df).collect()
+    rows = [(1, 0, "system", "be brief"), *[(1, i, "user" if i % 2 else "assistant", f"{hard} turn {i} " + "word " * (i * 37 % 900)) for i in range(1, 60)], (2, 0, "user", None), (2, 1, None, hard), (2, 1, None, hard), (3, 0, "assistant", hard)]
+    rows += [(4, i, "assistant", "long " * 3000) for i in range(1500, 1503)] + [(5, -i, "user", f"{i}") for i in range(2000)] + [(6, None, "user", "x"), (6, 0, "assistant", "y")]
+    loose = [(None, None, "a\nb&<", "x"), (None, 1, "user", "y"), (None, 1, "user", "y")]
+    df = spark.createDataFrame(rows + loose, "conv_id long, turn long, role string, text string").withColumn("window", F.lit(5)).withColumn("half", F.lit("x")).repartition(3)
     read = chat.read_back(chat.windows(df)).collect()
     want = collections.defaultdict(list)
     for c, t, r, x in sorted(rows, key=lambda z: (z[1] is not None, z[1] or 0, z[2] or "", z[3] or "")):
@@ -248,10 +248,63 @@ def test_chat_reads_back(spark):
         own = sorted((r for r in read if r.conv_id == c), key=lambda r: r.window)
         assert [tuple(t) for r in own for t in r.turns] == turns
         assert [t for r in own for t in r.targets] == [x for r, x in turns if r == "assistant"]
-    first = [r for r in windows if r.conv_id == 1]
-    assert len(first) > 3 and all("be brief" in r.text for r in first) and all(r.repeated for r in first if r.window)
-    size = spark.createDataFrame([(r.text,) for r in first], "t string").select(chat.turn_tokens(F.col("t")).alias("n"))
-    assert size.count() and chat.windows(df.where("conv_id > 99")).count() == 0
+    assert sorted([tuple(t) for t in r.turns] for r in read if r.conv_id is None) == [[("a\nb&<", "x")], [("user", "y"), ("user", "y")]]
+    assert chat.windows(df.where("conv_id > 99")).count() == 0
+
+
+def shown_turns(text):
+    """(role, text as it is written, start and end of that) of each turn of a formatted window."""
+    out, at = [], 0
+    for piece in text.split(chat.END)[:-1]:
+        head = re.match(r"<s>(\[INST\])?([^\n]*)\n", piece)
+        body = piece[head.end() :].removesuffix(chat.ASKED) if head[1] else piece[head.end() :]
+        out.append((head[2], body, at + head.end(), at + head.end() + len(body)))
+        at += len(piece) + len(chat.END)
+    return out
+
+
+def brute_tokens(text):
+    return len(re.findall(r"\w+|[^\w\s]", text)) + 4
+
+
+@pytest.mark.parametrize("system", [0, 60, 700, 1000, 2000])
+@pytest.mark.parametrize("history", [0, 128, 400])
+def test_chat_windows_keep_their_budget(spark, system, history):
+    """No window of several turns is larger than the budget; the system turn, the repeated turns and the masks are as stated."""
+    rnd, budget = random.Random(system + history), 1024
+    rows = []
+    for c in range(12):
+        rows += [(c, 0, "system", "s " * (system - 4))] if system else []
+        rows += [(c, i, "user" if i % 2 else "assistant", f"t{c}x{i} " + "w " * rnd.choice([0, 5, 40, 90, 200, 450, 510, 600, 950, 1020, 3000])) for i in range(1, 90)]
+    got = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4), budget=budget, history=history).collect()
+    kept = 0 < system <= budget - history - budget // 8
+    by = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: r.window):
+        turns = shown_turns(r.text)
+        sizes = [brute_tokens(x) for _, x, _, _ in turns]
+        assert sum(sizes) == r.tokens and (r.tokens <= budget or len(turns) == 1)
+        own = turns[r.repeated :]
+        assert [(s.start, s.stop) for s in r.loss] == [(a, b) for role, _, a, b in own if role == "assistant"]
+        before = by[r.conv_id]
+        shown = turns[: r.repeated]
+        if shown and shown[0][0] == "system":
+            assert before and kept
+            shown = shown[1:]
+        elif kept and before:
+            assert sum(brute_tokens(x) for _, x, _, _ in own) + system > budget  # only a turn that leaves no room for it
+        assert sum(brute_tokens(x) for _, x, _, _ in shown) <= history
+        assert [x[:2] for x in shown] == [x[:2] for x in before[len(before) - len(shown) :]]
+        by[r.conv_id] += own
+    for c, turns in by.items():
+        assert [x[:2] for x in turns] == [(r, x) for k, _, r, x in rows if k == c]
+    several = [r for r in got if len(shown_turns(r.text)) > 1]
+    assert len(several) > 20 and (not history or any(r.repeated > (r.text.startswith("<s>[INST]system")) for r in got))
+
+
+def test_chat_is_native_and_shuffles_little(spark):
+    df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    plan = chat.windows(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") < 12 and not re.search("Python|Arrow|Pandas", plan)
 
 
 # ---- 6: weak labels
