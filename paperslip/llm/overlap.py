@@ -1,14 +1,17 @@
-"""Near-duplicates by the exact overlap of shingle sets: all pairs of a Jaccard similarity of `least` or more.
-
-Shingles are 64-bit hashes in one order, rare ones first. Two sets of similarity t share one of the first
-n - ceil(t n) + 1 shingles of each, so documents meet under those; sizes, places in the order and a parity
-bound drop pairs that cannot reach t, and the rest are compared by their whole sets. The order
-decides only how many candidates there are. Equal sets are one class from the start. In a crowded key
-first a chain and a star are compared, then the pairs that these have not connected.
+"""The exact side of near-duplicates: which texts' shingle sets have a Jaccard similarity of `least` or more.
+
+Given links (of fingerprints) are checked by the whole sets first. For the rest, shingles are 64-bit hashes
+in one order, rare ones first. Two sets of similarity t share one of the first n - ceil(t n) + 1 shingles of
+each, so documents of different components meet under those; sizes, places in the order and parity sketches
+drop pairs that cannot reach t, and the rest are compared by their whole sets. The order decides only how
+many candidates there are. Equal sets are one class from the start. In a crowded key first a chain and a
+star are compared, then the pairs that these have not connected.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,12 +19,14 @@ from pyspark.sql import functions as F
 
 from paperslip.llm import scratch
 from paperslip.llm.components import labelled
-from paperslip.llm.scratch import written
+from paperslip.llm.scratch import written, written_by
 from paperslip.llm.text_arrays import LOWER, flat, gathered, mix, spread, split_words
 from paperslip.llm.winnow import Rolling
 
 #: Members of one key up to which all its pairs are compared at once.
 DIRECT = 24
+#: Bits of the parity sketches that crowded keys are searched with.
+WIDE = 1024
 #: Pairs that leave a worker in one batch, about.
 BATCH = 100_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -53,44 +58,51 @@ def _needed(n: np.ndarray, least: tuple[int, int]) -> np.ndarray:
     return -(-n * least[0] // least[1])
 
 
-def _sets(size: int, whole: bool):
-    """(key, class, n, set) of every row; `set` is the whole set in hash order, or null."""
+def _sets(size: int):
+    """(class, set) of every row: the whole set in hash order."""
 
     def run(batches):
         for block in gathered(batches, "text", 2 << 20):
             hashes, at = shingles(*flat(block["text"]), size)
-            n = np.diff(at)
-            name = mix(np.add.reduceat(mix(hashes), at[:-1]) + n.astype(np.uint64)) if len(hashes) else np.zeros(0, np.uint64)
-            sets = pa.array([hashes[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)] if whole else [None] * len(n), pa.binary())
-            yield from pa.Table.from_arrays([block["key"], pa.array(name.view(np.int64)), pa.array(n.astype(np.int32)), sets], names=["key", "class", "n", "set"]).to_batches()
+            sets = pa.array([hashes[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+            yield from pa.Table.from_arrays([block["class"], sets], names=["class", "set"]).to_batches()
 
     return run
 
 
 def _names(size: int):
-    """(key, class, n, parity, sketch) of every row: bit b of a sketch (a power of two of bits, 2 n at least) is the parity of the shingles hashed to b; `parity` is the same in 64 bits."""
+    """(key, class) of every row: equal sets have equal classes."""
+
+    def run(batches):
+        for block in gathered(batches, "text", 2 << 20):
+            hashes, at = shingles(*flat(block["text"]), size)
+            name = mix(np.add.reduceat(mix(hashes), at[:-1]) + np.diff(at).astype(np.uint64)) if len(hashes) else np.zeros(0, np.uint64)
+            yield from pa.Table.from_arrays([block["key"], pa.array(name.view(np.int64))], names=["key", "class"]).to_batches()
+
+    return run
+
+
+def _sketched(size: int):
+    """(class, n, sketch, wide): bit b of a sketch (a power of two of bits, 2 n at least) is the parity of the shingles hashed to b; `wide` is the same in WIDE bits."""
 
     def run(batches):
         for block in gathered(batches, "text", 2 << 20):
             hashes, at = shingles(*flat(block["text"]), size)
-            n = np.diff(at)
-            if not len(n):
-                continue
-            name = mix(np.add.reduceat(mix(hashes), at[:-1]) + n.astype(np.uint64))
             place = mix(hashes ^ _BASE)
-            parity = np.bitwise_xor.reduceat(np.uint64(1) << (place & np.uint64(63)), at[:-1])
-            sketches = []
+            sketches, wides = [], []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 bits = 1 << max(6, (2 * (b - a) - 1).bit_length())
-                odd = np.bincount((place[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-                sketches.append(np.packbits(odd.astype(bool), bitorder="little").tobytes())
-            yield from pa.Table.from_arrays([block["key"], pa.array(name.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(parity.view(np.int64)), pa.array(sketches, pa.binary())], names=["key", "class", "n", "parity", "sketch"]).to_batches()
+                for out, width in ((sketches, bits), (wides, WIDE)):
+                    odd = np.bincount((place[a:b] & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+                    out.append(np.packbits(odd.astype(bool), bitorder="little").tobytes())
+            columns = [block["class"], pa.array(np.diff(at).astype(np.int32)), pa.array(sketches, pa.binary()), pa.array(wides, pa.binary())]
+            yield from pa.Table.from_arrays(columns, names=["class", "n", "sketch", "wide"]).to_batches()
 
     return run
 
 
 def _keyed(size: int, least: tuple[int, int], common: tuple[np.ndarray, np.ndarray]):
-    """(shingle, class, n, place) of the first shingles of every set, those in `common` (sorted by hash, with ranks) last."""
+    """(shingle, class, n, place, label) of the first shingles of every set, those in `common` (sorted by hash, with ranks) last."""
     hashed, rank = common
 
     def run(batches):
@@ -100,7 +112,6 @@ def _keyed(size: int, least: tuple[int, int], common: tuple[np.ndarray, np.ndarr
             if not len(n):
                 continue
             doc = np.repeat(np.arange(len(n)), n)
-            name = mix(np.add.reduceat(mix(hashes), at[:-1]) + n.astype(np.uint64))
             level = np.zeros(len(hashes), np.int64)
             if len(hashed):
                 i = np.minimum(np.searchsorted(hashed, hashes), len(hashed) - 1)
@@ -110,27 +121,30 @@ def _keyed(size: int, least: tuple[int, int], common: tuple[np.ndarray, np.ndarr
             here = spread(at[:-1], count)
             each = np.repeat(np.arange(len(n)), count)
             place = here - at[:-1][each]
-            yield from pa.Table.from_arrays([pa.array(hashes[here].view(np.int64)), pa.array(name.view(np.int64)[each]), pa.array(n[each].astype(np.int32)), pa.array(place.astype(np.int32))], names=["shingle", "class", "n", "place"]).to_batches(50_000)
+            own = [block[c].to_numpy()[each] for c in ("class", "label")]
+            yield from pa.Table.from_arrays([pa.array(hashes[here].view(np.int64)), pa.array(own[0]), pa.array(n[each].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(own[1])], names=["shingle", "class", "n", "place", "label"]).to_batches(50_000)
 
     return run
 
 
 def _can(a: list, b: list, least: tuple[int, int]) -> np.ndarray:
-    """Which pairs (class, n, place of one shingle that both have, and parity if known) may reach `least`."""
+    """Which pairs (class, n, place of one shingle that both have, label, and wide sketch if known) of different labels may reach `least`."""
     p, q = least
     both = a[1] + b[1]
     need = -(-both * p // (p + q))
     shared = np.minimum(a[2], b[2]) + np.minimum(a[1] - a[2], b[1] - b[2])  # before the shingle, and from it on
-    ok = (a[0] != b[0]) & (shared >= need)
-    if len(a) > 3:
-        ok &= both - 2 * need >= np.bitwise_count((a[3] ^ b[3]).view(np.uint64)).astype(np.int64)
+    ok = (a[3] != b[3]) & (shared >= need)
+    if len(a) > 4:
+        some = np.flatnonzero(ok)
+        apart = np.bitwise_count((a[4] if len(a[4]) == 1 else a[4][some]) ^ b[4][some]).sum(1, dtype=np.int64)
+        ok[some] = (both - 2 * need)[some] >= apart
     return ok
 
 
 def _pairs(least: tuple[int, int], crowded: bool):
-    """Candidate pairs of rows sorted by shingle and n, and the rows of crowded keys with dst null.
+    """Candidate pairs of different labels among rows sorted by shingle and n, and the rows of crowded keys with dst null.
 
-    With `crowded` rows have a parity and a label, and pairs are those of different labels, whatever the size of the key.
+    With `crowded` rows have a wide sketch, and all pairs of a key are taken, whatever its size.
     """
     names = ["src", "dst", "shingle", "n", "place"]
 
@@ -142,17 +156,23 @@ def _pairs(least: tuple[int, int], crowded: bool):
         return [c[i] for c in x]
 
     def group(x: list):
-        """x: class, n, place, parity, label of one key, by n."""
-        left, right, held = [], [], 0
+        """x: class, n, place, label, sketch of one key, by n: each row of a label but the most frequent one against all others."""
+        labels, inverse, count = np.unique(x[3], return_inverse=True, return_counts=True)
+        if len(labels) == 1:
+            return
+        rare = np.flatnonzero(inverse != np.argmax(count))
+        first = np.searchsorted(x[1], -(-x[1] * least[0] // least[1]), "left")
         last = np.searchsorted(x[1], x[1] * least[1] // least[0], "right")
-        for i in range(len(x[0]) - 1):
-            to = slice(i + 1, int(last[i]))
-            ok = _can(some(x[:4], slice(i, i + 1)), some(x[:4], to), least) & (x[4][to] != x[4][i])
-            if ok.any():
-                found = x[0][to][ok]
-                left.append(np.full(len(found), x[0][i]))
-                right.append(found)
-                held += len(found)
+        is_rare = inverse != np.argmax(count)
+        left, right, held = [], [], 0
+        for i in rare.tolist():
+            to = np.arange(first[i], last[i])
+            to = to[~is_rare[to] | (to > i)]
+            to = to[_can(some(x, slice(i, i + 1)), some(x, to), least)]
+            if len(to):
+                left.append(np.full(len(to), x[0][i]))
+                right.append(x[0][to])
+                held += len(to)
                 if held >= BATCH:
                     yield links(np.concatenate(left), np.concatenate(right))
                     left, right, held = [], [], 0
@@ -160,7 +180,7 @@ def _pairs(least: tuple[int, int], crowded: bool):
             yield links(np.concatenate(left), np.concatenate(right))
 
     def of(x: list):
-        """x: shingle, class, n, place (and parity, label) of whole keys."""
+        """x: shingle, class, n, place, label (and sketch) of whole keys."""
         key = x[0]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         sizes = np.diff(np.append(first, len(key)))
@@ -186,15 +206,14 @@ def _pairs(least: tuple[int, int], crowded: bool):
         held: list[list[np.ndarray]] = []
         n = 0
         for batch in batches:
-            x = [c.to_numpy().astype(np.int64) for c in batch.columns]
-            new = np.ones(len(x[0]), bool)  # equal sets give equal rows, one after another
-            new[1:] = (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])
-            new[:1] = not held or (held[-1][0][-1], held[-1][1][-1]) != (x[0][0], x[1][0]) if len(new) else True
-            if not new.any():
+            x = [c.to_numpy().astype(np.int64) for c in batch.columns[:5]]
+            if crowded:
+                x.append(flat(batch.column(5))[0].view(np.uint64).reshape(len(x[0]), WIDE // 64))
+            if not len(x[0]):
                 continue
-            held.append([c[new] for c in x])
-            n += len(held[-1][0])
-            if n < 200_000 or held[0][0][0] == held[-1][0][-1]:  # the last key may go on
+            held.append(x)
+            n += len(x[0])
+            if n < 200_000 or held[0][0][0] == x[0][-1]:  # the last key may go on
                 continue
             x = [np.concatenate(c) for c in zip(*held, strict=True)]
             cut = int(np.flatnonzero(x[0] != x[0][-1])[-1]) + 1
@@ -238,15 +257,15 @@ def _verified(least: tuple[int, int]):
     return run
 
 
-def _common(docs: DataFrame, size: int, sample_docs: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _common(texts: DataFrame, size: int, sample_docs: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, ranks) of at most `most` shingles that three different texts or more of a sample have, by hash; a higher rank is more common."""
-    share = max(docs.count() // sample_docs, 1)
-    rows = docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+    share = max(texts.count() // sample_docs, 1)
+    rows = texts.where(F.pmod(F.xxhash64("class"), F.lit(share)) == 0)
 
     def run(batches):
-        for batch in _sets(size, True)(batches):
-            body, ends = flat(batch.column(3))
-            each = np.repeat(batch.column(1).to_numpy(), np.diff(ends) // 8)
+        for batch in _sets(size)(batches):
+            body, ends = flat(batch.column(1))
+            each = np.repeat(batch.column(0).to_numpy(), np.diff(ends) // 8)
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(body.tobytes(), np.int64)), pa.array(each)], names=["shingle", "class"])
 
     pairs = rows.mapInArrow(run, "shingle long, class long").distinct()
@@ -256,45 +275,55 @@ def _common(docs: DataFrame, size: int, sample_docs: int, most: int) -> tuple[np
     return hashes[order], count[order]
 
 
-def _links(pairs: DataFrame, names: DataFrame, docs: DataFrame, size: int, least: tuple[int, int]) -> DataFrame:
+def _links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, least: tuple[int, int]) -> DataFrame:
     """The pairs (src, dst) of classes whose whole sets have a similarity of `least` or more."""
-    few = names.select("class", "n", "sketch").dropDuplicates(["class"])
+    few = sketches.select("class", "n", "sketch")
     two = pairs.join(few.toDF("src", "n", "a"), "src").join(few.toDF("dst", "m", "b"), "dst").select("src", "dst", "n", "m", "a", "b")
     near = written(two.mapInArrow(_alike(least), "src long, dst long"), "near")
     asked = near.select(F.explode(F.array("src", "dst")).alias("class")).distinct()
-    asked = written(names.join(asked, "class", "left_semi").groupBy("class").agg(F.min("key").alias("_key")).select("_key"), "asked")
-    rows = docs.join(asked, F.col("key") == F.col("_key")).select("key", "text")
-    sets = written(rows.mapInArrow(_sets(size, True), rows.select("key").schema.add("class", "long").add("n", "integer").add("set", "binary")).select("class", "set").dropDuplicates(["class"]), "sets")
-    scratch.release(docs.sparkSession)
+    sets = written(texts.join(asked, "class", "left_semi").select("class", "text").mapInArrow(_sets(size), "class long, set binary"), "sets")
+    scratch.release(texts.sparkSession)
     two = near.join(sets.toDF("src", "a"), "src").join(sets.toDF("dst", "b"), "dst").select("src", "dst", "a", "b")
     out = written(two.mapInArrow(_verified(least), "src long, dst long"), "links")
-    scratch.release(docs.sparkSession)
+    scratch.release(texts.sparkSession)
     return out
 
 
-def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, least: tuple[int, int] = (4, 5), sample_docs: int = 10_000, common: int = 100_000) -> DataFrame:
+def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, least: tuple[int, int] = (4, 5), sample_docs: int = 10_000, common: int = 100_000, candidates: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(key, component): the smallest key that a row reaches over pairs of texts whose shingle sets have a Jaccard similarity of `least` or more.
 
-    Words are split at white space, A to Z count as a to z. Null and empty texts are alike. `key` names a row; no rows give no rows.
+    `candidates` makes pairs (src, dst) of classes from the different texts (class, text); those that hold are
+    links, and what they leave apart is compared without loss. Words are split at white space, A to Z count
+    as a to z. Null and empty texts are alike. `key` names a row; no rows give no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    schema = rows.select("key").schema.add("class", "long").add("n", "integer").add("parity", "long").add("sketch", "binary")
-    names = written(rows.mapInArrow(_names(size), schema), "names")
-    keyed = rows.mapInArrow(_keyed(size, least, _common(rows, size, sample_docs, common)), "shingle long, class long, n int, place int")
+    names = written(rows.mapInArrow(_names(size), rows.select("key").schema.add("class", "long")), "names")
+    firsts = names.groupBy("class").agg(F.min("key").alias("key"))
+    texts = written_by(rows.join(firsts, "key").select("class", "text"), "texts", "class")  # one of each set
+    sketches = written(texts.mapInArrow(_sketched(size), "class long, n int, sketch binary, wide binary"), "sketches")
+    scratch.release(spark)
+    nodes = texts.select("class")
+    check = lambda pairs: _links(pairs, sketches, texts, size, least)
+    links = check(written(candidates(texts).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "pairs")) if candidates else spark.createDataFrame([], "src long, dst long")
+    label = written(labelled(nodes, "class", links), "label")
+
+    keyed = texts.join(label.withColumnRenamed("component", "label"), "class").select("class", "text", "label").mapInArrow(_keyed(size, least, _common(texts, size, sample_docs, common)), "shingle long, class long, n int, place int, label long")
     columns = "src long, dst long, shingle long, n int, place int"
     met = written(keyed.repartition("shingle").sortWithinPartitions("shingle", "n", "class").mapInArrow(_pairs(least, False), columns), "met")
     scratch.release(spark)
-    links = _links(written(met.where("dst IS NOT NULL").select("src", "dst").distinct(), "pairs"), names, rows, size, least)
-    classes = written(names.groupBy("class").agg(F.min("key").alias("key"), F.first("parity").alias("parity")), "classes")
-    label = written(labelled(classes.select("class", "parity"), "class", links), "label")
-    crowd = met.where("dst IS NULL").select("shingle", F.col("src").alias("class"), "n", "place").join(label, "class").select("shingle", "class", "n", "place", "parity", "component")
+    links = links.unionByName(check(written(met.where("dst IS NOT NULL").select("src", "dst").distinct(), "pairs")))
+    label = written(labelled(nodes, "class", links), "label")
+    crowd = met.where("dst IS NULL").select("shingle", F.col("src").alias("class"), "n", "place")
+    # keys whose members are all connected by now are done
+    apart = crowd.join(label, "class").groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("shingle")
+    crowd = crowd.join(apart, "shingle", "left_semi").join(label, "class").join(sketches.select("class", "wide"), "class").select("shingle", "class", "n", "place", "component", "wide")
     again = crowd.repartition("shingle").sortWithinPartitions("shingle", "n", "class").mapInArrow(_pairs(least, True), columns)
     more = written(again.select("src", "dst").distinct(), "pairs")
     scratch.release(spark)
     if not more.isEmpty():
-        links = links.unionByName(_links(more, names, rows, size, least))
-        label = labelled(classes.select("class"), "class", links)
-    least_key = label.join(classes.select("class", "key"), "class").groupBy("component").agg(F.min("key").alias("_least"))
+        links = links.unionByName(check(more))
+        label = written(labelled(nodes, "class", links), "label")
+    least_key = label.join(firsts, "class").groupBy("component").agg(F.min("key").alias("_least"))
     named = written(label.join(least_key, "component").select(F.col("class").alias("_class"), F.col("_least").alias("component")), "named")
-    return names.select("key", "class").join(named, F.col("class") == F.col("_class")).select(F.col("key").alias(key), "component")
+    return names.join(named, F.col("class") == F.col("_class")).select(F.col("key").alias(key), "component")

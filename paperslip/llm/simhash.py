@@ -162,6 +162,18 @@ def links(classes: DataFrame, *, bits: int = 4) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "print").mapInArrow(_links(bits), "src long, dst long").distinct()
 
 
+def linked_rows(prints: DataFrame, *, key: str, bits: int = 4) -> DataFrame:
+    """(src, dst): keys of rows whose fingerprints are `bits` apart at most, enough of them to connect all that are linked.
+
+    Keys are unique; equal fingerprints hang on the smallest of their keys.
+    """
+    prints = written(prints.select(F.col(key).alias("k"), "fingerprint"), "prints")
+    classes = written(prints.groupBy("fingerprint").agg(F.min("k").alias("first")), "classes")
+    equal = prints.join(classes, "fingerprint").where("k <> first").select(F.col("first").alias("src"), F.col("k").alias("dst"))
+    near = links(classes, bits=bits).toDF("a", "b").join(classes.toDF("a", "src"), "a").join(classes.toDF("b", "dst"), "b").select("src", "dst")
+    return equal.unionByName(near)
+
+
 def components(prints: DataFrame, *, key: str = "doc_id", bits: int = 4) -> DataFrame:
     """(key, fingerprint, component): the smallest key that a row reaches over links of `bits` at most, its own included.
 
