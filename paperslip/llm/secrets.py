@@ -1,8 +1,10 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
 The models are first-order chains over the signs that tokens are made of. Both are counted in Spark from
-labelled samples (a table of at most 66 x 66 pairs per label reaches the driver); a long token is a secret
-if the log-likelihood ratio of the random model to the ordinary one is high enough.
+labelled samples (a table of at most 67 x 67 pairs per label reaches the driver); a long token, or a part of
+one, is a secret if the log-likelihood ratio of the random model to the ordinary one is high enough. Random
+samples are digests in the alphabets that keys are written in; ordinary ones are the corpus's own words in
+the shapes of identifiers: joined by signs or capitals, in paths, with numbers, versions and dates, and UUIDs.
 """
 
 from __future__ import annotations
@@ -33,26 +35,54 @@ _JOINTS = np.frombuffer(b"/_=-", np.uint8)
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-def labelled_samples(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample_docs: int = 1000) -> DataFrame:
-    """(value, random): words of 6 letters or more of at most `sample_docs` texts (those with the smallest key hashes), and digests of the same words as random strings, in base 64 and hexadecimal digits."""
+def labelled_samples(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample_docs: int = 1000, part: int = 0, parts: int = 1) -> DataFrame:
+    """(kind, value, random): identifier shapes made of words of at most `sample_docs` texts (those with the smallest key hashes), and random strings from digests of the same words.
+
+    Of the word triples those whose digest is `part` modulo `parts` are taken, so that samples can be held
+    out. Null keys and null texts give no samples; one sample of each value stays.
+    """
     chosen = docs.select(F.col(key).alias("k")).where("k IS NOT NULL").distinct().orderBy(F.xxhash64("k"), "k").limit(sample_docs)
     texts = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "k")  # sample_docs keys at most
-    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z][A-Za-z_-]{5,}(?![A-Za-z0-9+/_=.-])"), F.lit(0))).alias("w")).distinct()
-    digest = F.sha2("w", 256)
-    sample = lambda value, random: F.struct(value.alias("value"), F.lit(random).alias("random"))
-    made = F.array(sample(F.col("w"), False), sample(F.base64(F.unhex(digest)), True), sample(F.substring(digest, 1, 40), True))
-    return words.select(F.inline(made))
-
-
-def train(samples: DataFrame) -> np.ndarray:
-    """Log-likelihood ratios of sign pairs, random against ordinary, add-one smoothed; without samples all are 0."""
+    words = texts.select(F.transform(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9])[A-Za-z]{3,}(?![A-Za-z0-9])"), F.lit(0)), F.lower).alias("w")).where("size(w) > 2")
+    three = words.select(F.explode(F.expr("transform(sequence(1, size(w) - 2, 3), i -> struct(w[i - 1] AS a, w[i] AS b, w[i + 1] AS c))")).alias("t")).select("t.*").distinct()
+    three = three.withColumn("d", F.sha2(F.concat_ws(" ", "a", "b", "c"), 256)).where(F.pmod(F.xxhash64("d"), F.lit(parts)) == part)
+    a, b, c, d = (F.col(x) for x in "abcd")
+    number = F.pmod(F.xxhash64("d"), F.lit(90_000)) + 10_000
+    n = lambda k: F.substring(number.cast("string"), 1, k)
+    base64 = F.base64(F.unhex(d))
+    letters = F.translate(base64, "+/=", "")
+    uuid = F.regexp_replace(F.substring(d, 1, 32), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
+    date = F.concat(F.lit("20"), n(2), F.lit("-0"), F.substring(n(5), 5, 1), F.lit("-1"), F.substring(n(5), 4, 1))
+    shapes = {
+        "words": F.concat(a, b, c), "snake": F.concat_ws("_", a, b, c), "constant": F.upper(F.concat_ws("_", a, b, c)), "kebab": F.concat_ws("-", a, b, c), "camel": F.concat(a, F.initcap(b), F.initcap(c), n(1)), "title": F.concat(F.initcap(a), F.initcap(b), F.initcap(c)),
+        "path": F.concat_ws("/", F.lit(""), a, b, F.initcap(c)), "file": F.concat(a, F.lit("/"), b, F.initcap(c), n(2)), "query": F.concat(a, F.lit("="), n(3), F.lit("/"), b, F.lit("="), c), "version": F.concat(a, F.lit("-v"), n(1), F.lit("-"), n(2), F.lit("-"), b),
+        "date": F.concat(date, F.lit("-"), a), "number": F.concat(n(5), n(4), n(3)), "uuid": uuid,
+    }
+    random = {"base64": base64, "letters": letters, "capitals": F.upper(letters), "small": F.lower(letters), "hex": F.upper(F.substring(d, 1, 40))}
+    sample = lambda kind, value, label: F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(label).alias("random"))
+    made = F.array(*(sample(k, v, False) for k, v in shapes.items()), *(sample(k, v, True) for k, v in random.items()))
+    return three.select(F.inline(made)).dropDuplicates(["value", "random"])
+
+
+def train(samples: DataFrame, *, mixed: float = 0.2) -> np.ndarray:
+    """Log-likelihood ratios of sign pairs, random against ordinary; without samples all are 0.
+
+    A pair's probability is that of the samples, mixed with the share `mixed` of one that knows the kinds of
+    signs only (small, capital, digit, each joining sign), so that words of other languages than the samples'
+    are not random for their letters.
+    """
     pairs = samples.where("value IS NOT NULL AND random IS NOT NULL").select("random", F.explode(F.expr("transform(sequence(1, greatest(length(value) - 1, 1)), i -> substring(value, i, 2))")).alias("p"))
     n = len(ALPHABET)
     counts = np.zeros((2, n, n))
     for row in pairs.where("p RLIKE '^[A-Za-z0-9+/_=-]{2}$'").groupBy("random", "p").count().collect():  # 2 x 67 x 67 rows at most
         counts[int(row[0]), ALPHABET.index(row[1][0]), ALPHABET.index(row[1][1])] += row[2]
-    share = (counts + 1) / (counts + 1).sum(2, keepdims=True)
-    return np.log(share[1]) - np.log(share[0])
+    kind = np.array([0] * 26 + [1] * 26 + [2] * 10 + [3, 4, 5, 6, 7][: n - 62])
+    of = (kind[:, None] == np.arange(8)).astype(float)
+    by_kind = of.T @ counts @ of + 1
+    coarse = (of @ (by_kind / by_kind.sum(2, keepdims=True) / np.maximum(of.sum(0), 1)) @ of.T) if counts.any() else np.ones_like(counts) / n
+    share = (counts + coarse) / (counts + coarse).sum(2, keepdims=True)
+    mix = (1 - mixed) * share + mixed * coarse
+    return np.log(mix[1]) - np.log(mix[0])
 
 
 def base_spans(text: str, lower: bytes | None = None) -> list[tuple[int, int, int]]:
@@ -103,7 +133,7 @@ def _random_parts(total: np.ndarray, joint: np.ndarray, a: int, b: int, least: i
     return sorted(out)
 
 
-def scan(docs: DataFrame, ratios: np.ndarray, *, key: str = "doc_id", text: str = "text", least: int = 20, threshold: float = 12.0) -> DataFrame:
+def scan(docs: DataFrame, ratios: np.ndarray, *, key: str = "doc_id", text: str = "text", least: int = 20, threshold: float = 10.0) -> DataFrame:
     """Every row of docs with `spans` added: array of (kind, start, end) in code points, end exclusive, by start and kind.
 
     Base patterns give assign, access and hex spans; a run of token signs is cut at those, and what is left of it
