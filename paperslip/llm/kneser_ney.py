@@ -1,13 +1,12 @@
-"""An interpolated modified Kneser-Ney model of word pairs, counted in Spark and mapped by the workers.
-
-Blocks of training texts are reduced to distinct pairs with counts before anything is shuffled; pairs are
-dealt out by their context, those of frequent contexts by the whole pair, so that no context is in one task.
-Each bucket writes its sorted 64-bit hashes and counts as arrays to the shared folder; workers map these
-files read-only and look a block's distinct pairs up by binary search. The model grows with the corpus and
-no part of it passes through the driver, which gets bucket totals and the frequent words only.
-
-Order 2 is what the disk budget holds: nearly every third word makes a new triple in varied text, so that a
-model of triples is a multiple of its input.
+"""An interpolated modified Kneser-Ney model of words, pairs or triples of words, counted in Spark and mapped by the workers.
+
+Blocks of training texts are reduced to distinct grams with counts before anything is shuffled; grams are
+dealt out by their context, those of contexts of frequent words by the whole gram, so that no context is in
+one task. A bucket writes its sorted 64-bit hashes and counts as arrays to the shared folder, and sends the
+grams of one word less on with how many different words stand before each; these are the counts of the next
+level. Workers map the files read-only and look a block's distinct grams up by binary search. The model grows
+with the corpus and no part of it passes through the driver, which gets totals and the contexts of frequent
+words only (200 words at most, so 40,000 pairs).
 """
 
 from __future__ import annotations
@@ -23,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperslip.llm import routing as R
 from paperslip.llm.scratch import mounted, new_path, shared_dir, written
 from paperslip.llm.text_arrays import LOWER, coded, flat, gathered, mix, pack, split_words
 from paperslip.llm.winnow import Rolling
@@ -30,27 +30,10 @@ from paperslip.llm.winnow import Rolling
 BLOCK = 6 << 20
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _LOW48 = np.uint64((1 << 48) - 1)
-#: A context with more than this share of all tokens is dealt out by pairs.
+#: A word with more than this share of all tokens is frequent.
 FREQUENT = 1 / 200
-
-
-def _bytes48(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _from48(raw: bytes) -> np.ndarray:
-    part = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(part), 8), np.uint8)
-    out[:, :6] = part
-    return out.view(np.uint64).ravel()
-
-
-def _squeezed(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
-
-
-def _opened(raw: bytes) -> bytes:
-    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+#: Bytes of text per bucket, about.
+BUCKET_BYTES = 16 << 20
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,29 +52,33 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def _before(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    out = np.empty_like(hashes)
-    out[1:] = hashes[:-1]
-    out[ends[:-1]] = _START
-    return out
+def _contexts(hashes: np.ndarray, ends: np.ndarray, often: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(context, whether all its words are frequent) of every token, for contexts of one word and, with order 3, of two."""
+    one = np.empty_like(hashes)
+    one[1:] = hashes[:-1]
+    one[ends[:-1]] = _START
+    hot = np.isin(one, often) | (one == _START)
+    if order == 2:
+        return [(one, hot)]
+    two, hot_two = np.empty_like(hashes), np.ones(len(hashes), bool)
+    two[1:], hot_two[1:] = one[:-1], hot[:-1]
+    two[ends[:-1]], hot_two[ends[:-1]] = _START, True
+    return [(one, hot), (mix(two * np.uint64(0xD6E8FEB86659FD93) ^ one), hot & hot_two)]
 
 
-def _pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+def _gram(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(context * np.uint64(0x9E6C63D0876A9A47) ^ (word & _LOW48))
 
 
-def _bucket(context: np.ndarray, pair: np.ndarray, frequent: np.ndarray, n: int) -> np.ndarray:
-    deal = np.where(np.isin(context, frequent), pair, context) if len(frequent) else context
-    return (mix(deal) % np.uint64(n)).astype(np.int64)
-
-
-def _own(words: np.ndarray, n: int) -> np.ndarray:
-    return (mix(words & _LOW48) % np.uint64(n)).astype(np.int64)
+def _files(folder: str, name: str) -> str:
+    return f"{folder}/{name}.npy"
 
 
 def _save(folder: str, name: str, array: np.ndarray) -> None:
-    """Whole or not at all: tasks that are run again write the same file."""
-    at = f"{folder}/{name}.npy"
+    """Whole or not at all: tasks that are run again write the same file. Counts take as few bytes as the largest needs."""
+    if array.dtype != np.uint64:
+        array = array.astype(np.min_scalar_type(int(array.max(initial=0))))
+    at = _files(folder, name)
     new = f"{at}.{uuid.uuid4().hex}"
     with open(new, "wb") as f:
         np.save(f, array)
@@ -100,7 +87,7 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
 
 @lru_cache(maxsize=20_000)
 def _mapped(folder: str, name: str) -> np.ndarray | None:
-    at = f"{folder}/{name}.npy"
+    at = _files(folder, name)
     return np.load(at, mmap_mode="r") if os.path.exists(at) else None
 
 
@@ -126,15 +113,16 @@ def _look_up(folder: str, kind: str, bucket: np.ndarray, keys: np.ndarray, colum
 
 @dataclass(frozen=True)
 class Model:
-    """Where the arrays are, and the totals: `discounts` of pairs and of continuations (for counts 1, 2, 3 and more)."""
+    """Where the arrays are, and the totals: `discounts` by level from single words up (for counts 1, 2, 3 and more)."""
 
     folder: str
     buckets: int
+    order: int
     frequent: tuple[int, ...]
     n_tokens: int
     n_words: int
     n_pairs: int
-    discounts: tuple[tuple[float, float, float], tuple[float, float, float]]
+    discounts: tuple[tuple[float, float, float], ...]
     lower_rest: float
 
 
@@ -152,147 +140,178 @@ def _level(counts: np.ndarray) -> list[int]:
     return [int((counts == i).sum()) for i in range(1, 5)]
 
 
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(inverse, np.concatenate(counts).astype(np.float64), len(key)).astype(np.int64)
+def _merged(key: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, their summed counts, a place of each)."""
+    key, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+    return key, np.bincount(inverse, counts, len(key)).astype(np.int64), at
+
+
+_SUMS = ("total", "one", "two", "more")
+_WORD = ("u8", "i8")  # word, count
+_GRAM = {2: ("u8", "u1", "V6", "i4"), 3: ("u8", "u1", "V6", "i4", "u8")}  # what it is dealt by, whether that is the gram, word, count, shorter context; the context of a hot gram is a column of its own
+_HOT = {k: (*kinds, "u8") for k, kinds in _GRAM.items()}
 
 
-def train(docs: DataFrame, *, text: str = "text", model_dir: str | None = None) -> Model:
-    """Count all texts of docs (null: empty). `model_dir` is a folder that every worker can open; by default a new one in the shared folder.
+def _dealt_grams(level: int, n: int, context: np.ndarray, hot: np.ndarray, word: np.ndarray, count: np.ndarray, shorter: np.ndarray | None) -> list[pa.RecordBatch]:
+    """Messages of one block or bucket: grams by their context, those of hot contexts by themselves (with their context)."""
+    out = []
+    for is_hot in (False, True):
+        own = np.flatnonzero(hot == is_hot)
+        if not len(own):
+            continue
+        own = own[np.lexsort((word[own], context[own]))]
+        by = _gram(context[own], word[own]) if is_hot else context[own]
+        columns = [by, np.full(len(own), is_hot, np.uint8), R.short(word[own]), count[own].astype(np.int32)]
+        columns += [] if level == 2 else [shorter[own]]
+        columns += [context[own]] if is_hot else [np.zeros(len(own), np.uint64)]
+        out.append(R.dealt(R.bucket_of(by, n), columns))
+    return out
+
 
-    No rows give an empty model.
+def train(docs: DataFrame, *, text: str = "text", order: int = 2, model_dir: str | None = None) -> Model:
+    """Count all texts of docs (null: empty) in grams of up to `order` words, 2 or 3.
+
+    `model_dir` is a folder that every worker can open; by default a new one in the shared folder. Repeated
+    rows count each time; columns other than the text are not read; a text of any length is one block. No
+    rows give an empty model.
     """
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     spark = docs.sparkSession
     folder = model_dir or mounted(new_path(spark, "model"))
     if folder is None:
         raise ValueError(f"workers map the model's files, and {shared_dir(spark)} is not a mounted folder; give model_dir")
     os.makedirs(folder, exist_ok=True)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(text).cast("string").alias("text"))
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = R.whole(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // BUCKET_BYTES))
+    first_n = R.first_level(n)
 
     def words(batches):
         for block in gathered(batches, "text", BLOCK):
             key, count = np.unique(tokens(block["text"])[0], return_counts=True)
-            bucket = _own(key, n)
-            for b in np.unique(bucket):
-                own = bucket == b
-                yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), pa.array([_squeezed(key[own].tobytes())]), pa.array([_squeezed(count[own].astype(np.uint32).tobytes())])], names=["bucket", "keys", "counts"])
+            yield R.dealt(R.bucket_of(key & _LOW48, first_n), [key & _LOW48, key >> np.uint64(48), count])
 
     def save_words(table: pa.Table) -> pa.Table:
         b = table["bucket"][0].as_py()
-        key, count = _merged([np.frombuffer(_opened(x), np.uint64) for x in table["keys"].to_pylist()], [np.frombuffer(_opened(x), np.uint32) for x in table["counts"].to_pylist()])
+        (low, high, counts), _ = R.read(table, ("u8", "u8", "i8"))
+        key, count, _ = _merged(high << np.uint64(48) | low, counts)
         _save(folder, f"words-{b}", key)
         _save(folder, f"words-{b}-count", count)
         top = np.argsort(-count)[: int(1 / FREQUENT)]
         return pa.table({"n_tokens": [int(count.sum())], "n_words": [len(key)], "top": [key[top].view(np.int64).tolist()], "top_counts": [count[top].tolist()]})
 
-    packed = "bucket int, keys binary, counts binary"
-    sums = rows.mapInArrow(words, packed).groupBy("bucket").applyInArrow(save_words, "n_tokens long, n_words long, top array<long>, top_counts array<long>")
+    sums = R.routed(rows.mapInArrow(words, R.SCHEMA), n, ("u8", "u8", "i8")).groupBy("bucket").applyInArrow(save_words, "n_tokens long, n_words long, top array<long>, top_counts array<long>")
     sums = written(sums, "words")
     total = sums.agg(F.sum("n_tokens"), F.sum("n_words")).first()
     n_tokens, n_words = total[0] or 0, total[1] or 0
     frequent = [r[0] for r in sums.select(F.explode(F.arrays_zip("top", "top_counts")).alias("x")).where(F.col("x.top_counts") > FREQUENT * n_tokens).select("x.top").collect()]  # fewer than 1 / FREQUENT rows
     often = np.array(frequent, np.int64).view(np.uint64)
 
-    def pairs(batches):
+    def grams(batches):
         for block in gathered(batches, "text", BLOCK):
             word, ends = tokens(block["text"])
-            context = _before(word, ends)
-            pair, at, count = np.unique(_pair(context, word), return_index=True, return_counts=True)
-            context, word = context[at], word[at] & _LOW48
-            bucket = _bucket(context, pair, often, n)
-            order = np.lexsort((context, bucket))
-            context, word, count, bucket = context[order], word[order], count[order], bucket[order]
-            cuts = np.searchsorted(bucket, np.arange(n + 1))
-            for b in np.flatnonzero(np.diff(cuts)):
-                s = slice(cuts[b], cuts[b + 1])
-                head = np.flatnonzero(np.append(True, context[s][1:] != context[s][:-1]))
-                width = np.diff(np.append(head, cuts[b + 1] - cuts[b])).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(b)], pa.int32()), *(pa.array([_squeezed(x)]) for x in (context[s][head].tobytes(), width.tobytes(), _bytes48(word[s]), count[s].astype(np.uint32).tobytes()))], names=["bucket", "contexts", "widths", "words", "counts"]
-                )
-
-    def save_pairs(table: pa.Table) -> pa.Table:
-        b = table["bucket"][0].as_py()
-        part = lambda name, kind: [np.frombuffer(_opened(x), kind) for x in table[name].to_pylist()]
-        context = np.concatenate([np.repeat(c, w) for c, w in zip(part("contexts", np.uint64), part("widths", np.uint32), strict=True)])
-        word = np.concatenate([_from48(_opened(x)) for x in table["words"].to_pylist()])
-        pair, at, inverse = np.unique(_pair(context, word), return_index=True, return_inverse=True)
-        count = np.bincount(inverse, np.concatenate(part("counts", np.uint32)).astype(np.float64), len(pair)).astype(np.int64)
-        context, word = context[at], word[at]
-        _save(folder, f"pairs-{b}", pair)
-        _save(folder, f"pairs-{b}-count", count.astype(np.uint32))
-        own, inverse = np.unique(context, return_inverse=True)
-        sums = [np.bincount(inverse, w, len(own)).astype(np.uint32) for w in (count, count == 1, count == 2, count > 2)]
-        hot = np.isin(own, often)
-        for name, values in zip(("total", "one", "two", "more"), sums, strict=True):
-            _save(folder, f"contexts-{b}-{name}", values[~hot])
-        _save(folder, f"contexts-{b}", own[~hot])
-        after, follows = np.unique(word, return_counts=True)
-        to = _own(after, n)
-        out = [{"bucket": -1, "level": _level(count), "n": len(pair)}]
-        out += [{"bucket": -2, "context": int(c), "level": [int(s[i]) for s in sums]} for i, c in zip(np.flatnonzero(hot).tolist(), own[hot].view(np.int64).tolist(), strict=True)]
-        out += [{"bucket": int(t), "keys": _squeezed(after[to == t].tobytes()), "counts": _squeezed(follows[to == t].astype(np.uint32).tobytes())} for t in np.unique(to)]
-        schema = pa.schema([("bucket", pa.int32()), ("context", pa.int64()), ("level", pa.list_(pa.int64())), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-        return pa.Table.from_pylist(out, schema)
-
-    kinds = "bucket int, contexts binary, widths binary, words binary, counts binary"
-    parts = written(rows.mapInArrow(pairs, kinds).groupBy("bucket").applyInArrow(save_pairs, "bucket int, context long, level array<long>, n long, keys binary, counts binary"), "pairs")
-    first = parts.where("bucket = -1").agg(F.sum("n"), *(F.sum(F.col("level")[i]) for i in range(4))).first()
-    hot = parts.where("bucket = -2").groupBy("context").agg(*(F.sum(F.col("level")[i]) for i in range(4))).orderBy("context").collect()  # frequent contexts only
-    _save(folder, "contexts-hot", np.array([r[0] for r in hot], np.int64).view(np.uint64))
-    for i, name in enumerate(("total", "one", "two", "more")):
-        _save(folder, f"contexts-hot-{name}", np.array([r[i + 1] for r in hot], np.int64))
+            contexts = _contexts(word, ends, often, order)
+            context, hot = contexts[order - 2]
+            _, at, count = np.unique(_gram(context, word), return_index=True, return_counts=True)
+            yield from _dealt_grams(order, first_n, context[at], hot[at], word[at] & _LOW48, count, contexts[0][0][at] if order == 3 else None)
+
+    def save_grams(level: int):
+        def run(table: pa.Table) -> pa.Table:
+            b = table["bucket"][0].as_py()
+            columns, _ = R.read(table, _HOT[level])
+            by, is_hot, word, counts = columns[0], columns[1] > 0, R.long(columns[2]), columns[3]
+            context = np.where(is_hot, columns[-1], by)
+            gram, count, at = _merged(_gram(context, word), counts)
+            context, word, is_hot = context[at], word[at], is_hot[at]
+            _save(folder, f"grams{level}-{b}", gram)
+            _save(folder, f"grams{level}-{b}-count", count)
+            own, where, inverse = np.unique(context, return_index=True, return_inverse=True)
+            sums = [np.bincount(inverse, w, len(own)).astype(np.int64) for w in (count, count == 1, count == 2, count > 2)]
+            hot = is_hot[where]
+            for name, values in zip(_SUMS, sums, strict=True):
+                _save(folder, f"contexts{level}-{b}-{name}", values[~hot])
+            _save(folder, f"contexts{level}-{b}", own[~hot])
+            out = [{"level": [len(gram), *_level(count)]}]
+            out += [{"context": int(c), "level": [int(s[i]) for s in sums]} for i, c in zip(np.flatnonzero(hot).tolist(), own[hot].view(np.int64).tolist(), strict=True)]
+            if level == 2:
+                after, follows = np.unique(word, return_counts=True)
+                batches = [R.dealt(R.bucket_of(after, first_n), [after, follows.astype(np.int64)])]
+            else:
+                shorter = columns[4][at]
+                _, where, follows = np.unique(_gram(shorter, word), return_index=True, return_counts=True)
+                shorter, after = shorter[where], word[where]
+                batches = _dealt_grams(2, first_n, shorter, np.isin(shorter, often) | (shorter == _START), after, follows, None)
+            out += [r for batch in batches for r in batch.to_pylist()]
+            return pa.Table.from_pylist(out, pa.schema([*R.ARROW, ("context", pa.int64()), ("level", pa.list_(pa.int64()))]))
+
+        return run
+
+    stats: dict[int, list[int]] = {}
+    sent = R.routed(rows.mapInArrow(grams, R.SCHEMA), n, _HOT[order])
+    for level in range(order, 1, -1):
+        parts = written(sent.groupBy("bucket").applyInArrow(save_grams(level), f"{R.SCHEMA}, context long, level array<long>"), f"grams{level}")
+        row = parts.where("bucket IS NULL AND context IS NULL").agg(*(F.sum(F.col("level")[i]) for i in range(5))).first()
+        stats[level] = [x or 0 for x in row]
+        hot = parts.where("context IS NOT NULL").groupBy("context").agg(*(F.sum(F.col("level")[i]) for i in range(4))).orderBy("context").collect()  # contexts of frequent words only
+        keys = np.array([r[0] for r in hot], np.int64).view(np.uint64)
+        at = np.argsort(keys)
+        _save(folder, f"contexts{level}-hot", keys[at])
+        for i, name in enumerate(_SUMS):
+            _save(folder, f"contexts{level}-hot-{name}", np.array([r[i + 1] for r in hot], np.int64)[at])
+        sent = R.routed(parts.where("bucket IS NOT NULL").select("bucket", "items", "body"), n, _HOT[2] if level == 3 else _WORD)
 
     def save_lower(table: pa.Table) -> pa.Table:
         b = table["bucket"][0].as_py()
-        key, count = _merged([np.frombuffer(_opened(x), np.uint64) for x in table["keys"].to_pylist()], [np.frombuffer(_opened(x), np.uint32) for x in table["counts"].to_pylist()])
+        (word, follows), _ = R.read(table, _WORD)
+        key, count, _ = _merged(word, follows)
         _save(folder, f"lower-{b}", key)
-        _save(folder, f"lower-{b}-count", count.astype(np.uint32))
-        return pa.table({"level": [_level(count)], "more": [int((count > 2).sum())]})
+        _save(folder, f"lower-{b}-count", count)
+        return pa.table({"level": [[int((count > 2).sum()), *_level(count)]]})
 
-    lower = parts.where("bucket >= 0").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(save_lower, "level array<long>, more long")
-    second = lower.agg(F.sum("more"), *(F.sum(F.col("level")[i]) for i in range(4))).first()
-    n_pairs = first[0] or 0
-    d, e = discounts([x or 0 for x in first[1:]]), discounts([x or 0 for x in second[1:]])
-    kinds = (second[1] or 0, second[2] or 0, second[0] or 0)
-    rest = sum(a * b for a, b in zip(e, kinds, strict=True)) / n_pairs if n_pairs else 1.0
-    return Model(folder, n, tuple(frequent), n_tokens, n_words, n_pairs, (d, e), rest)
+    row = sent.groupBy("bucket").applyInArrow(save_lower, "level array<long>").agg(*(F.sum(F.col("level")[i]) for i in range(5))).first()
+    stats[1] = [x or 0 for x in row]
+    cuts = tuple(discounts(stats[level][1:]) for level in range(1, order + 1))
+    n_pairs = stats[2][0]
+    kinds = (stats[1][1], stats[1][2], stats[1][0])
+    rest = sum(a * b for a, b in zip(cuts[0], kinds, strict=True)) / n_pairs if n_pairs else 1.0
+    return Model(folder, n, order, tuple(frequent), n_tokens, n_words, n_pairs, cuts, rest)
 
 
 def log_probabilities(model: Model, word: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(count in training, log10 probability) of every token of texts given as hashes and ends."""
-    n, (d, e) = model.buckets, (np.array([0.0, *x, x[2]]) for x in model.discounts)
+    n, folder = model.buckets, model.folder
+    cuts = [np.array([0.0, *x, x[2]]) for x in model.discounts]
     own, to_own = np.unique(word, return_inverse=True)
-    seen = _look_up(model.folder, "words", _own(own, n), own, ("count",))[0]
+    seen = _look_up(folder, "words", R.bucket_of(own & _LOW48, n), own, ("count",))[0]
     low48, to_low = np.unique(own & _LOW48, return_inverse=True)
-    follows = _look_up(model.folder, "lower", _own(low48, n), low48, ("count",))[0][to_low]
-    lower = (np.maximum(follows - e[np.minimum(follows, 3)], 0) / max(model.n_pairs, 1) + model.lower_rest / (model.n_words + 1))[to_own]
-    context = _before(word, ends)
-    pair, at, to_pair = np.unique(_pair(context, word), return_index=True, return_inverse=True)
+    follows = _look_up(folder, "lower", R.bucket_of(low48, n), low48, ("count",))[0][to_low]
+    p = (np.maximum(follows - cuts[0][np.minimum(follows, 3)], 0) / max(model.n_pairs, 1) + model.lower_rest / (model.n_words + 1))[to_own]
     often = np.array(model.frequent, np.int64).view(np.uint64)
-    count = _look_up(model.folder, "pairs", _bucket(context[at], pair, often, n), pair, ("count",))[0][to_pair]
-    heads, to_head = np.unique(context, return_inverse=True)
-    columns = ("total", "one", "two", "more")
-    sums = _look_up(model.folder, "contexts", (mix(heads) % np.uint64(n)).astype(np.int64), heads, columns)
-    hot = _mapped(model.folder, "contexts-hot")
-    if hot is not None and len(hot):
-        place = np.argsort(hot)
-        i = np.minimum(np.searchsorted(hot, heads, sorter=place), len(hot) - 1)
-        is_hot = hot[place[i]] == heads
-        for values, name in zip(sums, columns, strict=True):
-            values[is_hot] = _mapped(model.folder, f"contexts-hot-{name}")[place[i[is_hot]]]
-    total, rest = sums[0], sum(x * y for x, y in zip(d[1:4], sums[1:], strict=True))
-    known = total > 0
-    share = np.where(known, rest / np.maximum(total, 1), 1.0)
-    p = np.maximum(count - d[np.minimum(count, 3)], 0) / np.maximum(total[to_head], 1) + share[to_head] * lower
+    for level, (context, hot) in zip(range(2, model.order + 1), _contexts(word, ends, often, model.order), strict=True):
+        d = cuts[level - 1]
+        gram, at, to_gram = np.unique(_gram(context, word), return_index=True, return_inverse=True)
+        deal = np.where(hot[at], gram, context[at])
+        count = _look_up(folder, f"grams{level}", R.bucket_of(deal, n), gram, ("count",))[0][to_gram]
+        heads, at, to_head = np.unique(context, return_index=True, return_inverse=True)
+        sums = _look_up(folder, f"contexts{level}", R.bucket_of(heads, n), heads, _SUMS)
+        known = _mapped(folder, f"contexts{level}-hot")
+        if known is not None and len(known):
+            i = np.minimum(np.searchsorted(known, heads), len(known) - 1)
+            is_hot = hot[at] & (known[i] == heads)
+            for values, name in zip(sums, _SUMS, strict=True):
+                values[is_hot] = _mapped(folder, f"contexts{level}-hot-{name}")[i[is_hot]]
+        total, rest = sums[0], sum(x * y for x, y in zip(d[1:4], sums[1:], strict=True))
+        share = np.where(total > 0, rest / np.maximum(total, 1), 1.0)
+        p = np.maximum(count - d[np.minimum(count, 3)], 0) / np.maximum(total[to_head], 1) + share[to_head] * p
     return seen[to_own], np.log10(p)
 
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, n_known, base_score, score) of every row: the model's log10 probability and that of an add-0.1 unigram model of the same training texts.
 
-    A null or empty text is its end alone. Perplexity is 10 ^ (-score / n_tokens).
+    A null or empty text is its end alone; repeated rows and null keys are scored each; other columns are left
+    out. A text of any length is scored in one task. Perplexity is 10 ^ (-score / n_tokens).
     """
 
     def run(batches):

@@ -82,6 +82,10 @@ def dealt(bucket: np.ndarray, columns: list[np.ndarray], body: np.ndarray | None
     return pa.RecordBatch.from_pylist(rows, ARROW)
 
 
+def hashes_of(column: np.ndarray) -> np.ndarray:
+    return column if column.dtype == np.uint64 else long(column, column.dtype.itemsize)
+
+
 def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return (mix(hashes) % np.uint64(n)).astype(np.int32)
 
@@ -96,7 +100,7 @@ def whole(n: int) -> int:
 
 
 def routed(rows: DataFrame, n: int, kinds: tuple[str, ...], lengths=None) -> DataFrame:
-    """Rows dealt out to first_level(n) buckets, in whole(n) buckets. kinds[0] is a 6-byte hash; lengths(columns) are the entries' numbers of bytes."""
+    """Rows dealt out to first_level(n) buckets, in whole(n) buckets. kinds[0] is a hash (8 bytes, or fewer of its low ones); lengths(columns) are the entries' numbers of bytes."""
     if n <= FAN_OUT:
         return rows
     n = whole(n)
@@ -107,7 +111,7 @@ def routed(rows: DataFrame, n: int, kinds: tuple[str, ...], lengths=None) -> Dat
 
         def out() -> pa.RecordBatch:
             columns, body = read(held, kinds)
-            bucket = bucket_of(long(columns[0]), n)
+            bucket = bucket_of(hashes_of(columns[0]), n)
             if lengths is None:
                 return dealt(bucket, columns)
             width = lengths(columns)

@@ -191,39 +191,52 @@ def test_packing_without_rows(nothing):
 # ---- 4: language model
 
 
-def test_kneser_ney_equals_brute_force(spark, hard, nothing):
-    texts = hard_texts()[:14]
-    df = hard.where("doc_id IS NULL OR doc_id < 22")
-    rows = [(k, t) for k, t in hard_texts() if k is None or k < 22]
-    train = [(k, t) for k, t in rows if k is None or k % 2]
-    model = kneser_ney.train(df.where("doc_id IS NULL OR doc_id % 2 = 1"))
-    words = {k: [*WORD.findall(low(t or "")), None] for k, t in [(i, t) for i, (_, t) in enumerate(rows)]}
-    unigrams, pairs = collections.Counter(), collections.Counter()
-    for _, t in train:
-        seq = [*WORD.findall(low(t or "")), None]
-        unigrams.update(seq)
-        pairs.update(zip(["<s>", *seq[:-1]], seq, strict=True))
-    follows = collections.Counter(w for _, w in pairs)
+def brute_model(texts, order):
+    """log10 probability of the tokens of a text under interpolated modified Kneser-Ney of the given order."""
+    seqs = [[*WORD.findall(low(t or "")), None] for t in texts]
+    padded = [["<s>"] * (order - 1) + s for s in seqs]
+    counts = {order: collections.Counter(tuple(s[i - order + 1 : i + 1]) for s in padded for i in range(order - 1, len(s)))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    words = len({w for s in seqs for w in s})
+    cuts = {k: (0, *kneser_ney.discounts([sum(c == i for c in x.values()) for i in range(1, 5)])) for k, x in counts.items()}
     heads = collections.defaultdict(list)
-    for (v, _), c in pairs.items():
-        heads[v].append(c)
-    d, e = (kneser_ney.discounts([sum(c == i for c in x.values()) for i in range(1, 5)]) for x in (pairs, follows))
-    cut = lambda c, x: (0, *x)[min(c, 3)]
-    rest = sum(cut(c, e) for c in follows.values()) / len(pairs)
-
-    def p(w, v):
-        lower = max(follows[w] - cut(follows[w], e), 0) / len(pairs) + rest / (len(unigrams) + 1)
-        if v not in heads:
-            return lower
-        c = pairs.get((v, w), 0)
-        return (max(c - cut(c, d), 0) + sum(cut(x, d) for x in heads[v]) * lower) / sum(heads[v])
-
-    want = sorted(round(sum(np.log10(p(w, v)) for v, w in zip(["<s>", *seq[:-1]], seq, strict=True)), 5) for seq in words.values())
-    got = sorted(round(r.score, 5) for r in kneser_ney.score(df, model).collect())
+    for x in counts.values():
+        for g, c in x.items():
+            heads[g[:-1]].append(c)
+
+    def p(gram):
+        k, d = len(gram), cuts[len(gram)]
+        of = heads.get(gram[:-1], [])
+        below = p(gram[1:]) if k > 1 else 1 / (words + 1)
+        if not of:
+            return below
+        c = counts[k].get(gram, 0)
+        return (max(c - d[min(c, 3)], 0) + sum(d[min(x, 3)] for x in of) * below) / sum(of)
+
+    def score(text):
+        s = ["<s>"] * (order - 1) + [*WORD.findall(low(text or "")), None]
+        return sum(np.log10(p(tuple(s[i - order + 1 : i + 1]))) for i in range(order - 1, len(s)))
+
+    return score, sum(map(len, seqs)), words
+
+
+@pytest.mark.parametrize(("order", "fan_out"), [(2, 1024), (3, 2)])
+def test_kneser_ney_equals_brute_force(spark, docs, hard, nothing, order, fan_out, monkeypatch):
+    monkeypatch.setattr(kneser_ney.R, "FAN_OUT", fan_out)
+    rows = [(k, t) for k, t in hard_texts() if k is None or k < 22] + [(100 + k, t) for k, t in docs[:60]]
+    df = hard.where("doc_id IS NULL OR doc_id < 22").select("doc_id", "text").unionByName(spark.createDataFrame(rows[-60:], "doc_id long, text string"))
+    trained = [t for k, t in rows if k is None or k % 2]
+    model = kneser_ney.train(df.where("doc_id IS NULL OR doc_id % 2 = 1"), order=order)
+    score, n_tokens, n_words = brute_model(trained, order)
+    assert (model.n_tokens, model.n_words, model.order) == (n_tokens, n_words, order)
+    want = sorted(score(t) for _, t in rows)
+    got = sorted(r.score for r in kneser_ney.score(df, model).collect())
     assert np.allclose(got, want, rtol=1e-6)
-    assert (model.n_tokens, model.n_words) == (sum(unigrams.values()), len(unigrams)) and texts
-    empty = kneser_ney.train(nothing.select("doc_id", "text"))
+    empty = kneser_ney.train(nothing.select("doc_id", "text"), order=order)
     assert all(r.score == 0 for r in kneser_ney.score(df, empty).collect())
+    with pytest.raises(ValueError):
+        kneser_ney.train(df, order=4)
 
 
 def test_kneser_ney_beats_the_unigrams_on_held_out_texts(spark):
