@@ -650,6 +650,34 @@ def test_secrets_joined_to_other_text(spark, ratios):
 # ---- 10: top-k
 
 
+def test_bounds_prune_what_can_be_pruned():
+    """In clusters whole levels drop pairs, and no pair at or above the floor is ever dropped."""
+    rnd = np.random.default_rng(4)
+    centres = 40 * rnd.normal(size=(8, 32))
+    x = np.floor(centres[np.arange(400) % 8] + rnd.normal(size=(400, 32)))
+    rows, seen = np.arange(400), []
+    product = x[:40] @ x.T
+    product[np.arange(40), np.arange(40)] = -np.inf
+    floors = -np.sort(-product, axis=1)[:, 9]
+    qi, ci, score = topk.best(x[:40], rows[:40], floors, x, rows, rows, 10, seen)
+    want = [(i, j, product[i, j]) for i in range(40) for j in sorted(range(400), key=lambda j: (-product[i, j], j))[:10]]
+    assert sorted(zip(qi.tolist(), ci.tolist(), score.tolist(), strict=True)) == sorted(want)
+    total, coarse, fine = np.sum(seen, 0)
+    assert total == 40 * 400 and fine <= coarse < total / 4
+
+
+def test_topk_over_many_blocks(spark, monkeypatch):
+    """Blocks of 32 vectors, a crowd of equal vectors, ties and negative products."""
+    monkeypatch.setattr(topk, "VECTORS", 32)
+    rnd = np.random.default_rng(5)
+    centres = rnd.normal(size=(6, 8))
+    rows = [(i, [float(v) for v in centres[i % 6] + 0.05 * rnd.normal(size=8)]) for i in range(300)] + [(300 + i, [0.5] * 8) for i in range(150)]
+    got = [tuple(r) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), k=7).collect()]
+    good = [(i, np.floor(64 * np.array(v))) for i, v in rows]
+    want = [(i, r + 1, j, -s) for i, v in good if i % 20 == 0 for r, (s, j) in enumerate(sorted((-int(v @ w), j) for j, w in good if j != i)[:7])]
+    same(got, want)
+
+
 def test_topk_equals_brute_force(spark, nothing):
     rnd = np.random.default_rng(9)
     rows = [(i, [float(x) for x in rnd.normal(size=16)]) for i in range(400)]
