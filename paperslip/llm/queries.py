@@ -71,7 +71,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    scorers = weak_labels.fit(docs, {"low_quality": weak_labels.QUALITY, "toxic": weak_labels.TOXIC})
+    lexicon = weak_labels.telling(docs, _table(spark, sf_dir, "labels"), bad="toxic")
+    scorers = weak_labels.fit(docs, {"low_quality": weak_labels.QUALITY, "toxic": weak_labels.TOXIC}, lexicon=lexicon)
     scored = weak_labels.score(docs, scorers)
     return scored.select("*", ((F.col("low_quality") < 0.5) & (F.col("toxic") < 0.5)).alias("kept"))
 

@@ -334,6 +334,55 @@ def test_weak_labels_find_labelled_junk(spark, nothing, hard):
     assert weak_labels.score(hard, weak_labels.fit(hard, {"bad": weak_labels.QUALITY})).count() == len(hard_texts())
 
 
+def brute_em(names, votes, rounds=40):
+    """Expectation-maximisation over single votes, text by text."""
+    bad = [0.9 if -1 in v else 0.05 for v in votes]
+    for _ in range(rounds):
+        prior = (sum(bad) + 1) / (len(votes) + 2)
+        rates = [[[sum(w for v, b in zip(votes, bad, strict=True) if v[i] == x for w in [b if c else 1 - b]) + 0.1 for x in (-1, 0, 1)] for i in range(len(names))] for c in (0, 1)]
+        rates = [[[x / sum(r) for x in r] for r in c] for c in rates]
+        like = lambda c, p, v: p * np.prod([rates[c][i][x + 1] for i, x in enumerate(v)])  # noqa: B023, E731
+        bad = [like(1, prior, v) / (like(1, prior, v) + like(0, 1 - prior, v)) for v in votes]
+    return prior, rates, bad
+
+
+def test_label_model_equals_brute_force_and_finds_the_accuracies():
+    rnd, names = random.Random(1), ("a", "b", "c", "d")
+    true = {0: (0.05, 0.1, 0.02, 0.2), 1: (0.9, 0.7, 0.6, 0.5)}  # how often each votes bad
+    texts = [int(rnd.random() < 0.2) for _ in range(3000)]
+    votes = [tuple(0 if rnd.random() < 0.1 else -1 if rnd.random() < p else 1 for p in true[t]) for t in texts]
+    pattern = [sum((x + 1) * 3**i for i, x in enumerate(v)) for v in votes]
+    kinds, counts = np.unique(pattern, return_counts=True)
+    model = weak_labels.fit_labels(names, kinds, counts.astype(float))
+    prior, rates, bad = brute_em(names, votes)
+    assert np.isclose(model.prior, prior) and np.allclose(model.rates, rates) and np.allclose(model.bad[pattern], bad)
+    assert abs(prior - 0.2) < 0.03 and np.allclose(model.rates[:, :, 0] / (1 - model.rates[:, :, 1]), [true[0], true[1]], atol=0.08)
+
+
+def test_telling_words_and_the_scorer(spark):
+    rnd = random.Random(2)
+    filler = lambda n: " ".join("".join(rnd.choices("abcd", k=4)) for _ in range(n))
+    rows = [(i, f"{filler(60)} {'grumble' + rnd.choice(['s', 'd', 'ling', '']) if i % 4 == 0 else 'pleasant'} {filler(60)}") for i in range(800)] + [(None, "x"), (900, None), (901, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 400)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    lexicon = weak_labels.telling(docs, labels, bad="toxic")
+    known = weak_labels._hash_of(["grumble", "grumbles", "grumbled", "grumbling"])
+    assert set(lexicon.words.tolist()) <= set(known.tolist()) and len(lexicon.words) >= 3 and len(lexicon.stems) == 1
+    scored = weak_labels.score(docs, weak_labels.fit(docs, {"toxic": weak_labels.TOXIC}, lexicon=lexicon)).where("doc_id < 800").collect()
+    assert all((r.toxic >= 0.5) == (r.doc_id % 4 == 0) for r in scored) and len(scored) == 800
+    assert not len(weak_labels.telling(docs, labels.where("false"), bad="toxic").words)
+
+
+def test_toxic_texts_against_labels(spark):
+    """Half of the labels give the telling words; the other half is held against the result."""
+    at = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = weak_labels.telling(docs, labels.where("doc_id % 2 = 0"), bad="toxic")
+    scored = weak_labels.score(docs, weak_labels.fit(docs, {"toxic": weak_labels.TOXIC}, lexicon=lexicon)).join(labels.where("doc_id % 2 = 1").select("doc_id", F.col("toxic").alias("is")), "doc_id").join(docs.where("lang = 'en'").select("doc_id"), "doc_id")
+    rate = {r[0]: r[1] for r in scored.groupBy("is").agg(F.avg((F.col("toxic") >= 0.5).cast("int"))).collect()}
+    assert rate[1] > 0.8 and rate[0] < 0.02
+
+
 # ---- 7: repeated passages
 
 
