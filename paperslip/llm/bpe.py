@@ -5,8 +5,10 @@
 2. A bucket merges the dictionaries of all blocks and encodes each distinct word once.
 3. The ids go back to their block, which reassembles its documents by position.
 
-A word is sent once per block, however often it occurs, so that no word is hot. Decoding gathers the
-token-byte table, which has one row per vocabulary entry and is read by every worker.
+A word is sent once per block, however often it occurs, so that no word is hot. There are as many buckets
+as keep one's dictionaries in memory; beyond MOST_BUCKETS, where a block would send too few words to each,
+the blocks are taken in parts, and a word is encoded once per part. Decoding gathers the token-byte table,
+which has one row per vocabulary entry and is read by every worker.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from paperslip.llm.winnow import Rolling
 
 #: Text bytes per block.
 BLOCK = 5 << 20
+#: Bytes of text per bucket, about; a tenth of that or less is words that blocks have sent.
+BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 4096
 
 
 def default_vocabulary() -> str:
@@ -52,7 +56,7 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def _bucketed(n_buckets: int, key: str):
+def _bucketed(n_buckets: int, parts: int, key: str):
     def run(batches):
         part, n = TaskContext.get().partitionId(), 0
         for block in gathered(batches, "text", BLOCK):
@@ -81,6 +85,7 @@ def _bucketed(n_buckets: int, key: str):
                 [
                     pa.array(np.full(rows, name)),
                     pa.array(np.append(full, -1).astype(np.int32)),
+                    pa.array(np.full(rows, name % parts, np.int32)),
                     pa.array([_packed(body[stops[share[b]] : stops[share[b + 1]]].tobytes()) for b in full] + [None], pa.binary()),
                     pa.array([_packed(lengths[share[b] : share[b + 1]].tobytes()) for b in full] + [None], pa.binary()),
                     keys,
@@ -88,7 +93,7 @@ def _bucketed(n_buckets: int, key: str):
                     pa.array([None] * len(full) + [_planes(codes)], pa.binary()),
                     pa.array([None] * len(full) + [_planes(places)], pa.binary()),
                 ],
-                names=["block", "bucket", "words", "lengths", "keys", "counts", "codes", "places"],
+                names=["block", "bucket", "part", "words", "lengths", "keys", "counts", "codes", "places"],
             )
 
     return run
@@ -99,9 +104,9 @@ def _encoded(path: str):
         body = np.frombuffer(b"".join(_unpacked(x) for x in table["words"].to_pylist()), np.uint8)
         sizes = [np.frombuffer(_unpacked(x), np.int32) for x in table["lengths"].to_pylist()]
         lengths = np.concatenate(sizes)
-        stops = np.zeros(len(lengths) + 1, np.int32)
+        stops = np.zeros(len(lengths) + 1, np.int64)
         np.cumsum(lengths, out=stops[1:])
-        words = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(stops), pa.py_buffer(np.ascontiguousarray(body))])
+        words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(stops), pa.py_buffer(np.ascontiguousarray(body))])
         d = words.dictionary_encode()
         ids = P.encode_words(d.dictionary, path, remember=False)  # each word comes once
         own = np.cumsum([0, *map(len, sizes)])
@@ -126,16 +131,16 @@ def _joined(key: str):
         right = right.sort_by("bucket")
         joined = lambda name: np.concatenate([_from_planes(_unpacked(x)) for x in right[name].to_pylist()] or [np.zeros(0, np.int64)])
         widths = joined("widths")
-        ends = np.zeros(len(widths) + 1, np.int32)
+        ends = np.zeros(len(widths) + 1, np.int64)
         np.cumsum(widths, out=ends[1:])
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(joined("ids").astype(np.uint32)))
+        ids = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(joined("ids").astype(np.uint32)))
         for row in range(left.num_rows):
             counts = np.frombuffer(left["counts"][row].as_py(), np.int32)
             codes = _from_planes(left["places"][row].as_py())[_from_planes(left["codes"][row].as_py())]
             first = np.zeros(len(counts) + 1, np.int64)
             np.cumsum(counts, out=first[1:])
             body, stops = P.rebuilt(ids, codes, first)
-            offsets = (stops * 4).astype(np.int32)
+            offsets = (stops * 4).astype(np.int32)  # a block's own ids
             packed = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body))])
             out.append(pa.table({key: left["keys"].combine_chunks().slice(row, 1).flatten(), "ids": packed}))
         return pa.concat_tables(out) if out else pa.table({key: pa.array([], kind), "ids": pa.array([], pa.binary())})
@@ -147,18 +152,21 @@ def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabula
     """(key, ids): each text's token ids as little-endian unsigned 32-bit integers.
 
     Null and empty texts give empty ids; a row is returned for every row, whatever its key (null and
-    repeated keys too); other columns are left out. `vocabulary` is a file of base-64 tokens and ranks
-    that every worker can open.
+    repeated keys too); other columns, of any name, are left out. A text of any length, up to 512 M ids, is
+    one block in one task. `vocabulary` is a file of base-64 tokens and ranks that every worker can open.
     """
     spark = docs.sparkSession
     path = vocabulary or default_vocabulary()
-    n_buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    n_buckets = n_buckets or min(wanted, MOST_BUCKETS)
+    parts = -(-size // (n_buckets * BUCKET_BYTES)) or 1
     kind = docs.schema[key].dataType
-    schema = T.StructType.fromDDL("block long, bucket int, words binary, lengths binary").add("keys", T.ArrayType(kind)).add("counts", "binary").add("codes", "binary").add("places", "binary")
+    schema = T.StructType.fromDDL("block long, bucket int, part int, words binary, lengths binary").add("keys", T.ArrayType(kind)).add("counts", "binary").add("codes", "binary").add("places", "binary")
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
-    cut = written_by(rows.mapInArrow(_bucketed(n_buckets, "k"), schema), "pretokens", "block")
-    words = cut.where("bucket >= 0").select("block", "bucket", "words", "lengths")
-    ids = words.groupBy("bucket").applyInArrow(_encoded(path), "block long, bucket int, ids binary, widths binary")
+    cut = written_by(rows.mapInArrow(_bucketed(n_buckets, parts, "k"), schema), "pretokens", "block")
+    words = cut.where("bucket >= 0").select("block", "bucket", "part", "words", "lengths")
+    ids = words.groupBy("bucket", "part").applyInArrow(_encoded(path), "block long, bucket int, ids binary, widths binary")
     texts = cut.where("bucket < 0").select("block", "keys", "counts", "codes", "places")
     out = T.StructType().add(key, kind).add("ids", "binary")
     return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_joined(key), out)

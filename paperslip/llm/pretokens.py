@@ -103,7 +103,7 @@ def encode_words(words: pa.Array, path: str, remember: bool = True) -> pa.ListAr
     if len(known) > MEMO:
         known.clear()
     ids = []
-    for w in words.cast(pa.string()).to_pylist():
+    for w in words.cast(pa.large_string()).to_pylist():
         x = known.get(w)
         if x is None:
             x = encode(w)

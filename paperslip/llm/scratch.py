@@ -13,15 +13,17 @@ _made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests), a new local folder."""
+    """spark.checkpoint.dir of the session; where it is unset and all runs in this process (tests), a new local folder."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(_own[app])
-    return _own[app]
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        context.setCheckpointDir(_own[context.applicationId])
+    return _own[context.applicationId]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -15,14 +15,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperslip.llm.components import labelled
 from paperslip.llm.scratch import written
-from paperslip.llm.text_arrays import LOWER, flat
+from paperslip.llm.text_arrays import LOWER, flat, gathered
 
 SEGMENTS, WIDTH, CHAIN = 8, 8, 3
 #: Members of one key up to which its pairs are taken directly; beyond, a spanning forest is searched.
 DIRECT = 24
+#: Members of one key from which on they are split by further segments.
+SPLIT = 1024
 _SHIFTS = np.arange(64, dtype=np.uint64)
 
 
@@ -43,19 +46,21 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """(key, fingerprint as a signed long) of every row. Null and empty texts have fingerprint 0."""
+    """(key, fingerprint as a signed long) of every row. Null and empty texts have fingerprint 0.
+
+    Repeated rows and null keys give a row each; other columns, of any name, are left out. Texts are taken
+    in blocks of a few MB; one of any length is handled in one task, at about 100 bytes of memory a byte.
+    """
 
     def run(batches):
-        for batch in batches:
-            data, ends = flat(batch.column(1))
+        for block in gathered(batches, "text"):
+            data, ends = flat(block["text"])
             raw = data.tobytes().translate(LOWER)
             prints = [fingerprint(raw[a:b].split(), shingle) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], names=[key, "fingerprint"])
+            yield from pa.Table.from_arrays([block["k"], pa.array(np.array(prints, np.uint64).view(np.int64))], names=[key, "fingerprint"]).to_batches()
 
-    rows = docs.select(F.col(key), F.col(text).cast("string").alias("text"))
-    schema = rows.schema
-    schema = type(schema)([schema.fields[0]]).add("fingerprint", "long")
-    return rows.mapInArrow(run, schema)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("fingerprint", T.LongType())]))
 
 
 def _segments(x: np.ndarray) -> np.ndarray:
@@ -92,8 +97,26 @@ def _near(a: np.ndarray, b: np.ndarray, key: np.ndarray, bits: int) -> np.ndarra
     return ok & (own | (masked == 0)) & (np.bitwise_count(diff) <= bits)
 
 
-def _forest(prints: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links of a spanning forest over all links (`bits` apart at most) of one key's fingerprints."""
+def _forest(prints: np.ndarray, start: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect all of one key's fingerprints that are linked (`bits` apart at most). `start` is the key's first segment.
+
+    More than SPLIT of them are split by each segment outside of the key's chain in turn: these are more
+    segments than `bits`, so that two linked fingerprints agree in one of them.
+    """
+    if len(prints) <= SPLIT:
+        return _spanned(prints, bits)
+    segments, out = _segments(prints), []
+    for i in range(CHAIN, SEGMENTS):
+        own = segments[:, (start + i) % SEGMENTS]
+        order = np.argsort(own, kind="stable")
+        cuts = np.flatnonzero(np.append(True, np.diff(own[order]) != 0))
+        for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(order)).tolist(), strict=True):
+            out += _spanned(prints[order[a:b]], bits) if b - a > 1 else []
+    return out
+
+
+def _spanned(prints: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A spanning forest of the links, by breadth-first search."""
     out = []
     rest = prints
     while len(rest):
@@ -124,7 +147,7 @@ def _links(bits: int):
             left.append(prints[hit])
             right.append(prints[hit + apart])
         for i in np.flatnonzero(sizes > DIRECT):
-            for a, b in _forest(prints[first[i] : first[i] + sizes[i]], bits):
+            for a, b in _forest(prints[first[i] : first[i] + sizes[i]], int(key[first[i]] >> np.uint64(32)), bits):
                 left.append(a)
                 right.append(b)
         if left:
@@ -137,12 +160,11 @@ def _links(bits: int):
         for batch in batches:
             held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64)))
             n += batch.num_rows
-            if n < 200_000:
+            if n < 200_000 or held[0][0][0] == held[-1][0][-1]:  # the last key may go on
                 continue
             key, prints = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = int(np.searchsorted(key, key[-1], "left"))  # the last key may go on
-            if cut:
-                yield out(*pairs(key[:cut], prints[:cut]))
+            cut = int(np.searchsorted(key.view(np.int64), key.view(np.int64)[-1], "left"))
+            yield out(*pairs(key[:cut], prints[:cut]))
             held, n = [(key[cut:], prints[cut:])], len(key) - cut
         if held:
             key, prints = (np.concatenate(x) for x in zip(*held, strict=True))

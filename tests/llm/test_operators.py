@@ -124,6 +124,16 @@ def test_bpe_equals_the_library(spark, sf, docs, hard):
         same([(r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in got], [(k, np.array(library.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for k, t in rows])
 
 
+def test_bpe_in_parts(docs, spark, sf, monkeypatch):
+    """Few buckets and several parts of the corpus, as for an input that is too large for more buckets."""
+    monkeypatch.setattr(bpe, "MOST_BUCKETS", 2)
+    monkeypatch.setattr(bpe, "BUCKET_BYTES", 40_000)
+    monkeypatch.setattr(bpe, "BLOCK", 20_000)
+    library = ranks("byte_bpe_multi_50k.tiktoken")
+    got = bpe.encode(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    same([(r.doc_id, bytes(r.ids)) for r in got], [(k, np.array(library.encode_ordinary(t or ""), "<u4").tobytes()) for k, t in docs])
+
+
 def test_bpe_without_rows(nothing):
     assert bpe.decode(bpe.encode(nothing)).count() == 0
 
@@ -512,7 +522,9 @@ def test_simhash_equals_brute_force(spark, sf, docs, hard, nothing):
     assert simhash.components(simhash.fingerprints(nothing)).count() == 0
 
 
-def test_crowds_of_near_fingerprints(spark):
+@pytest.mark.parametrize("split", [1024, 30])
+def test_crowds_of_near_fingerprints(spark, split, monkeypatch):
+    monkeypatch.setattr(simhash, "SPLIT", split)
     rnd = random.Random(11)
     centre = rnd.getrandbits(64)
     prints = [rnd.getrandbits(64) for _ in range(200)]
