@@ -300,7 +300,7 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     names = written(rows.mapInArrow(_names(size), rows.select("key").schema.add("class", "long")), "names")
     firsts = names.groupBy("class").agg(F.min("key").alias("key"))
-    texts = written_by(rows.join(firsts, "key").select("class", "text"), "texts", "class")  # one of each set
+    texts = written_by(rows.join(firsts, "key").select("class", "text"), "texts", "class", gather=True)  # one of each set
     sketches = written(texts.mapInArrow(_sketched(size), "class long, n int, sketch binary, wide binary"), "sketches")
     scratch.release(spark)
     nodes = texts.select("class")

@@ -17,7 +17,7 @@ from paperslip.llm.text_arrays import coded, pack
 
 #: A worker remembers the ids of so many short words, about, and then begins anew; this saves time and changes no result.
 MEMO = 60_000
-_memo: dict[str, dict[str, list[int]]] = {}
+_memo: dict[tuple[str, bool], dict[str, list[int]]] = {}
 OTHER, LETTER, DIGIT, SPACE = range(4)
 
 
@@ -36,11 +36,12 @@ def classes() -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str):
-    """A tokenizer that takes each given string as one pre-token, from a file of base-64 tokens and ranks."""
+def encoder(path: str, whole: bool = True):
+    """A tokenizer from a file of base-64 tokens and ranks; `whole` takes each given string as one pre-token."""
+    import public_tokenizers
     import tiktoken
 
-    return tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=ranks(path), special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=r"(?s:.+)" if whole else public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -97,9 +98,9 @@ def dictionary(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     return coded(pack(data, at, np.append(at[1:], len(data)) if len(at) else at))
 
 
-def encode_words(words: pa.Array, path: str, remember: bool = True) -> pa.ListArray:
-    """The ids of each distinct pre-token."""
-    known, encode = _memo.setdefault(path, {}), encoder(path).encode_ordinary
+def encode_words(words: pa.Array, path: str, remember: bool = True, whole: bool = True) -> pa.ListArray:
+    """The ids of each distinct pre-token, or of each word, which is cut into pre-tokens first, if not `whole`."""
+    known, encode = _memo.setdefault((path, whole), {}), encoder(path, whole).encode_ordinary
     if len(known) > MEMO:
         known.clear()
     ids = []

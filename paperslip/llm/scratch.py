@@ -56,15 +56,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written_by(df: DataFrame, tag: str, key: str) -> DataFrame:
+def written_by(df: DataFrame, tag: str, key: str, gather: bool = False) -> DataFrame:
     """Like `written`, bucketed by `key`: joins and groups on the key read it without a shuffle.
 
-    The catalog names the files only until they are read here.
+    With `gather` the rows of a bucket are brought together first, so that it is one file. The catalog names
+    the files only until they are read here.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
     name = "scratch_" + path.rsplit("-", 1)[1]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = df.repartition(n, key) if gather else df
     df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # an external table: the files stay

@@ -35,17 +35,17 @@ _JOINTS = np.frombuffer(b"/_=-", np.uint8)
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-def labelled_samples(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample_docs: int = 1000, part: int = 0, parts: int = 1) -> DataFrame:
+def labelled_samples(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample_docs: int = 1000, sample_words: int = 20_000, part: int = 0, parts: int = 1) -> DataFrame:
     """(kind, value, random): identifier shapes made of words of at most `sample_docs` texts (those with the smallest key hashes), and random strings from digests of the same words.
 
     Of the word triples those whose digest is `part` modulo `parts` are taken, so that samples can be held
-    out. Null keys and null texts give no samples; one sample of each value stays.
+    out, and of these the `sample_words` of the smallest digests. Null keys and null texts give no samples; one sample of each value stays.
     """
     chosen = docs.select(F.col(key).alias("k")).where("k IS NOT NULL").distinct().orderBy(F.xxhash64("k"), "k").limit(sample_docs)
     texts = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "k")  # sample_docs keys at most
     words = texts.select(F.transform(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9])[A-Za-z]{3,}(?![A-Za-z0-9])"), F.lit(0)), F.lower).alias("w")).where("size(w) > 2")
     three = words.select(F.explode(F.expr("transform(sequence(1, size(w) - 2, 3), i -> struct(w[i - 1] AS a, w[i] AS b, w[i + 1] AS c))")).alias("t")).select("t.*").distinct()
-    three = three.withColumn("d", F.sha2(F.concat_ws(" ", "a", "b", "c"), 256)).where(F.pmod(F.xxhash64("d"), F.lit(parts)) == part)
+    three = three.withColumn("d", F.sha2(F.concat_ws(" ", "a", "b", "c"), 256)).where(F.pmod(F.xxhash64("d"), F.lit(parts)) == part).orderBy("d").limit(sample_words)
     a, b, c, d = (F.col(x) for x in "abcd")
     number = F.pmod(F.xxhash64("d"), F.lit(90_000)) + 10_000
     n = lambda k: F.substring(number.cast("string"), 1, k)

@@ -85,6 +85,45 @@ def test_quality_counts(spark, sf, docs, hard):
         same([tuple(r) for r in got], [(k, *base_counts(t or "")) for k, t in rows])
 
 
+def brute_measures(text, pieces, bytewise):
+    """Characters per token, byte share, entropy and signs of a text, token by token."""
+    words = WORD.findall(text)
+    if not words:
+        return None
+    ids = [i for w in words for i in pieces.encode(w)]
+    names = [pieces.id_to_piece(i).strip("\u2581") for i in ids]
+    count = collections.Counter(ids)
+    sign = [bool(x) and not any(c.isalnum() for c in x) for x in names]
+    chars = sum(map(len, words))
+    return chars / len(ids), chars / sum(len(bytewise.encode_ordinary(" " + w)) for w in words), sum(map(pieces.is_byte, ids)) / len(ids), -sum(c / len(ids) * np.log2(c / len(ids)) for c in count.values()), sum(sign) / len(ids)
+
+
+def test_quality_measures_and_verdicts(spark, sf, docs, hard):
+    import public_tokenizers
+    import sentencepiece
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    bytewise = ranks("byte_bpe_50k.tiktoken")
+    for rows, df in ((docs, spark.read.parquet(f"{sf}/documents.parquet")), (hard_texts(), hard)):
+        got = quality.judge(quality.measure(df)).collect()
+        found, want = collections.defaultdict(list), collections.defaultdict(list)
+        for r in got:
+            found[r.doc_id].append(tuple(r[m] for m in quality.MEASURES) if r.n_words else None)
+            band = quality.BANDS[r.lang if r.lang in ("en", "de", "fr", "es") else r.script]
+            out = [m for m in quality.MEASURES if r[m] is not None and (r[m] > band[m][1] or r[m] < band[m][0] and (m != "entropy" or r.n_tokens >= 100))]
+            assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+            assert r.rejected_by == out and r.kept == (not r.base_failed and not out)
+        for k, t in rows:
+            want[k].append(brute_measures(t or "", pieces, bytewise))
+        assert set(found) == set(want)
+        for k in want:
+            order = lambda x: (x is not None, x or ())
+            for a, b in zip(sorted(found[k], key=order), sorted(want[k], key=order), strict=True):
+                assert (a is None and b is None) or np.allclose(a, b)
+    with pytest.raises(ValueError):
+        quality.measure(hard, key="lang")
+
+
 def test_quality_keeps_clean_and_rejects_labelled_junk(spark):
     at = "/root/testdata/sf0.01"
     judged = quality.judge(quality.measure(spark.read.parquet(f"{at}/documents.parquet"))).where("n_words >= 50")
