@@ -1,8 +1,9 @@
 """Cleaning a corpus, stage by stage: quality rules, near-duplicates, repeated passages, secrets, packing.
 
-Each stage takes the documents that the one before has written and returns documents of the same columns;
-the last returns the packed pieces. Repeated rows, null keys, null and empty texts go through: a text
-without words is rejected by the quality rules.
+Each stage takes the documents (doc_id, text, lang, and any other columns, whatever their names) that the one
+before has written, and returns documents of the same columns; the last returns the packed pieces. Repeated
+rows, null keys, null and empty texts and empty tables go through: a text without words is rejected by the
+quality rules. A text of any length is handled in one task.
 """
 
 from __future__ import annotations
@@ -38,21 +39,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return numbered.join(stay, "at", "left_semi").select("row.*")
 
 
+def _with_others(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, others): the columns that a stage leaves alone in one, so that their names clash with nothing."""
+    return docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))).alias("others"))
+
+
+def _restored(docs: DataFrame, changed: DataFrame) -> DataFrame:
+    """The columns of docs, from (doc_id, text, others); n_chars, if there is one, counts the new text."""
+    n_chars = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return changed.select(*(c if c in ("doc_id", "text") else n_chars.get(c, F.col("others")[c]).alias(c) for c in docs.columns))
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 100 bytes or more that an earlier document, or the same one before, holds; what is blank then goes."""
     scratch.small_batches(spark)
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = run_length_index.repeated_passages(docs, carry=others, whole_characters=True).withColumn("text", F.col("kept").cast("string"))
-    kept = cut.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    cut = run_length_index.repeated_passages(_with_others(docs), carry=("others",), whole_characters=True)
+    return _restored(docs, cut.select("doc_id", F.col("kept").cast("string").alias("text"), "others").where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every secret replaced by a mark."""
     scratch.small_batches(spark)
     ratios = secrets.train(secrets.labelled_samples(docs))
-    clean = secrets.redact(secrets.scan(docs, ratios))
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return _restored(docs, secrets.redact(secrets.scan(_with_others(docs), ratios)))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,4 +84,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch.kept_path(spark, name)
         out.write.parquet(path)
         docs = spark.read.parquet(path)
+        scratch.drop(spark)  # what the stage has written for itself
     return docs
