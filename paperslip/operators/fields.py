@@ -43,11 +43,12 @@ def _first(cols: list[str], by: str = "doc_id") -> Column:
     return F.row_number().over(Window.partitionBy(by).orderBy(*cols))
 
 
-def payable_amounts(lines: DataFrame) -> DataFrame:
-    """(doc_id, amount, line_number, n_candidates): the largest amount on payable lines, the first line of equals."""
+def payable_amounts(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, amount, line_number, n_candidates): the largest amount on payable lines, the first line of equals; columns in `keep` are those of that line."""
     hit = lines.where(F.col("text").rlike(any_of(PAYABLE)) & ~F.col("text").rlike(any_of(NOT_PAYABLE)))
-    each = hit.select("doc_id", "line_number", F.array_max(amounts_in(F.col("text"))).alias("amount")).where("amount IS NOT NULL")
-    return each.groupBy("doc_id").agg(F.max("amount").alias("amount"), F.max_by("line_number", F.struct("amount", -F.col("line_number"))).alias("line_number"), F.count(F.lit(1)).alias("n_candidates"))
+    each = hit.select("doc_id", F.array_max(amounts_in(F.col("text"))).alias("amount"), F.struct("line_number", *keep).alias("line")).where("amount IS NOT NULL")
+    best = each.groupBy("doc_id").agg(F.max("amount").alias("amount"), F.max_by("line", F.struct("amount", -F.col("line.line_number"))).alias("line"), F.count(F.lit(1)).alias("n_candidates"))
+    return best.select("doc_id", "amount", "line.*", "n_candidates").select("doc_id", "amount", "line_number", "n_candidates", *keep)
 
 
 def priority_amounts(lines: DataFrame, rules=SUBTOTALS) -> DataFrame:

@@ -134,11 +134,21 @@ def tax_patterns(items: DataFrame, least: str = "0.70") -> DataFrame:
     return per.where("net > 0 AND tax > 0").withColumn("effective_rate", (F.col("tax") * 100 / F.col("net")).cast("decimal(8,3)"))
 
 
-def infer_vendor_type(items: DataFrame) -> DataFrame:
-    """(doc_id, vendor_type): petrol by any fuel item, pharmacy by any such item, grocery from two food items, else by words, else other."""
-    name = F.lower("name")
-    per = items.groupBy("doc_id").agg(F.count_if(name.rlike("steel|fuel")).alias("fuel"), F.count_if(name.rlike("copper|pharm")).alias("pharmacy"), F.count_if(name.rlike("tin|brass|food")).alias("food"), F.bool_or(name.rlike("nickel")).alias("words"))
-    return per.select("doc_id", F.when(F.col("fuel") > 0, "petrol").when(F.col("pharmacy") > 0, "pharmacy").when(F.col("food") >= 2, "grocery").when(F.col("words"), "hardware").otherwise("other").alias("vendor_type"))
+# fixed values: words of item names, and of texts, by vendor type, in the order in which they decide
+ITEM_WORDS = {"petrol": ["petrol", "diesel", "fuel", "litre", "gallon"], "pharmacy": ["tablet", "capsule", "medicine", "prescription", "pharmacy"], "grocery": ["milk", "bread", "cheese", "meat", "vegetable", "fruit"]}
+TEXT_WORDS = {"grocery": ["supermarket", "grocery", "fresh"], "petrol": ["fuel", "petrol", "pump"], "pharmacy": ["pharmacy", "chemist"], "restaurant": ["restaurant", "cafe", "diner"]}
+
+
+def infer_vendor_type(items: DataFrame, texts: DataFrame, item_words: dict[str, list[str]] = ITEM_WORDS, text_words: dict[str, list[str]] = TEXT_WORDS) -> DataFrame:
+    """(doc_id, vendor_type) of every text: petrol by any item with such a word, then pharmacy, grocery from two items on; else by words of the text, else other. A null text or name has no words."""
+    has = lambda column, words: F.coalesce(F.reduce(F.array(*map(F.lit, words)), F.lit(False), lambda acc, w: acc | F.contains(F.lower(column), w)), F.lit(False))
+    per = items.groupBy("doc_id").agg(*(F.count_if(has("name", words)).alias(kind) for kind, words in item_words.items()))
+    kind = F.lit(None).cast("string")
+    for name, words in reversed(text_words.items()):
+        kind = F.when(has("text", words), F.lit(name)).otherwise(kind)
+    for name in reversed(list(item_words)):
+        kind = F.when(F.col(name) >= (2 if name == "grocery" else 1), F.lit(name)).otherwise(kind)
+    return texts.select("doc_id", "text").join(per, "doc_id", "left").select("doc_id", F.coalesce(kind, F.lit("other")).alias("vendor_type"))
 
 
 def normalize_items(records: DataFrame) -> DataFrame:
@@ -208,10 +218,22 @@ def diff_corrections(original: DataFrame, corrected: DataFrame) -> DataFrame:
     return a.join(b, ["doc_id", "field"], "full").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
-def learn_patterns(fields: DataFrame) -> DataFrame:
-    """(doc_id, pattern, status): fields of at least 0.70 (payment 0.75) as pattern texts; approved from 0.85, else pending."""
-    sure = fields.where("score >= 0.70")
-    return sure.select("doc_id", F.concat(F.initcap("field"), F.lit(": "), "value").alias("pattern"), F.when(F.col("score") >= F.expr("0.85BD"), "approved").otherwise("pending").alias("status"))
+#: The least score of a field that is learnt, where it is not 0.70.
+LEARNT_FROM = {"vendor": "0.90"}
+
+
+def learn_patterns(fields: DataFrame, known: DataFrame, least: str = "0.70", by_kind: dict[str, str] = LEARNT_FROM) -> DataFrame:
+    """(doc_id, kind, pattern, status): fields of enough score as pattern texts `Kind: value`; approved from 0.85, else pending.
+
+    A vendor is learnt if its name is not among those of `known`, whatever the case. Null values are left out.
+    """
+    bar = F.expr(f"{least}BD")
+    for kind, score in by_kind.items():
+        bar = F.when(F.col("field") == kind, F.expr(f"{score}BD")).otherwise(bar)
+    sure = fields.where("value IS NOT NULL").where(F.col("score") >= bar)
+    names = known.select(F.upper("name").alias("_name")).distinct()
+    new = sure.join(names, (F.col("field") == "vendor") & (F.upper("value") == F.col("_name")), "left_anti")
+    return new.select("doc_id", F.col("field").alias("kind"), F.concat(F.initcap("field"), F.lit(": "), "value").alias("pattern"), F.when(F.col("score") >= F.expr("0.85BD"), "approved").otherwise("pending").alias("status"))
 
 
 def ingest_responses(responses: DataFrame) -> DataFrame:

@@ -36,10 +36,9 @@ TOTALS_SQL = """, totals AS (SELECT doc_id, subtotal, CAST(subtotal * CAST(0.20
 
 def flagship(spark, sf):
     """Total per receipt: class of its line, amount, and its reconciliation against the items."""
-    paid = X.payable_amounts(lines(spark, sf)).withColumnRenamed("line_number", "at")
-    kinds = classified(spark, sf).select(F.col("doc_id").alias("_d"), F.col("line_number").alias("_l"), "line_type", "confidence")
+    paid = X.payable_amounts(classified(spark, sf), keep=("line_type", "confidence"))
     sums = items(spark, sf).groupBy("doc_id").agg(F.sum("price").cast("decimal(16,2)").alias("item_sum"))
-    out = paid.join(kinds, (F.col("doc_id") == F.col("_d")) & (F.col("at") == F.col("_l"))).join(sums, "doc_id")
+    out = paid.join(sums, "doc_id")
     due = (F.col("item_sum") * F.expr("1.20BD")).cast("decimal(16,2)")
     return out.select("doc_id", "amount", "line_type", "confidence", "item_sum", (F.abs(F.col("amount") - due) > 1).alias("finding"))
 

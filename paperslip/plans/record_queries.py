@@ -62,6 +62,13 @@ def _met(docs, bench):
     return context, said
 
 
+def _learnt(spark, sf):
+    """Fields and vendors of three scores; suppliers of even keys are known."""
+    vendors = lines(spark, sf).where("line_number = 1").select("doc_id", F.lit("vendor").alias("field"), F.expr("regexp_replace(text, ' LTD$', '')").alias("value"), F.expr("CAST(0.80 + CAST(doc_id % 3 AS DECIMAL(3,2)) / 10 AS DECIMAL(3,2))").alias("score"))
+    known = table(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(F.replace("s_name", F.lit("#"), F.lit(" ")).alias("name"))
+    return R.learn_patterns(fields(spark, sf).select("doc_id", "field", "value", "score").unionByName(vendors), known)
+
+
 def _field_confidence(spark, sf):
     """Confidence maps made from names and quantities; every fourth document has its own value of the price."""
     it = items(spark, sf)
@@ -121,7 +128,7 @@ QUERIES = {
     "a6_validate_records": lambda s, d: R.validate_records(table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id")), items(s, d).withColumn("name", F.when(F.col("doc_id") % 17 == 0, F.lit(" ")).otherwise(F.col("name"))).withColumn("price", F.when(F.col("doc_id") % 19 == 0, F.col("price") * 10).otherwise(F.col("price")))),
     "a9_tax_patterns": lambda s, d: R.tax_patterns(items(s, d).withColumn("confidence", F.expr("CAST(0.50 + CAST((doc_id + item_no) % 5 AS DECIMAL(3,2)) / 10 AS DECIMAL(3,2))"))),
     "a13_extraction_coverage": lambda s, d: R.extraction_coverage(fields(s, d)),
-    "a17_infer_vendor_type": lambda s, d: R.infer_vendor_type(items(s, d)),
+    "a17_infer_vendor_type": lambda s, d: R.infer_vendor_type(items(s, d), X.whole_texts(lines(s, d)), {"petrol": ["steel", "fuel"], "pharmacy": ["copper", "pharm"], "grocery": ["tin", "brass", "food"]}, {"hardware": ["nickel"]}),
     "a20_migration_report": lambda s, d: R.migration_report(legacy(s, d)),
     "c15_rename_fields": lambda s, d: R.rename_fields(legacy(s, d)),
     "c15_renamed_counts": lambda s, d: R.rename_fields(legacy(s, d)).groupBy("extractor").agg(F.count_if("renamed").alias("n_renamed"), F.count(F.lit(1)).alias("n")),
@@ -129,7 +136,7 @@ QUERIES = {
     "c18_item_confidence": lambda s, d: R.item_confidence(items(s, d)),
     "c19_recover_items": lambda s, d: R.recover_items(lines(s, d)),
     "c19_recover_items_flat": lambda s, d: R.recover_items_flat(X.whole_texts(lines(s, d))),
-    "c20_learn_patterns": lambda s, d: R.learn_patterns(fields(s, d)),
+    "c20_learn_patterns": _learnt,
     "p4_route_low_confidence": lambda s, d: R.route_low_confidence(fields(s, d).withColumn("fallback", F.when(F.col("doc_id") % 2 == 0, F.lit("fallback"))).withColumn("confidence", F.expr("CAST(score - CAST(doc_id % 4 AS DECIMAL(3,1)) / 10 AS DECIMAL(3,2))")), {"total": "0.80", "number": "0.70"}),
     "u3_standardize_fields": lambda s, d: R.standardize_fields(legacy(s, d)),
     "s8_ingest_responses": lambda s, d: R.ingest_responses(_responses(s, d)),
@@ -169,7 +176,9 @@ ORACLE_SQL = {
     "c18_item_confidence": f"{ON_LINES}{ITEM_CONFIDENCE_SQL} SELECT * FROM ic",
     "c19_recover_items": f"""{ON_LINES} SELECT doc_id, 3 + item_no AS line_number, upper(name) AS name, qty, CAST(price AS DECIMAL(16,2)) AS price FROM it""",
     "c19_recover_items_flat": f"""{ON_LINES} SELECT doc_id, CAST(item_no AS INT) AS item_no, upper(name) AS name, qty, CAST(price AS DECIMAL(16,2)) AS price FROM it""",
-    "c20_learn_patterns": f"""{FIELDS_SQL} SELECT doc_id, upper(field[1]) || field[2:] || ': ' || value AS pattern, CASE WHEN score >= 0.85 THEN 'approved' ELSE 'pending' END AS status FROM fields WHERE score >= 0.70""",
+    "c20_learn_patterns": f"""{FIELDS_SQL}, v AS (SELECT doc_id, 'vendor' AS field, regexp_replace(text, ' LTD$', '') AS value, CAST(0.80 + (doc_id % 3) / 10.0 AS DECIMAL(3,2)) AS score FROM lines WHERE line_number = 1),
+        f AS (SELECT doc_id, field, value, score FROM fields WHERE score >= 0.70 UNION ALL SELECT * FROM v WHERE score >= 0.90 AND upper(value) NOT IN (SELECT upper(replace(s_name, '#', ' ')) FROM supplier WHERE s_suppkey % 2 = 0))
+        SELECT doc_id, field AS kind, upper(field[1]) || field[2:] || ': ' || value AS pattern, CASE WHEN score >= 0.85 THEN 'approved' ELSE 'pending' END AS status FROM f WHERE value IS NOT NULL""",
     "p4_route_low_confidence": f"""{FIELDS_SQL}, k AS (SELECT *, CAST(score - (doc_id % 4) / 10.0 AS DECIMAL(3,2)) AS cf FROM fields), r AS (SELECT *, cf < CASE field WHEN 'total' THEN 0.80 WHEN 'number' THEN 0.70 ELSE 0.75 END AS routed FROM k)
         SELECT doc_id, field, CASE WHEN routed AND doc_id % 2 = 0 AND cf < 0.75 THEN 'fallback' ELSE value END AS value, CASE WHEN routed AND doc_id % 2 = 0 AND cf < 0.75 THEN 0.75 ELSE cf END AS confidence, routed, cf < 0.90 AS review FROM r""",
     "u3_standardize_fields": f"""{FIELDS_SQL}{LEGACY_SQL}, b AS (SELECT doc_id, standard, value FROM legacy l JOIN names n ON n.field = l.field WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, standard ORDER BY rank, value) = 1)
