@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperslip.operators.fields import names_in
+from paperslip.operators.fields import names_in, whole_texts
 
 
 def chunk_documents(docs: DataFrame, size: int = 1000, overlap: int = 40) -> DataFrame:
@@ -89,17 +89,30 @@ def build_context(hits: DataFrame, per_hit: int = 150, most: int = 1500) -> Data
     return rows.select("query_id", F.substring(F.array_join(F.transform("xs", lambda x: x["t"]), "\n"), 1, most).alias("context"))
 
 
-def match_vendors(lines: DataFrame, vendors: DataFrame) -> DataFrame:
-    """(doc_id, vendor, confidence): names that stand as whole words in the first lines (+2), anywhere (+1), over 2 patterns + 2; best from 0.4, else a generic type at 0.3.
+def match_vendors(lines: DataFrame, vendors: DataFrame, countries: DataFrame | None = None, first: int = 5, least: str = "0.4") -> DataFrame:
+    """(doc_id, vendor, confidence): the best vendor of each document from `least` on, the smallest of equals; else none, at 0.3.
 
-    Names may stand anywhere in a line; the dictionary may be of any size.
+    Vendors are (vendor, name) and, where there are any, country, address, phone and website; countries are
+    (doc_id, country). A name found in the lines up to number `first` gives a point, as whole words two more; a
+    word of the address, the phone and the website anywhere in the document half a point each. Confidence is
+    points over 4 (two for the name, two for the rest), 1 at most. Vendors of another country than the
+    document's do not count. Names may stand anywhere in a line; the dictionary may be of any size.
     """
-    head = lines.where("line_number <= 5").select("doc_id", "line_number", F.upper("text").alias("t"))
-    known = vendors.select(F.col("s_suppkey").cast("long").alias("vendor"), F.upper(F.replace("s_name", F.lit("#"), F.lit(" "))).alias("name"))
-    hit = names_in(head, "t", known)
+    there = lambda c: F.col(c) if c in vendors.columns else F.lit(None).cast("string").alias(c)
+    known = vendors.select("vendor", F.upper("name").alias("name"), *map(there, ("country", "address", "phone", "website")))
+    head = lines.where(F.col("line_number") <= first).select("doc_id", F.upper("text").alias("t"))
+    hit = names_in(head, "t", known.select("vendor", "name"))
     whole = F.contains(F.concat(F.lit(" "), F.col("t"), F.lit(" ")), F.concat(F.lit(" "), F.col("name"), F.lit(" ")))
-    score = hit.groupBy("doc_id", "vendor").agg((F.max(F.when(whole, 2).otherwise(0)) + 1).alias("score"))
-    scored = score.select("doc_id", "vendor", F.least((F.col("score").cast("decimal(6,2)") / 4).cast("decimal(4,2)"), F.expr("CAST(1 AS DECIMAL(4,2))")).alias("confidence")).where("confidence >= 0.4")
+    named = hit.groupBy("doc_id", "vendor").agg((F.max(F.when(whole, 2).otherwise(0)) + 1).cast("decimal(6,2)").alias("points"))
+    if countries is not None:
+        named = named.join(countries.select("doc_id", F.col("country").alias("_of")), "doc_id", "left")
+    else:
+        named = named.withColumn("_of", F.lit(None).cast("string"))
+    named = named.join(known.drop("name"), "vendor").where("country IS NULL OR _of IS NULL OR country = _of")
+    named = named.join(whole_texts(lines).select("doc_id", F.lower("text").alias("_text")), "doc_id")
+    half = lambda c: F.when(F.coalesce((F.col(c) != "") & F.contains(F.col("_text"), F.lower(c)), F.lit(False)), F.expr("0.5BD")).otherwise(F.expr("0.0BD"))
+    points = F.col("points") + half("address") + half("phone") + half("website")
+    scored = named.select("doc_id", "vendor", F.least((points / 4).cast("decimal(4,2)"), F.expr("CAST(1 AS DECIMAL(4,2))")).alias("confidence")).where(F.col("confidence") >= F.expr(f"{least}BD"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("confidence"), "vendor")
     best = scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     return lines.select("doc_id").distinct().join(best, "doc_id", "left").select("doc_id", "vendor", F.coalesce("confidence", F.expr("CAST(0.3 AS DECIMAL(4,2))")).alias("confidence"))

@@ -95,7 +95,14 @@ def _context(spark, sf):
 
 
 def _vendors(spark, sf):
-    return K.match_vendors(lines(spark, sf), table(spark, sf, "supplier"))
+    """Receipts with addresses and telephones; every third supplier is of another country, telephones are those of some receipts."""
+    key = F.col("s_suppkey").cast("long")
+    known = table(spark, sf, "supplier").select(
+        key.alias("vendor"), F.replace("s_name", F.lit("#"), F.lit(" ")).alias("name"), F.when(key % 3 == 0, "FR").otherwise("UK").alias("country"), F.when(key % 2 == 0, "High Street").alias("address"), F.concat(F.lit("0113 496 0"), F.lpad((key % 1000).cast("string"), 3, "0")).alias("phone")
+    )
+    receipts = with_contact(spark, sf)
+    countries = receipts.where("line_number = 10 AND doc_id % 5 <> 0").select("doc_id", F.lit("UK").alias("country"))
+    return K.match_vendors(receipts, known, countries, first=50)
 
 
 def _neighbour(spark, sf):
@@ -208,9 +215,11 @@ ORACLE_SQL = {
     "j2_retrieve_context": f"""WITH {UNIT_SQL}, p AS (SELECT a.vec_id AS query_id, b.label AS doc_type, b.vec_id, {_COS} AS relevance FROM u a JOIN u b ON b.label IN (0, 1, 2, 3) WHERE a.vec_id % 20 = 0)
         SELECT * FROM p WHERE relevance >= 0.05 QUALIFY row_number() OVER (PARTITION BY query_id, doc_type ORDER BY relevance DESC, vec_id) <= CASE doc_type WHEN 0 THEN 5 WHEN 3 THEN 2 ELSE 3 END""",
     "c16_build_context": r"SELECT item_id % 7 AS query_id, substring(string_agg(substring(regexp_replace(regexp_replace(text, '\d{2}/\d{2}/\d{4}', '[date]', 'g'), '\d+(?:\.\d+)?', '[n]', 'g'), 1, 150), E'\n' ORDER BY item_id), 1, 1500) AS context FROM benchmark GROUP BY item_id % 7",
-    "j3_match_vendors": f"""{ON_LINES}, v AS (SELECT CAST(s_suppkey AS BIGINT) AS vendor, upper(replace(s_name, '#', ' ')) AS name FROM supplier),
-        h AS (SELECT doc_id, vendor, CAST(CAST(max(CASE WHEN contains(' ' || upper(text) || ' ', ' ' || name || ' ') THEN 2 ELSE 0 END) + 1 AS DECIMAL(6,2)) / 4 AS DECIMAL(4,2)) AS c FROM lines JOIN v ON contains(upper(text), name) WHERE line_number <= 5 GROUP BY ALL),
-        b AS (SELECT * FROM h WHERE c >= 0.4 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, vendor) = 1)
-        SELECT d.doc_id, vendor, CAST(coalesce(least(c, 1), 0.3) AS DECIMAL(4,2)) AS confidence FROM (SELECT DISTINCT doc_id FROM lines) d LEFT JOIN b ON b.doc_id = d.doc_id""",
+    "j3_match_vendors": f"""{ON_LINES}{CONTACT_SQL}, v AS (SELECT CAST(s_suppkey AS BIGINT) AS vendor, upper(replace(s_name, '#', ' ')) AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'FR' ELSE 'UK' END AS country, s_suppkey % 2 = 0 AS high, '0113 496 0' || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') AS phone FROM supplier),
+        t AS (SELECT doc_id, lower(string_agg(text, E'\\n' ORDER BY line_number)) AS text FROM contact GROUP BY doc_id),
+        h AS (SELECT doc_id, vendor, max(CASE WHEN contains(' ' || upper(text) || ' ', ' ' || name || ' ') THEN 2 ELSE 0 END) + 1 AS points FROM contact JOIN v ON contains(upper(text), name) WHERE line_number <= 50 AND (doc_id % 5 = 0 OR country = 'UK') GROUP BY ALL),
+        c AS (SELECT h.doc_id, h.vendor, least(CAST((points + CASE WHEN high AND contains(text, 'high street') THEN 0.5 ELSE 0 END + CASE WHEN contains(text, phone) THEN 0.5 ELSE 0 END) / 4 AS DECIMAL(4,2)), 1) AS c FROM h JOIN v ON v.vendor = h.vendor JOIN t ON t.doc_id = h.doc_id),
+        b AS (SELECT * FROM c WHERE c >= 0.4 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, vendor) = 1)
+        SELECT d.doc_id, vendor, CAST(coalesce(c, 0.3) AS DECIMAL(4,2)) AS confidence FROM (SELECT DISTINCT doc_id FROM contact) d LEFT JOIN b ON b.doc_id = d.doc_id""",
     "w7_daily_quota": """SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'auto' ELSE 'review' END AS mode, coalesce(sum(event_id % 3 + 1) OVER (PARTITION BY CAST(ts AS DATE), event_id % 2 ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < CASE WHEN event_id % 2 = 0 THEN 100 ELSE 50 END AS admitted FROM events""",
 }

@@ -129,11 +129,21 @@ def test_names_anywhere_in_a_line(spark):
     lines = spark.createDataFrame(rows, "doc_id int, line_number int, text string")
     got = {r.doc_id: (r.suppkey, float(r.score)) for r in X.match_suppliers(lines, suppliers).collect()}
     assert got == {1: (1, 0.306), 2: (2, 0.333), 3: (3, 0.222), 4: (2, 0.25), 5: (2, 0.389)}
-    vendors = {r.doc_id: (r.vendor, float(r.confidence)) for r in K.match_vendors(lines, suppliers).collect()}
+    vendors = {r.doc_id: (r.vendor, float(r.confidence)) for r in K.match_vendors(lines, suppliers.selectExpr("s_suppkey AS vendor", "replace(s_name, '#', ' ') AS name")).collect()}
     assert vendors == {1: (1, 0.75), 2: (2, 0.75), 3: (3, 0.75), 4: (None, 0.3), 5: (2, 0.75), 6: (None, 0.3), 7: (None, 0.3)}
     assert X.match_suppliers(lines, suppliers.where("false")).count() == 0
 
 
+def test_vendor_terms_and_countries(spark):
+    vendors = spark.createDataFrame([(1, "ACME", "UK", "Mill Lane", "01234 5", None), (2, "ACME SHOP", "FR", None, None, "acme.example"), (3, "ME SH", None, "", None, None)], "vendor int, name string, country string, address string, phone string, website string")
+    lines = spark.createDataFrame([(1, 1, "Acme Shop"), (1, 9, "12 MILL LANE"), (1, 10, "tel 01234 56"), (2, 1, "Acme shop"), (2, 2, "www.ACME.example"), (3, 6, "ACME"), (4, 1, None)], "doc_id int, line_number int, text string")
+    countries = spark.createDataFrame([(1, "UK"), (2, "FR"), (3, None)], "doc_id int, country string")
+    got = {r.doc_id: (r.vendor, float(r.confidence)) for r in K.match_vendors(lines, vendors, countries).collect()}
+    assert got == {1: (1, 1.0), 2: (2, 0.88), 3: (None, 0.3), 4: (None, 0.3)}
+    both = {r.doc_id: r.vendor for r in K.match_vendors(lines, vendors).collect()}
+    assert both == {1: 1, 2: 2, 3: None, 4: None}
+
+
 def test_field_confidence_of_given_maps(spark):
     items = spark.createDataFrame([(4, {"price": Decimal("0.50"), "name": Decimal("0.90")}), (4, {"price": Decimal("0.70")}), (5, None)], "doc_id long, confidences map<string, decimal(3,2)>")
     own = spark.createDataFrame([(4, "name", Decimal("0.20")), (6, "date", Decimal("0.10"))], "doc_id long, field string, confidence decimal(3,2)")
