@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ADDRESS_WORDS = r"(?i)street|road|avenue|lane|suite|receipt|date"
 
@@ -50,17 +54,31 @@ def reconstruct_lines(words: DataFrame, tolerance: float = 0.5) -> DataFrame:
 def group_words(words: DataFrame, tolerance: int = 4) -> DataFrame:
     """(doc_id, line_number, text, x0, y0, x1, y1): a word joins the line if its top is within `tolerance` of that of the line's first word.
 
-    The anchor is the first word, not the neighbour, so this is a fold over the sorted words of a page.
+    The anchor is the first word, not the neighbour, so this is a fold over the sorted words of a page; it
+    jumps from anchor to anchor by binary search.
     """
-    ordered = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "y0", "x0", "word_id", "text", "x1", "y1"))).alias("ws"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("page"), F.lit(0).alias("top"), F.expr("CAST(array() AS ARRAY<INT>)").alias("lines"))
-
-    def step(acc, w):
-        fresh = (acc["n"] == 0) | (acc["page"] != w["page"]) | (w["y0"] - acc["top"] > tolerance)
-        n = F.when(fresh, acc["n"] + 1).otherwise(acc["n"])
-        return F.struct(n.alias("n"), w["page"].alias("page"), F.when(fresh, w["y0"]).otherwise(acc["top"]).alias("top"), F.concat(acc["lines"], F.array(n)).alias("lines"))
+    ordered = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "y0", "x0", "word_id", "text", "x1", "y1"))).alias("ws"))  # one document's words
 
-    numbered = ordered.select("doc_id", F.arrays_zip("ws", F.aggregate("ws", start, step, lambda a: a["lines"]).alias("n")).alias("z")).select("doc_id", F.inline("z"))
+    def run(batches):
+        for batch in batches:
+            ws = batch.column(1)
+            ends = ws.offsets.to_numpy() - ws.offsets[0].as_py()
+            flat = ws.flatten()
+            page, top = (flat.field(c).fill_null(0).to_pylist() for c in ("page", "y0"))
+            number = np.empty(len(flat), np.int32)
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                n = 0
+                while a < b:
+                    n += 1
+                    to = bisect_right(page, page[a], a, b)
+                    nxt = bisect_right(top, top[a] + tolerance, a, to)
+                    number[a:nxt] = n
+                    a = nxt
+            lines = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(number))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ws, lines], names=["doc_id", "ws", "n"])
+
+    found = ordered.mapInArrow(run, T.StructType([*ordered.schema.fields, T.StructField("n", T.ArrayType(T.IntegerType()))]))
+    numbered = found.select("doc_id", F.inline(F.arrays_zip("ws", "n")))
     grouped = numbered.groupBy("doc_id", F.col("n").cast("long").alias("line_number")).agg(F.array_sort(F.collect_list(F.struct("ws.x0", "ws.word_id", "ws.text"))).alias("t"), F.min("ws.x0").alias("x0"), F.min("ws.y0").alias("y0"), F.max("ws.x1").alias("x1"), F.max("ws.y1").alias("y1"))
     return grouped.select("doc_id", "line_number", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"), "x0", "y0", "x1", "y1")
 
