@@ -4,11 +4,11 @@
    different anchors need not meet. A segment is the text under the consecutive windows of one anchor
    occurrence. Of segments of equal bytes in a block all but the first are marked at once.
 2. Blocks send the names of their anchors only. The text of a segment is sent on where its anchor occurs again.
-3. There, segments of equal bytes are one. All different segments of an anchor become part of an index: a
-   run-compressed Burrows-Wheeler transform with sampled text places at the ends of its runs, and with the
-   earliest place of each window. The same segments are streamed through it from right to
-   left; where the matching statistics reach a window's length, the window occurs in the index, and it is
-   marked if that is at an earlier place than its own. No byte goes on the word of a hash.
+3. There, one segment of each kind becomes part of an index: a run-compressed Burrows-Wheeler transform with
+   sampled text places at the ends of its runs, and with the earliest place of each window. The segments are
+   streamed through it from right to left, those of equal bytes once; where the matching statistics reach a
+   window's length, the window occurs in the index, and it is marked wherever that is at an earlier place
+   than its own. No byte goes on the word of a hash.
 4. An anchor of more than CROWD segments is dealt out by its single windows instead, in two levels.
 """
 
@@ -173,15 +173,13 @@ class RunLengthIndex:
         return np.minimum(size, far)
 
 
-def repeated_windows(body: np.ndarray, ends: np.ndarray, place: np.ndarray, window: int) -> np.ndarray:
-    """Per byte of different segments, whether the window from there on also occurs in a segment of a smaller place."""
+def first_places(body: np.ndarray, ends: np.ndarray, place: np.ndarray, window: int) -> np.ndarray:
+    """Per byte of different segments, the smallest place of a segment that holds the window from there on (the largest number where no window begins)."""
     n = len(ends) - 1
     text = np.full(len(body) + n, _GAP, np.uint8)
-    at = np.arange(len(body)) + np.repeat(np.arange(n), np.diff(ends))
-    text[at] = body
-    owner = np.repeat(place, np.diff(ends) + 1)
-    size, earliest = RunLengthIndex(text, window, owner).matching_statistics(body, ends)
-    return (size >= window) & (earliest < np.repeat(place, np.diff(ends)))
+    text[np.arange(len(body)) + np.repeat(np.arange(n), np.diff(ends))] = body
+    size, earliest = RunLengthIndex(text, window, np.repeat(place, np.diff(ends) + 1)).matching_statistics(body, ends)
+    return np.where(size >= window, earliest, np.iinfo(np.int64).max)
 
 
 # ---- the steps ----------------------------------------------------------------------------------
@@ -347,16 +345,13 @@ def _marked(window: int, n: int):
         place[order] = np.arange(len(order))
         classes = _classes(_segments(body, starts, length))
         lead = _first_of(classes, order)
-        copies = np.flatnonzero(~lead)  # equal, byte for byte, to a segment before
-        found = [(block[copies], first[copies], count[copies])]
-        # different segments of one name, about INDEX_BYTES at a time
+        # one segment of each kind, about INDEX_BYTES at a time; those of a name stay together
         one = np.flatnonzero(lead)
         one = one[np.argsort(name[one], kind="stable")]
         head = np.flatnonzero(np.append(True, name[one][1:] != name[one][:-1])) if len(one) else np.zeros(0, np.int64)
-        several = np.repeat(np.diff(np.append(head, len(one))) > 1, np.diff(np.append(head, len(one))))
-        one = one[several]
-        head = np.flatnonzero(np.append(True, name[one][1:] != name[one][:-1])) if len(one) else np.zeros(0, np.int64)
         total = np.append(0, np.cumsum(length[one]))
+        found = [(block[:0], first[:0], count[:0])]
+        known = np.zeros(len(classes), bool)  # classes all of whose windows the index has at the place of their first segment, or before
         at = 0
         while at < len(one):
             stops = np.append(head[head > at], len(one))
@@ -364,12 +359,17 @@ def _marked(window: int, n: int):
             to = int(fit[-1]) if len(fit) else int(stops[0])
             own = one[at:to]
             ends = np.append(0, np.cumsum(length[own]))
-            byte = np.flatnonzero(repeated_windows(body[spread(starts[own], length[own])], ends, place[own], window))
+            seen = first_places(body[spread(starts[own], length[own])], ends, place[own], window)
+            each = np.repeat(place[own], length[own])
+            known[classes[own]] = np.add.reduceat(seen <= each, ends[:-1]) == count[own]
+            byte = np.flatnonzero(seen < each)
             seg = np.searchsorted(ends, byte, "right") - 1
             new = np.append(True, (seg[1:] != seg[:-1]) | (byte[1:] != byte[:-1] + 1)) if len(byte) else np.zeros(0, bool)
             cut = np.flatnonzero(new)  # consecutive windows of a segment are one span
             found.append((block[own[seg[cut]]], (first[own[seg[cut]]] + byte[cut] - ends[seg[cut]]).astype(np.int32), np.diff(np.append(cut, len(byte))).astype(np.uint8)))
             at = to
+        copies = np.flatnonzero(~lead & known[classes])  # the same bytes, so the same statistics, at a later place
+        found.append((block[copies], first[copies], count[copies]))
         blocks, firsts, counts = (np.concatenate([f[i] for f in found]) for i in range(3))
         rows = [{"block": b, "spans": R.packed(firsts[e], counts[e])} for b, e in _by_block(blocks)]
         on = np.flatnonzero(lead & (again > 0))

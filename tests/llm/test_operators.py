@@ -495,9 +495,10 @@ def test_the_index_decides_between_different_segments(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     table = df.selectExpr("doc_id AS k", "text").toArrow()
     data, ends = (np.frombuffer("".join(t for _, t in rows).encode(), np.uint8), np.cumsum([0, *(len(t) for _, t in rows)]))
-    marked = run_length_index.repeated_windows(data, ends, np.arange(len(rows)), 100)
-    assert table.num_rows == 40 and marked.sum() == 20 * 31 and not marked[: ends[20]].any()
-    assert run_length_index.repeated_windows(data, ends, -np.arange(len(rows)), 100)[: ends[20]].sum() == 20 * 31  # the earlier one by the given order
+    place = np.repeat(np.arange(len(rows)), np.diff(ends))
+    seen = run_length_index.first_places(data, ends, np.arange(len(rows)), 100)
+    assert table.num_rows == 40 and (seen < place).sum() == 20 * 31 and not (seen < place)[: ends[20]].any() and (seen == place).sum() > 20 * 51
+    assert (run_length_index.first_places(data, ends, -np.arange(len(rows)), 100) < -place)[: ends[20]].sum() == 20 * 31  # the earlier one by the given order
     same(passages(df), brute_passages(rows))
 
 
