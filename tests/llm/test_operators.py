@@ -329,8 +329,7 @@ def brute_tokens(text):
     return len(re.findall(r"\w+|[^\w\s]", text)) + 4
 
 
-@pytest.mark.parametrize("system", [0, 60, 700, 1000, 2000])
-@pytest.mark.parametrize("history", [0, 128, 400])
+@pytest.mark.parametrize(("system", "history"), [(0, 0), (0, 128), (60, 128), (60, 400), (700, 0), (700, 128), (700, 400), (1000, 0), (2000, 128)])
 def test_chat_windows_keep_their_budget(spark, system, history):
     """No window of several turns is larger than the budget; the system turn, the repeated turns and the masks are as stated."""
     rnd, budget = random.Random(system + history), 1024

@@ -48,7 +48,7 @@ def hard_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     some = docs.where("doc_id IN (0, 1, 2)")
     more = some.unionByName(some.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string"))).unionByName(docs.limit(2).withColumn("text", F.lit("")))
-    key = "".join("k3Jx9QzWpL7vRt2Yb8Nc")
+    key = "k3Jx9QzWpL7vRt2Yb8Nc"
     more = more.unionByName(docs.where("doc_id BETWEEN 3 AND 8").withColumn("text", F.concat(F.substring("text", 1, 300), F.lit(f" {key} and_config={key}Zq1 "), F.substring("text", 301, 100_000))))
     rows = docs.unionByName(more).select("*", *(F.lit("x").alias(c) for c in ("_row", "_stay", "_salt", "row", "at", "spans", "kept", "block", "class", "label")))
     return rows.repartition(3)
