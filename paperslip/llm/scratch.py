@@ -78,10 +78,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def drop(spark: SparkSession) -> None:
-    """Delete the folders made so far; only when no DataFrame that reads them is used any more."""
+def made() -> int:
+    """How many folders have been made so far."""
+    return len(_made)
+
+
+def drop(spark: SparkSession, since: int = 0) -> None:
+    """Delete the folders made after the first `since` ones; only when no DataFrame that reads them is used any more."""
     jvm = spark.sparkContext._jvm
-    for path in _made:
+    for path in _made[since:]:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    _made.clear()
+    del _made[since:]
