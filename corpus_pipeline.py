@@ -80,9 +80,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, over the whole table documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        since = scratch.made()
         out = stage(spark, docs, sf_dir)
         path = scratch.kept_path(spark, name)
         out.write.parquet(path)
         docs = spark.read.parquet(path)
-        scratch.drop(spark)  # what the stage has written for itself
+        scratch.drop(spark, since)  # what the stage has written for itself
     return docs
