@@ -44,12 +44,15 @@ def stream_quota(patterns: DataFrame, limits: dict[str, int], watermark: str = "
 
 
 def stream_upsert_kb(stream: DataFrame, base: str, checkpoint: str):
-    """Start a query that merges each micro-batch into the table at `base`/v=n, by id and version; running a batch again gives the same table."""
-    spark = stream.sparkSession
+    """Start a query that adds each micro-batch to the table at `base`, as v=n beside the rows of v=0; `latest` reads what holds by id and version.
+
+    A batch writes its own rows only, whatever the size of the table; running a batch again gives the same rows.
+    """
+    columns = stream.sparkSession.read.parquet(f"{base}/v=0").columns
 
     def merge(batch: DataFrame, number: int) -> None:
-        now = spark.read.parquet(f"{base}/v={number}")
-        upsert_kb(now, batch.select(now.columns)).write.mode("overwrite").parquet(f"{base}/v={number + 1}")
+        rows = batch.select(columns)
+        upsert_kb(rows, rows.where("false")).write.mode("overwrite").parquet(f"{base}/v={number + 1}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -62,6 +65,11 @@ def stream_metrics(results: DataFrame, size: str = "1 hour", watermark: str = "1
 
 
 def latest(spark: SparkSession, base: str) -> DataFrame:
-    """The table at the highest v= below `base`."""
-    every = spark.read.option("basePath", base).parquet(base)
-    return every.where(F.col("v") == every.agg(F.max("v")).first()[0]).drop("v")
+    """The rows that hold among all that have been added below `base`: of one id the highest version."""
+    every = spark.read.option("basePath", base).parquet(base).drop("v")
+    return upsert_kb(every, every.where("false"))
+
+
+def compact(spark: SparkSession, base: str, to: str) -> None:
+    """Write the rows that hold as v=0 of a new table, so that reading it need not look at what has been replaced."""
+    latest(spark, base).write.parquet(f"{to}/v=0")
