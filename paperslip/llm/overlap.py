@@ -5,7 +5,8 @@ in one order, rare ones first. Two sets of similarity t share one of the first n
 each, so documents of different components meet under those; sizes, places in the order and parity sketches
 drop pairs that cannot reach t, and the rest are compared by their whole sets. The order decides only how
 many candidates there are. Equal sets are one class from the start. In a crowded key first a chain and a
-star are compared, then the pairs that these have not connected.
+star are compared, then the member nearest to all with each of the others, then the pairs that these have
+not connected.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from paperslip.llm.winnow import Rolling
 DIRECT = 24
 #: Bits of the parity sketches that crowded keys are searched with.
 WIDE = 1024
+#: Text bytes per block, and rows of keys that are compared at a time, about.
+BLOCK, ROWS = 1 << 20, 60_000
 #: Pairs that leave a worker in one batch, about.
 BATCH = 100_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -62,7 +65,7 @@ def _sets(size: int):
     """(class, set) of every row: the whole set in hash order."""
 
     def run(batches):
-        for block in gathered(batches, "text", 2 << 20):
+        for block in gathered(batches, "text", BLOCK):
             hashes, at = shingles(*flat(block["text"]), size)
             sets = pa.array([hashes[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
             yield from pa.Table.from_arrays([block["class"], sets], names=["class", "set"]).to_batches()
@@ -74,7 +77,7 @@ def _names(size: int):
     """(key, class) of every row: equal sets have equal classes."""
 
     def run(batches):
-        for block in gathered(batches, "text", 2 << 20):
+        for block in gathered(batches, "text", BLOCK):
             hashes, at = shingles(*flat(block["text"]), size)
             name = mix(np.add.reduceat(mix(hashes), at[:-1]) + np.diff(at).astype(np.uint64)) if len(hashes) else np.zeros(0, np.uint64)
             yield from pa.Table.from_arrays([block["key"], pa.array(name.view(np.int64))], names=["key", "class"]).to_batches()
@@ -86,7 +89,7 @@ def _sketched(size: int):
     """(class, n, sketch, wide): bit b of a sketch (a power of two of bits, 2 n at least) is the parity of the shingles hashed to b; `wide` is the same in WIDE bits."""
 
     def run(batches):
-        for block in gathered(batches, "text", 2 << 20):
+        for block in gathered(batches, "text", BLOCK):
             hashes, at = shingles(*flat(block["text"]), size)
             place = mix(hashes ^ _BASE)
             sketches, wides = [], []
@@ -106,7 +109,7 @@ def _keyed(size: int, least: tuple[int, int], common: tuple[np.ndarray, np.ndarr
     hashed, rank = common
 
     def run(batches):
-        for block in gathered(batches, "text", 2 << 20):
+        for block in gathered(batches, "text", BLOCK):
             hashes, at = shingles(*flat(block["text"]), size)
             n = np.diff(at)
             if not len(n):
@@ -141,10 +144,11 @@ def _can(a: list, b: list, least: tuple[int, int]) -> np.ndarray:
     return ok
 
 
-def _pairs(least: tuple[int, int], crowded: bool):
+def _pairs(least: tuple[int, int], crowded: bool, centre: bool = False):
     """Candidate pairs of different labels among rows sorted by shingle and n, and the rows of crowded keys with dst null.
 
-    With `crowded` rows have a wide sketch, and all pairs of a key are taken, whatever its size.
+    With `crowded` rows have a wide sketch: with `centre` each row of a key is paired with the one whose
+    sketch is nearest to the majority of all, else all pairs of a key are taken, whatever its size.
     """
     names = ["src", "dst", "shingle", "n", "place"]
 
@@ -160,6 +164,16 @@ def _pairs(least: tuple[int, int], crowded: bool):
         labels, inverse, count = np.unique(x[3], return_inverse=True, return_counts=True)
         if len(labels) == 1:
             return
+        if centre:
+            bits = x[4].view(np.uint8)
+            votes = np.zeros(WIDE, np.int64)
+            for a in range(0, len(bits), 4096):
+                votes += np.unpackbits(bits[a : a + 4096], axis=1).sum(0, dtype=np.int64)
+            most = np.packbits(votes * 2 > len(bits)).view(np.uint64)
+            i = int(np.argmin(np.bitwise_count(x[4] ^ most).sum(1, dtype=np.int64)))
+            other = np.flatnonzero(_can(some(x, slice(i, i + 1)), x, least))
+            yield links(np.full(len(other), x[0][i]), x[0][other])
+            return
         rare = np.flatnonzero(inverse != np.argmax(count))
         first = np.searchsorted(x[1], -(-x[1] * least[0] // least[1]), "left")
         last = np.searchsorted(x[1], x[1] * least[1] // least[0], "right")
@@ -213,7 +227,7 @@ def _pairs(least: tuple[int, int], crowded: bool):
                 continue
             held.append(x)
             n += len(x[0])
-            if n < 200_000 or held[0][0][0] == x[0][-1]:  # the last key may go on
+            if n < ROWS or held[0][0][0] == x[0][-1]:  # the last key may go on
                 continue
             x = [np.concatenate(c) for c in zip(*held, strict=True)]
             cut = int(np.flatnonzero(x[0] != x[0][-1])[-1]) + 1
@@ -315,15 +329,16 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size
     links = links.unionByName(check(written(met.where("dst IS NOT NULL").select("src", "dst").distinct(), "pairs")))
     label = written(labelled(nodes, "class", links), "label")
     crowd = met.where("dst IS NULL").select("shingle", F.col("src").alias("class"), "n", "place")
-    # keys whose members are all connected by now are done
-    apart = crowd.join(label, "class").groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("shingle")
-    crowd = crowd.join(apart, "shingle", "left_semi").join(label, "class").join(sketches.select("class", "wide"), "class").select("shingle", "class", "n", "place", "component", "wide")
-    again = crowd.repartition("shingle").sortWithinPartitions("shingle", "n", "class").mapInArrow(_pairs(least, True), columns)
-    more = written(again.select("src", "dst").distinct(), "pairs")
-    scratch.release(spark)
-    if not more.isEmpty():
-        links = links.unionByName(check(more))
-        label = written(labelled(nodes, "class", links), "label")
+    # keys whose members are all connected by now are done; of the others first the centre is compared with all, then all pairs
+    for centre in (True, False):
+        apart = crowd.join(label, "class").groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("shingle")
+        rows = crowd.join(apart, "shingle", "left_semi").join(label, "class").join(sketches.select("class", "wide"), "class").select("shingle", "class", "n", "place", "component", "wide")
+        again = rows.repartition("shingle").sortWithinPartitions("shingle", "n", "class").mapInArrow(_pairs(least, True, centre), columns)
+        more = written(again.select("src", "dst").distinct(), "pairs")
+        scratch.release(spark)
+        if not more.isEmpty():
+            links = links.unionByName(check(more))
+            label = written(labelled(nodes, "class", links), "label")
     least_key = label.join(firsts, "class").groupBy("component").agg(F.min("key").alias("_least"))
     named = written(label.join(least_key, "component").select(F.col("class").alias("_class"), F.col("_least").alias("component")), "named")
     return names.join(named, F.col("class") == F.col("_class")).select(F.col("key").alias(key), "component")

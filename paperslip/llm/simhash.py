@@ -160,7 +160,7 @@ def _links(bits: int):
         for batch in batches:
             held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64)))
             n += batch.num_rows
-            if n < 200_000 or held[0][0][0] == held[-1][0][-1]:  # the last key may go on
+            if n < 100_000 or held[0][0][0] == held[-1][0][-1]:  # the last key may go on
                 continue
             key, prints = (np.concatenate(x) for x in zip(*held, strict=True))
             cut = int(np.searchsorted(key.view(np.int64), key.view(np.int64)[-1], "left"))
