@@ -1,14 +1,16 @@
 """HyperMinHash near-duplicates: compressed registers, banded, estimated with collisions corrected, then verified.
 
 A set's shingle hashes fall into 256 buckets; a bucket's register holds, of its smallest hash, the number of
-leading zeros (6 bits) and the 10 bits behind the leading one. Bands of four registers are keys. In a key's
+leading zeros (6 bits) and the 10 bits behind the leading one. Bands of registers are keys. In a key's
 rows, in order of set size, each row is compared with the one before it and with the first; keys whose members
 these links have connected are done, and in the others all rows of different components are compared.
 A pair is compared by its registers first: the share of equal ones, less those that are equal by chance,
 must be within six deviations of the bar. Then whole sets decide.
 
-What this can lose: two sets at the bar share a band with a probability of 1 - (1 - 0.85^4)^32, all but
-6e-11 (sets under 256 shingles have 64 bands, empty ones aside), and fall six deviations short with 1e-9.
+What this can lose: a large set has 32 bands of four registers, and two sets at the bar share one with a probability of
+1 - (1 - 0.85^4)^32, all but 6e-11. Sets of fewer than 256 shingles have more bands than the shingles in which a pair at
+the bar differs, so that one band at least has no difference; only where all such bands are empty no key is shared
+(6 shingles: (1/16)^6, less for more). An estimate falls six deviations short with 1e-9.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ from paperslip.llm.components import connected
 from paperslip.llm.scratch import written
 from paperslip.llm.text_arrays import flat, gathered, mix, spread
 
-#: Buckets of a set (a power of two), registers of a band, bands of a set of FEW shingles or more.
-BUCKETS, BAND, BANDS, FEW = 256, 4, 32, 256
+#: Buckets of a set, a power of two.
+BUCKETS = 256
+#: (from size, below size, registers of a band, registers that are banded). A set is banded for its own sizes and, near their end, for the next.
+SCHEMES = [(1, 64, 16, 256), (64, 96, 12, 256), (96, 128, 10, 256), (128, 181, 8, 256), (181, 256, 5, 256), (256, 1 << 31, 4, 128)]
 #: Bits behind the leading one that a register keeps, and deviations that an estimate may fall short.
 MANTISSA, DEVIATIONS = 10, 6
-#: Members of an unfinished key from which on it is dealt out by the members' other bands.
-SPLIT = 512
+#: Members of an unfinished key from which on it is dealt out by the members' other bands; up to SMALL of them many keys are compared at once.
+SPLIT, SMALL = 2048, 48
 #: Text bytes per block; pairs of rows that are compared at a time.
 BLOCK, PAIRS = 1 << 20, 1 << 14
 _SALT = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -78,15 +82,25 @@ def may_reach(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, least:
 
 
 def band_keys(regs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, key) of the bands that are not empty: the first BANDS, and all others of a set under FEW."""
-    total = BUCKETS // BAND
-    quads = regs.reshape(len(regs), total, BAND).astype(np.uint64)
-    name = quads[..., 0]
-    for j in range(1, BAND):
-        name = name << np.uint64(16) | quads[..., j]
-    keep = (name != 0) & ((np.arange(total) < BANDS)[None, :] | (n < FEW)[:, None])
-    row, band = np.nonzero(keep)
-    return row, mix(mix(name[row, band]) + band.astype(np.uint64) * _SALT)
+    """(set number, key) of the bands that are not empty, under the schemes for the set's size and for the sizes that its likes can have."""
+    rows, keys = [], []
+    for number, (low, high, width, used) in enumerate(SCHEMES):
+        own = np.flatnonzero((n * 100 >= low * 85) & (n < high))
+        if not len(own):
+            continue
+        count = -(-used // width)
+        part = np.zeros((len(own), count * width), np.uint64)
+        part[:, :used] = regs[own, :used]
+        part = part.reshape(len(own), count, width)
+        name = np.broadcast_to(mix(np.arange(count, dtype=np.uint64) + np.uint64((number + 1) << 16)), part.shape[:2])
+        for j in range(width):
+            name = mix(name * _SALT + part[..., j])
+        row, band = np.nonzero(part.any(-1))
+        rows.append(own[row])
+        keys.append(name[row, band])
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(rows), np.concatenate(keys)
 
 
 def least_size(least: tuple[int, int]) -> int:
@@ -213,34 +227,54 @@ def _neighbours(least: tuple[int, int], rows_too: bool):
 def _crowd(least: tuple[int, int]):
     """From rows (band, label, n, name, regs) by band and n: pairs of different labels that may reach `least`."""
 
-    def of(rows: pa.Table):
-        labels = rows["label"].combine_chunks().dictionary_encode()
-        label = labels.indices.to_numpy()
+    def large(label, n, regs):
+        """(left, right) in one key, row by row: each row of a label but the most frequent one against all others."""
         count = np.bincount(label)
-        if len(count) < 2:
-            return
-        n, regs, names = rows["n"].to_numpy().astype(np.int64), _regs(rows["regs"].combine_chunks()), rows["name"].combine_chunks()
         rare = label != np.argmax(count)
         first = np.searchsorted(n, -(-n * least[0] // least[1]), "left")
         last = np.searchsorted(n, n * least[1] // least[0], "right")
-        left, right, size = [], [], 0
         for i in np.flatnonzero(rare).tolist():
             to = np.arange(first[i], last[i])
             to = to[(label[to] != label[i]) & (~rare[to] | (to > i))]
             for a in range(0, len(to), PAIRS):
                 some = to[a : a + PAIRS]
                 some = some[may_reach(regs[i : i + 1], regs[some], n[i : i + 1], n[some], least)]
-                left.append(np.full(len(some), i))
-                right.append(some)
-                size += len(some)
-            if size > 50_000 or i == len(n) - 1:
-                yield from out(names, left, right)
-                left, right, size = [], [], 0
-        yield from out(names, left, right)
-
-    def out(names, left, right):
-        if left:
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(x).astype(np.int64))) for x in (left, right)], names=["src", "dst"])
+                yield np.full(len(some), i), some
+
+    def small(start, size, label, n, regs):
+        """(left, right) in many keys of few rows: rows at every distance."""
+        left, right = [], []
+        stop = np.repeat(start + size, size)
+        i = spread(start, size)
+        for apart in range(1, int(size.max(initial=1))):
+            i, stop = i[i + apart < stop], stop[i + apart < stop]
+            ok = label[i] != label[i + apart]
+            left.append(i[ok])
+            right.append(i[ok] + apart)
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        for at in range(0, len(a), PAIRS):
+            x, y = a[at : at + PAIRS], b[at : at + PAIRS]
+            ok = may_reach(regs[x], regs[y], n[x], n[y], least)
+            yield x[ok], y[ok]
+
+    def keys(table: pa.Table):
+        """Pairs of whole keys, each pair once."""
+        table = table.combine_chunks()
+        band = table["band"].to_numpy()
+        n, regs, names = table["n"].to_numpy().astype(np.int64), _regs(table["regs"].combine_chunks()), table["name"].combine_chunks()
+        label = table["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+        number = names.dictionary_encode().indices.to_numpy().astype(np.int64)
+        start = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+        size = np.diff(np.append(start, len(band)))
+        few = size <= SMALL
+        found = list(small(start[few], size[few], label, n, regs))
+        for a, m in zip(start[~few].tolist(), size[~few].tolist(), strict=True):
+            found += [(x + a, y + a) for x, y in large(np.unique(label[a : a + m], return_inverse=True)[1], n[a : a + m], regs[a : a + m])]
+        if found:
+            x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+            low, high = np.minimum(number[x], number[y]), np.maximum(number[x], number[y])
+            _, once = np.unique(low * (int(number.max()) + 1) + high, return_index=True)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(c[once])) for c in (x, y)], names=["src", "dst"])
 
     def run(batches):
         held, size = [], 0
@@ -249,21 +283,15 @@ def _crowd(least: tuple[int, int]):
                 continue
             held.append(batch)
             size += batch.num_rows
-            if size < 4096 or held[0].column(0)[0] == batch.column(0)[batch.num_rows - 1]:
+            if size < 8192 or held[0].column(0)[0] == batch.column(0)[batch.num_rows - 1]:
                 continue
-            table = pa.Table.from_batches(held).combine_chunks()
+            table = pa.Table.from_batches(held)
             band = table["band"].to_numpy()
             cut = int(np.flatnonzero(band != band[-1])[-1]) + 1
             yield from keys(table.slice(0, cut))
             held, size = table.slice(cut).to_batches(), len(band) - cut
         if held:
-            yield from keys(pa.Table.from_batches(held).combine_chunks())
-
-    def keys(table: pa.Table):
-        band = table["band"].to_numpy()
-        start = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
-        for a, b in zip(start.tolist(), np.append(start[1:], len(band)).tolist(), strict=True):
-            yield from of(table.slice(a, b - a))
+            yield from keys(pa.Table.from_batches(held))
 
     return run
 
@@ -343,7 +371,8 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size
     label = written(connected(links).toDF("name", "label"), "label")
     crowd = met.where("dst IS NULL AND NOT edge").select("band", "n", F.col("src").alias("name"))
     crowd = written(crowd.join(label, "name", "left").select("band", "n", "name", F.coalesce("label", "name").alias("label")), "crowd")
-    apart = crowd.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b").select("band", "size")
+    # up to three rows have all been compared with each other by now
+    apart = crowd.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b AND size > 3").select("band", "size")
     left = crowd.join(apart, "band").join(classes.select("name", "regs"), "name").select("band", "label", "n", "name", "regs", "size")
     left = written(left, "left")
     shape = "band long, label binary, n int, name binary, regs binary"
