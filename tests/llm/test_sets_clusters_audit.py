@@ -115,6 +115,11 @@ def test_registers_and_estimates():
         found, either = hyperminhash.estimate(regs[:1], regs[1:], np.array([n]), np.array([m]))
         true = both / (n + m - both)
         assert abs(found[0] - true) < 5 * np.sqrt(max(true * (1 - true), 0.01) / either[0])
+        odd = hyperminhash.parities(np.concatenate([a, b]), np.array([0, n, n + m]))
+        assert np.bitwise_count(odd[0] ^ odd[1]).sum() <= n + m - 2 * both
+        rows = np.hstack([regs, odd.view(np.uint16)])
+        if 100 * both >= 85 * (n + m - both):
+            assert hyperminhash.may_reach(rows[:1], rows[1:], np.array([n]), np.array([m]), (85, 100))[0]
     # disjoint sets: what is equal by chance is what the correction takes
     x, y = (hyperminhash.registers(np.sort(rnd.integers(0, 2**64, 2000 * 1000, dtype=np.uint64).reshape(1000, 2000), axis=1).ravel(), np.arange(0, 2_000_001, 2000)) for _ in range(2))
     equal = ((x == y) & (x != 0)).mean()
