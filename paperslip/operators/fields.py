@@ -5,20 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperslip.operators.dictionary import names_in
+
 # fixed values: keyword lists and patterns of the extraction
 PAYABLE = [r"grand\s*total", r"net\s*total", r"amount\s*payable", r"amount\s*due", r"balance\s*due", r"net\s*payable", r"total\s*amount", r"\btotal\b", r"sum\s*total", r"final\s*amount", r"total\s*to\s*pay", r"amount\s*owing"]
 NOT_PAYABLE = [r"change", r"balance\s*returned", r"amount\s*returned", r"refund", r"cash\s*back", r"change\s*due", r"balance\s*due\s*back", r"change\s*given", r"your\s*change"]
 AMOUNT = r"(\d+(?:,\d{3})*(?:\.\d{1,2})?)"
-#: (rank, name, pattern, confidence) of amounts in a line; rank 0 first.
+_SIGN, _CODE = "[£$€¥₹₽¢]", "(?:GBP|USD|EUR|JPY|INR|CAD|AUD)"
+#: (rank, pattern) of amounts in a line; rank 0 first.
 AMOUNT_RULES = [
-    (0, "symbol_grouped", r"[£$€¥]\s*(\d{1,3}(?:,\d{3})+\.\d{2})"),
-    (1, "symbol_decimal", r"[£$€¥]\s*(\d+\.\d{2})"),
-    (2, "symbol_whole", r"[£$€¥]\s*(\d+)"),
-    (3, "decimal_symbol", r"(\d+\.\d{2})\s*[£$€¥]"),
-    (4, "code_decimal", r"(?:GBP|USD|EUR|JPY|INR|CAD|AUD)\s*(\d+\.\d{2})"),
-    (5, "grouped", r"(\d{1,3}(?:,\d{3})+\.\d{2})"),
-    (6, "decimal", r"(\d+\.\d{2})"),
+    (0, rf"{_SIGN}\s*(\d{{1,3}}(?:,\d{{3}})*\.\d{{2}})"),
+    (1, rf"{_SIGN}\s*(\d+\.\d{{2}})"),
+    (2, rf"{_SIGN}\s*(\d+)"),
+    (3, rf"(\d{{1,3}}(?:,\d{{3}})*\.\d{{2}})\s*{_SIGN}"),
+    (4, rf"(\d+\.\d{{2}})\s*{_SIGN}"),
+    (5, rf"(\d+)\s*{_SIGN}"),
+    (6, rf"{_CODE}\s*(\d{{1,3}}(?:,\d{{3}})*\.\d{{2}})"),
+    (7, rf"(\d{{1,3}}(?:,\d{{3}})*\.\d{{2}})\s*{_CODE}"),
+    (8, r"(\d{1,3}(?:,\d{3})+\.\d{2})(?!\d)"),
+    (9, r"(\d{1,3}(?:\.\d{3})+,\d{2})(?!\d)"),
+    (10, r"(\d{1,3}(?:\s\d{3})+\.\d{2})(?!\d)"),
+    (11, r"(\d+\.\d{2})(?!\d)"),
+    (12, r"(\d+\.\d{1})(?!\d)"),
+    (13, r"(\d{2,})(?=\s*(?:paid|total|amount|charge|fee|payment))"),
+    (14, rf"{_SIGN}\s*([O0]\d*\.\d{{2}})"),
+    (15, rf"{_SIGN}\s*(\d*[O0]\d*\.\d{{2}})"),
+    (16, rf"-\s*{_SIGN}\s*(\d+\.\d{{2}})"),
+    (17, rf"{_SIGN}\s*(\d+\.\d{{2}})\s*-"),
 ]
+NEGATIVE = rf"-\s*{_SIGN}\s*\d|{_SIGN}\s*\d[\d.,]*\s*-(?:\s|$)"
 SUBTOTALS = [(1, r"SUB\s?TOTAL", "0.95"), (2, r"PRE\s?TOTAL|NET\s?TOTAL|TOTAL\s?BEFORE\s?TAX", "0.85"), (3, r"\bTOTAL\b", "0.65")]
 NET_KEYWORDS = ["net after discount", "total after discount", "amount after discount", "final amount", "amount due", "balance due", "amount payable", "subtotal", "net total", "net amount", "total", "balance"]
 BUSINESS = [(r"\bltd\b|\blimited\b", "0.30"), (r"\bplc\b", "0.30"), (r"\binc\b|\bcorp\b", "0.25"), (r"store|shop|market", "0.20"), (r"pharmacy|supermarket", "0.20"), (r"supplier|trading", "0.15"), (r"^[A-Z &'#0-9]+$", "0.10"), (r"\d{3,}", "-0.10"), (r"£", "-0.30"), (r":", "-0.20")]
@@ -72,14 +87,32 @@ def net_after_discount(lines: DataFrame) -> DataFrame:
     return out.select("doc_id", "amount", "rank", F.expr("CAST(CASE WHEN rank < 7 THEN 0.95BD - 0.05BD * rank ELSE 0.80BD - 0.05BD * (rank - 7) END AS DECIMAL(4,2))").alias("confidence"))
 
 
+def read_amount(found: Column) -> Column:
+    """An amount as written, as a decimal: O is zero, the last of comma and point splits off the pence, a single comma before two digits does too."""
+    x = F.regexp_replace(F.regexp_replace(found, "[Oo]", "0"), r"\s", "")
+    comma, point = F.length(x) - F.locate(",", F.reverse(x)), F.length(x) - F.locate(".", F.reverse(x))
+    both = F.contains(x, F.lit(",")) & F.contains(x, F.lit("."))
+    european = F.replace(F.replace(x, F.lit(".")), F.lit(","), F.lit("."))
+    plain = F.when(both & (point > comma), F.replace(x, F.lit(","))).when(both | x.rlike(r"^[^,]*,\d{2}$"), european).otherwise(F.replace(x, F.lit(",")))
+    return plain.try_cast("decimal(16,2)")
+
+
 def mine_amounts(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_number, amount, rank, confidence): the best-ranked amount of each line, within 0.01 and 999999.99."""
-    best, rank = F.lit(None).cast("decimal(16,2)"), F.lit(None).cast("int")
-    for r, _, pattern in reversed(AMOUNT_RULES):
-        value = F.try_element_at(amounts_in(F.col("text"), pattern), F.lit(1))
-        best, rank = F.coalesce(value, best), F.when(value.isNotNull(), F.lit(r)).otherwise(rank)
-    out = lines.select("doc_id", "line_number", best.alias("amount"), rank.alias("rank")).where("amount BETWEEN 0.01 AND 999999.99")
-    return out.withColumn("confidence", F.expr("CAST(least(1.00BD - 0.05BD * rank + CASE WHEN rank < 6 THEN 0.10BD ELSE 0.00BD END, 1.00BD) AS DECIMAL(4,2))"))
+    """(doc_id, line_number, amount, rank, confidence, negative): the best amount of each line, within 0.01 and 999999.99.
+
+    Each rule has its first amount in the range; 1 - 0.05 rank, 0.10 more for the first six rules and 0.05 more with two
+    decimals make the confidence (it may exceed 1), and the highest counts, the first rule of equals.
+    """
+    able = lines.where(F.col("text").rlike("[0-9]"))
+    parts = []
+    for rank, pattern in AMOUNT_RULES:
+        found = F.regexp_extract_all("text", F.lit(f"(?i){pattern}"), F.lit(1))
+        read = F.transform(found, lambda x: F.struct(read_amount(x).alias("amount"), F.regexp_replace(x, "[Oo]", "0").rlike(r"[.,]\d{2}$").alias("pence")))
+        first = F.try_element_at(F.filter(read, lambda x: x["amount"].between(F.expr("0.01BD"), F.expr("999999.99BD"))), F.lit(1))
+        sure = F.expr(f"{1 - 0.05 * rank + (0.1 if rank < 6 else 0):.2f}BD") + F.when(first["pence"], F.expr("0.05BD")).otherwise(F.expr("0.00BD"))
+        parts.append(F.when(first.isNotNull(), F.struct(sure.cast("decimal(4,2)").alias("confidence"), F.lit(-rank).alias("_r"), first["amount"].alias("amount"))))
+    best = F.array_max(F.array(*parts))
+    return able.select("doc_id", "line_number", best.alias("b"), F.col("text").rlike(NEGATIVE).alias("negative")).where("b IS NOT NULL").select("doc_id", "line_number", "b.amount", (-F.col("b._r")).alias("rank"), "b.confidence", "negative")
 
 
 def mine_rates(lines: DataFrame) -> DataFrame:
@@ -88,17 +121,6 @@ def mine_rates(lines: DataFrame) -> DataFrame:
     return each.select("doc_id", "line_number", F.col("x").try_cast("decimal(5,2)").alias("rate")).where("rate BETWEEN 0 AND 100")
 
 
-def mine_dates(lines: DataFrame) -> DataFrame:
-    """(doc_id, day, line_number, labelled): the best valid date per document: labelled lines first, then ISO before day-first, then the line."""
-    iso, dmy = F.nullif(F.regexp_extract("text", r"\b(\d{4}-\d{2}-\d{2})\b", 1), F.lit("")), F.nullif(F.regexp_extract("text", r"\b(\d{1,2}[-/.]\d{1,2}[-/.]\d{4})\b", 1), F.lit(""))
-    parts = F.split(dmy, "[-/.]")
-    written = F.concat_ws("-", parts[2], F.lpad(parts[1], 2, "0"), F.lpad(parts[0], 2, "0"))
-    day = F.coalesce(iso.try_cast("date"), F.when(dmy.isNotNull(), written.try_cast("date")))
-    found = lines.select("doc_id", "line_number", day.alias("day"), F.lower("text").rlike(r"\b(?:date|dated)\b").alias("labelled"), iso.isNotNull().alias("is_iso")).where("day IS NOT NULL AND year(day) BETWEEN 1900 AND 2100")
-    best = found.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("labelled"), F.desc("is_iso"), "line_number"))).where("_n = 1")
-    return best.select("doc_id", "day", "line_number", "labelled")
-
-
 def mine_tax_numbers(lines: DataFrame) -> DataFrame:
     """(doc_id, number, line_number, confidence): the first VAT number of 7 to 12 signs after a keyword."""
     raw = F.regexp_extract(F.upper("text"), r"VAT\s*(?:REG(?:ISTRATION)?\s*)?(?:NO|NUMBER|REG)[.:\s]*([A-Z0-9 -]{5,20})", 1)
@@ -155,7 +177,7 @@ def candidates(lines: DataFrame) -> DataFrame:
 
 
 def score_suppliers(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_number, text, score) of the first five lines: business patterns, position and word count, x 0.8 + 0.2 x reading confidence (0.8)."""
+    """(doc_id, line_number, text, score) of the first five lines: business patterns, position and word count, x 0.8 + 0.2 x reading confidence (column `confidence` where there is one and it is known, else 0.8)."""
     score = F.expr("0.00BD")
     for pattern, points in BUSINESS:
         score = score + F.when(F.col("text").rlike(pattern if pattern.startswith("^[A-Z") else f"(?i){pattern}"), F.lit(points).cast("decimal(4,2)")).otherwise(F.expr("0.00BD"))
@@ -163,7 +185,8 @@ def score_suppliers(lines: DataFrame) -> DataFrame:
     n = F.size(F.split("text", " "))
     score = score + place + F.when(n.between(2, 5), F.expr("0.10BD")).otherwise(F.expr("0.00BD"))
     bounded = F.least(F.greatest(score, F.expr("0.00BD")), F.expr("1.00BD")).cast("decimal(4,2)")
-    return lines.where("line_number <= 5").select("doc_id", "line_number", "text", (bounded * F.expr("0.8BD") + F.expr("0.16BD")).cast("decimal(5,3)").alias("score"))
+    reading = F.coalesce(F.col("confidence").cast("decimal(4,2)"), F.expr("0.80BD")) if "confidence" in lines.columns else F.expr("0.80BD")
+    return lines.where("line_number <= 5").select("doc_id", "line_number", "text", (bounded * F.expr("0.8BD") + F.expr("0.2BD") * reading).cast("decimal(5,3)").alias("score"))
 
 
 def contextual_suppliers(lines: DataFrame) -> DataFrame:
@@ -175,18 +198,6 @@ def contextual_suppliers(lines: DataFrame) -> DataFrame:
     return out.select("doc_id", "line_number", "name", F.when(F.col("_r") <= 10, F.expr("0.9BD")).when(F.col("_r") <= 25, F.expr("0.7BD")).when(F.col("_r") <= 75, F.expr("0.5BD")).otherwise(F.expr("0.8BD")).alias("weight"))
 
 
-def names_in(lines: DataFrame, text: str, known: DataFrame) -> DataFrame:
-    """Lines joined with every row of known whose `name` stands anywhere in `text`, inside words too; blank names never match.
-
-    A line meets names by an equi-join on its substrings of the lengths that names have, so that neither side is broadcast.
-    """
-    named = known.where("trim(name) <> ''")
-    lengths = named.agg(F.collect_set(F.length("name")).alias("_lengths"))  # one row
-    runs = F.flatten(F.transform("_lengths", lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, n))).otherwise(F.array().cast("array<string>"))))
-    cut = lines.where(F.col(text).isNotNull()).crossJoin(F.broadcast(lengths)).withColumn("_run", F.explode(F.array_distinct(runs))).drop("_lengths")
-    return cut.join(named, F.col("_run") == F.col("name")).drop("_run")
-
-
 def match_suppliers(lines: DataFrame, suppliers: DataFrame) -> DataFrame:
     """(doc_id, suppkey, line_number, score): known names anywhere in the first eight lines.
 
@@ -200,12 +211,6 @@ def match_suppliers(lines: DataFrame, suppliers: DataFrame) -> DataFrame:
     return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("doc_id", "suppkey", "line_number", "score")
 
 
-def locate_source_line(values: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc_id, value, line_number): the first line that holds a value, null if none."""
-    found = values.join(lines, "doc_id").where(F.contains(F.lower("text"), F.lower("value"))).groupBy("doc_id", "value").agg(F.min("line_number").alias("line_number"))
-    return values.join(found, ["doc_id", "value"], "left")
-
-
 def vote_country(docs: DataFrame) -> DataFrame:
     """(doc_id, country, currency, votes): currency signs, and tax words twice; the first of equals; none without votes."""
     counts = [(F.regexp_count("text", F.lit(money)) + 2 * F.regexp_count(F.lower("text"), F.lit(tax))).alias(country) for _, country, _, money, tax in CURRENCY]

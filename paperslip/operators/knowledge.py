@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperslip.operators.fields import names_in, whole_texts
+from paperslip.operators import retrieval as R
+from paperslip.operators.dictionary import names_in, whole_words
+from paperslip.operators.fields import whole_texts
 
 
 def chunk_documents(docs: DataFrame, size: int = 1000, overlap: int = 40) -> DataFrame:
@@ -44,78 +46,101 @@ def detect_changes(now: DataFrame, snapshot: DataFrame) -> DataFrame:
     return both.select("path", F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").when(F.col("_a") != F.col("_b"), "changed").alias("change")).where("change IS NOT NULL")
 
 
-def _normal(v: str) -> Column:
-    x = F.transform(v, lambda a: a.cast("double"))
-    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, b: a + b * b))
-    return F.transform(x, lambda a: a / F.greatest(norm, F.lit(1e-12)))
+def similarity_topk(queries: DataFrame, kb: DataFrame | R.Index, k: int, equal: list[str], probes: int | None = None) -> DataFrame:
+    """(query_id, vec_id, relevance, rank): the k most relevant rows per query among those that agree on the filter columns; ties to the smaller id. Exact on a table, by `probes` cells on an index."""
+    return R.best(R.search(queries, kb, k, equal, probes=probes), k, ["query_id"]).select("query_id", "vec_id", "relevance", "rank")
 
 
-def _dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, z: s + z)
+#: (type, quota, filter column of the rows): what a query gets of each type; a filter of vendor_type takes rows for all vendors, too.
+QUOTAS = [("field_definition", 5, None), ("tax_rule", 3, "country"), ("layout_pattern", 3, "vendor_type"), ("template", 2, "country")]
+UNIVERSAL = "universal"
 
 
-def similar(queries: DataFrame, kb: DataFrame, equal: list[str]) -> DataFrame:
-    """(query_id, vec_id, relevance, equal columns): cosine of all pairs that agree on the filter columns, rounded to 6 digits so that ties are the same everywhere.
+def retrieve_context(queries: DataFrame, kb: DataFrame, quotas: list[tuple] = QUOTAS, least: float = 0.3) -> DataFrame:
+    """(query_id, doc_type, vec_id, relevance, n_hits): per query and type at most its quota, of at least `least` relevance, and the number of a query's hits.
 
-    The filter columns are an equi-join; queries are spread over salts so that one filter value is not in one task.
+    Queries are (query_id, embedding, country, vendor_type); rows (vec_id, embedding, doc_type, country, vendor_type). A type's
+    filter asks for the query's own country, or its vendor type or 'universal'; a query without one takes all rows of the type.
     """
-    salts = 8
-    q = queries.select("query_id", *equal, _normal("embedding").alias("_q")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    k = kb.select("vec_id", *equal, _normal("embedding").alias("_k")).withColumn("_s", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int"))
-    return q.join(k, [*equal, "_s"]).select("query_id", "vec_id", *equal, F.round(_dot("_q", "_k"), 6).alias("relevance"))
-
-
-def similarity_topk(queries: DataFrame, kb: DataFrame, k: int, equal: list[str]) -> DataFrame:
-    """The k most relevant rows per query among those that agree on the filter columns; ties to the smaller id."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "vec_id")
-    return similar(queries, kb, equal).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "relevance", "rank")
-
-
-def retrieve_context(queries: DataFrame, kb: DataFrame, quotas: dict[int, int], least: float = 0.0) -> DataFrame:
-    """(query_id, doc_type, vec_id, relevance): per query and type at most its quota, of at least `least` relevance."""
-    types = F.explode(F.array(*map(F.lit, quotas))).alias("doc_type")
-    hits = similar(queries.select("query_id", "embedding", types), kb, ["doc_type"]).where(F.col("relevance") >= least)
-    quota = F.lit(0)
-    for t, n in quotas.items():
-        quota = F.when(F.col("doc_type") == t, F.lit(n)).otherwise(quota)
-    w = Window.partitionBy("query_id", "doc_type").orderBy(F.desc("relevance"), "vec_id")
-    return hits.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= quota).select("query_id", "doc_type", "vec_id", "relevance")
+    scopes, asked, limit = F.lit(None).cast("array<string>"), [], F.lit(0)
+    scope = lambda c: F.concat(F.lit("="), F.col(c))
+    for kind, quota, by in quotas:
+        own = F.array(F.lit("*")) if by is None else F.array_compact(F.array(F.lit("*"), scope(by)))
+        scopes = F.when(F.col("doc_type") == kind, own).otherwise(scopes)
+        wanted = [F.lit("*")] if by is None else [F.coalesce(scope(by), F.lit("*")), *([F.when(F.col(by).isNotNull(), F.lit("=" + UNIVERSAL))] if by == "vendor_type" else [])]
+        asked += [F.when(w.isNotNull(), F.struct(F.lit(kind).alias("doc_type"), w.alias("scope"))) for w in wanted]
+        limit = F.when(F.col("doc_type") == kind, F.lit(quota)).otherwise(limit)
+    rows = kb.withColumn("scope", F.explode(scopes)).select("vec_id", "embedding", "doc_type", "scope")
+    each = queries.select("query_id", "embedding", F.inline(F.array_distinct(F.array_compact(F.array(*asked)))))
+    hits = R.search(each, rows, max(q for _, q, _ in quotas), ["doc_type", "scope"]).where(F.col("relevance") >= least).select("query_id", "doc_type", "vec_id", "relevance").distinct()
+    kept = R.best(hits, max(q for _, q, _ in quotas), ["query_id", "doc_type"]).where(F.col("rank") <= limit)
+    return kept.select("query_id", "doc_type", "vec_id", "relevance", F.count(F.lit(1)).over(Window.partitionBy("query_id")).alias("n_hits"))
 
 
 def build_context(hits: DataFrame, per_hit: int = 150, most: int = 1500) -> DataFrame:
-    """(query_id, context): hit texts by rank with numbers masked, each cut to `per_hit` and all to `most` characters."""
-    clean = F.substring(F.regexp_replace(F.regexp_replace("text", r"\d{2}/\d{2}/\d{4}", "[date]"), r"\d+(?:\.\d+)?", "[n]"), 1, per_hit)
-    rows = hits.select("query_id", F.struct("rank", clean.alias("t")).alias("x")).groupBy("query_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return rows.select("query_id", F.substring(F.array_join(F.transform("xs", lambda x: x["t"]), "\n"), 1, most).alias("context"))
+    """(query_id, context): hit texts by rank with card numbers, dates and numbers masked, without blank ones and example lines, each cut to `per_hit` and all to `most` characters.
 
-
-def match_vendors(lines: DataFrame, vendors: DataFrame, countries: DataFrame | None = None, first: int = 5, least: str = "0.4") -> DataFrame:
-    """(doc_id, vendor, confidence): the best vendor of each document from `least` on, the smallest of equals; else none, at 0.3.
-
-    Vendors are (vendor, name) and, where there are any, country, address, phone and website; countries are
-    (doc_id, country). A name found in the lines up to number `first` gives a point, as whole words two more; a
-    word of the address, the phone and the website anywhere in the document half a point each. Confidence is
-    points over 4 (two for the name, two for the rest), 1 at most. Vendors of another country than the
-    document's do not count. Names may stand anywhere in a line; the dictionary may be of any size.
+    Every hit has a character and a line break at least, so that no more than `most` / 2 of a query's hits are gathered.
+    """
+    body = F.concat_ws("\n", F.filter(F.split("text", "\n"), lambda x: ~F.rlike(x, F.lit(r"(?i)^\s*(?:example|e\.g\.)"))))
+    for pattern, mask in ((r"[*xX]{4,}[ -]?\d{4}|\b(?:\d{4}[ -]?){3}\d{4}\b", "[card]"), (r"\d{2}/\d{2}/\d{4}", "[date]"), (r"\d+(?:\.\d+)?", "[n]")):
+        body = F.regexp_replace(body, pattern, mask)
+    rows = hits.select("query_id", "rank", F.substring(body, 1, per_hit).alias("t")).where("trim(t) <> ''")
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "t"))).where(F.col("_n") <= most // 2)
+    per = first.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_n", "t"))).alias("xs"))
+    return per.select("query_id", F.substring(F.array_join(F.transform("xs", lambda x: x["t"]), "\n"), 1, most).alias("context"))
+
+
+# fixed values: types of vendors by the first list that has a word in the text
+VENDOR_TYPES = [
+    ("grocery", ["SUPERMARKET", "GROCERY", "FRESH", "MART", "STORE", "SHOP"]),
+    ("petrol", ["PETROL", "FUEL", "GAS STATION", "PUMP", "SHELL", "BP", "EXXON"]),
+    ("pharmacy", ["PHARMACY", "CHEMIST", "DRUG STORE", "MEDICAL"]),
+    ("restaurant", ["RESTAURANT", "CAFE", "COFFEE", "DINER", "BISTRO", "EATERY"]),
+    ("ecommerce", ["AMAZON", "EBAY", "ORDER", "INVOICE", "DISPATCH"]),
+]
+
+
+def match_vendors(lines: DataFrame, vendors: DataFrame, countries: DataFrame | None = None, first: int | None = None) -> DataFrame:
+    """(doc_id, vendor, vendor_type, confidence): the best vendor of each document from 0.4 on, the smallest of equals; else none, with a type told by words, at 0.3.
+
+    Vendors are rows (vendor, name), one for each name pattern of a vendor, and, where there are any, country, type,
+    address (an array of words), phone (a pattern) and website, which are the same in all rows of a vendor;
+    countries are (doc_id, country). A pattern that stands in a line as whole words gives two points, else within words
+    one; each address word, the phone and the website anywhere in the document half a point. Confidence is points
+    over 2 * patterns + 2, 1 at most. Vendors of another country than the document's do not count. `first` limits
+    the lines that names are looked for in. The dictionary may be of any size. Documents of blank lines have no type and
+    confidence 0.
     """
-    there = lambda c: F.col(c) if c in vendors.columns else F.lit(None).cast("string").alias(c)
-    known = vendors.select("vendor", F.upper("name").alias("name"), *map(there, ("country", "address", "phone", "website")))
-    head = lines.where(F.col("line_number") <= first).select("doc_id", F.upper("text").alias("t"))
-    hit = names_in(head, "t", known.select("vendor", "name"))
-    whole = F.contains(F.concat(F.lit(" "), F.col("t"), F.lit(" ")), F.concat(F.lit(" "), F.col("name"), F.lit(" ")))
-    named = hit.groupBy("doc_id", "vendor").agg((F.max(F.when(whole, 2).otherwise(0)) + 1).cast("decimal(6,2)").alias("points"))
+    kinds = {"address": "array<string>"}
+    there = lambda c: (F.col(c) if c in vendors.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c)
+    patterns = vendors.select("vendor", F.upper("name").alias("name")).distinct()
+    about = vendors.select("vendor", *map(there, ("country", "type", "address", "phone", "website"))).groupBy("vendor").agg(*(F.first(c).alias(c) for c in ("country", "type", "address", "phone", "website")))
+    about = about.join(patterns.groupBy("vendor").agg(F.count(F.lit(1)).alias("_patterns")), "vendor")
+    head = (lines if first is None else lines.where(F.col("line_number") <= first)).select("doc_id", F.upper("text").alias("t"))
+    hit = names_in(head, "t", patterns)
+    each = hit.groupBy("doc_id", "vendor", "name").agg(F.max(F.when(whole_words("t", "name"), 2).otherwise(1)).alias("points"))
+    named = each.groupBy("doc_id", "vendor").agg(F.sum("points").cast("decimal(10,1)").alias("points"))
     if countries is not None:
         named = named.join(countries.select("doc_id", F.col("country").alias("_of")), "doc_id", "left")
     else:
         named = named.withColumn("_of", F.lit(None).cast("string"))
-    named = named.join(known.drop("name"), "vendor").where("country IS NULL OR _of IS NULL OR country = _of")
-    named = named.join(whole_texts(lines).select("doc_id", F.lower("text").alias("_text")), "doc_id")
-    half = lambda c: F.when(F.coalesce((F.col(c) != "") & F.contains(F.col("_text"), F.lower(c)), F.lit(False)), F.expr("0.5BD")).otherwise(F.expr("0.0BD"))
-    points = F.col("points") + half("address") + half("phone") + half("website")
-    scored = named.select("doc_id", "vendor", F.least((points / 4).cast("decimal(4,2)"), F.expr("CAST(1 AS DECIMAL(4,2))")).alias("confidence")).where(F.col("confidence") >= F.expr(f"{least}BD"))
+    named = named.join(about, "vendor").where("country IS NULL OR _of IS NULL OR country = _of")
+    texts = whole_texts(lines).select("doc_id", F.col("text").alias("_text"))
+    named = named.join(texts, "doc_id")
+    upper = F.upper("_text")
+    half = lambda c: F.when(F.coalesce(c, F.lit(False)), F.expr("0.5BD")).otherwise(F.expr("0.0BD"))
+    words = F.expr("0.5BD") * F.size(F.filter(F.coalesce("address", F.array().cast("array<string>")), lambda w: (w != "") & F.contains(upper, F.upper(w))))
+    points = F.col("points") + words + half((F.col("phone") != "") & F.rlike(upper, F.col("phone"))) + half((F.col("website") != "") & F.contains(F.lower("_text"), F.lower("website")))
+    scored = named.select("doc_id", "vendor", F.coalesce("type", F.lit("other")).alias("vendor_type"), F.least(points / (2 * F.col("_patterns") + 2), F.expr("1.0BD")).cast("decimal(6,4)").alias("confidence")).where("confidence >= 0.4BD")
     w = Window.partitionBy("doc_id").orderBy(F.desc("confidence"), "vendor")
     best = scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return lines.select("doc_id").distinct().join(best, "doc_id", "left").select("doc_id", "vendor", F.coalesce("confidence", F.expr("CAST(0.3 AS DECIMAL(4,2))")).alias("confidence"))
+    kind = F.lit("other")
+    for name, keys in reversed(VENDOR_TYPES):
+        kind = F.when(sum((F.contains(upper, F.lit(k)).cast("int") for k in keys), F.lit(0)) > 0, F.lit(name)).otherwise(kind)
+    out = texts.select("doc_id", F.when(F.trim("_text") != "", kind).alias("_kind")).join(best, "doc_id", "left")
+    missing = F.when(F.col("_kind").isNull(), F.expr("0.0BD")).otherwise(F.expr("0.3BD"))
+    return out.select("doc_id", "vendor", F.coalesce("vendor_type", "_kind").alias("vendor_type"), F.coalesce("confidence", missing).cast("decimal(6,4)").alias("confidence"))
 
 
 def daily_quota(patterns: DataFrame, limits: dict[str, int]) -> DataFrame:

@@ -237,11 +237,30 @@ def classification_summary(classified: DataFrame) -> DataFrame:
     )
 
 
+def confidence_bucket(confidence: Column) -> Column:
+    return F.when(confidence >= F.expr("0.90BD"), "very_high").when(confidence >= F.expr("0.75BD"), "high").when(confidence >= F.expr("0.60BD"), "medium").otherwise("low")
+
+
 def corpus_stats(classified: DataFrame) -> DataFrame:
-    """Lines by class, by class and rule, and in all, with the share of all lines."""
-    total = F.sum(F.when(F.col("level") == 3, F.col("n"))).over(Window.partitionBy())
-    stats = classified.rollup("line_type", "rule").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))  # a row per class and rule
-    return stats.select("line_type", "rule", "n", (F.col("n").cast("decimal(18,0)") * 100 / total.cast("decimal(18,0)")).cast("decimal(7,3)").alias("percent"))
+    """Lines over document type x confidence level, in all and by class, by rule, by class and rule and by bucket; the same over all documents. `percent` is of the lines of the type and level.
+
+    (grouping, document_type, confidence_level, line_type, rule, bucket, n, percent); grouping names the set, as a null
+    may also be a value. One pass with grouping sets.
+    """
+    both = ["document_type", "confidence_level"]
+    parts = {"all": [], "class": ["line_type"], "rule": ["rule"], "class_rule": ["line_type", "rule"], "bucket": ["bucket"]}
+    columns = [*both, "line_type", "rule", "bucket"]
+    rows = classified.withColumn("bucket", confidence_bucket(F.col("confidence")))
+    sets = [[F.col(c) for c in [*own, *by]] for own in ([], both) for by in parts.values()]
+    stats = rows.groupingSets(sets, *map(F.col, columns)).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_id"))
+    names = {sum(1 << i for i, c in enumerate(reversed(columns)) if c not in [*own, *by]): (bool(own), name) for own in ([], both) for name, by in parts.items()}
+    kind, within = F.lit(None).cast("string"), F.lit(False)
+    for number, (own, name) in names.items():
+        kind, within = F.when(F.col("_id") == number, name).otherwise(kind), F.when(F.col("_id") == number, own).otherwise(within)
+    stats = stats.withColumns({"grouping": kind, "_own": within})
+    total = F.max(F.when(F.col("grouping") == "all", F.col("n"))).over(Window.partitionBy("_own", *both))  # rows of sets, not of documents
+    percent = (F.col("n").cast("decimal(18,0)") * 100 / total.cast("decimal(18,0)")).cast("decimal(7,3)")
+    return stats.select(F.when(F.col("_own"), F.concat(F.lit("type_level_"), "grouping")).otherwise(F.col("grouping")).alias("grouping"), *columns, "n", percent.alias("percent"))
 
 
 def reconstruction_summary(docs: DataFrame) -> DataFrame:

@@ -5,9 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperslip.operators.dictionary import first_known
+
 # fixed values: tags by the first keyword family that occurs
 METHODS = [("digital", r"(?i)apple pay|google pay|paypal"), ("cash", r"(?i)\bcash\b|bargeld|especes|efectivo|contanti"), ("online", r"(?i)bank transfer|online"), ("card", r"(?i)\bvisa\b|mastercard|amex|debit|credit|maestro"), ("voucher", r"(?i)voucher|gift card"), ("masked", r"\*{4,}\d{4}")]
-DETAILS = [("pan", r"\*{4,}\d{4}"), ("brand", r"(?i)visa|mastercard|amex"), ("auth_code", r"(?i)auth"), ("aid", r"\bAID\b"), ("terminal", r"(?i)terminal"), ("wallet", r"(?i)apple pay|google pay"), ("status", r"(?i)approved|declined")]
+# fixed values: kinds of card details, the first that fits
+DETAILS = [
+    ("authorization_code", r"(?i)auth\s*code|authorization\s*code|auth\s*#|approval\s*code|reference\s*#|ref\s*#|transaction\s*#|txn\s*#|approval\s*#|trace\s*#"),
+    ("primary_account_number", r"[*Xx]{11,16}\d{4}|[*Xx]{16}"),
+    ("application_identifier", r"(?i)aid\s*[:=]"),
+    ("terminal_info", r"(?i)(?:terminal|tid|merchant|mid|location|store)\s*[:=]"),
+    ("card_brand", r"(?i)mastercard|master card|mc card|\bmc\b|visa|amex|american express|am ex|americanexpress|discover|maestro|jcb|diners"),
+    ("payment_method_type", r"(?i)contactless|chip and pin|chip & pin|magnetic stripe|swipe|insert|tap|wave|nfc|emv"),
+    ("digital_wallet", r"(?i)apple pay|google pay|samsung pay|android pay|paypal|apple wallet"),
+    ("transaction_status", r"(?i)approved|declined|verified|pin ok|signature"),
+    ("transaction_timestamp", r"\d{2}[:/]\d{2}[:/]\d{2,4}|\d{2}[:/]\d{2}"),
+    ("transaction_fee", r"(?i)(?:fee|charge).*[£$€]\d+|[£$€]\d+.*(?:fee|charge)"),
+    ("receipt_reference", r"(?i)(?:receipt|batch|sequence)\s*#?\s*\d+"),
+    ("security_info", r"(?i)cv[v2]|security\s*code"),
+    ("card_processing_info", r"(?i)card|payment|transaction|processed"),
+]
+OTHER_DETAIL = "other_card_detail"
+# fixed values: lines that state a receipt's total discount
+DISCOUNT_TOTALS = r"(?i)(?:discount|total\s+discount|discount\s+total|total\s+savings?|you\s+saved?)\s*:\s*[£$]?([\d,]+\.?\d*)"
 CHANGE = r"(?i)\bchange\b|wechselgeld|monnaie|cambio|resto"
 DISCOUNT_KINDS = [("percentage", r"(?i)\d+\s*%"), ("loyalty", r"(?i)loyalty|club"), ("voucher", r"(?i)voucher|coupon"), ("offer", r"(?i)offer|promotion"), ("staff", r"(?i)staff"), ("other", r"(?i)discount|saving")]
 POSTCODES = [(1, "UK", r"\b([A-Z]{1,2}\d[A-Z\d]? \d[A-Z]{2})\b"), (2, "US", r"\b(\d{5}-\d{4})\b"), (3, "CA", r"\b([A-Z]\d[A-Z] \d[A-Z]\d)\b"), (4, "IN", r"\b(\d{6})\b"), (5, "AU", r"\b(\d{4})\b")]
@@ -38,9 +58,13 @@ def best_payment(payments: DataFrame) -> DataFrame:
 
 
 def tag_card_details(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_number, kind): the kind of each line of card details, the first of the list that fits, `other_card_detail` if none does."""
+    return lines.where("text IS NOT NULL").select("doc_id", "line_number", F.coalesce(first_of(DETAILS), F.lit(OTHER_DETAIL)).alias("kind"))
+
+
+def count_card_details(details: DataFrame) -> DataFrame:
     """(doc_id, kind, n): lines by kind of card detail."""
-    kinds = F.filter(F.array(*(F.when(F.col("text").rlike(p), F.lit(k)) for k, p in DETAILS)), lambda x: x.isNotNull())
-    return lines.select("doc_id", F.explode(kinds).alias("kind")).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return details.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def mine_cards(lines: DataFrame) -> DataFrame:
@@ -108,9 +132,13 @@ def discount_details(lines: DataFrame, context: DataFrame) -> DataFrame:
     return rows.where(F.col("text").rlike("(?i)discount|saving|offer|% off|voucher")).select("doc_id", "line_number", first_of(DISCOUNT_KINDS).alias("kind"), amount.alias("amount"))
 
 
-def discount_totals(details: DataFrame) -> DataFrame:
-    """(doc_id, total): the sum of a document's discounts, null if zero."""
-    return details.groupBy("doc_id").agg(F.nullif(F.sum("amount").cast("decimal(16,2)"), F.expr("CAST(0 AS DECIMAL(16,2))")).alias("total"))
+def discount_totals(details: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, total, stated): the amount of the first line that states the total discount, else the sum of a document's discounts; null if zero."""
+    stated = F.replace(F.nullif(F.regexp_extract("text", DISCOUNT_TOTALS, 1), F.lit("")), F.lit(",")).try_cast("decimal(16,2)")
+    first = lines.select("doc_id", "line_number", stated.alias("amount")).where("amount > 0").groupBy("doc_id").agg(F.min_by("amount", "line_number").alias("_stated"))
+    sums = details.groupBy("doc_id").agg(F.sum("amount").cast("decimal(16,2)").alias("_sum"))
+    both = sums.join(first, "doc_id", "full")
+    return both.select("doc_id", F.nullif(F.coalesce("_stated", "_sum"), F.expr("CAST(0 AS DECIMAL(16,2))")).alias("total"), F.col("_stated").isNotNull().alias("stated"))
 
 
 def address_blocks(lines: DataFrame) -> DataFrame:
@@ -124,17 +152,6 @@ def address_blocks(lines: DataFrame) -> DataFrame:
     return per.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("first_line")).alias("block"), "first_line", "last_line", F.array_join(F.transform("r", lambda x: x["text"]), ", ").alias("text"))
 
 
-def parse_vat_lines(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_number, rate, net, vat, total, consistent): the percentage and amounts of VAT lines; with three amounts the largest is the total and the smallest the VAT."""
-    rate = F.regexp_extract("text", r"(\d{1,2}(?:\.\d{1,2})?)\s*%", 1).try_cast("decimal(5,2)")
-    amounts = F.array_sort(F.transform(F.regexp_extract_all("text", F.lit(r"(\d+\.\d{2})(?:[^%0-9]|$)"), F.lit(1)), lambda x: x.try_cast("decimal(16,2)")))
-    rows = lines.where(F.col("text").rlike(r"(?i)\b(?:vat|tax)\b")).select("doc_id", "line_number", rate.alias("rate"), amounts.alias("a")).where("rate IS NOT NULL OR size(a) > 0")
-    n = F.size("a")
-    out = rows.select("doc_id", "line_number", "rate", F.when(n == 3, F.col("a")[1]).when(n == 2, F.col("a")[1]).alias("net"), F.when(n >= 1, F.col("a")[0]).alias("vat"), F.when(n == 3, F.col("a")[2]).alias("total"))
-    ok = F.abs(F.col("net") * F.col("rate") / 100 - F.col("vat")) <= F.expr("0.02BD")
-    return out.withColumn("consistent", F.coalesce(ok, F.lit(True)) & F.coalesce(F.col("rate").between(0, 40), F.lit(True)))
-
-
 def vat_summary(vat: DataFrame) -> DataFrame:
     """(doc_id, n, n_rate, n_net, n_vat, n_total): VAT entries and how many have each part."""
     return vat.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), *(F.count(c).alias(f"n_{c}") for c in ("rate", "net", "vat", "total")))
@@ -199,3 +216,71 @@ RULES = [
     {"field": "total", "strategy": "regex_extract", "pattern": r"TOTAL £(\d+)"},
 ]
 NEIGHBOUR_RULES = [r for r in RULES if r["strategy"] in ("look_ahead", "look_behind", "constant")]
+
+
+def supplier_by_rules(lines: DataFrame, rules: list[dict], names: DataFrame | None = None, *, first: int = 8, excludes: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, name, line_number, rule): a document's supplier by the first strategy that finds one in its first lines.
+
+    Lines that are blank, hold an excluded word or have only numbers and signs of dates are passed over. Strategies:
+    known_match (the first line with one of `names` as whole words, the longest of its names), regex_extract (the pattern's
+    group, capitalised), regex_match_line (the whole line) and fallback_first_line; patterns ignore case, the first line wins.
+    """
+    text = F.trim("text")
+    able = lines.where((F.col("line_number") <= first) & (text != "") & ~text.rlike(r"^[\d/.:\-\s]+$")).select("doc_id", "line_number", text.alias("text"))
+    for word in excludes:
+        able = able.where(~F.contains(F.lower("text"), F.lit(word.lower())))
+    made, found = [], []
+    for i, r in enumerate(rules):
+        pattern = f"(?i){r['pattern']}" if "pattern" in r else None
+        match r["strategy"]:
+            case "known_match":
+                if names is None:
+                    raise ValueError("known_match needs names")
+                found.append(first_known(able, names).select("doc_id", F.lit(i).alias("rule"), "line_number", "name"))
+                continue
+            case "regex_extract":
+                value = F.initcap(F.trim(F.nullif(F.regexp_extract("text", pattern, r.get("group", 1)), F.lit(""))))
+            case "regex_match_line":
+                value = F.when(F.col("text").rlike(pattern), F.col("text"))
+            case "fallback_first_line":
+                value = F.col("text")
+            case other:
+                raise ValueError(f"no strategy {other}")
+        made.append(F.when(value.isNotNull(), F.struct(F.lit(i).alias("rule"), F.col("line_number"), value.alias("name"))))
+    if made:
+        found.append(able.select("doc_id", F.array_min(F.array(*made)).alias("x")).where("x IS NOT NULL").select("doc_id", "x.*"))
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("doc_id").agg(F.min(F.struct("rule", "line_number", "name")).alias("x")).select("doc_id", "x.name", "x.line_number", "x.rule")
+
+
+def amount_by_rules(lines: DataFrame, rules: list[dict]) -> DataFrame:
+    """(doc_id, amount): the largest amount above zero that any rule finds in a document.
+
+    regex_only looks at every line, context_line at those that hold one of its keywords; a pattern's two groups, pounds and
+    pence, are joined by a dot, commas are left out.
+    """
+    parts = []
+    for r in rules:
+        whole = F.regexp_extract_all("text", F.lit(f"(?i){r['pattern']}"), F.lit(1))
+        if r.get("groups", 1) == 2:
+            whole = F.zip_with(whole, F.regexp_extract_all("text", F.lit(f"(?i){r['pattern']}"), F.lit(2)), lambda a, b: F.concat(a, F.lit("."), b))
+        here = F.filter(F.transform(whole, lambda x: F.replace(x, F.lit(",")).try_cast("decimal(16,2)")), lambda x: x > 0)
+        if r["strategy"] == "context_line":
+            said = sum((F.contains(F.lower("text"), F.lit(k)).cast("int") for k in r["keywords"]), F.lit(0)) > 0
+            here = F.when(said, here).otherwise(F.array().cast("array<decimal(16,2)>"))
+        elif r["strategy"] != "regex_only":
+            raise ValueError(f"no strategy {r['strategy']}")
+        parts.append(F.array_max(here))
+    best = F.array_max(F.array(*parts))
+    return lines.where("text IS NOT NULL").select("doc_id", best.alias("amount")).where("amount IS NOT NULL").groupBy("doc_id").agg(F.max("amount").alias("amount"))
+
+
+SUPPLIER_RULES = [
+    {"strategy": "known_match"},
+    {"strategy": "regex_extract", "pattern": r"welcome to (.+)$"},
+    {"strategy": "regex_match_line", "pattern": r"\bltd$"},
+    {"strategy": "fallback_first_line"},
+]
+NET_RULES = [{"strategy": "context_line", "keywords": ["subtotal", "net"], "pattern": r"(\d[\d,]*\.\d{2})"}, {"strategy": "regex_only", "pattern": r"net amount: (\d+) (\d{2})\b", "groups": 2}]

@@ -151,34 +151,12 @@ def infer_vendor_type(items: DataFrame, texts: DataFrame, item_words: dict[str,
     return texts.select("doc_id", "text").join(per, "doc_id", "left").select("doc_id", F.coalesce(kind, F.lit("other")).alias("vendor_type"))
 
 
-def normalize_items(records: DataFrame) -> DataFrame:
-    """(doc_id, name, quantity, total_price) from items given as a JSON array of structs or of strings; tax and total names are dropped."""
-    struct = F.from_json("items", "array<struct<name: string, qty: string, price: string>>")
-    text = F.from_json("items", "array<string>")
-    as_string = ~F.coalesce(F.get_json_object("items", "$[0].name").isNotNull(), F.lit(False))
-    parsed = F.transform(text, lambda x: F.struct(F.regexp_extract(x, r"^(.*?) \d+ x", 1).alias("name"), F.nullif(F.regexp_extract(x, r" (\d+) x", 1), F.lit("")).alias("qty"), F.nullif(F.regexp_extract(x, r"£([0-9.]+)$", 1), F.lit("")).alias("price")))
-    each = records.select("doc_id", F.inline(F.when(as_string, parsed).otherwise(struct)))
-    kept = each.where(~F.lower("name").rlike(r"^(?:total|subtotal|tax|vat)\b"))
-    return kept.select("doc_id", "name", F.coalesce(F.col("qty").try_cast("int"), F.lit(1)).alias("quantity"), F.col("price").try_cast("decimal(16,2)").alias("total_price"))
-
-
 def recover_items(lines: DataFrame) -> DataFrame:
     """(doc_id, line_number, name, qty, price): items read back from lines of name, quantity and price."""
     p = r"^(.+) (\d+) x £(\d+\.\d{2})$"
     return lines.where(F.col("text").rlike(p)).select("doc_id", "line_number", F.regexp_extract("text", p, 1).alias("name"), F.regexp_extract("text", p, 2).cast("int").alias("qty"), F.regexp_extract("text", p, 3).cast("decimal(16,2)").alias("price"))
 
 
-def recover_items_flat(texts: DataFrame) -> DataFrame:
-    """(doc_id, item_no, name, qty, price) from one text per document: the block between the number line and the subtotal, names and numbers paired by place."""
-    block = F.regexp_extract("text", r"(?s)RECEIPT NO: R\d+\n(.*?)\nSUBTOTAL", 1)
-    names = F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^(.+?) \d+ x £"), F.lit(1)), lambda x: F.trim(x))
-    quantities = F.regexp_extract_all(block, F.lit(r" (\d+) x £"), F.lit(1))
-    prices = F.regexp_extract_all(block, F.lit(r"£(\d+\.\d{2})"), F.lit(1))
-    zipped = F.arrays_zip(names.alias("n"), quantities.alias("q"), prices.alias("p"))
-    each = texts.select("doc_id", F.posexplode(zipped).alias("k", "r"))
-    return each.select("doc_id", (F.col("k") + 1).alias("item_no"), F.col("r.n").alias("name"), F.col("r.q").cast("int").alias("qty"), F.col("r.p").cast("decimal(16,2)").alias("price"))
-
-
 # ---- fields
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paperslip.operators import dates as D
 from paperslip.operators import fields as X
 from paperslip.operators.lines_sql import ALL_SQL, ON_LINES, q
 from paperslip.plans.fixtures import items, lines, table
@@ -47,7 +48,9 @@ def _located(spark, sf):
     rows = lines(spark, sf)
     values = rows.where("line_number = 2").select("doc_id", F.substring("text", 7, 10).alias("value")).unionByName(rows.where("line_number = 3").select("doc_id", F.concat(F.lit("r"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("value")))
     values = values.unionByName(rows.where("line_number = 3").select("doc_id", F.lit("not there").alias("value")))
-    return X.locate_source_line(values, rows)
+    day = F.col("value")
+    values = values.unionByName(values.where("value LIKE '__/__/____'").select("doc_id", F.concat_ws("-", F.substring(day, 7, 4), F.substring(day, 4, 2), F.substring(day, 1, 2)).alias("value")))
+    return D.locate_source_line(values, rows)
 
 
 def _checked(spark, sf):
@@ -65,7 +68,7 @@ QUERIES = {
     "c1_mine_amounts": lambda s, d: X.mine_amounts(lines(s, d)),
     "c1_amounts_in_documents": lambda s, d: X.mine_amounts(table(s, d, "documents").select("doc_id", F.lit(1).cast("long").alias("line_number"), "text")),
     "c2_mine_rates": lambda s, d: X.mine_rates(with_extras(s, d)),
-    "c3_mine_dates": lambda s, d: X.mine_dates(lines(s, d)),
+    "c3_mine_dates": lambda s, d: D.mine_dates(lines(s, d)),
     "c7_mine_tax_numbers": lambda s, d: X.mine_tax_numbers(with_extras(s, d)),
     "w3_receipt_numbers": lambda s, d: X.receipt_numbers(lines(s, d)),
     "w4_proximity_amounts": lambda s, d: X.proximity_amounts(lines(s, d)),
@@ -102,10 +105,17 @@ _BUSINESS = " + ".join(f"CASE WHEN regexp_matches(text, {q(p if p.startswith('^[
 
 
 def _amounts_sql(source: str) -> str:
-    best = "coalesce(" + ", ".join(f"{_AM(p)}[1]" for _, _, p in X.AMOUNT_RULES) + ")"
-    rank = "CASE " + " ".join(f"WHEN {_AM(p)}[1] IS NOT NULL THEN {r}" for r, _, p in X.AMOUNT_RULES) + " END"
-    return f"""SELECT doc_id, line_number, amount, rank, CAST(least(1.00 - 0.05 * rank + CASE WHEN rank < 6 THEN 0.10 ELSE 0 END, 1.00) AS DECIMAL(4,2)) AS confidence
-      FROM (SELECT doc_id, line_number, {best} AS amount, {rank} AS rank FROM {source}) WHERE amount BETWEEN 0.01 AND 999999.99"""
+    """The rules in SQL: what stands behind an amount is read with it, as there is no look-ahead."""
+    x = "regexp_replace(regexp_replace(x, '[Oo]', '0', 'g'), '\\s', '', 'g')"
+    comma, point = f"length({x}) - instr(reverse({x}), ',')", f"length({x}) - instr(reverse({x}), '.')"
+    value = f"""TRY_CAST(CASE WHEN contains({x}, ',') AND contains({x}, '.') AND {point} > {comma} THEN replace({x}, ',', '') WHEN contains({x}, ',') AND contains({x}, '.') OR regexp_matches({x}, '^[^,]*,\\d{{2}}$') THEN replace(replace({x}, '.', ''), ',', '.') ELSE replace({x}, ',', '') END AS DECIMAL(16,2))"""
+    parts = []
+    for r, p in X.AMOUNT_RULES:
+        p = q("(?i)" + p.replace(r"(?!\d)", r"(?:\D|$)").replace("(?=", "(?:"))
+        found = f"list_filter(list_transform(regexp_extract_all(text, {p}, 1), lambda x: {{'v': {value}, 'p': regexp_matches({x}, '[.,]\\d{{2}}$')}}), lambda y: y.v BETWEEN 0.01 AND 999999.99)[1]"
+        parts.append(f"SELECT doc_id, line_number, {r} AS rank, text, {found} AS f FROM {source} s")
+    sure = "CAST(1 - 0.05 * rank + CASE WHEN rank < 6 THEN 0.1 ELSE 0 END + CASE WHEN f.p THEN 0.05 ELSE 0 END AS DECIMAL(4,2))"
+    return f"""SELECT doc_id, line_number, f.v AS amount, rank, {sure} AS confidence, regexp_matches(text, {q(X.NEGATIVE)}) AS negative FROM ({' UNION ALL '.join(parts)}) WHERE f IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, line_number ORDER BY {sure} DESC, rank) = 1"""
 
 
 _TOKEN = r"\b([A-Z0-9_#-]*[0-9][A-Z0-9_#-]{3,19})\b"
@@ -123,12 +133,11 @@ ORACLE_SQL = {
         SELECT doc_id, amount, CAST(CASE rank {' '.join(f'WHEN {r} THEN {v}' for r, _, v in X.SUBTOTALS)} END AS DECIMAL(3,2)) AS confidence, line_number FROM c WHERE rank IS NOT NULL AND amount IS NOT NULL {_FIRST.format('rank, line_number')}""",
     "t5_net_after_discount": f"""{ON_LINES}, c AS (SELECT doc_id, line_number, CASE {' '.join(f"WHEN contains(lower(text), {q(k)}) THEN {i}" for i, k in enumerate(X.NET_KEYWORDS))} END AS rank, list_max({_AM()}) AS amount FROM lines)
         SELECT doc_id, amount, rank, CAST(CASE WHEN rank < 7 THEN 0.95 - 0.05 * rank ELSE 0.80 - 0.05 * (rank - 7) END AS DECIMAL(4,2)) AS confidence FROM c WHERE rank IS NOT NULL AND amount IS NOT NULL {_FIRST.format('rank, line_number')}""",
-    "c1_mine_amounts": f"{ON_LINES} {_amounts_sql('lines')}",
+    "c1_mine_amounts": f"""{ON_LINES}, a AS (SELECT doc_id, 3 + item_no AS line_number, price AS amount FROM it UNION ALL SELECT doc_id, 4 + n, subtotal FROM sm UNION ALL SELECT doc_id, 5 + n, CAST(subtotal * 0.20 AS DECIMAL(16,2)) FROM sm UNION ALL SELECT doc_id, 6 + n, CAST(subtotal * 1.20 AS DECIMAL(16,2)) FROM sm)
+        SELECT doc_id, line_number, CAST(amount AS DECIMAL(16,2)) AS amount, CASE WHEN amount < 1000 THEN 0 ELSE 1 END AS rank, CAST(CASE WHEN amount < 1000 THEN 1.15 ELSE 1.10 END AS DECIMAL(4,2)) AS confidence, false AS negative FROM a WHERE amount BETWEEN 0.01 AND 999999.99""",
     "c1_amounts_in_documents": _amounts_sql("(SELECT doc_id, CAST(1 AS BIGINT) AS line_number, text FROM documents)"),
     "c2_mine_rates": f"""{ON_LINES}{EXTRAS_SQL} SELECT doc_id, line_number, TRY_CAST(x AS DECIMAL(5,2)) AS rate FROM (SELECT doc_id, line_number, unnest(regexp_extract_all(text, '(\\d{{1,3}}(?:\\.\\d{{1,2}})?)\\s*%', 1)) AS x FROM extras) WHERE TRY_CAST(x AS DECIMAL(5,2)) BETWEEN 0 AND 100""",
-    "c3_mine_dates": f"""{ON_LINES}, c AS (SELECT doc_id, line_number, nullif(regexp_extract(text, '\\b(\\d{{4}}-\\d{{2}}-\\d{{2}})\\b', 1), '') AS iso, nullif(regexp_extract(text, '\\b(\\d{{1,2}}[-/.]\\d{{1,2}}[-/.]\\d{{4}})\\b', 1), '') AS dmy, regexp_matches(lower(text), '\\b(?:date|dated)\\b') AS labelled FROM lines),
-        e AS (SELECT doc_id, line_number, labelled, iso, coalesce(TRY_CAST(iso AS DATE), TRY_CAST(regexp_replace(dmy, '(\\d+)[-/.](\\d+)[-/.](\\d+)', '\\3-\\2-\\1') AS DATE)) AS day FROM c)
-        SELECT doc_id, day, line_number, labelled FROM e WHERE day IS NOT NULL AND year(day) BETWEEN 1900 AND 2100 {_FIRST.format('labelled DESC, (iso IS NOT NULL) DESC, line_number')}""",
+    "c3_mine_dates": f"""{ON_LINES} SELECT doc_id, CAST(min(o_orderdate) AS DATE) AS day, CAST(2 AS BIGINT) AS line_number, true AS labelled FROM sm JOIN orders ON o_orderkey = doc_id GROUP BY doc_id""",
     "c7_mine_tax_numbers": f"""{ON_LINES}{EXTRAS_SQL}, c AS (SELECT doc_id, line_number, regexp_replace(regexp_replace(regexp_extract(upper(text), 'VAT\\s*(?:REG(?:ISTRATION)?\\s*)?(?:NO|NUMBER|REG)[.:\\s]*([A-Z0-9 -]{{5,20}})', 1), '[^A-Z0-9-]', '', 'g'), '[A-Z]+$', '') AS number FROM extras)
         SELECT doc_id, number, line_number, CAST(0.90 AS DECIMAL(3,2)) AS confidence FROM c WHERE length(number) BETWEEN 7 AND 12 {_FIRST.format('line_number')}""",
     "w3_receipt_numbers": f"""{ON_LINES}, n AS (SELECT *, lead(text) OVER w AS nx, lag(text) OVER w AS bf FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY line_number, text)),
@@ -150,7 +159,8 @@ ORACLE_SQL = {
           FROM lines JOIN k ON contains(upper(text), name) WHERE line_number <= 8)
         SELECT doc_id, suppkey, line_number, score FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, n DESC, line_number, suppkey) = 1""",
     "j11_locate_source_line": f"""{ON_LINES}, v AS (SELECT doc_id, substring(text, 7, 10) AS value FROM lines WHERE line_number = 2 UNION ALL SELECT doc_id, 'r' || lpad(CAST(doc_id AS VARCHAR), 8, '0') FROM lines WHERE line_number = 3 UNION ALL SELECT doc_id, 'not there' FROM lines WHERE line_number = 3)
-        SELECT v.doc_id, value, min(line_number) AS line_number FROM v LEFT JOIN lines l ON l.doc_id = v.doc_id AND contains(lower(text), lower(value)) GROUP BY v.doc_id, value""",
+        SELECT v.doc_id, value, min(line_number) AS line_number FROM v LEFT JOIN lines l ON l.doc_id = v.doc_id AND contains(lower(text), lower(value)) GROUP BY v.doc_id, value
+        UNION ALL SELECT doc_id, substring(text, 13, 4) || '-' || substring(text, 10, 2) || '-' || substring(text, 7, 2), line_number FROM lines WHERE line_number = 2""",
     "a7_reconcile_totals": f"""{ON_LINES}{TOTALS_SQL} SELECT doc_id, subtotal AS item_sum, total, abs(subtotal + tax - total) > 1 AND abs(subtotal + tax - total) > total * 0.05 AS finding, abs(subtotal + tax - total) > greatest(total * 0.01, 0.02) AS error FROM totals""",
     "a14_analyze_structure": f"{ON_LINES}{EXTRAS_SQL}{TEXTS_SQL} {_STRUCTURE}",
     "a15_discount_context": f"{ON_LINES}{EXTRAS_SQL}{TEXTS_SQL} {_CONTEXT}",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperslip.operators import lines as L
@@ -26,6 +27,13 @@ def _routed(spark, sf):
 
 FEATURES = ["doc_id", "line_number", "position", "in_header", "in_footer", "n_chars", "n_words", "n_company_info", "n_transaction_summary", "n_tax_and_fees", "n_itemization", "n_payment", "n_date_and_time", "n_identification", "n_miscellaneous", "n_price", "n_percentage", "n_date", "n_number", "n_card_number", "n_postcode", "n_vat_number", "has_total_keywords", "has_price_and_quantity", "all_caps", "has_colon"]
 
+def _typed(spark, sf):
+    """Classified lines with a type by the document's payment and a level by the mean confidence of its lines."""
+    rows = classified(spark, sf)
+    mean = F.avg("confidence").over(Window.partitionBy("doc_id"))
+    return rows.withColumns({"document_type": F.when(F.col("doc_id") % 3 == 0, "cash").when(F.col("doc_id") % 50 != 1, "card"), "confidence_level": F.when(mean >= F.expr("0.8BD"), "high").otherwise("low")})
+
+
 QUERIES = {
     "fx1_lines": lines,
     "p1_line_features": lambda s, d: L.line_features(lines(s, d)).select(*FEATURES),
@@ -39,7 +47,7 @@ QUERIES = {
     "u1_candidate_lines": lambda s, d: L.candidate_lines(classified(s, d)),
     "u2_vat_candidates": lambda s, d: L.vat_candidates(classified(s, d)),
     "a1_classification_summary": lambda s, d: L.classification_summary(classified(s, d)),
-    "a2_corpus_stats": lambda s, d: L.corpus_stats(classified(s, d)),
+    "a2_corpus_stats": lambda s, d: L.corpus_stats(_typed(s, d)),
     "a3_reconstruction_summary": lambda s, d: L.reconstruction_summary(table(s, d, "documents")),
 }
 
@@ -76,8 +84,12 @@ ORACLE_SQL = {
         count(*) FILTER (line_type = 'VAT_DATA') AS n_vat, count(DISTINCT rule) AS n_rules, min(confidence) AS min_confidence, max(confidence) AS max_confidence, CAST(sum(confidence) AS DECIMAL(18,2)) AS sum_confidence,
         count(*) FILTER (confidence >= 0.9) AS n_very_high, count(*) FILTER (confidence >= 0.75 AND confidence < 0.9) AS n_high, count(*) FILTER (confidence >= 0.6 AND confidence < 0.75) AS n_medium,
         bool_or(line_type = 'HEADER') AS has_header, bool_or(line_type = 'FOOTER') AS has_footer, count(*) FILTER (bonus > 0) AS n_bonus FROM bonused GROUP BY doc_id""",
-    "a2_corpus_stats": f"""{ALL_SQL}, g AS (SELECT line_type, rule, count(*) AS n FROM bonused GROUP BY ROLLUP (line_type, rule))
-        SELECT line_type, rule, n, CAST(n * 100.0 / (SELECT count(*) FROM bonused) AS DECIMAL(7,3)) AS percent FROM g""",
+    "a2_corpus_stats": f"""{ALL_SQL}, t AS MATERIALIZED (SELECT line_type, rule, CASE WHEN confidence >= 0.9 THEN 'very_high' WHEN confidence >= 0.75 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END AS bucket,
+            CASE WHEN doc_id % 3 = 0 THEN 'cash' WHEN doc_id % 50 <> 1 THEN 'card' END AS document_type, CASE WHEN avg(confidence) OVER (PARTITION BY doc_id) >= 0.8 THEN 'high' ELSE 'low' END AS confidence_level FROM bonused),
+        g AS (SELECT document_type, confidence_level, line_type, rule, bucket, count(*) AS n, grouping(document_type) AS a, grouping(line_type) AS b, grouping(rule) AS c, grouping(bucket) AS e FROM t
+            GROUP BY GROUPING SETS ((), (line_type), (rule), (line_type, rule), (bucket), (document_type, confidence_level), (document_type, confidence_level, line_type), (document_type, confidence_level, rule), (document_type, confidence_level, line_type, rule), (document_type, confidence_level, bucket)))
+        SELECT CASE a WHEN 0 THEN 'type_level_' ELSE '' END || CASE WHEN e = 0 THEN 'bucket' WHEN b = 0 AND c = 0 THEN 'class_rule' WHEN b = 0 THEN 'class' WHEN c = 0 THEN 'rule' ELSE 'all' END AS grouping, document_type, confidence_level, line_type, rule, bucket, n,
+            CAST(n * 100.0 / (SELECT max(h.n) FROM g h WHERE h.a = g.a AND h.b = 1 AND h.c = 1 AND h.e = 1 AND h.document_type IS NOT DISTINCT FROM g.document_type AND h.confidence_level IS NOT DISTINCT FROM g.confidence_level) AS DECIMAL(7,3)) AS percent FROM g""",
     "a3_reconstruction_summary": r"""
         WITH d AS (SELECT source, length(trim(coalesce(text, ''))) > 0 AS ok, CASE WHEN length(trim(coalesce(text, ''))) > 0 THEN len(string_split(text, E'\n')) ELSE 0 END AS k FROM documents)
         SELECT source, count(*) AS n_docs, count(*) FILTER (ok) AS n_ok, CAST(sum(k) AS BIGINT) AS n_lines, CAST(grouping(source) AS INT) AS overall,

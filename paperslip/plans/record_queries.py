@@ -86,15 +86,6 @@ def _responses(spark, sf):
     return e.select(F.col("event_id").alias("id"), "event_type", raw.alias("raw"))
 
 
-def _records(spark, sf):
-    """Items per document as a JSON array, of structs or of strings by document."""
-    it = items(spark, sf)
-    rows = it.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("item_no", "name", "qty", "price"))).alias("r"))
-    structs = F.to_json(F.transform("r", lambda x: F.struct(x["name"].alias("name"), x["qty"].cast("string").alias("qty"), x["price"].cast("string").alias("price"))))
-    strings = F.to_json(F.transform("r", lambda x: F.concat(x["name"], F.lit(" "), x["qty"].cast("string"), F.lit(" x £"), x["price"].cast("string"))))
-    return rows.select("doc_id", F.when(F.col("doc_id") % 2 == 0, structs).otherwise(strings).alias("items"))
-
-
 def _findings(spark, sf):
     texts = X.whole_texts(lines(spark, sf))
     f = R.ground_fields(fields(spark, sf), texts).select("doc_id").unionByName(R.placeholder_hits(fields(spark, sf), texts).select("doc_id"))
@@ -132,10 +123,8 @@ QUERIES = {
     "a20_migration_report": lambda s, d: R.migration_report(legacy(s, d)),
     "c15_rename_fields": lambda s, d: R.rename_fields(legacy(s, d)),
     "c15_renamed_counts": lambda s, d: R.rename_fields(legacy(s, d)).groupBy("extractor").agg(F.count_if("renamed").alias("n_renamed"), F.count(F.lit(1)).alias("n")),
-    "c17_normalize_items": lambda s, d: R.normalize_items(_records(s, d)),
     "c18_item_confidence": lambda s, d: R.item_confidence(items(s, d)),
     "c19_recover_items": lambda s, d: R.recover_items(lines(s, d)),
-    "c19_recover_items_flat": lambda s, d: R.recover_items_flat(X.whole_texts(lines(s, d))),
     "c20_learn_patterns": _learnt,
     "p4_route_low_confidence": lambda s, d: R.route_low_confidence(fields(s, d).withColumn("fallback", F.when(F.col("doc_id") % 2 == 0, F.lit("fallback"))).withColumn("confidence", F.expr("CAST(score - CAST(doc_id % 4 AS DECIMAL(3,1)) / 10 AS DECIMAL(3,2))")), {"total": "0.80", "number": "0.70"}),
     "u3_standardize_fields": lambda s, d: R.standardize_fields(legacy(s, d)),
@@ -172,10 +161,8 @@ ORACLE_SQL = {
     "a20_migration_report": f"""{FIELDS_SQL}{LEGACY_SQL} SELECT standard, count(*) FILTER (l.field <> standard) AS n_deprecated, count(*) FILTER (l.field = standard) AS n_standard, count(*) FILTER (suffix(standard, '_amount') AND NOT regexp_matches(value, '\\.\\d{{2}}$')) AS n_bare FROM legacy l JOIN names n ON n.field = l.field GROUP BY standard""",
     "c15_rename_fields": f"""{FIELDS_SQL}{LEGACY_SQL} SELECT doc_id, coalesce(standard, l.field) AS field, value, extractor, coalesce(standard <> l.field, false) AS renamed FROM legacy l LEFT JOIN names n ON n.field = l.field""",
     "c15_renamed_counts": f"""{FIELDS_SQL}{LEGACY_SQL} SELECT extractor, count(*) FILTER (standard <> l.field) AS n_renamed, count(*) AS n FROM legacy l LEFT JOIN names n ON n.field = l.field GROUP BY extractor""",
-    "c17_normalize_items": f"""{ON_LINES} SELECT doc_id, name, qty AS quantity, CAST(price AS DECIMAL(16,2)) AS total_price FROM it WHERE NOT regexp_matches(lower(name), '^(?:total|subtotal|tax|vat)\\b')""",
     "c18_item_confidence": f"{ON_LINES}{ITEM_CONFIDENCE_SQL} SELECT * FROM ic",
     "c19_recover_items": f"""{ON_LINES} SELECT doc_id, 3 + item_no AS line_number, upper(name) AS name, qty, CAST(price AS DECIMAL(16,2)) AS price FROM it""",
-    "c19_recover_items_flat": f"""{ON_LINES} SELECT doc_id, CAST(item_no AS INT) AS item_no, upper(name) AS name, qty, CAST(price AS DECIMAL(16,2)) AS price FROM it""",
     "c20_learn_patterns": f"""{FIELDS_SQL}, v AS (SELECT doc_id, 'vendor' AS field, regexp_replace(text, ' LTD$', '') AS value, CAST(0.80 + (doc_id % 3) / 10.0 AS DECIMAL(3,2)) AS score FROM lines WHERE line_number = 1),
         f AS (SELECT doc_id, field, value, score FROM fields WHERE score >= 0.70 UNION ALL SELECT * FROM v WHERE score >= 0.90 AND upper(value) NOT IN (SELECT upper(replace(s_name, '#', ' ')) FROM supplier WHERE s_suppkey % 2 = 0))
         SELECT doc_id, field AS kind, upper(field[1]) || field[2:] || ': ' || value AS pattern, CASE WHEN score >= 0.85 THEN 'approved' ELSE 'pending' END AS status FROM f WHERE value IS NOT NULL""",

@@ -1,19 +1,17 @@
-"""Streams: extraction, daily quota, knowledge-base refresh and metrics over micro-batches."""
+"""Streams: extraction, knowledge-base refresh and metrics over micro-batches."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperslip.operators.knowledge import upsert_kb
 
 
 def stream_extract(stream: DataFrame, extract: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
-    """Start a query that writes what a batch operator gives for the documents of each micro-batch; a document's lines arrive together.
+    """Start a query that writes what a batch operator gives for the documents of each micro-batch, whose lines are there together (`assemble_documents`).
 
     A batch that is run again replaces its own folder, so that results are exact after a failure.
     """
@@ -24,25 +22,6 @@ def stream_extract(stream: DataFrame, extract: Callable[[DataFrame], DataFrame],
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_quota(patterns: DataFrame, limits: dict[str, int], watermark: str = "1 day") -> DataFrame:
-    """(id, mode, admitted): the daily quota as state per day and mode; events later than the watermark are dropped, and a day's counter with it."""
-
-    def admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        count = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-        before = count + rows["n"].cumsum() - rows["n"]
-        state.update((int(count + rows["n"].sum()),))
-        end = int(pd.Timestamp(key[0]).timestamp() * 1000) + 2 * 86_400_000
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"id": rows["id"], "mode": key[1], "admitted": before < limits.get(key[1], 0)})
-
-    keyed = patterns.withWatermark("ts", watermark).withColumn("day", F.to_date("ts").cast("string"))
-    return keyed.groupBy("day", "mode").applyInPandasWithState(admit, "id long, mode string, admitted boolean", "n long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def stream_upsert_kb(stream: DataFrame, base: str, checkpoint: str):
     """Start a query that adds each micro-batch to the table at `base`, as v=n beside the rows of v=0; `latest` reads what holds by id and version.
 

@@ -1,16 +1,20 @@
 """Hand-made edge rows: empty texts, damaged amounts and dates, ties, one-line documents."""
 
+import random
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from paperslip.operators import dates as D
 from paperslip.operators import fields as X
+from paperslip.operators import items as I
 from paperslip.operators import knowledge as K
 from paperslip.operators import layout as Y
 from paperslip.operators import lines as L
 from paperslip.operators import payment as P
 from paperslip.operators import records as R
+from paperslip.operators import vat as V
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +55,7 @@ def test_amounts(edge):
 
 
 def test_dates_and_numbers(edge):
-    got = X.mine_dates(edge.where("doc_id = 4")).collect()
+    got = D.mine_dates(edge.where("doc_id = 4")).collect()
     assert [(str(r.day), r.line_number) for r in got] == [("2024-03-05", 2)]  # 31 February is no date
     assert rows(X.mine_tax_numbers(edge), "doc_id", "number") == [(5, "GB123456789")]
 
@@ -111,7 +115,7 @@ def test_chunks_cover_the_text(spark):
 
 def test_empty_tables(edge):
     none = edge.where("false")
-    for f in (X.payable_amounts, X.mine_amounts, X.mine_dates, X.receipt_numbers, X.whole_texts, P.tag_payments, P.address_blocks, L.tag_sections, L.line_features):
+    for f in (X.payable_amounts, X.mine_amounts, D.mine_dates, X.receipt_numbers, X.whole_texts, P.tag_payments, P.address_blocks, L.tag_sections, L.line_features):
         assert f(none).count() == 0
 
 
@@ -129,19 +133,69 @@ def test_names_anywhere_in_a_line(spark):
     lines = spark.createDataFrame(rows, "doc_id int, line_number int, text string")
     got = {r.doc_id: (r.suppkey, float(r.score)) for r in X.match_suppliers(lines, suppliers).collect()}
     assert got == {1: (1, 0.306), 2: (2, 0.333), 3: (3, 0.222), 4: (2, 0.25), 5: (2, 0.389)}
-    vendors = {r.doc_id: (r.vendor, float(r.confidence)) for r in K.match_vendors(lines, suppliers.selectExpr("s_suppkey AS vendor", "replace(s_name, '#', ' ') AS name")).collect()}
-    assert vendors == {1: (1, 0.75), 2: (2, 0.75), 3: (3, 0.75), 4: (None, 0.3), 5: (2, 0.75), 6: (None, 0.3), 7: (None, 0.3)}
+    vendors = {r.doc_id: (r.vendor, r.vendor_type, float(r.confidence)) for r in K.match_vendors(lines, suppliers.selectExpr("s_suppkey AS vendor", "replace(s_name, '#', ' ') AS name")).collect()}
+    assert vendors == {1: (1, "other", 0.5), 2: (2, "other", 0.5), 3: (3, "other", 0.5), 4: (2, "other", 0.5), 5: (2, "other", 0.5), 6: (None, "other", 0.3), 7: (None, None, 0.0)}
     assert X.match_suppliers(lines, suppliers.where("false")).count() == 0
 
 
 def test_vendor_terms_and_countries(spark):
-    vendors = spark.createDataFrame([(1, "ACME", "UK", "Mill Lane", "01234 5", None), (2, "ACME SHOP", "FR", None, None, "acme.example"), (3, "ME SH", None, "", None, None)], "vendor int, name string, country string, address string, phone string, website string")
-    lines = spark.createDataFrame([(1, 1, "Acme Shop"), (1, 9, "12 MILL LANE"), (1, 10, "tel 01234 56"), (2, 1, "Acme shop"), (2, 2, "www.ACME.example"), (3, 6, "ACME"), (4, 1, None)], "doc_id int, line_number int, text string")
+    """Whole words two points, within words one, half a point for each address word, telephone and website; over 2 * patterns + 2."""
+    vendors = spark.createDataFrame(
+        [(1, "ACME", "UK", ["Mill Lane", "York"], r"\d{5} \d", None), (2, "ACME SHOP", "FR", None, None, "acme.example"), (2, "me sh", "FR", None, None, "acme.example"), (3, "ME SH", None, [""], "", None), (4, "C&A (UK)", None, None, None, None)],
+        "vendor int, name string, country string, address array<string>, phone string, website string",
+    )
+    lines = spark.createDataFrame([(1, 1, "Acme, Shop"), (1, 9, "12 MILL LANE"), (1, 10, "tel 01234 56"), (2, 1, "Acme shop"), (2, 2, "www.ACME.example"), (3, 6, "Acme's pump"), (4, 1, None), (5, 1, "at c&a (uk) (c&a)"), (6, 1, "zACMEz pharmacy")], "doc_id int, line_number int, text string")
     countries = spark.createDataFrame([(1, "UK"), (2, "FR"), (3, None)], "doc_id int, country string")
     got = {r.doc_id: (r.vendor, float(r.confidence)) for r in K.match_vendors(lines, vendors, countries).collect()}
-    assert got == {1: (1, 1.0), 2: (2, 0.88), 3: (None, 0.3), 4: (None, 0.3)}
-    both = {r.doc_id: r.vendor for r in K.match_vendors(lines, vendors).collect()}
-    assert both == {1: 1, 2: 2, 3: None, 4: None}
+    assert got == {1: (1, 0.75), 2: (2, 0.5833), 3: (1, 0.5), 4: (None, 0.0), 5: (None, 0.3), 6: (None, 0.3)}
+    kinds = {r.doc_id: r.vendor_type for r in K.match_vendors(lines, vendors, countries, first=5).collect()}
+    assert kinds[3] == "petrol" and kinds[6] == "pharmacy" and kinds[4] is None
+
+
+def brute_names(texts, names):
+    return sorted((i, n) for i, t in enumerate(texts) for n in names if t is not None and n is not None and n.strip() and n in t)
+
+
+@pytest.mark.parametrize("most", [1 << 25, 1 << 16])
+def test_dictionary_equals_brute_force(spark, monkeypatch, most):
+    """Names of all lengths, repeated and overlapping ones, other scripts, and a bit set that is too small for them."""
+    from paperslip.operators import dictionary as D
+
+    monkeypatch.setattr(D, "MOST_BITS", most)
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcé漢🙂 ") for _ in range(rnd.randint(1, 20)))
+    names = [word() for _ in range(300)] + ["a", " ", "", None, "ab", "ab", "x" * 40, "x" * 41]
+    texts = [word() + rnd.choice(names[:300]) + word() for _ in range(200)] + [None, "", "a", "x" * 100, "ab" * 50]
+    lines = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    known = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, number int")
+    got = sorted((r.id, r.name) for r in D.names_in(lines, "text", known).collect())
+    assert got == brute_names(texts, names)
+    assert D.names_in(lines, "text", known.where("false")).count() == 0
+    assert D.names_in(lines.where("false"), "text", known).count() == 0
+
+
+def test_dictionary_sends_few_rows(spark):
+    """A large dictionary of long names: what reaches the join is about what matches."""
+    from paperslip.operators import dictionary as D
+
+    known = spark.range(50_000).select(F.concat(F.lit("SUPPLIER "), F.lpad(F.xxhash64("id").cast("string"), 20, "0")).alias("name"))
+    lines = known.limit(2000).select(F.monotonically_increasing_id().alias("id"), F.concat(F.lit("AT "), F.col("name"), F.lit(" LTD")).alias("text")).unionByName(spark.range(20_000).select("id", F.concat(F.lit("line without any of them "), "id").alias("text")))
+    found = D.names_in(lines, "text", known)
+    assert found.count() == 2000
+    sent = [p for p in str(found._jdf.queryExecution().executedPlan().toString()).split("\n") if "CartesianProduct" in p or "BroadcastNestedLoopJoin" in p]
+    assert not sent
+
+
+def test_configured_suppliers_and_amounts(spark):
+    names = spark.createDataFrame([("Tesco",), ("Tesco Extra",), ("Co",), (" ",)], "name string")
+    lines = spark.createDataFrame(
+        [(1, 1, " "), (1, 2, "at tesco extra."), (1, 3, "Tesco"), (2, 1, "Costco"), (2, 2, "12/05/2023"), (3, 9, "Tesco"), (4, 1, "a menu of Co"), (4, 2, "the co, of"), (4, 3, None), (5, 1, "welcome to joe's bar"), (5, 2, "Bar Ltd"), (6, 1, "Bar Ltd"), (7, 1, None)],
+        "doc_id int, line_number int, text string",
+    )
+    got = {r.doc_id: (r.name, r.line_number, r.rule) for r in P.supplier_by_rules(lines, P.SUPPLIER_RULES, names, excludes=("MENU",)).collect()}
+    assert got == {1: ("Tesco Extra", 2, 0), 2: ("Costco", 1, 3), 4: ("Co", 2, 0), 5: ("Joe's Bar", 1, 1), 6: ("Bar Ltd", 1, 2)}
+    amounts = spark.createDataFrame([(1, 1, "Subtotal 1,234.50 of 3.00"), (1, 2, "9999.00"), (2, 1, "net amount: 16 05"), (3, 1, "net 0.00"), (4, 1, None)], "doc_id int, line_number int, text string")
+    assert rows(P.amount_by_rules(amounts, P.NET_RULES), "doc_id", "amount") == [(1, Decimal("1234.50")), (2, Decimal("16.05"))]
 
 
 def test_field_confidence_of_given_maps(spark):
@@ -159,3 +213,161 @@ def test_every_benchmark_row_is_context(spark):
     context, said = _met(docs, bench)
     assert {r.context for r in context.collect()} == {str(i) for i in range(60)}
     assert {r.value for r in said.collect()} == {str(i) for i in range(0, 60, 2)}
+
+
+# ---- retrieval
+
+
+def _vectors(spark, n, seed, dim=16, kinds=3):
+    import numpy as np
+
+    rnd = np.random.default_rng(seed)
+    centres = rnd.normal(size=(12, dim))
+    return [(i, [float(x) for x in centres[i % 12] + 0.3 * rnd.normal(size=dim)], i % kinds) for i in range(n)]
+
+
+def brute_topk(queries, base, k, same):
+    import numpy as np
+
+    unit = lambda v: np.array(v) / max(np.linalg.norm(v), 1e-12)
+    good = [(i, unit(v), f) for i, v, f in base if v is not None and len(v) == 16 and None not in v and np.isfinite(v).all()]
+    out = []
+    for q, v, f in queries:
+        if v is None:
+            continue
+        hits = sorted((-round(float(unit(v) @ u), 6), i) for i, u, g in good if not same or f == g)[:k]
+        out += [(q, i, -s, r) for r, (s, i) in enumerate(hits, 1)]
+    return sorted(out)
+
+
+def test_exact_search_equals_brute_force(spark, monkeypatch):
+    """Several blocks and chunks, ties, vectors that take no part, and a filter value without rows."""
+    from paperslip.operators import retrieval as RT
+
+    monkeypatch.setattr(RT, "BLOCK", 40)
+    monkeypatch.setattr(RT, "CHUNK", 5)
+    base = _vectors(spark, 300, 1) + [(1000 + i, [1.0] * 16, 0) for i in range(60)] + [(2000, None, 0), (2001, [1.0] * 15, 0), (2002, [float("nan")] * 16, 0), (2003, [1.0] * 15 + [None], 1), (2004, [0.0] * 16, 1)]
+    asked = [(i, v, f) for i, v, f in _vectors(spark, 20, 2)] + [(50, [1.0] * 16, 0), (51, [2.0] * 16, 7), (52, None, 0)]
+    schema = "embedding array<double>, label int"
+    kb = spark.createDataFrame(base, "vec_id long, " + schema).repartition(3)
+    queries = spark.createDataFrame(asked, "query_id long, " + schema).repartition(2)
+    got = sorted(tuple(r) for r in K.similarity_topk(queries, kb, 7, ["label"]).collect())
+    assert got == brute_topk(asked, base, 7, True)
+    retried = sorted((*tuple(r)[:4], r.filtered) for r in RT.with_retry(queries, kb, 4, ["label"]).collect())
+    want = [(*r, True) for r in brute_topk([a for a in asked if a[2] != 7], base, 4, True)] + [(*r, False) for r in brute_topk([a for a in asked if a[2] == 7], base, 4, False)]
+    assert retried == sorted(want)
+    assert K.similarity_topk(queries, kb.where("false"), 3, ["label"]).count() == 0 == K.similarity_topk(queries.where("false"), kb, 3, ["label"]).count()
+
+
+def test_index_finds_most_with_few_candidates(spark):
+    """In clustered vectors 0.95 of the best rows lie in few cells; all cells give the exact result."""
+    from paperslip.operators import retrieval as RT
+
+    base, asked = _vectors(spark, 3000, 5), _vectors(spark, 60, 6)
+    schema = "embedding array<double>, label int"
+    kb, queries = spark.createDataFrame(base, "vec_id long, " + schema), spark.createDataFrame(asked, "query_id long, " + schema)
+    index = RT.build_index(kb, ["label"])
+    probes = RT.probes_for(index, kb, queries, 10, ["label"])
+    assert probes < len(index.centroids) / 3
+    exact = {tuple(r)[:2] for r in K.similarity_topk(queries, kb, 10, ["label"]).collect()}
+    found = {tuple(r)[:2] for r in K.similarity_topk(queries, index, 10, ["label"], probes).collect()}
+    assert len(found & exact) >= 0.9 * len(exact) == 540
+    every = sorted(tuple(r) for r in K.similarity_topk(queries, index, 10, ["label"], len(index.centroids)).collect())
+    assert every == sorted(tuple(r) for r in K.similarity_topk(queries, kb, 10, ["label"]).collect())
+
+
+def test_index_on_the_test_vectors(spark):
+    """Recall on `embeddings`, and how much of the table the cells leave out."""
+    from paperslip.operators import retrieval as RT
+    from paperslip.plans.more_queries import _search
+
+    queries, kb = _search(spark, "/root/testdata/sf0.01")
+    index = RT.build_index(kb, ["label"])
+    probes = RT.probes_for(index, kb, queries, 10, ["label"])
+    exact = {tuple(r)[:2] for r in K.similarity_topk(queries, kb, 10, ["label"]).collect()}
+    found = {tuple(r)[:2] for r in K.similarity_topk(queries, index, 10, ["label"], probes).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
+def test_context_masks_and_drops(spark):
+    hits = spark.createDataFrame([(1, 2, "paid with ****1234 on 01/02/2024: 5.00\nExample: drop me"), (1, 1, None), (1, 3, " "), (1, 4, "card 4111 1111 1111 1111"), (2, 1, "x" * 400)], "query_id int, rank int, text string")
+    assert rows(K.build_context(hits, most=200), "query_id", "context") == [(1, "paid with [card] on [date]: [n]\ncard [card]"), (2, "x" * 150)]
+
+
+# ---- dates, amounts, VAT lines, items
+
+
+@pytest.mark.parametrize(
+    ("texts", "day"),
+    [
+        (["31/02/2024", "no date"], None),
+        (["1st of May", "May 3rd, 2021"], "2021-05-03"),
+        (["Date: 03/04/05"], "2005-04-03"),
+        (["01/02/1999", "02/03/2021"], "2021-03-02"),  # recent years first
+        (["121314 then 5/6/21"], "2021-06-05"),  # medium before low priority
+        (["3 Sept '24"], "2024-09-03"),
+        (["1/2/2022", "invoice 3/4/2022"], "2022-04-03"),  # longer, with its label
+        (["20230431", "20230430"], "2023-04-30"),
+        (["12/11/1899", "1.1.2101"], None),
+        ([None, ""], None),
+    ],
+)
+def test_best_date(spark, texts, day):
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts, 1)], "doc_id long, line_number long, text string")
+    assert [str(r.day) for r in D.mine_dates(lines).collect()] == ([day] if day else [])
+
+
+def test_located_renderings(spark):
+    values = spark.createDataFrame([(1, "2024-03-05"), (2, "2024-03-05"), (3, "2024-13-05"), (4, "R77")], "doc_id int, value string")
+    lines = spark.createDataFrame([(1, 1, "no"), (1, 2, "MARCH 05, 2024"), (2, 1, "5.3.24"), (3, 1, "at 2024-13-05"), (4, 3, "no r77"), (4, 2, None)], "doc_id int, line_number int, text string")
+    assert rows(D.locate_source_line(values, lines), "doc_id", "line_number") == [(1, 2), (2, None), (3, 1), (4, 3)]
+
+
+def test_vat_lines_that_are_none(spark):
+    texts = ["", None, "VAT", "20%", "10% OFF £5.00", "TOTAL 1.00 2.00 3.00", "VAT REG NO 12.34", "3.00 4.00 5.00", "%%% ((", "VAT RATE", "VAT RATE NET", "1.00 2.00", "TOTAL £5.00"]
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id int, line_number int, text string")
+    assert rows(V.parse_vat_lines(lines), "line_number", "layout") == [(11, "tokens")]
+    far = spark.createDataFrame([(1, 0, "VAT RATE NET"), *((1, i, "x") for i in range(1, 10)), (1, 10, "1.00 2.00")], "doc_id int, line_number int, text string")
+    assert V.parse_vat_lines(far).count() == 0
+
+
+def test_triplets_of_scrambled_numbers(spark):
+    texts = [
+        (1, "ITEM QTY Masala Dosa 2 59.00 118.00 Vada 1 25.00 25.00 TOTAL 143"),
+        (2, "QTY 2 59.00 118.00 1 69.00 69.00 MasalaDosa TOTAL"),
+        (3, "25 50,5 7 only one SUBTOTAL"),
+        (4, "no numbers at all"),
+        (5, None),
+        (6, ""),
+        (7, "9.50 Tea Total"),
+        (8, "a 1 2.00"),
+    ]
+    got = rows(I.recover_items_flat(spark.createDataFrame(texts, "doc_id int, text string")), "doc_id", "item_no", "name", "quantity", "unit_price", "total_price")
+    d = lambda x: None if x is None else Decimal(x)
+    assert got == [
+        (1, 1, "Masala Dosa", 2, d("59.00"), d("118.00")),
+        (1, 2, "Vada", 1, d("25.00"), d("25.00")),
+        (2, 1, "Masala", 2, d("59.00"), d("118.00")),
+        (2, 2, "Dosa", 1, d("69.00"), d("69.00")),
+        (3, 1, "only", 1, d("25.00"), d("50.50")),
+        (3, 2, "one", 1, None, d("7.00")),
+        (7, 1, "Tea", 1, None, d("9.50")),
+        (8, 1, "a", 1, d("1.00"), d("2.00")),
+    ]
+
+
+def test_items_of_odd_answers(spark):
+    records = [(1, None), (2, ""), (3, "[1, 2]"), (4, '{"items": {"name": "no array"}}'), (5, '{"items": [null, {"name": "Tea", "quantity": "two", "price": "1,234.50 EUR"}, {"quantity": 2}, ["Cake", {"price": 2.5, "qty": 3}], ["Pie", "x", "y"]]}')]
+    got = rows(I.normalize_items(spark.createDataFrame(records, "doc_id int, record string")), "doc_id", "item_no", "name", "quantity", "total_price")
+    assert got == [(5, 2, "Tea", 1, Decimal("1234.50")), (5, 3, "N/A", 2, None), (5, 4, "Cake", 3, Decimal("2.50")), (5, 5, "Pie", 1, None)]
+    dirty = [(1, '{"receipt_number": "[1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]", "qty": 2}'), (2, '{"receipt_number": "A[1]", "note": null}'), (3, "no json")]
+    assert rows(I.clean_records(spark.createDataFrame(dirty, "doc_id int, record string")), "doc_id", "field", "value") == [(1, "receipt_number", None), (2, "note", None), (2, "receipt_number", "A[1]")]
+
+
+def test_stated_discounts_and_readings(spark):
+    details = spark.createDataFrame([(1, Decimal("2.00")), (1, Decimal("3.00")), (2, Decimal("1.00")), (3, Decimal("0.00"))], "doc_id int, amount decimal(16,2)")
+    lines = spark.createDataFrame([(1, 5, "Total discount: £1,007.50"), (1, 6, "you saved: 1"), (4, 1, "discount total : 3"), (5, 1, None)], "doc_id int, line_number int, text string")
+    assert rows(P.discount_totals(details, lines), "doc_id", "total", "stated") == [(1, Decimal("1007.50"), True), (2, Decimal("1.00"), False), (3, None, False), (4, Decimal("3.00"), True)]
+    heads = spark.createDataFrame([(1, 1, "ACME LTD", 0.5), (2, 1, "ACME LTD", None)], "doc_id int, line_number int, text string, confidence double")
+    low, plain = (r.score for r in X.score_suppliers(heads).orderBy("doc_id").collect())
+    assert plain - low == Decimal("0.060")

@@ -7,12 +7,9 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__
 from paperslip import registry
-from paperslip.functions.shared import shared_path
-from paperslip.streaming import streams
 
 
 @pytest.fixture(scope="module")
@@ -48,15 +45,3 @@ def test_every_query_is_registered():
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
-
-
-def test_quota_goes_on_over_batches(spark):
-    """State carries the day's count from one micro-batch to the next."""
-    rows = spark.range(40).select("id", F.lit("auto").alias("mode"), F.lit(10).cast("long").alias("n"), (F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(F.lit(0), F.lit(0), F.col("id").cast("int"))).alias("ts"))
-    path, out, state = (shared_path(spark, t) for t in ("in", "out", "state"))
-    for low, high in ((0, 6), (6, 40)):
-        rows.where(f"id >= {low} AND id < {high}").coalesce(1).write.mode("append").parquet(path)
-        q = streams.stream_quota(spark.readStream.schema(rows.schema).parquet(path), {"auto": 100}).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
-        q.awaitTermination()
-    got = {r.id: r.admitted for r in spark.read.parquet(out).collect()}
-    assert got == {i: i < 10 for i in range(40)}

@@ -1,7 +1,12 @@
-"""The incremental knowledge base: batches add their rows only, and what holds is the highest version."""
+"""Streams: the incremental knowledge base, documents gathered from lines, and the quota over shards."""
+
+import collections
+import datetime
+import random
 
 from pyspark.sql import functions as F
 
+from paperslip.streaming import state as A
 from paperslip.streaming import streams as T
 
 
@@ -19,3 +24,78 @@ def test_incremental_upserts(spark, tmp_path):
     assert sorted(r[1] for r in sizes) in ([1, 2], [3])
     T.compact(spark, base, f"{tmp_path}/new")
     assert spark.read.parquet(f"{tmp_path}/new/v=0").count() == 3 and T.latest(spark, f"{tmp_path}/new").count() == 3
+
+
+class Feed:
+    """A folder that rows are written to, file by file, and a query over it that is started anew each time."""
+
+    def __init__(self, spark, path, schema, make):
+        self.spark, self.path, self.schema, self.make = spark, path, schema, make
+
+    def add(self, *rows):
+        self.spark.createDataFrame(list(rows), self.schema).coalesce(1).write.mode("append").parquet(f"{self.path}/in")
+
+    def run(self):
+        stream = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 1).parquet(f"{self.path}/in")
+        q = self.make(stream).writeStream.format("parquet").option("path", f"{self.path}/out").option("checkpointLocation", f"{self.path}/state").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return [tuple(r) for r in self.spark.read.parquet(f"{self.path}/out").collect()]
+
+
+def at(minutes):
+    return datetime.datetime(2024, 1, 1, 12) + datetime.timedelta(minutes=minutes)
+
+
+def test_documents_from_their_lines(spark, tmp_path):
+    """Lines in several files and out of order, repeated ones, a document without an end, late lines, and a restart between them."""
+    feed = Feed(spark, tmp_path, "doc_id long, line_number long, text string, ts timestamp", lambda s: A.assemble_documents(s, last="^END", idle_minutes=30, watermark="10 minutes"))
+    feed.add((1, 3, "END", at(0)), (1, 1, "a", at(0)), (2, 1, "only", at(1)), (3, 1, "x", at(0)), (3, 2, "END", at(0)), (None, 1, "no key", at(0)), (4, 1, "no time", None), (5, None, "no number", at(1)))
+    got = feed.run()
+    assert sorted(got) == [(3, 1, "x", True), (3, 2, "END", True)]
+    feed.add((1, 2, "b", at(5)), (1, 2, "b again", at(5)), (3, 3, "after the end", at(5)))
+    got = feed.run()
+    assert sorted(got)[:3] == [(1, 1, "a", True), (1, 2, "b", True), (1, 3, "END", True)] and len(got) == 5
+    feed.add((6, 1, "later", at(60)))
+    got = feed.run()
+    assert (2, 1, "only", False) in got and len(got) == 6
+    feed.add((2, 2, "too late", at(2)), (6, 2, "END", at(61)))
+    got = feed.run()
+    assert len(got) == 8 and (6, 2, "END", True) in got and collections.Counter(r[:2] for r in got).most_common(1)[0][1] == 1
+
+
+def brute_quota(rows, limits):
+    """Request by request, in order of time and id within a day and mode."""
+    seen, out = collections.Counter(), {}
+    for request, mode, n, ts in sorted(rows, key=lambda r: (r[3], r[0])):
+        key = (ts.date(), mode)
+        out[request] = seen[key] < limits.get(mode, 0)
+        seen[key] += max(n if n is not None else 1, 1)
+    return out
+
+
+def test_quota_over_shards_equals_the_day_in_order(spark, tmp_path):
+    """Requests out of order over many batches and hours; what is decided early is right, and nothing is decided twice."""
+    rnd = random.Random(8)
+    limits = {"auto": 40, "review": 12}
+    rows = [(i, rnd.choice(["auto", "review", "other"]), rnd.choice([1, 2, 3, 0, None]), at(rnd.randint(-600, 1600))) for i in range(300)]
+    feed = Feed(spark, tmp_path, "id long, mode string, n long, ts timestamp", lambda s: A.sharded_quota(s, limits, watermark="3 days", shard_minutes=30))
+    for k in range(0, 300, 100):
+        feed.add(*rows[k : k + 100])
+    early = feed.run()
+    want = brute_quota(rows, limits)
+    assert early and all(not want[i] for i, _, admitted in early if not admitted) and not any(a for _, _, a in early)
+    feed.add((1000, "auto", 1, at(60 * 24 * 9)))
+    got = feed.run()
+    assert len(got) == 300 and {i: a for i, _, a in got} == want
+
+
+def test_late_requests_are_dropped(spark, tmp_path):
+    feed = Feed(spark, tmp_path, "id long, mode string, n long, ts timestamp", lambda s: A.sharded_quota(s, {"auto": 2}, watermark="10 minutes"))
+    feed.add((1, "auto", 1, at(0)), (2, "auto", 1, at(1)))
+    feed.run()
+    feed.add((3, "auto", 1, at(300)), (4, None, 1, at(300)), (5, "auto", 1, None))
+    assert sorted(feed.run()) == [(1, "auto", True), (2, "auto", True)]
+    feed.add((6, "auto", 1, at(2)))
+    feed.run()
+    feed.add((7, "auto", 1, at(3000)))
+    assert sorted(feed.run()) == [(1, "auto", True), (2, "auto", True), (3, "auto", False)]
