@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paperslip.operators import dates as D
 from paperslip.operators import fields as X
-from paperslip.operators.lines_sql import ALL_SQL, ON_LINES, q
+from paperslip.plans.lines_sql import ALL_SQL, ON_LINES, q
 from paperslip.plans.fixtures import items, lines, table
 from paperslip.plans.line_queries import classified
 

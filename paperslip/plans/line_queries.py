@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperslip.operators import lines as L
-from paperslip.operators.lines_sql import ALL_SQL, NOISE_SQL, ON_LINES
+from paperslip.plans.lines_sql import ALL_SQL, NOISE_SQL, ON_LINES
 from paperslip.plans.fixtures import lines, table
 
 

@@ -10,7 +10,7 @@ from paperslip.operators import layout as Y
 from paperslip.operators import payment as P
 from paperslip.operators import retrieval as R
 from paperslip.operators import vat as V
-from paperslip.operators.lines_sql import ON_LINES, q
+from paperslip.plans.lines_sql import ON_LINES, q
 from paperslip.plans.field_queries import EXTRAS_SQL, TEXTS_SQL, with_extras
 from paperslip.plans.field_queries import ORACLE_SQL as FIELD_SQL
 from paperslip.plans.fixtures import WORDS_SQL, items, lines, table, words

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paperslip.operators import fields as X
 from paperslip.operators import records as R
-from paperslip.operators.lines_sql import ALL_SQL, ON_LINES, q
+from paperslip.plans.lines_sql import ALL_SQL, ON_LINES, q
 from paperslip.plans.field_queries import ORACLE_SQL as FIELD_SQL
 from paperslip.plans.field_queries import TEXTS_SQL
 from paperslip.plans.fixtures import items, lines, table

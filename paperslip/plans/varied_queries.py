@@ -14,7 +14,7 @@ from paperslip.operators import fields as X
 from paperslip.operators import items as I
 from paperslip.operators import payment as P
 from paperslip.operators import vat as V
-from paperslip.operators.lines_sql import ON_LINES
+from paperslip.plans.lines_sql import ON_LINES
 from paperslip.plans.fixtures import items, table
 
 _TEXT = "CAST({0} AS VARCHAR(40))"
