@@ -61,12 +61,13 @@ def token_confidence(fields: DataFrame, lines: DataFrame) -> DataFrame:
     return tokens.join(first, ["doc_id", "field", "token"], "left").withColumn("confidence", F.coalesce("confidence", F.expr("CAST(1 AS DECIMAL(6,2))")))
 
 
-def score_findings(findings: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, n_findings, confidence): base 0.6 + 0.3 x relevance, less a fifth of it per finding, not below 0."""
-    n = findings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_findings"))
+def score_findings(findings: DataFrame, docs: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_findings, n_ and each of `kinds`, confidence): base 0.6 + 0.3 x relevance, less a fifth of it per finding, not below 0. Findings are (doc_id) and, for counts by kind, kind."""
+    by_kind = {f"n_{k}": F.count_if(F.col("kind") == k) for k in kinds}
+    n = findings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_findings"), *(c.alias(name) for name, c in by_kind.items()))
     base = (F.expr("0.6BD") + F.expr("0.3BD") * F.col("relevance")).cast("decimal(6,4)")
-    out = docs.join(n, "doc_id", "left").withColumn("n_findings", F.coalesce("n_findings", F.lit(0).cast("long")))
-    return out.select("doc_id", "n_findings", F.greatest((base * (F.lit(1) - F.expr("0.2BD") * F.col("n_findings"))).cast("decimal(8,4)"), F.expr("CAST(0 AS DECIMAL(8,4))")).alias("confidence"))
+    out = docs.join(n, "doc_id", "left").na.fill(0, ["n_findings", *by_kind])
+    return out.select("doc_id", "n_findings", *by_kind, F.greatest((base * (F.lit(1) - F.expr("0.2BD") * F.col("n_findings"))).cast("decimal(8,4)"), F.expr("CAST(0 AS DECIMAL(8,4))")).alias("confidence"))
 
 
 # ---- items

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from paperslip.operators import fields as X
 from paperslip.operators import records as R
-from paperslip.plans.lines_sql import ALL_SQL, ON_LINES, q
 from paperslip.plans.field_queries import ORACLE_SQL as FIELD_SQL
-from paperslip.plans.field_queries import TEXTS_SQL
+from paperslip.plans.field_queries import TEXTS_SQL, TOTALS_SQL, totals
 from paperslip.plans.fixtures import items, lines, table
 from paperslip.plans.line_queries import classified
+from paperslip.plans.lines_sql import ALL_SQL, ON_LINES, q
 
 _C = FIELD_SQL["w5_best_candidate"].rsplit("\n", 1)[0]  # receipt lines and their candidates `c`
 
@@ -86,11 +86,19 @@ def _responses(spark, sf):
     return e.select(F.col("event_id").alias("id"), "event_type", raw.alias("raw"))
 
 
+FINDINGS = ("fields", "items", "context", "placeholders", "totals")
+
+
 def _findings(spark, sf):
+    """All findings of a receipt by kind: values and items not in its text, words of the context only, placeholders, totals that do not add up."""
     texts = X.whole_texts(lines(spark, sf))
-    f = R.ground_fields(fields(spark, sf), texts).select("doc_id").unionByName(R.placeholder_hits(fields(spark, sf), texts).select("doc_id"))
+    parts = [R.ground_fields(fields(spark, sf), texts), R.ground_items(_changed_items(spark, sf), texts), _leak(spark, sf), R.placeholder_hits(fields(spark, sf), texts), X.reconcile_totals(totals(spark, sf), items(spark, sf)).where("finding")]
+    found = [part.select("doc_id", F.lit(kind).alias("kind")) for kind, part in zip(FINDINGS, parts, strict=True)]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
     docs = texts.select("doc_id", F.expr("CAST(CAST(doc_id % 10 AS DECIMAL(3,1)) / 10 AS DECIMAL(3,2))").alias("relevance"))
-    return R.score_findings(f, docs)
+    return R.score_findings(every, docs, FINDINGS)
 
 
 def _scored(spark, sf):
@@ -145,8 +153,6 @@ ORACLE_SQL = {
     "j8_placeholder_hits": f"{FIELDS_SQL}{_TEXTS} {_PLACE}",
     "j9_diff_corrections": f"""{FIELDS_SQL.replace(" best AS (", " best AS MATERIALIZED (").replace(" fields AS (", " fields AS MATERIALIZED (")}, k AS MATERIALIZED (SELECT * FROM fields WHERE NOT (field = 'tax' AND doc_id % 5 = 0)) SELECT coalesce(b.doc_id, k.doc_id) AS doc_id, coalesce(b.field, k.field) AS field, b.value AS before, k.value AS after
         FROM best b FULL JOIN k ON k.doc_id = b.doc_id AND k.field = b.field WHERE b.value IS DISTINCT FROM k.value""",
-    "a19_score_findings": f"""{FIELDS_SQL}{_TEXTS}, g AS ({_GROUNDED}), p AS ({_PLACE}), n AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM g UNION ALL SELECT doc_id FROM p) GROUP BY doc_id)
-        SELECT t.doc_id, coalesce(n, 0) AS n_findings, CAST(greatest((0.6 + 0.3 * CAST((t.doc_id % 10) / 10.0 AS DECIMAL(3,2))) * (1 - 0.2 * coalesce(n, 0)), 0) AS DECIMAL(8,4)) AS confidence FROM texts t LEFT JOIN n ON n.doc_id = t.doc_id""",
     "a4_score_documents": f"""{ON_LINES}{ITEM_CONFIDENCE_SQL}, s AS (SELECT o_orderkey AS doc_id, o_orderkey % 10 > 0 AS valid, CAST(0.4 * CAST(least(greatest(0.50 + (o_orderkey % 60) / 100.0, 0), 1) AS DECIMAL(7,4)) + 0.3 * CASE WHEN o_orderkey % 3 = 0 THEN 0.7 ELSE 0.5 END + 0.3 * CAST(coalesce(confidence, 0.5) AS DECIMAL(7,4)) AS DECIMAL(8,4)) AS overall
           FROM orders LEFT JOIN ic ON ic.doc_id = o_orderkey) SELECT doc_id, overall, CASE WHEN NOT valid OR overall < 0.7 THEN 'review' WHEN overall >= 0.85 THEN 'approve' ELSE 'accept' END AS decision FROM s""",
     "a5_field_confidence": f"""{ON_LINES}, f AS (SELECT doc_id, 'name' AS field, CASE WHEN length(name) >= 3 THEN 0.95 ELSE 0.50 END AS c FROM it UNION ALL SELECT doc_id, 'price', CAST(0.80 + (qty % 10) / 100.0 AS DECIMAL(3,2)) FROM it)
@@ -176,3 +182,9 @@ ORACLE_SQL = {
 # the fields' steps stand after the classification's own, without a second WITH
 ORACLE_SQL["j10_token_confidence"] = f"""{ALL_SQL}, {FIELDS_SQL[len(ON_LINES) + 2:]}, tk AS (SELECT DISTINCT doc_id, field, unnest(list_filter(string_split(value, ' '), lambda w: w <> '')) AS token FROM fields)
         SELECT tk.doc_id, field, token, CAST(coalesce(arg_min(b.confidence, b.line_number), 1) AS DECIMAL(6,2)) AS confidence FROM tk LEFT JOIN bonused b ON b.doc_id = tk.doc_id AND contains(lower(text), lower(token)) GROUP BY ALL"""
+_A7 = FIELD_SQL["a7_reconcile_totals"].rsplit(TOTALS_SQL, 1)[1]
+_J6 = ORACLE_SQL["j6_ground_items"].rsplit(_CHANGED, 1)[1].lstrip(", ")
+ORACLE_SQL["a19_score_findings"] = f"""{FIELDS_SQL}{_TEXTS}{TOTALS_SQL}{_CHANGED}, f1 AS ({_GROUNDED}), f2 AS (WITH {_J6}), f3 AS ({ORACLE_SQL["j7_context_leak"]}), f4 AS ({_PLACE}), f5 AS ({_A7}),
+    every AS (SELECT doc_id, 'fields' AS kind FROM f1 UNION ALL SELECT doc_id, 'items' FROM f2 UNION ALL SELECT doc_id, 'context' FROM f3 UNION ALL SELECT doc_id, 'placeholders' FROM f4 UNION ALL SELECT doc_id, 'totals' FROM f5 WHERE finding),
+    per AS (SELECT doc_id, count(*) AS n_findings, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in FINDINGS)} FROM every GROUP BY doc_id)
+    SELECT t.doc_id, coalesce(n_findings, 0) AS n_findings, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in FINDINGS)}, CAST(greatest((0.6 + 0.3 * CAST((t.doc_id % 10) / 10.0 AS DECIMAL(3,2))) * (1 - 0.2 * coalesce(n_findings, 0)), 0) AS DECIMAL(8,4)) AS confidence FROM texts t LEFT JOIN per ON per.doc_id = t.doc_id"""
