@@ -65,7 +65,8 @@ def dates_in(lines: DataFrame) -> DataFrame:
 
     found = F.concat(*(of(*rule) for rule in RULES))
     labelled = F.lower(text).rlike(r"\b(?:date|invoice|bill|transaction|receipt|purchase|sale|dt|dated)\b")
-    each = lines.where(text.rlike(r"\d")).select("doc_id", "line_number", labelled.alias("labelled"), F.inline(found))
+    shaped = rf"(?i)\d[-/.]\d{{1,2}}[-/.]\d|\b\d{{6}}\b|\b\d{{8}}\b|{MONTH}"  # what every rule asks for
+    each = lines.where(text.rlike(shaped)).select("doc_id", "line_number", labelled.alias("labelled"), F.inline(found))
     return each.withColumn("day", parsed(tidied(F.col("raw")))).where("day IS NOT NULL")
 
 

@@ -111,7 +111,7 @@ def mine_amounts(lines: DataFrame) -> DataFrame:
         first = F.try_element_at(F.filter(read, lambda x: x["amount"].between(F.expr("0.01BD"), F.expr("999999.99BD"))), F.lit(1))
         sure = F.expr(f"{1 - 0.05 * rank + (0.1 if rank < 6 else 0):.2f}BD") + F.when(first["pence"], F.expr("0.05BD")).otherwise(F.expr("0.00BD"))
         parts.append(F.when(first.isNotNull(), F.struct(sure.cast("decimal(4,2)").alias("confidence"), F.lit(-rank).alias("_r"), first["amount"].alias("amount"))))
-    best = F.array_max(F.array(*parts))
+    best = F.coalesce(*parts)  # no later rule has a higher confidence than an earlier one
     return able.select("doc_id", "line_number", best.alias("b"), F.col("text").rlike(NEGATIVE).alias("negative")).where("b IS NOT NULL").select("doc_id", "line_number", "b.amount", (-F.col("b._r")).alias("rank"), "b.confidence", "negative")
 
 
