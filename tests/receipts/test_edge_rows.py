@@ -372,3 +372,12 @@ def test_stated_discounts_and_readings(spark):
     heads = spark.createDataFrame([(1, 1, "ACME LTD", 0.5), (2, 1, "ACME LTD", None)], "doc_id int, line_number int, text string, confidence double")
     low, plain = (r.score for r in X.score_suppliers(heads).orderBy("doc_id").collect())
     assert plain - low == Decimal("0.060")
+
+
+def test_a_date_is_read_once_and_only_by_formats_of_its_shape(spark):
+    lines = spark.createDataFrame([(1, 1, "Date: 03/04/2021 or MAY 3RD, 2021")], "doc_id long, line_number long, text string")
+    plan = D.dates_in(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 2 * 7 * len(D.RULES)  # once per rule, and not again in each format and in a filter
+    texts = ["1-2-2021", "01022021", "May 3 2021", "2021-05-03T10:11:12", "1.1.2101", "12/11/1899", "3.4.69", "3.4.68", "30 Feb 2021", "Jan 021999", "20231399"]
+    days = spark.createDataFrame([(t,) for t in texts], "t string").select(D.parsed(F.col("t")).cast("string")).collect()
+    assert [d[0] for d in days] == ["2021-02-01", "2021-02-01", "2021-05-03", "2021-05-03", None, None, "1969-04-03", "2068-04-03", None, "1999-01-02", None]
