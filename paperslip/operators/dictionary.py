@@ -122,7 +122,7 @@ def names_in(lines: DataFrame, text: str, known: DataFrame) -> DataFrame:
 
 def first_known(lines: DataFrame, names: DataFrame) -> DataFrame:
     """(doc_id, line_number, name): the first line with a known name as whole words, in any case, and the longest of its names; the smaller of equals."""
-    known = names.select(F.upper(F.trim("name")).alias("name"), F.trim("name").alias("written"))
+    known = names.select(F.upper(F.trim("name")).alias("name"), F.trim("name").alias("written")).distinct()  # a name given often would meet each line as often
     hit = names_in(lines.select("doc_id", "line_number", F.upper("text").alias("_t")), "_t", known).where(whole_words("_t", "name"))
     order = F.struct("line_number", -F.length("name"), "name", "written")
     return hit.groupBy("doc_id").agg(F.min_by(F.struct("line_number", F.col("written").alias("name")), order).alias("b")).select("doc_id", "b.*")

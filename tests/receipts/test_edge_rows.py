@@ -402,3 +402,18 @@ def test_features_are_small_methods_and_classes_are_computed_once(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     sizes = [s.apply(i)._3().maxMethodCodeSize() for s in stages for i in range(s.size())]
     assert sizes and all(0 < size < 8000 for size in sizes)  # what the JVM compiles
+
+
+def test_a_name_given_often_meets_a_line_once(spark):
+    from paperslip.operators import dictionary
+
+    seen = []
+    whole = dictionary.names_in
+    names = spark.createDataFrame([("Supplier",)] * 50 + [("supplier",)], "name string")
+    lines = spark.createDataFrame([(1, 1, "THE SUPPLIER 7")], "doc_id int, line_number int, text string")
+    try:
+        dictionary.names_in = lambda *a: seen.append(whole(*a)) or seen[-1]
+        assert [tuple(r) for r in dictionary.first_known(lines, names).collect()] == [(1, 1, "Supplier")]
+    finally:
+        dictionary.names_in = whole
+    assert seen[0].count() == 2  # both spellings, not 51 rows
