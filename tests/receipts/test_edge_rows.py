@@ -417,3 +417,11 @@ def test_a_name_given_often_meets_a_line_once(spark):
     finally:
         dictionary.names_in = whole
     assert seen[0].count() == 2  # both spellings, not 51 rows
+
+
+def test_tokens_of_a_vat_line_are_typed_once(spark):
+    lines = spark.createDataFrame([(1, 1, "VAT @ 20% £1.00"), (1, 2, None)], "doc_id int, line_number int, text string")
+    found = V.parse_vat_lines(lines)
+    assert rows(found, "line_number", "layout", "vat") == [(1, "word_at_rate", Decimal("1.00"))]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(V.TOKENS[1][1]) == 1
