@@ -3,7 +3,8 @@
 A set's shingle hashes fall into 256 buckets; a bucket's register holds, of its smallest hash, the number of
 leading zeros (6 bits) and the 10 bits behind the leading one. Bands of registers are keys. In a key's
 rows, in order of set size, each row is compared with the one before it and with the first; keys whose members
-these links have connected are done, and in the others all rows of different components are compared.
+these links have connected are done. In the others each row is compared with the one whose parities are nearest to those of
+all, and where that leaves components apart, all rows of different components are compared.
 A pair is compared by its registers first: the share of equal ones, less those that are equal by chance,
 must be within six deviations of the bar. Parities of the shingles in 1,024 cells, which differ in no more cells
 than the sets do in shingles, drop more of what lies below the bar without loss. Then whole sets decide.
@@ -246,8 +247,21 @@ def _neighbours(least: tuple[int, int], rows_too: bool):
     return run
 
 
-def _crowd(least: tuple[int, int]):
-    """From rows (band, label, n, name, regs) by band and n: pairs of different labels that may reach `least`."""
+def _crowd(least: tuple[int, int], centre: bool = False):
+    """From rows (band, label, n, name, regs) by band and n: pairs of different labels that may reach `least`; with `centre` those of a key's centre only."""
+
+    def around(label, n, regs):
+        """(left, right) in one key: the row nearest to the majority of each cell's parities against all of other labels."""
+        bits = np.ascontiguousarray(regs[:, BUCKETS:]).view(np.uint8)
+        votes = np.zeros(CELLS, np.int64)
+        for a in range(0, len(bits), 4096):
+            votes += np.unpackbits(bits[a : a + 4096], axis=1).sum(0, dtype=np.int64)
+        i = int(np.argmin(np.bitwise_count(bits ^ np.packbits(votes * 2 > len(bits))).sum(1, dtype=np.int64)))
+        to = np.flatnonzero(label != label[i])
+        for a in range(0, len(to), PAIRS):
+            some = to[a : a + PAIRS]
+            some = some[may_reach(regs[i : i + 1], regs[some], n[i : i + 1], n[some], least)]
+            yield np.full(len(some), i), some
 
     def large(label, n, regs):
         """(left, right) in one key, row by row: each row of a label but the most frequent one against all others."""
@@ -288,10 +302,11 @@ def _crowd(least: tuple[int, int]):
         number = names.dictionary_encode().indices.to_numpy().astype(np.int64)
         start = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
         size = np.diff(np.append(start, len(band)))
-        few = size <= SMALL
-        found = list(small(start[few], size[few], label, n, regs))
+        few = (size <= SMALL) & (not centre)
+        found = [] if centre else list(small(start[few], size[few], label, n, regs))
+        within = around if centre else large
         for a, m in zip(start[~few].tolist(), size[~few].tolist(), strict=True):
-            found += [(x + a, y + a) for x, y in large(np.unique(label[a : a + m], return_inverse=True)[1], n[a : a + m], regs[a : a + m])]
+            found += [(x + a, y + a) for x, y in within(np.unique(label[a : a + m], return_inverse=True)[1], n[a : a + m], regs[a : a + m])]
         if found:
             x, y = (np.concatenate(c) for c in zip(*found, strict=True))
             low, high = np.minimum(number[x], number[y]), np.maximum(number[x], number[y])
@@ -393,14 +408,20 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size
     label = written(connected(links).toDF("name", "label"), "label")
     crowd = met.where("dst IS NULL AND NOT edge").select("band", "n", F.col("src").alias("name"))
     crowd = written(crowd.join(label, "name", "left").select("band", "n", "name", F.coalesce("label", "name").alias("label")), "crowd")
-    # up to three rows have all been compared with each other by now
-    apart = crowd.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b AND size > 3").select("band", "size")
-    left = crowd.join(apart, "band").join(classes.select("name", "regs"), "name").select("band", "label", "n", "name", "regs", "size")
-    left = written(left, "left")
     shape = "band long, label binary, n int, name binary, regs binary"
-    dealt = left.where(F.col("size") <= SPLIT).drop("size").unionByName(left.where(F.col("size") > SPLIT).drop("size").mapInArrow(_again, shape))
-    more = dealt.repartition("band").sortWithinPartitions("band", "n", "name").mapInArrow(_crowd(least), "src binary, dst binary")
-    links = links.union(checked(more, compare=False))
+    for centre in (True, False):
+        # up to three rows have all been compared with each other by now; few rows are compared at once
+        apart = crowd.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("size")).where(f"a <> b AND size > {SMALL if centre else 3}").select("band", "size")
+        left = crowd.join(apart, "band").join(classes.select("name", "regs"), "name").select("band", "label", "n", "name", "regs", "size")
+        left = written(left, "left")
+        if centre and left.isEmpty():
+            continue
+        dealt = left.where(F.col("size") <= SPLIT).drop("size").unionByName(left.where(F.col("size") > SPLIT).drop("size").mapInArrow(_again, shape))
+        more = dealt.repartition("band").sortWithinPartitions("band", "n", "name").mapInArrow(_crowd(least, centre), "src binary, dst binary")
+        links = links.union(checked(more, compare=False))
+        if centre:
+            label = written(connected(links).toDF("name", "label"), "label")
+            crowd = written(crowd.drop("label").join(label, "name", "left").select("band", "n", "name", F.coalesce("label", "name").alias("label")), "crowd")
 
     label = connected(links).toDF("name", "label")
     label = firsts.select("name", "least_key").join(label, "name", "left").select("name", F.coalesce("label", "name").alias("label"), "least_key")

@@ -94,6 +94,22 @@ def test_crowds_near_the_bar(spark, words, changes, split, monkeypatch):
     same(run_11(spark, rows, 6), want)
 
 
+def test_the_centre_of_a_crowd_makes_a_pair_a_row():
+    """A key's rows against its centre: a pair a row at most, where all pairs that may reach the bar are many more."""
+    import pyarrow as pa
+
+    rnd = random.Random(8)
+    sets = [hyperminhash.overlap.shingles(*hyperminhash.flat(pa.chunked_array([pa.array([x])])), 3)[0] for x in crowd(rnd, 80, 300, 3)]
+    hashes, at = np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets]))
+    order = np.argsort(np.diff(at), kind="stable")
+    regs = np.hstack([hyperminhash.registers(hashes, at), hyperminhash.parities(hashes, at).view(np.uint16)])[order]
+    names = [b"%016d" % i for i in range(80)]
+    table = pa.table({"band": pa.array(np.ones(80, np.int64)), "label": pa.array(names, pa.binary()), "n": pa.array(np.diff(at)[order].astype(np.int32)), "name": pa.array(names, pa.binary()), "regs": pa.array([r.tobytes() for r in regs], pa.binary())})
+    pairs = [sum(b.num_rows for b in hyperminhash._crowd((85, 100), centre)(iter(table.to_batches()))) for centre in (True, False)]
+    assert 0 < pairs[0] < 80
+    assert pairs[1] > 20 * 80
+
+
 def test_registers_and_estimates():
     rnd = np.random.default_rng(1)
     pool = np.unique(rnd.integers(0, 2**64, 4000, dtype=np.uint64))
