@@ -214,6 +214,9 @@ def _pairs(least: tuple[int, int], crowded: bool, centre: bool = False):
             for to in (np.maximum(many - 1, top[many]), top[many]):
                 ok = _can(some(x[1:], to), some(x[1:], many), least)
                 yield links(x[1][to[ok]], x[1][many[ok]])
+            # keys whose rows have one label are done
+            mixed = np.logical_or.reduceat(np.append(False, (key[1:] == key[:-1]) & (x[4][1:] != x[4][:-1])), first)
+            many = many[np.repeat(mixed, sizes)[many]]
             yield pa.RecordBatch.from_arrays([pa.array(x[1][many]), pa.nulls(len(many), pa.int64()), pa.array(key[many]), pa.array(x[2][many].astype(np.int32)), pa.array(x[3][many].astype(np.int32))], names=names)
 
     def run(batches):

@@ -163,3 +163,16 @@ def test_near_duplicates_against_brute_force(spark, sf):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()} == {k for k, c in want.items() if k == c}
     real = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     assert {r.doc_id: r.component for r in overlap.components(real).collect()} == brute_components([tuple(r) for r in real.collect()])
+
+
+def test_crowded_keys_of_one_label_are_done():
+    import numpy as np
+    import pyarrow as pa
+
+    from paperslip.llm import overlap
+
+    n = 2 * overlap.DIRECT
+    for labels, rows in ((np.ones(n, np.int64), 0), (np.arange(n), n)):
+        columns = [np.full(n, 7), np.arange(n), np.full(n, 100, np.int32), np.zeros(n, np.int32), labels]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "class", "n", "place", "label"])
+        assert sum(b.column(1).null_count for b in overlap._pairs((4, 5), False)(iter([batch]))) == rows
