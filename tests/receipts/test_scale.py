@@ -28,3 +28,7 @@ def test_tokens_meet_a_document_as_one_row(spark):
     found = R.token_confidence(fields, lines)
     assert optimized(found).count("Join ") == 1
     assert {(r.doc_id, r.token): float(r.confidence) for r in found.collect()} == {(1, "5.00"): 0.9, (1, "gbp"): 0.5, (2, "x"): 1.0}
+
+
+def test_recognition_json_is_made_from_lines(spark, sf):
+    assert optimized(io_queries.s2_explode_ocr(spark, sf)).count("collect_list(") == 2  # of items and of lines
