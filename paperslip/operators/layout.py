@@ -6,6 +6,7 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,74 +14,151 @@ from pyspark.sql import types as T
 ADDRESS_WORDS = r"(?i)street|road|avenue|lane|suite|receipt|date"
 
 
+def _gathered(words: DataFrame, columns: list[str]) -> DataFrame:
+    return words.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("ws"))  # one document's words
+
+
+def _flat(ws: pa.ListArray) -> tuple[np.ndarray, pa.StructArray]:
+    """The words of a batch's documents, and for each the place of its document."""
+    ends = ws.offsets.to_numpy()
+    return np.repeat(np.arange(len(ws)), np.diff(ends)), ws.flatten()
+
+
+def _numbers(flat: pa.StructArray, name: str) -> np.ndarray:
+    """A column of whole numbers; nulls stand first, as in Spark's order."""
+    return flat.field(name).cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+
+
+def _ordered(flat: pa.StructArray, *keys: np.ndarray) -> np.ndarray:
+    """Places by the keys, the first of them first; what is equal in all stands by its text."""
+    order = np.lexsort(keys[::-1])
+    same = np.ones(max(len(order) - 1, 0), bool)
+    for key in keys:
+        same &= key[order[1:]] == key[order[:-1]]
+    if same.any():
+        text = np.unique(np.array(flat.field("text").fill_null("").to_pylist(), object), return_inverse=True)[1]
+        order = np.lexsort((text, *keys[::-1]))
+    return order
+
+
+def _joined(text: pa.Array, starts: np.ndarray) -> pa.Array:
+    """The texts from each start to the next, with blanks between; nulls are left out."""
+    there = text.is_valid().to_numpy(zero_copy_only=False)
+    at = np.concatenate([[0], np.cumsum(there)])[np.append(starts, len(text))]
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), text.drop_null()), " ")
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
 def reconstruct_lines(words: DataFrame, tolerance: float = 0.5) -> DataFrame:
     """(doc_id, line_number, text): words in reading order, per page of a document.
 
     Words by the height of their middle join the open line whose mean middle is nearest, within
-    `tolerance` x its mean height; a fold that depends on its own order, so it runs per document.
+    `tolerance` x its mean height; a fold that depends on its own order, so it runs per document. Middles only grow
+    down a page, so a line that a word lies too far below is closed: no later word reaches it.
     """
-
-    placed = F.struct("page", (F.col("y0") + F.col("y1")).alias("cy"), (F.col("x0") + F.col("x1")).alias("cx"), "word_id", (F.col("y1") - F.col("y0")).alias("h"), "text")
-    pages = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(placed)).alias("ws"))  # one document's words
-
-    def fold(ws: list[dict]) -> list[str]:
-        lines: list[list] = []  # page, mean middle, mean height, [(x, text)]
-        for w in ws:
-            best, at = None, 0
-            for i in range(len(lines) - 1, -1, -1):
-                line = lines[i]
-                if line[0] != w["page"]:
-                    break
-                away = abs(w["cy"] - line[1])
-                if away <= 2 * tolerance * line[2] and (best is None or away <= best):
-                    best, at = away, i
-            if best is None:
-                lines.append([w["page"], w["cy"], w["h"], [(w["cx"], w["text"])]])
+    placed = ["page", (F.col("y0") + F.col("y1")).alias("cy"), (F.col("x0") + F.col("x1")).alias("cx"), "word_id", (F.col("y1") - F.col("y0")).alias("h"), "text"]
+
+    def fold(doc: list[int], page: list[int], cy: list[int], h: list[int]) -> tuple[list[int], list[float]]:
+        number, middles, at, heights, counts = [], [], None, [], []
+        open_lines: list[int] = []
+        for d, p, y, high in zip(doc, page, cy, h, strict=True):
+            if at != (d, p):
+                at, open_lines = (d, p), []
+            best = away = -1
+            closed = False
+            for i in open_lines:
+                apart = abs(y - middles[i])
+                if apart > 2 * tolerance * heights[i]:
+                    closed = True
+                elif best < 0 or apart < away:
+                    best, away = i, apart
+            if closed:
+                open_lines = [i for i in open_lines if abs(y - middles[i]) <= 2 * tolerance * heights[i]]
+            if best < 0:
+                best = len(middles)
+                middles.append(y)
+                heights.append(high)
+                counts.append(1)
+                open_lines.append(best)
             else:
-                line, n = lines[at], len(lines[at][3])
-                line[1], line[2] = (line[1] * n + w["cy"]) / (n + 1), (line[2] * n + w["h"]) / (n + 1)
-                line[3].append((w["cx"], w["text"]))
-        lines.sort(key=lambda line: (line[0], line[1]))
-        return [" ".join(t for _, t in sorted(line[3], key=lambda x: x[0])) for line in lines]
+                n = counts[best]
+                middles[best], heights[best], counts[best] = (middles[best] * n + y) / (n + 1), (heights[best] * n + high) / (n + 1), n + 1
+            number.append(best)
+        return number, middles
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fold(ws) for ws in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=["doc_id", "lines"])
-
-    found = pages.mapInArrow(run, "doc_id long, lines array<string>")
-    return found.select("doc_id", F.posexplode("lines").alias("k", "text")).select("doc_id", (F.col("k") + 1).cast("long").alias("line_number"), "text")
+            doc, flat = _flat(batch.column(1))
+            if not len(flat):
+                continue
+            page, cy, cx, word_id, h = (_numbers(flat, c) for c in ("page", "cy", "cx", "word_id", "h"))
+            order = _ordered(flat, doc, page, cy, cx, word_id, h)
+            doc, page, cy, cx, h = (x[order] for x in (doc, page, cy, cx, h))
+            number, middles = (np.array(x) for x in fold(*(x.tolist() for x in (doc, page, cy, h))))
+            middle = middles[number]
+            place = np.lexsort((cx, number, middle, page, doc))
+            starts = _starts(doc[place], number[place])
+            owner = doc[place][starts]
+            first = _starts(owner)
+            k = np.arange(len(starts)) - np.repeat(first, np.diff(np.append(first, len(starts)))) + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(k, pa.int64()), _joined(flat.field("text").take(pa.array(order[place])), starts)], names=["doc_id", "line_number", "text"])
+
+    return _gathered(words, placed).mapInArrow(run, "doc_id long, line_number long, text string")
 
 
 def group_words(words: DataFrame, tolerance: int = 4) -> DataFrame:
     """(doc_id, line_number, text, x0, y0, x1, y1): a word joins the line if its top is within `tolerance` of that of the line's first word.
 
     The anchor is the first word, not the neighbour, so this is a fold over the sorted words of a page; it
-    jumps from anchor to anchor by binary search.
+    jumps from anchor to anchor by binary search. Lines leave whole: their words are not dealt out again.
     """
-    ordered = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "y0", "x0", "word_id", "text", "x1", "y1"))).alias("ws"))  # one document's words
+    kinds = {f.name: f.dataType for f in words.schema.fields}
+    sides = ["x0", "y0", "x1", "y1"]
+    schema = T.StructType([T.StructField("doc_id", kinds["doc_id"]), T.StructField("line_number", T.LongType()), T.StructField("text", T.StringType()), *(T.StructField(c, kinds[c]) for c in sides)])
 
     def run(batches):
         for batch in batches:
-            ws = batch.column(1)
-            ends = ws.offsets.to_numpy() - ws.offsets[0].as_py()
-            flat = ws.flatten()
-            page, top = (flat.field(c).fill_null(0).to_pylist() for c in ("page", "y0"))
-            number = np.empty(len(flat), np.int32)
-            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                n = 0
+            doc, flat = _flat(batch.column(1))
+            if not len(flat):
+                continue
+            x, word_id = _numbers(flat, "x0"), _numbers(flat, "word_id")
+            page, top = (flat.field(c).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False) for c in ("page", "y0"))
+            order = np.lexsort((top, page, doc))
+            pages = _starts(doc[order], page[order])
+            tops = top[order].tolist()
+            number = np.empty(len(flat), np.int64)
+            n, before = 0, -1
+            for a, b, d in zip(pages.tolist(), [*pages[1:].tolist(), len(tops)], doc[order][pages].tolist(), strict=True):
+                if d != before:
+                    n, before = 0, d
                 while a < b:
                     n += 1
-                    to = bisect_right(page, page[a], a, b)
-                    nxt = bisect_right(top, top[a] + tolerance, a, to)
-                    number[a:nxt] = n
-                    a = nxt
-            lines = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(number))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ws, lines], names=["doc_id", "ws", "n"])
-
-    found = ordered.mapInArrow(run, T.StructType([*ordered.schema.fields, T.StructField("n", T.ArrayType(T.IntegerType()))]))
-    numbered = found.select("doc_id", F.inline(F.arrays_zip("ws", "n")))
-    grouped = numbered.groupBy("doc_id", F.col("n").cast("long").alias("line_number")).agg(F.array_sort(F.collect_list(F.struct("ws.x0", "ws.word_id", "ws.text"))).alias("t"), F.min("ws.x0").alias("x0"), F.min("ws.y0").alias("y0"), F.max("ws.x1").alias("x1"), F.max("ws.y1").alias("y1"))
-    return grouped.select("doc_id", "line_number", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"), "x0", "y0", "x1", "y1")
+                    to = bisect_right(tops, tops[a] + tolerance, a, b)
+                    number[a:to] = n
+                    a = to
+            line = np.empty(len(flat), np.int64)
+            line[order] = number
+            place = _ordered(flat, doc, line, x, word_id)
+            starts = _starts(doc[place], line[place])
+            ends = np.append(starts[1:], len(place))
+            out = [batch.column(0).take(pa.array(doc[place][starts])), pa.array(line[place][starts]), _joined(flat.field("text").take(pa.array(place)), starts)]
+            for side in sides:
+                column = flat.field(side).take(pa.array(place))
+                low = side in ("x0", "y0")
+                least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+                values = column.cast(pa.int64()).fill_null(most if low else least).to_numpy(zero_copy_only=False)
+                some = np.diff(np.concatenate([[0], np.cumsum(column.is_valid().to_numpy(zero_copy_only=False))])[np.append(starts, ends[-1])]) > 0
+                side_of = (np.minimum if low else np.maximum).reduceat(values, starts)
+                out.append(pa.array(np.where(some, side_of, 0), pa.int64(), mask=~some).cast(column.type))
+            yield pa.RecordBatch.from_arrays(out, names=schema.names)
+
+    return _gathered(words, ["page", "y0", "x0", "word_id", "text", "x1", "y1"]).mapInArrow(run, schema)
 
 
 def tallest_text(words: DataFrame, excluded: str = r"(?i)^(?:receipt|total|date:?)$") -> DataFrame:

@@ -30,5 +30,20 @@ def test_tokens_meet_a_document_as_one_row(spark):
     assert {(r.doc_id, r.token): float(r.confidence) for r in found.collect()} == {(1, "5.00"): 0.9, (1, "gbp"): 0.5, (2, "x"): 1.0}
 
 
+def test_grouped_words_are_dealt_out_once(spark):
+    words = spark.createDataFrame([(1, 1, 2, "b", 30, 1, 40, 9), (1, 1, 1, "a", 10, 0, 20, 8), (1, 1, 3, None, None, 3, 50, 9), (1, 1, 4, "c", 5, 20, 9, None), (2, 1, 1, "d", 1, 1, 2, 2)], WORDS)
+    found = Y.group_words(words)
+    assert optimized(found).count("Aggregate ") == 1
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "a b", 10, 0, 50, 9), (1, 2, "c", 5, 20, 9, None), (2, 1, "d", 1, 1, 2, 2)]
+
+
+def test_a_page_of_many_lines(spark):
+    words = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(1).alias("page"), F.col("id").alias("word_id"), F.concat(F.lit("w"), "id").alias("text"), F.lit(0).alias("x0"), (F.col("id") * 20).cast("int").alias("y0"), F.lit(9).alias("x1"), (F.col("id") * 20 + 10).cast("int").alias("y1"))
+    began = time.perf_counter()
+    rows = Y.reconstruct_lines(words).orderBy("line_number").collect()
+    assert time.perf_counter() - began < 10  # a minute and more by looking into all lines of the page for each word
+    assert [r.text for r in rows] == [f"w{i}" for i in range(20_000)]
+
+
 def test_recognition_json_is_made_from_lines(spark, sf):
     assert optimized(io_queries.s2_explode_ocr(spark, sf)).count("collect_list(") == 2  # of items and of lines
