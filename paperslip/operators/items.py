@@ -62,9 +62,9 @@ def normalize_items(records: DataFrame, column: str = "record") -> DataFrame:
     each = records.select("doc_id", F.posexplode(F.try_variant_get(v, "$.items", "array<variant>")).alias("at", "v"))
     x = F.col("v")
     one = F.when(_is(x, "OBJECT"), _from_object(x)).when(_is(x, "ARRAY"), _from_list(x)).when(_is(x, "STRING"), F.struct(_string(x).alias("name"), F.lit("1").alias("quantity"), F.lit(None).cast(_AMOUNT).alias("total_price")))
-    rows = each.select("doc_id", (F.col("at") + 1).alias("item_no"), one.alias("i")).select("doc_id", "item_no", "i.*")
-    kept = rows.where((F.length("name") > 1) & ~F.lower("name").isin(NO_ITEMS))
-    return kept.select("doc_id", "item_no", "name", F.coalesce(F.col("quantity").try_cast("decimal(18,2)").try_cast("int"), F.lit(1)).alias("quantity"), "total_price")
+    kept = F.filter(F.array(one), lambda i: (F.length(i["name"]) > 1) & ~F.lower(i["name"]).isin(NO_ITEMS))  # a filter behind it would be moved down and read every item again, once per column
+    rows = each.select("doc_id", (F.col("at") + 1).alias("item_no"), F.inline(kept))
+    return rows.select("doc_id", "item_no", "name", F.coalesce(F.col("quantity").try_cast("decimal(18,2)").try_cast("int"), F.lit(1)).alias("quantity"), "total_price")
 
 
 def clean_records(records: DataFrame, column: str = "record") -> DataFrame:
@@ -149,9 +149,9 @@ def recover_items_flat(texts: DataFrame) -> DataFrame:
     # numbers first and all names behind, or all names and then all numbers: one run of both
     apart = (F.size("r") == 2) & (named == 0)
     whole = F.array(fresh(F.flatten(F.transform("r", lambda x: x["words"])), F.flatten(F.transform("r", lambda x: x["numbers"]))))
-    rows = rows.select("doc_id", F.posexplode(F.when(apart, whole).otherwise(F.filter("r", lambda x: F.size(x["numbers"]) > 0))).alias("at", "x"))
-    rows = rows.select("doc_id", "at", F.col("x.words").alias("words"), triplets(F.col("x.numbers")).alias("i")).where("size(i) > 0")
-    names = shared_out(F.col("words"), F.size("i"))
-    each = rows.select("doc_id", F.col("at").alias("_run"), F.posexplode(F.arrays_zip(names.alias("name"), F.col("i").alias("item"))).alias("_k", "z"))
-    gathered = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_run", "_k", "z"))).alias("all"))  # one document's items
-    return gathered.select("doc_id", F.posexplode("all").alias("k", "y")).select("doc_id", (F.col("k") + 1).alias("item_no"), F.col("y.z.name").alias("name"), F.col("y.z.item.quantity").alias("quantity"), F.col("y.z.item.unit_price").alias("unit_price"), F.col("y.z.item.total_price").alias("total_price"))
+    used = F.when(apart, whole).otherwise(F.filter("r", lambda x: F.size(x["numbers"]) > 0))
+    priced = F.transform(used, lambda x: F.struct(x["words"].alias("words"), triplets(x["numbers"]).alias("i")))
+    priced = F.filter(priced, lambda x: F.size(x["i"]) > 0)
+    each = F.flatten(F.transform(priced, lambda x: F.arrays_zip(shared_out(x["words"], F.size(x["i"])).alias("name"), x["i"].alias("item"))))
+    found = rows.select("doc_id", F.posexplode(each).alias("k", "y"))  # items leave their document once
+    return found.select("doc_id", (F.col("k") + 1).alias("item_no"), "y.name", "y.item").select("doc_id", "item_no", "name", "item.*")

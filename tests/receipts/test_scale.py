@@ -45,5 +45,19 @@ def test_a_page_of_many_lines(spark):
     assert [r.text for r in rows] == [f"w{i}" for i in range(20_000)]
 
 
+def test_each_item_is_read_once(spark):
+    records = spark.createDataFrame([(1, '{"items": [{"name": "Tea", "qty": 2, "price": 3}, "Total", ["Cake", 4.5]]}')], "doc_id long, record string")
+    found = I.normalize_items(records)
+    assert optimized(found).count("$.description[0]") <= 2  # once and by nullif
+    assert sorted((r.item_no, r.name, r.quantity, float(r.total_price)) for r in found.collect()) == [(1, "Tea", 2, 3.0), (3, "Cake", 1, 4.5)]
+
+
+def test_recovered_items_are_not_gathered_again(spark):
+    texts = spark.createDataFrame([(1, "ITEM QTY PRICE Tea 2 1.50 3.00 Cake 1 4.00 4.00 TOTAL 7.00"), (2, "ITEM none TOTAL")], "doc_id long, text string")
+    found = I.recover_items_flat(texts)
+    assert "Aggregate" not in optimized(found)
+    assert sorted((r.doc_id, r.item_no, r.name, r.quantity, float(r.total_price)) for r in found.collect()) == [(1, 1, "Tea", 2, 3.0), (1, 2, "Cake", 1, 4.0)]
+
+
 def test_recognition_json_is_made_from_lines(spark, sf):
     assert optimized(io_queries.s2_explode_ocr(spark, sf)).count("collect_list(") == 2  # of items and of lines
