@@ -30,6 +30,14 @@ def test_tokens_meet_a_document_as_one_row(spark):
     assert {(r.doc_id, r.token): float(r.confidence) for r in found.collect()} == {(1, "5.00"): 0.9, (1, "gbp"): 0.5, (2, "x"): 1.0}
 
 
+def test_values_meet_a_document_as_one_row(spark):
+    values = spark.createDataFrame([(1, "TOTAL"), (1, "2024-03-01"), (2, "none"), (1, None)], "doc_id long, value string")
+    lines = spark.createDataFrame([(1, 3, "total"), (1, 2, "subtotal 01/03/2024"), (1, None, "total")], "doc_id long, line_number long, text string")
+    found = D.locate_source_line(values, lines)
+    assert optimized(found).count("Join ") == 1
+    assert {(r.doc_id, r.value): r.line_number for r in found.collect()} == {(1, "TOTAL"): 2, (1, "2024-03-01"): 2, (2, "none"): None, (1, None): None}
+
+
 def test_grouped_words_are_dealt_out_once(spark):
     words = spark.createDataFrame([(1, 1, 2, "b", 30, 1, 40, 9), (1, 1, 1, "a", 10, 0, 20, 8), (1, 1, 3, None, None, 3, 50, 9), (1, 1, 4, "c", 5, 20, 9, None), (2, 1, 1, "d", 1, 1, 2, 2)], WORDS)
     found = Y.group_words(words)
