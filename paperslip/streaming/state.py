@@ -37,7 +37,7 @@ class DocumentLines(StatefulProcessor):
         self.state = handle.getValueState("document", "numbers array<bigint>, texts array<string>, last bigint, until bigint, done boolean")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        numbers, texts, last, until, done = self.state.get() if self.state.exists() else ([], [], None, None, False)
+        numbers, texts, last, until, done = self.state.get() or ([], [], None, None, False)  # one call to the store
         found, before = dict(zip(numbers or [], texts or [], strict=True)), until
         for r in rows:
             until = max(until or 0, r.at + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1)

@@ -1,7 +1,9 @@
 """What keeps receipt queries in proportion to their input: steps that are done once, and documents that leave whole."""
 
+import re
 import time
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from paperslip.operators import dates as D
@@ -10,6 +12,7 @@ from paperslip.operators import items as I
 from paperslip.operators import layout as Y
 from paperslip.operators import records as R
 from paperslip.plans import fixtures, io_queries
+from paperslip.streaming.state import DocumentLines
 
 WORDS = "doc_id long, page int, word_id long, text string, x0 int, y0 int, x1 int, y1 int"
 
@@ -74,3 +77,30 @@ def test_recovered_items_are_not_gathered_again(spark):
 
 def test_recognition_json_is_made_from_lines(spark, sf):
     assert optimized(io_queries.s2_explode_ocr(spark, sf)).count("collect_list(") == 2  # of items and of lines
+
+
+def test_a_document_asks_the_store_once():
+    class Store:
+        asked = 0
+
+        def exists(self):
+            self.asked += 1
+            return False
+
+        def get(self):
+            self.asked += 1
+
+        def update(self, value):
+            self.value = value
+
+        def registerTimer(self, at):
+            self.timer = at
+
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    store, lines = Store(), DocumentLines("^END", 5)
+    lines.handle = lines.state = store
+    lines.is_last = re.compile("^END")
+    assert list(lines.handleInputRows((1,), iter([Row(line_number=2, text="x", at=7)]), store)) == []
+    assert store.asked == 1 and store.timer == 12 and store.value == ([2], ["x"], None, 12, False)
