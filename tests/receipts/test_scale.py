@@ -85,17 +85,15 @@ def test_a_document_asks_the_store_once():
 
         def exists(self):
             self.asked += 1
-            return False
+            return True
 
         def get(self):
             self.asked += 1
+            return [3], ["END"], 3, 12, False
 
         def update(self, value):
             self.value = value
 
-        def registerTimer(self, at):
-            self.timer = at
-
         def getCurrentWatermarkInMs(self):
             return 0
 
@@ -103,4 +101,4 @@ def test_a_document_asks_the_store_once():
     lines.handle = lines.state = store
     lines.is_last = re.compile("^END")
     assert list(lines.handleInputRows((1,), iter([Row(line_number=2, text="x", at=7)]), store)) == []
-    assert store.asked == 1 and store.timer == 12 and store.value == ([2], ["x"], None, 12, False)
+    assert store.asked == 1 and store.value == ([3, 2], ["END", "x"], 3, 12, False)
