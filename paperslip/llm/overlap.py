@@ -4,7 +4,8 @@ Given links (of fingerprints) are checked by the whole sets first. For the rest,
 in one order, rare ones first. Two sets of similarity t share one of the first n - ceil(t n) + 1 shingles of
 each, so documents of different components meet under those; sizes, places in the order and parity sketches
 drop pairs that cannot reach t, and the rest are compared by their whole sets. The order decides only how
-many candidates there are. Equal sets are one class from the start. In a crowded key first a chain and a
+many candidates there are. It is learned from a fixed share of the texts, so that what is common is known as
+well in many texts as in few. Equal sets are one class from the start. In a crowded key first a chain and a
 star are compared, then the member nearest to all with each of the others, then the pairs that these have
 not connected.
 """
@@ -104,9 +105,8 @@ def _sketched(size: int):
     return run
 
 
-def _keyed(size: int, least: tuple[int, int], common: tuple[np.ndarray, np.ndarray]):
-    """(shingle, class, n, place, label) of the first shingles of every set, those in `common` (sorted by hash, with ranks) last."""
-    hashed, rank = common
+def _keyed(size: int, least: tuple[int, int], common: np.ndarray):
+    """(shingle, class, n, place, label) of the first shingles of every set, in the order of their levels in the table `common`."""
 
     def run(batches):
         for block in gathered(batches, "text", BLOCK):
@@ -115,10 +115,7 @@ def _keyed(size: int, least: tuple[int, int], common: tuple[np.ndarray, np.ndarr
             if not len(n):
                 continue
             doc = np.repeat(np.arange(len(n)), n)
-            level = np.zeros(len(hashes), np.int64)
-            if len(hashed):
-                i = np.minimum(np.searchsorted(hashed, hashes), len(hashed) - 1)
-                level = np.where(hashed[i] == hashes, rank[i], 0)
+            level = common[hashes.view(np.int64) % len(common)] if len(common) else np.zeros(len(hashes), np.uint8)
             hashes = hashes[np.lexsort((hashes, level, doc))]
             count = n - _needed(n, least) + 1
             here = spread(at[:-1], count)
@@ -274,22 +271,27 @@ def _verified(least: tuple[int, int]):
     return run
 
 
-def _common(texts: DataFrame, size: int, sample_docs: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, ranks) of at most `most` shingles that three different texts or more of a sample have, by hash; a higher rank is more common."""
-    share = max(texts.count() // sample_docs, 1)
+def _common(texts: DataFrame, size: int, sample_docs: int, places: int) -> np.ndarray:
+    """A table of `places` levels, by hash: higher ones for what more texts of a sample have, 0 for what fewer than three have.
+
+    The sample has a quarter of the texts, or `sample_docs` if these are more. Shingles of one place share
+    the highest of their levels, so the table stays as large as it is.
+    """
+    share = max(min(texts.count() // sample_docs, 4), 1)
     rows = texts.where(F.pmod(F.xxhash64("class"), F.lit(share)) == 0)
+    table = np.zeros(places, np.uint8)
+    if not places:
+        return table
 
     def run(batches):
         for batch in _sets(size)(batches):
-            body, ends = flat(batch.column(1))
-            each = np.repeat(batch.column(0).to_numpy(), np.diff(ends) // 8)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(body.tobytes(), np.int64)), pa.array(each)], names=["shingle", "class"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(flat(batch.column(1))[0].tobytes(), np.int64))], names=["shingle"])
 
-    pairs = rows.mapInArrow(run, "shingle long, class long").distinct()
-    top = pairs.groupBy("shingle").count().where("count >= 3").orderBy(F.desc("count"), "shingle").limit(most).toArrow()  # `most` rows
-    hashes, count = top["shingle"].to_numpy().view(np.uint64), top["count"].to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order], count[order]
+    counts = rows.mapInArrow(run, "shingle long").groupBy("shingle").count().where("count >= 3")
+    level = F.least(F.round(8 * F.log2("count")), F.lit(255)).cast("int")
+    top = counts.groupBy(F.pmod("shingle", F.lit(places)).alias("place")).agg(F.max(level).alias("level")).toArrow()  # `places` rows at most
+    table[top["place"].to_numpy()] = top["level"].to_numpy()
+    return table
 
 
 def _links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, least: tuple[int, int]) -> DataFrame:
@@ -306,7 +308,7 @@ def _links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, l
     return out
 
 
-def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, least: tuple[int, int] = (4, 5), sample_docs: int = 10_000, common: int = 100_000, candidates: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, least: tuple[int, int] = (4, 5), sample_docs: int = 10_000, common: int = 1 << 22, candidates: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(key, component): the smallest key that a row reaches over pairs of texts whose shingle sets have a Jaccard similarity of `least` or more.
 
     `candidates` makes pairs (src, dst) of classes from the different texts (class, text); those that hold are
@@ -334,8 +336,11 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size
     crowd = met.where("dst IS NULL").select("shingle", F.col("src").alias("class"), "n", "place")
     # keys whose members are all connected by now are done; of the others first the centre is compared with all, then all pairs
     for centre in (True, False):
-        apart = crowd.join(label, "class").groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("shingle")
-        rows = crowd.join(apart, "shingle", "left_semi").join(label, "class").join(sketches.select("class", "wide"), "class").select("shingle", "class", "n", "place", "component", "wide")
+        members = written(crowd.join(label, "class"), "members")
+        apart = members.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("shingle")
+        left = written(members.join(apart, "shingle", "left_semi"), "apart")
+        crowd = left.drop("component")  # what is done stays so
+        rows = left.join(sketches.select("class", "wide"), "class").select("shingle", "class", "n", "place", "component", "wide")
         again = rows.repartition("shingle").sortWithinPartitions("shingle", "n", "class").mapInArrow(_pairs(least, True, centre), columns)
         more = written(again.select("src", "dst").distinct(), "pairs")
         scratch.release(spark)

@@ -176,3 +176,24 @@ def test_crowded_keys_of_one_label_are_done():
         columns = [np.full(n, 7), np.arange(n), np.full(n, 100, np.int32), np.zeros(n, np.int32), labels]
         batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "class", "n", "place", "label"])
         assert sum(b.column(1).null_count for b in overlap._pairs((4, 5), False)(iter([batch]))) == rows
+
+
+def test_shared_passages_crowd_no_more_in_more_texts(spark, monkeypatch):
+    """Passages of 40 texts each: the share of rows under crowded keys stays the same in five times the texts, and no text is lost."""
+    import random
+
+    from paperslip.llm import overlap
+
+    seen = []
+    written = overlap.written
+    monkeypatch.setattr(overlap, "written", lambda df, tag: (out := written(df, tag), seen.append(out.where("dst IS NULL").count()) if tag == "met" else None)[0])
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(n))
+    for n in (400, 2000):
+        passages = [words(12) for _ in range(n // 40)]
+        rows = [(i, f"{words(30)} {passages[i // 40]} {words(30)}") for i in range(n)]
+        rows += [(n, rows[0][1] + " more")]
+        got = overlap.components(spark.createDataFrame(rows, "doc_id long, text string"), sample_docs=100).collect()
+        assert {r.doc_id: r.component for r in got} == {i: i % n for i in range(n + 1)}
+    few, many = seen
+    assert many <= 5 * few + 200
