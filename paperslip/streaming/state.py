@@ -5,12 +5,17 @@ Both keep their state in RocksDB (`use_rocksdb`), a bounded amount per key, and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 DAY_MS = 86_400_000
 
@@ -31,8 +36,6 @@ class DocumentLines(StatefulProcessor):
         self.last, self.idle_ms = last, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        import re
-
         self.handle, self.is_last = handle, re.compile(self.last)
         self.state = handle.getValueState("document", "numbers array<bigint>, texts array<string>, last bigint, until bigint, done boolean")
 
@@ -70,15 +73,79 @@ class DocumentLines(StatefulProcessor):
             yield Row(doc_id=key[0], line_number=n, text=found[n], whole=whole)
 
 
-def assemble_documents(lines: DataFrame, *, last: str, idle_minutes: int = 10, watermark: str = "10 minutes") -> DataFrame:
+def _packed(**columns: Any) -> bytes:
+    """Columns as one value of the state store."""
+    batch, sink = pa.RecordBatch.from_pydict(columns), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(value: bytes) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) for c in pa.ipc.open_stream(value).read_all().columns]
+
+
+def shard_of_documents(last: str, idle_ms: int) -> Callable[[Any, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """What `DocumentLines` does for a document, for all documents of a shard at once.
+
+    One value per shard: of each document until when to wait and whether it has been given out, and the lines that wait.
+    """
+    is_last, never = re.compile(last).search, np.iinfo(np.int64).max
+    long, flag = (lambda: np.empty(0, np.int64)), (lambda: np.empty(0, bool))
+
+    def fold(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        docs, until, done, *held = (x for part in state.get for x in _unpacked(part)) if state.exists else (long(), long(), flag(), long(), long(), np.empty(0, object), flag())
+        watermark, new = max(state.getCurrentWatermarkMs(), 0), [] if state.hasTimedOut else list(batches)
+        if new:
+            rows = pd.concat(new)
+            doc, wait = rows["doc_id"].to_numpy(), np.maximum(rows["at"].to_numpy() + idle_ms, watermark + 1)
+            before, was_done, (docs, at) = until, done, np.unique(np.concatenate([docs, doc]), return_inverse=True)
+            until, done = np.zeros(len(docs), np.int64), np.zeros(len(docs), bool)
+            np.maximum.at(until, at, np.concatenate([before, wait]))
+            done[at[: len(was_done)]] = was_done
+            use = rows["numbered"].to_numpy() & ~done[at[len(was_done) :]]
+            text = rows["text"].to_numpy(object)[use]
+            ends = np.fromiter((t is not None and is_last(t) is not None for t in text), bool, len(text))
+            held = [np.concatenate(pair) for pair in zip(held, (doc[use], rows["line_number"].to_numpy()[use], text, ends), strict=True)]
+        order = np.lexsort((held[1], held[0]))  # the first of two rows of one number stays the first
+        doc, number = held[0][order], held[1][order]
+        order = order[np.concatenate([[True], (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])])[: len(doc)]]
+        doc, number, text, ends = (c[order] for c in held)
+        some, start, size = np.unique(doc, return_index=True, return_counts=True)
+        of = np.searchsorted(docs, doc)  # each line's document
+        whole, over = np.zeros(len(docs), bool), until <= watermark
+        if len(some):
+            end = np.minimum.reduceat(np.where(ends, number, never), start)
+            there = np.add.reduceat((number >= 1) & (number <= np.repeat(end, size)), start, dtype=np.int64)
+            whole[np.searchsorted(docs, some)] = (end < never) & (there == end)
+        out, done, wait = (whole | over)[of], done | whole, ~(whole | over)[of]
+        if out.any():
+            yield pd.DataFrame({"doc_id": doc[out], "line_number": number[out], "text": text[out], "whole": whole[of][out]})
+        if over.all():
+            state.remove()
+            return
+        state.update((_packed(docs=docs[~over], until=until[~over], done=done[~over]), _packed(doc=doc[wait], number=number[wait], text=pa.array(text[wait], pa.string()), end=ends[wait])))
+        state.setTimeoutTimestamp(int(max(until[~over].min() - 1, 1)))  # over once the watermark is beyond it
+
+    return fold
+
+
+def assemble_documents(lines: DataFrame, *, last: str, idle_minutes: int = 10, watermark: str = "10 minutes", shards: int | None = None) -> DataFrame:
     """(doc_id, line_number, text, whole): the lines of each document, all at once, from a stream (doc_id, line_number, text, ts).
 
     A document ends with a line that matches `last`, once every line number before that is there (`whole`); else `idle_minutes` after
     its latest event time, as the watermark passes it. Each document is given out once, whatever batches its lines came in.
+    A document has a state of its own, which suits batches of few documents; with `shards` all those of a shard have one, so that
+    many documents of a batch are folded together and a shard's lines must fit in a task's memory.
     """
     use_rocksdb(lines.sparkSession)
     rows = lines.where("doc_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", watermark).select("doc_id", "line_number", "text", "ts", F.unix_millis("ts").alias("at"))
-    return rows.groupBy("doc_id").transformWithState(DocumentLines(last, idle_minutes * 60_000), "doc_id long, line_number long, text string, whole boolean", "Append", "EventTime")
+    out, idle_ms = "doc_id long, line_number long, text string, whole boolean", idle_minutes * 60_000
+    if shards is None:
+        return rows.groupBy("doc_id").transformWithState(DocumentLines(last, idle_ms), out, "Append", "EventTime")
+    numbered = {"numbered": F.col("line_number").isNotNull(), "line_number": F.coalesce("line_number", F.lit(0)), "doc_id": F.col("doc_id").cast("long")}
+    keyed = rows.withColumns(numbered).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    return keyed.groupBy("shard").applyInPandasWithState(shard_of_documents(last, idle_ms), out, "docs binary, lines binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class ShardCounter(StatefulProcessor):

@@ -63,6 +63,26 @@ def test_documents_from_their_lines(spark, tmp_path):
     assert len(got) == 8 and (6, 2, "END", True) in got and collections.Counter(r[:2] for r in got).most_common(1)[0][1] == 1
 
 
+def test_documents_gathered_by_shard(spark, tmp_path):
+    """A state per shard gives out what a state per document does: early, late, repeated and unnumbered lines, documents without an end, and their expiry while others of the shard wait."""
+    rnd = random.Random(3)
+    schema = "doc_id long, line_number long, text string, ts timestamp"
+    rows = []
+    for doc in range(60):
+        n, ts = rnd.randint(0, 4), at(doc % 20)
+        lines = [(doc, k, rnd.choice(["x", None, ""]), ts) for k in range(n)] + [(doc, n, "END", ts)] * (doc % 5 > 0) + [(doc, n + 2, "END", ts)] * (doc % 4 == 0) + [(doc, None, "no number", ts)] * (doc % 7 == 0)
+        rows += [(0, *lines[0])] * 2 + [(rnd.randint(0, 2), *r) for r in lines] if lines else []
+    feeds = [Feed(spark, tmp_path / str(n), schema, lambda s, n=n: A.assemble_documents(s, last="^END", idle_minutes=30, watermark="10 minutes", shards=n)) for n in (None, 3)]
+    later = {1: [(1000, 1, "x", at(45)), (None, 1, "no key", at(45))], 2: [(1001, 1, "END", at(90)), (1000, 2, "x", at(90))], 3: [(1002, 1, "x", at(300))], 4: [(1000, 3, "END", at(301))]}
+    for batch in range(5):
+        mine, got = [r[1:] for r in rows if r[0] == batch] + later.get(batch, []), []
+        for feed in feeds:
+            feed.add(*mine)
+            got.append(collections.Counter(feed.run()))
+        assert got[0] == got[1] and max(got[1].values()) == 1
+    assert {r[3] for r in got[1]} == {True, False} and len({r[0] for r in got[1]}) > 50
+
+
 def brute_quota(rows, limits):
     """Request by request, in order of time and id within a day and mode."""
     seen, out = collections.Counter(), {}
