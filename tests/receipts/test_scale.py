@@ -3,6 +3,7 @@
 import re
 import time
 
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -91,6 +92,14 @@ def test_candidate_lines_are_scored_once_and_only_where_they_may_count(spark):
     assert plan.index("zero\\ rated") > plan.index("pharmacy,supermarket")  # below the features
 
 
+@pytest.mark.parametrize("name", ["s1_read_words", "s3_read_classified_lines", "s6_write_results", "s7_export_training"])
+def test_text_that_is_written_is_compressed(spark, sf, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(io_queries, "shared_path", lambda spark, tag: f"{tmp_path}/{tag}")
+    assert io_queries.QUERIES[name](spark, sf).count() > 0
+    parts = [f.name for f in tmp_path.rglob("part-*")]
+    assert parts and all(f.endswith(".gz") for f in parts)
+
+
 def test_a_document_asks_the_store_once():
     class Store:
         asked = 0
